@@ -36,12 +36,12 @@ def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES) -> Ite
 
 
 def append_columns(
-    df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]]
+    df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], raw: bool = False
 ) -> DataFrame:
     """``df`` with new columns computed from its text column, batch by batch and without a shuffle.
 
-    ``make`` runs once in each task and returns a function from a list of texts (None for null) to one
-    list, numpy array or Arrow array per field. A column of ``df`` that has the name of a new one is replaced.
+    ``make`` runs once in each task and returns a function from a list of texts (None for null; UTF-8 bytes if
+    ``raw``) to one list, numpy array or Arrow array per field. A column of ``df`` that has the name of a new one is replaced.
     """
     new = {f.name.lower() for f in fields}
     kept = df.select(*[df[c] for c in df.columns if c.lower() not in new])
@@ -54,7 +54,8 @@ def append_columns(
         work = make()
         for batch in batches:
             for part in slices(batch, at):
-                found = work(part.column(at).to_pylist())
+                texts = part.column(at)
+                found = work((texts.cast(pa.binary()) if raw else texts).to_pylist())
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(found, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=arrow.names)
 
