@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan
+from . import bpe, language_id, license_scan
 from .common import table
 
 
+def tokenizer_path() -> str:
+    """Where the installed tokenizer files have the vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -24,8 +31,15 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """n_tokens and digests of ids and decoded text of every document; ``path``: the tokenizer file."""
+    found = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path or tokenizer_path())
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op3_bpe": op3_bpe,
     "op7_language_id": op7_language_id,
 }
 
