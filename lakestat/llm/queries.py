@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, license_scan
+from . import bpe, language_id, license_scan, pii
 from .common import table
 
 
@@ -37,10 +37,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op3_bpe": op3_bpe,
     "op7_language_id": op7_language_id,
+    "op10_pii": op10_pii,
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them.
