@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, license_scan, pii
+from . import bpe, language_id, license_scan, pii, quality_rules, url_filter
 from .common import table
 
 
@@ -44,10 +44,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and log-likelihood ratio of every document; trusted are those labelled good and not toxic."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    found = quality_rules.judge(docs, quality_rules.log_ratios(docs, trusted))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    found = url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), url_filter.train(spark))
+    return found.select("page_id", "host", "path", "rule", "verdict", "p_block")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_quality_rules": op2_quality_rules,
     "op3_bpe": op3_bpe,
     "op7_language_id": op7_language_id,
+    "op8_url_filter": op8_url_filter,
     "op10_pii": op10_pii,
 }
 
