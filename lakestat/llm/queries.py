@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, license_scan, pii, quality_rules, url_filter
+from . import bpe, language_id, license_scan, minhash, pii, quality_rules, url_filter
 from .common import table
 
 
@@ -58,10 +58,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "p_block")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates of every document."""
+    return minhash.deduplicate(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_bpe": op3_bpe,
+    "op4_minhash": op4_minhash,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
     "op10_pii": op10_pii,
