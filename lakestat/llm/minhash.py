@@ -7,8 +7,8 @@
    fixed size. Values that very many documents share are thereby skipped wherever others decide.
 3. Each posting list links its members to its most central one. Pairs with enough equal coordinates are confirmed on
    their full sets, and confirmed links are contracted to components.
-4. Lists that still hold several components are searched fully across components. A node whose shingles that no other
-   candidate has are too many can have no link; with this bound a large group of copies is not compared pairwise.
+4. Lists that still hold several components are searched fully across components. A node with too many shingles that
+   no other candidate has can have no link and goes; those that remain are compared in tiles (``tiled_links``).
 5. All confirmed links together give the final components.
 
 A pair at a similarity of exactly 0.8 has fewer than MATCHES equal coordinates with a probability of about 2e-6.
@@ -21,6 +21,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import slices, written
@@ -35,6 +36,8 @@ PREFIX = COORDS - MATCHES + 1
 SKETCH = 1 << 17
 #: Candidate ids are broadcast up to this many (8 MB); beyond, the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bounds of a block of nodes that meets another in one task, and columns of the matrices multiplied at once.
+TILE_ROWS, TILE_SHINGLES, TILE_COLUMNS = 512, 400_000, 4096
 #: Bytes hashed at once; longer words extend a block.
 BLOCK = 1 << 20
 
@@ -269,21 +272,54 @@ def links_between(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
     mixed_lists = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
     placed = written(placed.join(mixed_lists, "token", "left_semi"), "mixed")
     open_sets = sets.join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
-    placed = placed.join(lone_shingles(open_sets), "doc_id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("lone", F.lit(0)))
-    placed = written(placed.where(100 * F.col("common") >= PERCENT * F.col("n_shingles")).select("token", "doc_id", "n_shingles", "root", "common"), "linkable")
-    x, y = placed.alias("x"), placed.alias("y")
-    least_common, sizes = F.least("x.common", "y.common"), F.col("x.n_shingles") + F.col("y.n_shingles")
-    rest = (
-        x.join(
-            y,
-            (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
-            & _alike_in_size(F.col("x.n_shingles"), F.col("y.n_shingles")) & ((100 + PERCENT) * least_common >= PERCENT * sizes),
-        )
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    return links.union(confirmed(rest, nodes, sets))
+    placed = placed.join(lone_shingles(open_sets), "doc_id", "left").where(100 * (F.col("n_shingles") - F.coalesce("lone", F.lit(0))) >= PERCENT * F.col("n_shingles"))
+    placed = written(placed.select("token", "doc_id", "n_shingles", "root"), "linkable")
+    return links.union(tiled_links(placed, sets))
+
+
+def tiled_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between different roots among nodes that lists connect, however indirectly.
+
+    Such nodes form a cluster, cut into blocks of bounded size in the order of their roots. Two blocks at a time meet
+    in one task, which multiplies their incidence matrices to get all intersections and returns one link for each two
+    roots. Pairs of blocks of one and the same root are left out.
+    """
+    heads = placed.groupBy("token").agg(F.min("doc_id").alias("a"))
+    clusters = components(placed.join(heads, "token").select("a", F.col("doc_id").alias("b")))
+    members = placed.select("doc_id", "n_shingles", "root").distinct().join(clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")), "doc_id")
+    order = W.partitionBy("cluster").orderBy("root", "doc_id")
+    spread = F.greatest(F.row_number().over(order) / TILE_ROWS, F.sum("n_shingles").over(order.rowsBetween(W.unboundedPreceding, 0)) / TILE_SHINGLES)
+    members = written(members.withColumn("block", F.floor(spread)).select("cluster", "block", "doc_id", "root"), "members")
+    blocks = members.groupBy("cluster", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    tiles = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & ((F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high")) | (F.col("x.low") != F.col("y.low"))))
+    sides = tiles.select("x.cluster", F.col("x.block").alias("left"), F.col("y.block").alias("right"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
+    rows = sides.join(members, ["cluster", "block"]).join(sets, "doc_id").select("cluster", "left", "right", "block", "doc_id", "root", "set")
+
+    def compare(table):
+        block, left = np.asarray(table.column("block")), table.column("left")[0].as_py()
+        ids, roots = np.asarray(table.column("doc_id")), np.asarray(table.column("root"))
+        found = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in table.column("set")]
+        size = np.array([len(s) for s in found])
+        of, (_, word, n) = np.repeat(np.arange(len(found)), size), np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        place = np.cumsum(n > 1) - 1
+        of, word = of[n[word] > 1], place[word[n[word] > 1]]
+        by_word = np.argsort(word, kind="stable")
+        of, word = of[by_word], word[by_word]
+        a, b = np.flatnonzero(block == left), np.flatnonzero(block == table.column("right")[0].as_py())
+        both = np.zeros((len(a), len(b)), dtype=np.float32)
+        for low in range(0, int(word[-1]) + 1 if len(word) else 0, TILE_COLUMNS):
+            part = slice(*np.searchsorted(word, [low, low + TILE_COLUMNS]))
+            has = np.zeros((len(found), TILE_COLUMNS), dtype=np.float32)
+            has[of[part], word[part] - low] = 1
+            both += has[a] @ has[b].T
+        i, j = np.nonzero((100 * both >= PERCENT * (size[a][:, None] + size[b][None, :] - both)) & (roots[a][:, None] != roots[b][None, :]))
+        i, j = a[i], b[j]
+        pairs = np.stack([np.minimum(roots[i], roots[j]), np.maximum(roots[i], roots[j])], axis=1)
+        first = np.unique(pairs, axis=0, return_index=True)[1]
+        return pa.table({"a": ids[i[first]], "b": ids[j[first]]})
+
+    return written(rows.groupBy("cluster", "left", "right").applyInArrow(compare, "a long, b long"), "tiled")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
