@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, language_id, license_scan, minhash, pii, quality_rules, url_filter
+from . import bpe, embedding_dedup, language_id, license_scan, minhash, mixing, pii, quality_classifier, quality_rules, url_filter
 from .common import table
 
 
@@ -68,11 +68,25 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    found = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of every document; trusted are those labelled good and not toxic."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return quality_classifier.classify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), trusted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_bpe": op3_bpe,
     "op4_minhash": op4_minhash,
+    "op5_mixing": op5_mixing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
     "op9_embedding_dedup": op9_embedding_dedup,
