@@ -1,10 +1,484 @@
-"""Every query of the library with its DuckDB counterpart."""
+"""Every query of the library with its DuckDB counterpart. Doubles are rounded to 9 places where both engines sum."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import geo, scalar
+from ..operators import baseline, dashboard, discovery, history, ml, mutations, raster, relational, scenes, spectral
+from ..sources.readers import table
+from . import model as m
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with the SQL for the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    """Doubles rounded."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+_OA = m.with_sql("observations", "analyses", "latest")
+_TIMELINE = """select o.water_body_id, o.id observation_id, o.observation_date, o.satellite, a.id analysis_id, a.turbidity, a.chlorophyll, a.anomaly_score,
+    case when a.id is not null then coalesce(a.anomaly_detected, false) end anomaly_detected from observations o left join latest a on a.observation_id = o.id"""
+
+
+# Histories.
+@query(_OA + f"select water_body_id, count(*) observations, count(analysis_id) analysed, count(*) filter (where anomaly_detected) anomalies, min(turbidity) min_turbidity, max(turbidity) max_turbidity, min(chlorophyll) min_chlorophyll, max(chlorophyll) max_chlorophyll, min(anomaly_score) min_anomaly_score, max(anomaly_score) max_anomaly_score from ({_TIMELINE}) group by water_body_id")
+def trend_summary(s, d):
+    return history.trend(m.observations(s, d), m.analyses(s, d))
+
+
+@query(_OA + _TIMELINE)
+def timeline(s, d):
+    return history.timeline(m.observations(s, d), m.analyses(s, d))
+
+
+@query(_OA + f"select water_body_id, row_number() over (partition by water_body_id order by observation_date, observation_id) - 1 place, observation_id, analysis_id, turbidity from ({_TIMELINE})")
+def trend_series(s, d):
+    df = history.trend_series(m.observations(s, d), m.analyses(s, d)).select("water_body_id", F.posexplode("points").alias("place", "p"))
+    return df.select("water_body_id", F.col("place").cast("long").alias("place"), "p.observation_id", "p.analysis_id", "p.turbidity")
+
+
+_COMPARED = """, both_ends as (select water_body_id, count(*) n, arg_min(p, k) e, arg_max(p, k) l from (select o.water_body_id, {'id': o.id, 't': turbidity, 'c': chlorophyll, 's': anomaly_score} p, {'d': o.observation_date, 'i': o.id} k from observations o join latest a on a.observation_id = o.id) group by 1)
+select water_body_id, n analysed, n >= 2 available, case when n >= 2 then e.id end earlier_id, case when n >= 2 then l.id end latest_id, case when n >= 2 then l.t - e.t end change_turbidity, case when n >= 2 then l.c - e.c end change_chlorophyll, case when n >= 2 then l.s - e.s end change_anomaly_score from both_ends"""
+
+
+@query(_OA.rstrip() + _COMPARED)
+def comparison(s, d):
+    return history.comparison(m.observations(s, d), m.analyses(s, d))
+
+
+@query(_OA + "select o.water_body_id, o.id observation_id, o.observation_date, a.id analysis_id, a.anomaly_score, count(*) over (partition by o.water_body_id) anomalies from observations o join latest a on a.observation_id = o.id where a.anomaly_detected")
+def anomaly_history(s, d):
+    return history.anomaly_history(m.observations(s, d), m.analyses(s, d))
+
+
+@query(_OA + "select observation_id, id, created_at, turbidity, anomaly_detected from latest")
+def latest_analysis(s, d):
+    return relational.latest_per_key(m.analyses(s, d), ["observation_id"], ["created_at", "id"]).select("observation_id", "id", "created_at", "turbidity", "anomaly_detected")
+
+
+@query(_OA + "select o.water_body_id, a.id, a.observation_id, a.created_at, a.turbidity from analyses a join observations o on a.observation_id = o.id where o.observation_date >= timestamp '1995-01-01' and o.observation_date <= timestamp '1996-12-31'")
+def analyses_by_body(s, d):
+    o = relational.between(m.observations(s, d), "observation_date", "1995-01-01", "1996-12-31")
+    return history.analyses_by_body(o, m.analyses(s, d)).select("water_body_id", "id", "observation_id", "created_at", "turbidity")
+
+
+@query(_OA + "select id, water_body_id from observations o where not exists (select 1 from analyses a where a.observation_id = o.id)")
+def observations_without_analysis(s, d):
+    o, a = m.observations(s, d), m.analyses(s, d)
+    return relational.without_match(o, a, o.id == a.observation_id).select("id", "water_body_id")
+
+
+@query(m.with_sql("observations", "analyses", "alerts", "bodies") + """select * from (select al.id, case when b.id is null then 'no_body' when al.analysis_id is not null and a.id is null then 'no_analysis' when a.id is not null and o.id is null then 'no_observation' when o.id is not null and o.water_body_id != al.water_body_id then 'other_body' end error
+    from alerts al left join bodies b on b.id = al.water_body_id left join (select id, id observation_id from observations) a on a.id = al.analysis_id left join observations o on o.id = a.observation_id) where error is not null""")
+def reference_violations(s, d):
+    o = m.observations(s, d)
+    return relational.violations(m.alerts(s, d), o.select("id", F.col("id").alias("observation_id")), o, m.bodies(s, d))
+
+
+# Listings, search and dashboard.
+@query(m.with_sql("bodies") + "select id, name, type, district, state from bodies where active and type = 'Lake'")
+def body_listing(s, d):
+    return relational.where_given(m.bodies(s, d).where("active"), type="Lake", district="").select("id", "name", "type", "district", "state").orderBy("id")
+
+
+@query(m.with_sql("observations") + "select id, water_body_id, observation_date from observations where water_body_id = 7")
+def observation_listing(s, d):
+    return relational.where_given(m.observations(s, d), water_body_id=7).select("id", "water_body_id", "observation_date").orderBy(F.desc("observation_date"), F.desc("id"))
+
+
+@query(m.with_sql("alerts") + "select id, water_body_id, date, severity from alerts where date >= timestamp '2024-01-05' and date <= timestamp '2024-01-20' and status = 'Active'")
+def alert_listing(s, d):
+    return relational.where_given(relational.between(m.alerts(s, d), "date", "2024-01-05", "2024-01-20"), status="Active").select("id", "water_body_id", "date", "severity").orderBy(F.desc("date"), F.desc("id"))
+
+
+@query(m.with_sql("bodies") + "select id, name from bodies where id = 5")
+def body_lookup(s, d):
+    return relational.lookup(m.bodies(s, d), 5).select("id", "name")
+
+
+@query(m.with_sql("bodies", "observations", "analyses", "alerts") + "select (select count(*) from bodies where active) bodies, (select count(*) from observations) observations, (select count(*) from analyses) analyses, (select count(*) from alerts where lower(status) = 'active') open_alerts")
+def dashboard_counts(s, d):
+    return dashboard.counts(m.bodies(s, d), m.observations(s, d), m.analyses(s, d), m.alerts(s, d))
+
+
+@query(m.with_sql("bodies") + "select distinct district from bodies where district is not null")
+def district_list(s, d):
+    return dashboard.pick_list(m.bodies(s, d), "district")
+
+
+@query(m.with_sql("bodies") + "select id, name from bodies where contains(lower(name), 'an') or contains(lower(district), 'an') or contains(lower(type), 'an')")
+def body_search(s, d):
+    return dashboard.search(m.bodies(s, d), "AN").select("id", "name")
+
+
+@query(m.with_sql("bodies", "alerts") + "select id, exists (select 1 from alerts a where lower(a.status) = 'active' and a.water_body_id = b.id) has_open_alert from bodies b")
+def open_alert_flags(s, d):
+    return dashboard.with_open_alert(m.bodies(s, d), m.alerts(s, d)).select("id", "has_open_alert")
+
+
+@query(m.with_sql("bodies", "alerts") + "select a.id, coalesce(b.name, '#' || a.water_body_id) body_name, case when lower(severity) like '%critical%' or lower(severity) like '%high%' then 'high' when lower(severity) like '%medium%' or lower(severity) like '%moderate%' then 'medium' when lower(severity) like '%low%' then 'low' else 'none' end severity_class from alerts a left join bodies b on b.id = a.water_body_id")
+def named_alerts(s, d):
+    return dashboard.with_body_name(m.alerts(s, d), m.bodies(s, d)).select("id", "body_name", dashboard.severity_class(F.col("severity")).alias("severity_class"))
+
+
+@query(m.with_sql("alerts") + ", newest as (select water_body_id, arg_max(analysis_id, {'d': date, 'i': id}) analysis_id from alerts where analysis_id is not null group by 1) select water_body_id, id from (select a.*, coalesce(a.analysis_id = n.analysis_id, false) tied from alerts a left join newest n using (water_body_id) where lower(status) = 'active') qualify row_number() over (partition by water_body_id order by tied desc, date desc, id desc) = 1")
+def chosen_alerts(s, d):
+    a = m.alerts(s, d)
+    newest = a.where("analysis_id is not null").groupBy("water_body_id").agg(F.max_by("analysis_id", F.struct("date", "id")).alias("analysis_id"))
+    return dashboard.chosen_alert(a, newest).select("water_body_id", "id")
+
+
+@query(m.with_sql("alerts") + "select id, date from alerts order by date desc, id desc limit 5")
+def recent_alerts(s, d):
+    return dashboard.top(m.alerts(s, d), "date", 5).select("id", "date")
+
+
+@query(m.with_sql("bodies") + "select bool_or(lower(source) != 'manual') has_import from bodies")
+def has_import(s, d):
+    return dashboard.has_import(m.bodies(s, d))
+
+
+@query("select c_custkey id, printf('%.2f', round(c_acctbal, 2)) fixed, case when c_acctbal > 0 then '+' else '' end || printf('%.2f', round(c_acctbal, 2)) signed, strftime(timestamp '2024-01-01' + to_days((c_custkey % 300)::int), '%d %b %Y %H:%M') shown from customer")
+def formatted_values(s, d):
+    date = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(days=(F.col("c_custkey") % 300).cast("int"))
+    return table(s, d, "customer").select(F.col("c_custkey").alias("id"), dashboard.fixed(F.col("c_acctbal")).alias("fixed"), dashboard.signed(F.col("c_acctbal"), 2).alias("signed"), F.date_format(date, "dd MMM yyyy HH:mm").alias("shown"))
+
+
+_FEATURES = "case when id % 3 = 0 then [] else [{'ring': lon, 'p': 'a'}, {'ring': null, 'p': 'b'}, {'ring': lat, 'p': 'c'}] end"
+
+
+@query(m.with_sql("alerts", "bodies") + "select a.id || '-' || n feature_id, a.id alert_id, 4 n_properties, a.water_body_id::varchar body from alerts a, (select unnest([0, 2]) n) where lower(status) = 'active' and analysis_id is not null and analysis_id in (select id from bodies where id % 3 != 0)")
+def alert_features(s, d):
+    b, text = m.bodies(s, d), "map<string,string>"
+    part = lambda r, p: F.struct(r.alias("ring"), F.create_map(F.lit("part"), F.lit(p), F.lit("indicator"), F.lit(p)).cast(text).alias("properties"))
+    parts = F.array(part(F.col("ring"), "a"), part(F.when(F.lit(False), F.col("ring")), "b"), part(F.col("ring"), "c"))
+    analyses = b.where("id % 3 != 0").select("id", parts.alias("features"))
+    found = dashboard.alert_features(m.alerts(s, d).withColumn("ring", F.lit(None).cast("array<struct<lon:double,lat:double>>")), analyses)
+    return found.select("feature_id", "alert_id", (F.size(F.map_keys("properties")) - 1).alias("n_properties"), F.col("properties")["water_body_id"].alias("body"))
+
+
+# Baselines and anomalies.
+_NAMES = {"turbidity": "turbidity_indicator", "chlorophyll": "chlorophyll_indicator", "algal": "algal_indicator", "area": "water_area_km2"}
+
+
+def _stat_sql(x: str, over: str = "") -> dict[str, str]:
+    q = lambda p: f"quantile_cont({x}, {p}){over}"
+    return {"mean": f"avg({x}){over}", "std": f"stddev_pop({x}){over}", "median": q(0.5), "min": f"min({x}){over}", "max": f"max({x}){over}", "p10": q(0.1), "p25": q(0.25), "p75": q(0.75), "p90": q(0.9)}
+
+
+_WHOLE = ", ".join(f"case when n >= 3 then round({v}, 12) end {k}_{n}" for k in _NAMES for n, v in {s: f"{k}_{s}_raw" for s in baseline.KEYS}.items())
+_WHOLE_RAW = ", ".join(f"{v} {k}_{n}_raw" for k, c in _NAMES.items() for n, v in _stat_sql(c).items())
+
+
+@query(m.with_sql("history") + f"select b.water_body_id, case when coalesce(n, 0) >= 3 then 'valid' else 'insufficient_baseline' end status, coalesce(n, 0) observation_count, first_date, last_date, {_WHOLE} from (select distinct water_body_id from history) b left join (select water_body_id, count(*) n, min(observation_date) first_date, max(observation_date) last_date, {_WHOLE_RAW} from history where ok group by 1) using (water_body_id)")
+def baseline_statistics(s, d):
+    df = baseline.whole_baseline(m.history(s, d), 12)
+    return df.select("water_body_id", "status", "observation_count", "first_date", "last_date", *[F.col(k)[n].alias(f"{k}_{n}") for k in _NAMES for n in baseline.KEYS])
+
+
+@query(m.with_sql("history") + "select water_body_id, count(*) total, count(*) filter (where ok) eligible, count(*) filter (where not ok) excluded, greatest(0, 3 - count(*) filter (where ok)) remaining from history group by 1")
+def baseline_status(s, d):
+    return baseline.baseline_status(m.history(s, d))
+
+
+_PRIOR_OVER = " over (partition by water_body_id order by observation_date range between unbounded preceding and interval 1 microsecond preceding)"
+_PRIOR = (
+    m.with_sql("history").rstrip()
+    + ", prior as (select *, count(case when ok then 1 end)"
+    + _PRIOR_OVER
+    + " prior_count, "
+    + ", ".join(f"round({v}, 12) {k}_{n}" for k, c in _NAMES.items() for n, v in _stat_sql(f"(case when ok then {c} end)", _PRIOR_OVER).items() if n in ("mean", "std", "median", "p90"))
+    + " from history)"
+)
+
+
+@query(_PRIOR + " select water_body_id, seq, prior_count, " + ", ".join(f"case when prior_count >= 3 then {k}_{n} end {k}_{n}" for k in _NAMES for n in ("mean", "std", "median", "p90")) + " from prior")
+def prior_baseline(s, d):
+    df = baseline.prior_baseline(m.history(s, d), 12)
+    return df.select("water_body_id", "seq", "prior_count", *[F.col(f"{k}_prior")[n].alias(f"{k}_{n}") for k in _NAMES for n in ("mean", "std", "median", "p90")])
+
+
+_Z = {k: f"case when prior_count >= 3 then case when {k}_std < 1e-8 then case when abs({c} - {k}_mean) >= 1e-6 then 3.0 else 0.0 end else abs({c} - {k}_mean) / {k}_std end end" for k, c in _NAMES.items()}
+_SCORED = _PRIOR + ", z as (select *, " + ", ".join(f"{v} {k}_z" for k, v in _Z.items()) + " from prior), sc as (select *, " + ", ".join(f"round(least(1, greatest(0, 1 - 1 / (1 + ({k}_z / 1.5) * ({k}_z / 1.5)))) + ({k}_z * 0), 4) {k}_score" for k in _NAMES) + " from z), "
+_SCORED += "an as (select *, case when prior_count >= 3 then round(least(1, greatest(0, 0.3::double * turbidity_score + 0.3::double * chlorophyll_score + 0.25::double * algal_score + 0.15::double * area_score)), 4) else 0 end anomaly_score from sc), "
+_SCORED += "lv as (select *, case when anomaly_score < 0.25 then 'NONE' when anomaly_score < 0.5 then 'LOW' when anomaly_score < 0.75 then 'MEDIUM' else 'HIGH' end anomaly_level from an)"
+_CODES = [f"case when {k}_z >= 1.5 then case when {c} > {k}_mean then '{baseline._codes(k)[0]}' else '{baseline._codes(k)[1]}' end end" for k, c in _NAMES.items()]
+_CODES += [f"case when {a}_score > 0.5 and {b}_score > 0.5 and {_NAMES[a]} > {a}_mean and {_NAMES[b]} > {b}_mean then 'COMPOUND_ANOMALY' end" for a, b in (("turbidity", "chlorophyll"), ("chlorophyll", "algal"))]
+
+
+@query(_SCORED + f" select water_body_id, seq, {', '.join(f'{k}_score' for k in _NAMES)}, round(anomaly_score, 4) anomaly_score, anomaly_level, array_to_string(list_filter([{', '.join(_CODES)}], lambda x: x is not null), ',') codes from lv")
+def anomaly_scores(s, d):
+    df = baseline.anomalies(baseline.prior_baseline(m.history(s, d), 12))
+    return df.select("water_body_id", "seq", *[f"{k}_score" for k in _NAMES], "anomaly_score", "anomaly_level", F.array_join("codes", ",").alias("codes"))
+
+
+@query(_SCORED + """ select water_body_id, observation_date, case when turbidity_score >= chlorophyll_score and turbidity_score >= algal_score then 'turbidity' when chlorophyll_score >= algal_score then 'chlorophyll' else 'algal' end indicator, lower(anomaly_level) severity, anomaly_score,
+    round(least(1, greatest(0, 1 - cloud_percentage / 100)), 9) quality_score, 'active' status from lv where anomaly_level != 'NONE' and anomaly_score >= 0.25""")
+def raised_alerts(s, d):
+    found = baseline.alerts(baseline.anomalies(baseline.prior_baseline(m.history(s, d), 12)))
+    return rounded(found.drop("affected_area_km2"))
+
+
+@query()
+def explanations(s, d):
+    df = baseline.anomalies(baseline.prior_baseline(m.history(s, d)))
+    return df.where(F.size("explanation") > 0).select("water_body_id", "seq", "explanation", "affected_area_km2")
+
+
+# Spectral layers and masks.
+_RAW = {
+    "ndti": "r(b04 - b03, b04 + b03)", "red_green": "r(b04, b03)", "red": "b04", "ndci": "r(b08 - b04, b08 + b04)", "green_blue": "r(b03, b02)", "nir_red": "r(b08 - b04, b08 + b04)",
+    "fai": "b08 - (b04 + (b11 - b04) * ((842.0::double - 665) / (1610.0::double - 665)))", "nir": "b08", "mndwi_inverted": "-r(b03 - b11, b03 + b11)",
+}
+
+
+def _ratio_sql(x: str) -> str:
+    if "r(" not in x:
+        return x
+    a, b = x[x.index("r(") + 2 : -1].split(", ")
+    return f"{'-' * x.startswith('-')}(case when abs({b}) > 1e-8 then ({a}) / ({b}) end)"
+
+
+def _scaled_sql(k: str) -> str:
+    low, high = scalar.RANGES[k]
+    return f"case when {k} is not null then least(1, greatest(0, ({k} - ({low}::double)) / ({high}::double - ({low}::double)))) end"
+
+
+_LAYERS = m.with_sql("pixels", "wet").rstrip() + ", raw as (select scene_id, " + ", ".join(f"{_ratio_sql(x)} {k}" for k, x in _RAW.items()) + " from wet where water), scaled as (select *, " + ", ".join(f"{_scaled_sql(k)} {k}_scaled" for k in _RAW) + " from raw), "
+_LAYERS += "layers as (select *, " + ", ".join(" + ".join(f"{w}::double * {k}_scaled" for k, w in parts.items()) + f" {name}_composite" for name, parts in scalar.COMPOSITES.items()) + " from scaled)"
+_LAYER_NAMES = spectral.layer_names()
+
+
+def _layer_stats_sql(k: str) -> str:
+    v = {"mean": f"avg({k})", "median": f"quantile_cont({k}, 0.5)", "std": f"stddev_pop({k})", "min": f"min({k})", "max": f"max({k})", "p10": f"quantile_cont({k}, 0.1)", "p90": f"quantile_cont({k}, 0.9)"}
+    return ", ".join([*(f"round({x}, 9) {k}_{n}" for n, x in v.items()), f"count({k}) {k}_valid"])
+
+
+def wet_pixels(s: SparkSession, d: str) -> DataFrame:
+    """Pixels with the water rule's verdict as ``water``."""
+    return raster.raw_water(m.pixels(s, d)).withColumnRenamed("raw", "water")
+
+
+@query(_LAYERS + f" select s.scene_id, l.* exclude (scene_id) replace ({', '.join(f'coalesce({k}_valid, 0) as {k}_valid' for k in _LAYER_NAMES)}) from (select distinct scene_id from pixels) s left join (select scene_id, {', '.join(map(_layer_stats_sql, _LAYER_NAMES))} from layers group by 1) l using (scene_id)")
+def spectral_statistics(s, d):
+    return spectral.masked_stats(wet_pixels(s, d), 9)
+
+
+@query(_LAYERS + " select s.scene_id, round(least(1, greatest(0, turbidity)) + turbidity * 0, 9) turbidity, round(least(1, greatest(0, chlorophyll)) + chlorophyll * 0, 9) chlorophyll, round(least(1, greatest(0, algal)) + algal * 0, 9) algal from (select distinct scene_id from pixels) s left join (select scene_id, avg(turbidity_composite) turbidity, avg(chlorophyll_composite) chlorophyll, avg(algal_composite) algal from layers group by 1) using (scene_id)")
+def spectral_indicators(s, d):
+    return spectral.indicators(wet_pixels(s, d), 9)
+
+
+@query(m.with_sql("pixels", "wet") + "select scene_id, count(*) total_pixels, count(*) filter (where water) water_pixels, round(count(*) filter (where water) / count(*)::double * 100, 9) water_pct, round(count(*) filter (where water) * 1e-4, 9) water_area_km2, count(*) filter (where scl in (3, 8, 9, 10)) cloudy_pixels from wet group by 1")
+def water_summary(s, d):
+    return rounded(spectral.water_summary(wet_pixels(s, d)))
+
+
+@query(m.with_sql("pixels", "wet") + 'select scene_id, "row", col, water, round(case when water then least(1, greatest(0, 0.6::double * least(1, greatest(0, (mndwi + 0.2::double) / 0.8::double)) + 0.4::double * least(1, greatest(0, 1 - b08 / 0.25::double)) + case when scl = 6 then 0.2::double else 0 end)) else 0 end, 9) confidence from wet')
+def water_pixels(s, d):
+    df = wet_pixels(s, d)
+    return df.select("scene_id", "row", "col", "water", F.round(scalar.water_confidence(F.col("b03"), F.col("b08"), F.col("b11"), F.col("scl"), F.col("water")), 9).alias("confidence"))
+
+
+@query("select p_partkey id, case when dn > 0 then least(1, greatest(0, (dn - case when o then 1000 else 0 end) / 10000::double)) end reflectance, o has_offset from (select p_partkey, (p_retailprice * 3)::int - 3000 dn, case when p_partkey % 3 = 0 then p_partkey % 2 = 1 when p_partkey % 3 = 1 then p_size >= 4 else p_partkey % 2 = 0 end o from (select *, 0 from part))")
+def calibrated(s, d):
+    k = F.col("p_partkey")
+    base = F.when(k % 3 == 0, F.when(k % 2 == 1, "04.00").otherwise("03.01")).when(k % 3 == 1, F.format_string("%d.0", F.col("p_size")))
+    date = F.when(k % 2 == 0, "2022-01-25").otherwise("2022-01-24")
+    df = table(s, d, "part").select(k.alias("id"), ((F.col("p_retailprice") * 3).cast("decimal(20,6)").cast("double")).alias("x"), scalar.has_offset(base, date).alias("has_offset"))
+    df = df.withColumn("dn", F.rint("x").cast("int") - 3000)
+    return df.select("id", scalar.reflectance(F.col("dn"), F.col("has_offset")).alias("reflectance"), "has_offset")
+
+
+def _segmented(s: SparkSession, d: str) -> DataFrame:
+    prior = (F.col("row").between(1, 6) & F.col("col").between(1, 6)).alias("expected")
+    return raster.segment(m.pixels(s, d).select("*", prior))
+
+
+@query()
+def components(s, d):
+    return raster.component_summary(raster.with_components(wet_pixels(s, d)))
+
+
+@query()
+def segmentation(s, d):
+    return rounded(_segmented(s, d).select("scene_id", "row", "col", "water", "confidence"))
+
+
+@query()
+def mask_quality(s, d):
+    return rounded(raster.mask_report(_segmented(s, d)))
+
+
+@query()
+def anomaly_regions(s, d):
+    df = spectral.layers(wet_pixels(s, d)).withColumn("confidence", scalar.water_confidence(F.col("b03"), F.col("b08"), F.col("b11"), F.col("scl"), F.col("water")))
+    named = df.withColumns({k: F.col(f"{k}_composite") for k in scalar.COMPOSITES})
+    return rounded(raster.anomaly_regions(raster.pixel_scores(named, {"turbidity": (0.3, 0.1), "chlorophyll": (0.4, 0.1), "algal": (0.5, 0.1)})))
+
+
+# Geometry.
+_AREA = """, flat as (select id, list_transform(ring, lambda p: {'x': 6378137.0 * k0 * radians(p.x), 'y': 6378137.0 * ((1 - e2) * (sin(radians(p.y)) / (1 - e2 * pow(sin(radians(p.y)), 2)) - ln((1 - sqrt(e2) * sin(radians(p.y))) / (1 + sqrt(e2) * sin(radians(p.y)))) / (2 * sqrt(e2)))) / (2 * k0)}) r
+    from bodies, (select e2, cos(radians(30)) / sqrt(1 - e2 * pow(sin(radians(30)), 2)) k0 from (select f * (2 - f) e2 from (select 1 / 298.257223563::double f)))),
+    areas as (select id, abs(list_sum(list_transform(range(1, len(r)), lambda i: (r[i].x - r[1].x) * (r[i + 1].y - r[1].y) - (r[i + 1].x - r[1].x) * (r[i].y - r[1].y)))) / 2 / 1e6 area from flat)"""
+
+
+@query(m.with_sql("bodies").rstrip() + _AREA + " select b.id, round(area, 6) area_sq_km, round(lon, 9) xmin, round(lat, 9) ymin, round(lon + w, 9) xmax, round(lat + w, 9) ymax from bodies b join areas using (id)")
+def body_areas(s, d):
+    df = m.bodies(s, d)
+    return df.select("id", F.round(geo.area_km2(F.col("ring")), 6).alias("area_sq_km"), *[F.round(c, 9).alias(k) for k, c in geo.bounds(F.col("ring")).items()])
+
+
+@query(m.with_sql("bodies") + "select id, id % 4 = 0 valid, id % 4 in (0, 2) valid_unranged from bodies")
+def polygon_checks(s, d):
+    df, k, ring = m.bodies(s, d), F.col("id") % 4, F.col("ring")
+    moved = F.transform(ring, lambda p: F.struct((p["lon"] + 200).alias("lon"), p["lat"].alias("lat")))
+    rings = F.when(k == 0, F.array(ring)).when(k == 1, F.array(F.slice(ring, 1, 4))).when(k == 2, F.array(moved)).otherwise(F.array(ring, ring))
+    return df.select("id", geo.valid_polygon(rings).alias("valid"), geo.valid_polygon(rings, False).alias("valid_unranged"))
+
+
+NEAR_LON, NEAR_LAT, NEAR_KM = 75.5, 18.0, 80.0
+_RADII = "6378137.0 * (1 - e2) / pow(1 - e2 * pow(sin(radians((y + {y}) / 2)), 2), 1.5) * radians(y - {y}), 6378137.0 / sqrt(1 - e2 * pow(sin(radians((y + {y}) / 2)), 2)) * cos(radians((y + {y}) / 2)) * radians(x - {x})".format(x=NEAR_LON, y=NEAR_LAT)
+
+
+@query(m.with_sql("bodies") + f"select id, name, distance_km from (select id, name, round(sqrt(pow(n, 2) + pow(e, 2)) / 1000, 3) distance_km, sqrt(pow(n, 2) + pow(e, 2)) m from (select id, name, 6378137.0 * (1 - e2) / pow(1 - e2 * pow(sin(radians((y + {NEAR_LAT}) / 2)), 2), 1.5) * radians(y - {NEAR_LAT}) n, 6378137.0 / sqrt(1 - e2 * pow(sin(radians((y + {NEAR_LAT}) / 2)), 2)) * cos(radians((y + {NEAR_LAT}) / 2)) * radians(x - {NEAR_LON}) e from (select id, name, active, greatest(lon, least({NEAR_LON}, lon + w)) x, greatest(lat, least({NEAR_LAT}, lat + w)) y, f * (2 - f) e2 from bodies, (select 1 / 298.257223563::double f)) where active)) where m <= {NEAR_KM} * 1000")
+def nearby_bodies(s, d):
+    df = m.bodies(s, d).where("active")
+    box, reach = geo.bounds(F.col("ring")), NEAR_KM / 100
+    close = (box["xmin"] <= NEAR_LON + reach) & (box["xmax"] >= NEAR_LON - reach) & (box["ymin"] <= NEAR_LAT + reach) & (box["ymax"] >= NEAR_LAT - reach)
+    df = df.where(close).withColumn("m", geo.distance_m(F.col("ring"), F.lit(NEAR_LON), F.lit(NEAR_LAT))).where(F.col("m") <= NEAR_KM * 1000)
+    return df.select("id", "name", F.round(F.col("m") / 1000, 3).alias("distance_km")).orderBy("distance_km", "id")
+
+
+@query(m.with_sql("bodies") + "select id, true inside, (72 + (id * 37 % 800) / 100::double + w / 2 > 180) outside from bodies")
+def point_in_polygon(s, d):
+    df, r = m.bodies(s, d), F.col("ring")
+    mid = [(r[0][c] + r[2][c]) / 2 for c in ("lon", "lat")]
+    return df.select("id", geo.contains(r, *mid).alias("inside"), geo.contains(r, mid[0] + 1, mid[1]).alias("outside"))
+
+
+@query(m.with_sql("bodies") + "select id, round(lon, 6) lon, round(lat, 6) lat, true projected from bodies")
+def utm_round_trip(s, d):
+    p = F.col("ring")[0]
+    zone, south = geo.utm_zone(p["lon"]), p["lat"] < 0
+    x, y = geo.to_utm(p["lon"], p["lat"], zone, south)
+    df = m.bodies(s, d).select("id", x.alias("x"), y.alias("y"), zone.alias("zone"), south.alias("south"))
+    lon, lat = geo.from_utm(F.col("x"), F.col("y"), F.col("zone"), F.col("south"))
+    return df.select("id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"), (F.col("x").between(1e5, 9e5) & (F.col("y") > 1e6)).alias("projected"))
+
+
+@query()
+def body_outlines(s, d):
+    return m.bodies(s, d).select("id", geo.wkt(F.col("ring")).alias("wkt"), geo.geojson(F.col("ring")).alias("geojson"))
+
+
+# Scenes.
+_LADDER = "(values (1, 15, 20.0), (2, 30, 30.0), (3, 45, 40.0), (4, 60, 50.0), (5, 75, 60.0), (6, 90, 60.0)) l(attempt, days, most)"
+
+
+@query(m.with_sql("scenes", "targets") + f"select target_id, body, target_date, attempt, scene_id, datetime, cloud, attempt > 1 widened from (select t.target_id, t.body, t.target_date, l.attempt, s.scene_id, s.datetime, s.cloud, row_number() over (partition by t.target_id order by l.attempt, abs(epoch_us(s.datetime) - epoch_us(t.target_date)), s.cloud, s.scene_id) n from targets t join scenes s on s.body = t.body join {_LADDER} on abs(date_diff('day', s.datetime::date, t.target_date::date)) <= l.days and s.cloud < l.most) where n = 1")
+def scene_choice(s, d):
+    return scenes.choose(m.targets(s, d), m.scenes(s, d))
+
+
+@query(m.with_sql("scenes") + "select scene_id, datetime, cloud from scenes where datetime between timestamp '2024-01-05' and timestamp '2024-01-12' and cloud < 20 and body % 10 <= 5 and body % 10 + 1 >= 4 and body // 10 <= 8 and body // 10 + 1 >= 2")
+def scene_search(s, d):
+    b = F.col("body")
+    items = m.scenes(s, d).withColumns({"xmin": b % 10, "xmax": b % 10 + 1, "ymin": F.floor(b / 10), "ymax": F.floor(b / 10) + 1})
+    return scenes.search(items, (4, 2, 5, 8), F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-12").cast("timestamp_ntz"), 20.0).select("scene_id", "datetime", "cloud")
+
+
+@query(m.with_sql("scenes") + "select scene_id id, case scene_id % 4 when 0 then 'Sentinel-2A' when 1 then 'Sentinel-2B' when 2 then 'given' else 'Sentinel-2' end platform from scenes")
+def scene_platforms(s, d):
+    k = F.col("scene_id") % 4
+    items = m.scenes(s, d).select(F.col("scene_id").alias("id"), F.concat(F.when(k == 0, "S2A_").when(k == 1, "S2B_").otherwise("X_"), F.col("scene_id").cast("string")).alias("scene_id"), F.when(k == 2, "given").alias("platform"), "cloud")
+    return scenes.observation(items).select("id", "platform")
+
+
+# Mutations.
+@query(m.with_sql("bodies") + """, cand as (select case when id % 3 = 0 then name || ' new' else name end name, type, case when id % 2 = 0 then 'D' || id end nd, 'survey' source from bodies where id % 4 = 1),
+    old as (select b.id, b.name, b.type, coalesce(c.nd, b.district) district, c.name is not null or b.active active, case when c.name is not null then 'updated' else 'kept' end change from bodies b left join cand c using (name, type, source)),
+    fresh as (select (select max(id) from bodies) + row_number() over (order by name, type) id, name, type, nd district, true active, 'imported' change from cand c where not exists (select 1 from bodies b where b.name = c.name and b.type = c.type and b.source = c.source))
+    select * from old union all select * from fresh""")
+def upserted_bodies(s, d):
+    b = m.bodies(s, d).withColumn("area_sq_km", F.lit(0.0))
+    k = F.col("id")
+    cand = b.where(k % 4 == 1).select(F.when(k % 3 == 0, F.concat("name", F.lit(" new"))).otherwise(F.col("name")).alias("name"), "type", F.when(k % 2 == 0, F.concat(F.lit("D"), k.cast("string"))).alias("district"), "ring")
+    return mutations.upsert_bodies(b, cand, "survey", "Maharashtra").select("id", "name", "type", "district", "active", "change")
+
+
+@query(m.with_sql("history") + "select water_body_id, observation_date, mask_quality_status from (select *, row_number() over (partition by water_body_id, observation_date order by s desc) n from (select water_body_id, date_trunc('day', observation_date) observation_date, mask_quality_status, seq + 1 s from history)) where n = 1")
+def upserted_history(s, d):
+    h = m.history(s, d).select("water_body_id", F.date_trunc("day", F.col("observation_date").cast("timestamp")).cast("timestamp_ntz").alias("observation_date"), "mask_quality_status", "seq")
+    return mutations.upsert_history(h.drop("seq").limit(0), h).select("water_body_id", "observation_date", "mask_quality_status")
+
+
+@query(m.with_sql("bodies") + "select id, case when id % 2 = 0 then 'Tarn' else type end type, district, active and id % 5 != 0 active from bodies")
+def patched_bodies(s, d):
+    b = m.bodies(s, d).withColumn("area_sq_km", F.lit(0.0))
+    changes = b.where("id % 2 = 0").select("id", F.lit("Tarn").alias("type"), F.lit(None).cast("string").alias("district"))
+    return mutations.soft_delete(mutations.patch(b, changes), b.where("id % 5 = 0")).select("id", "type", "district", "active")
+
+
+@query(m.with_sql("bodies") + "select id, name from bodies union all select (select max(id) from bodies) + row_number() over (order by name), name || ' II' from bodies where id <= 3")
+def inserted_bodies(s, d):
+    b = m.bodies(s, d).select("id", "name")
+    return mutations.insert(b, b.where("id <= 3").select(F.concat("name", F.lit(" II")).alias("name")), ["name"]).select("id", "name")
+
+
+# Discovery and training data.
+_TAGS = "case when id % 5 = 0 then 'reservoir' when id % 5 = 1 then 'POND' when id % 5 = 2 then 'lake' end"
+
+
+@query(m.with_sql("bodies") + f", e as (select id, name, case when id % 7 = 0 then '  ' else upper(substr(name, 1, 14)) end n, {_TAGS} water, case when id % 5 = 3 then 'water' end nat, case when id % 3 = 0 then district end dist, w from bodies), f as (select *, case when water = 'reservoir' then 'Reservoir' when lower(water) = 'pond' then 'Pond' when water = 'lake' or nat = 'water' then 'Lake' else 'Water body' end type from e where trim(n) != ''), g as (select *, row_number() over (partition by lower(n), lower(dist), type order by id) k from f) select id pos, trim(n) name, type, dist district from g where k = 1 order by w * w desc, id limit 200")
+def discovered_elements(s, d):
+    b, k = m.bodies(s, d), F.col("id")
+    tags = F.map_filter(
+        F.create_map(
+            F.lit("name"), F.when(k % 7 == 0, "  ").otherwise(F.upper(F.substring("name", 1, 14))), F.lit("water"), F.when(k % 5 == 0, "reservoir").when(k % 5 == 1, "POND").when(k % 5 == 2, "lake"),
+            F.lit("natural"), F.when(k % 5 == 3, "water"), F.lit("district"), F.when(k % 3 == 0, F.col("district")),
+        ), lambda _, v: v.isNotNull(),
+    )
+    w = 0.02 + (k % 10) / F.lit(100.0)
+    corners = [(F.lit(0.0), F.lit(0.0)), (w, F.lit(0.0)), (w, w), (F.lit(0.0), w), (F.lit(0.0), F.lit(0.0))]
+    square = F.array(*[F.struct(x.alias("lon"), y.alias("lat")) for x, y in corners])
+    return discovery.from_elements(b.select(k.alias("pos"), F.lit("way").alias("type"), tags.alias("tags"), square.alias("ring")), 500).select("pos", "name", "type", "district")
+
+
+@query(m.with_sql("bodies").rstrip() + _AREA + " select id pos, case when id % 6 = 0 then 'Waterbody ' || (id + 1) else name end name, case when id % 4 = 0 then 'Water body' else type end type, district from bodies join areas using (id) order by id % 6 = 0, area desc, id limit 60")
+def discovered_features(s, d):
+    k = F.col("id")
+    f = m.bodies(s, d).select(k.alias("pos"), "ring", F.when(k % 6 == 0, "None").otherwise(F.concat(F.lit(" "), "name")).alias("WB Name"), F.when(k % 4 == 0, "").otherwise(F.col("type")).alias("Category"), F.col("district").alias("DIST_NAME"))
+    return discovery.from_features(f, 60).select("pos", "name", "type", "district")
+
+
+@query("select d.doc_id water_body_id, d.lang observation_date, n_chars::double ndti_mean, quality turbidity_measured from documents d join labels l on l.doc_id = d.doc_id where d.n_chars is not null and l.quality is not null")
+def training_rows(s, d):
+    features = table(s, d, "documents").select(F.col("doc_id").alias("water_body_id"), F.col("lang").alias("observation_date"), F.col("n_chars").cast("double").alias("ndti_mean"))
+    docs = table(s, d, "documents").select("doc_id", F.col("lang").alias("observation_date"))
+    truth = table(s, d, "labels").join(docs, "doc_id").select(F.col("doc_id").alias("water_body_id"), "observation_date", F.col("quality").alias("turbidity_measured"))
+    return ml.training_rows(features, truth, ["ndti_mean"])
+
+
+@query()
+def feature_vectors(s, d):
+    return ml.feature_vector(spectral.masked_stats(wet_pixels(s, d)))
