@@ -109,9 +109,10 @@ def z_to_score(z: Column, digits: int | None = 4) -> Column:
     return score if digits is None else F.round(score, digits)
 
 
-def weighted_score(scores: dict[str, Column], digits: int = 4) -> Column:
+def weighted_score(scores: dict[str, Column], digits: int | None = 4) -> Column:
     """Composite anomaly score."""
-    return F.round(clip(reduce(lambda a, b: a + b, [w * scores[k] for k, w in SCORE_WEIGHTS.items()])), digits)
+    score = clip(reduce(lambda a, b: a + b, [w * scores[k] for k, w in SCORE_WEIGHTS.items()]))
+    return score if digits is None else F.round(score, digits)
 
 
 def band(score: Column) -> Column:

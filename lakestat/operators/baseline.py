@@ -89,18 +89,18 @@ def _message(name: str, code: str, where: str, value: Column, z: Column, mean: C
     return F.format_string(text, value, z, mean)
 
 
-def anomalies(scored: DataFrame) -> DataFrame:
+def anomalies(scored: DataFrame, digits: int | None = 4) -> DataFrame:
     """Records of ``prior_baseline`` with scores, level, affected area, codes and explanations.
 
-    Without a valid baseline: score 0, level NONE, no scores and no explanations.
+    Scores are rounded to ``digits``, or not at all with None. Without a valid baseline: score 0, level NONE, no scores and no explanations.
     """
     valid = F.col("baseline_status") == "valid"
     df = scored
     for k, c in INDICATORS.items():
         prior = F.col(f"{k}_prior")
         df = df.withColumn(f"{k}_z", F.when(valid, scalar.z_score(F.col(c), prior["mean"], prior["std"])))
-        df = df.withColumn(f"{k}_score", scalar.z_to_score(F.col(f"{k}_z")))
-    df = df.withColumn("anomaly_score", F.when(valid, scalar.weighted_score({k: F.col(f"{k}_score") for k in INDICATORS})).otherwise(0.0))
+        df = df.withColumn(f"{k}_score", scalar.z_to_score(F.col(f"{k}_z"), digits))
+    df = df.withColumn("anomaly_score", F.when(valid, scalar.weighted_score({k: F.col(f"{k}_score") for k in INDICATORS}, digits)).otherwise(0.0))
     df = df.withColumn("anomaly_level", scalar.band(F.col("anomaly_score")))
     df = df.withColumn("affected_area_km2", F.round(F.col("anomaly_score") * F.col("water_area_km2"), 4))
     codes, texts = [], []

@@ -218,23 +218,23 @@ def prior_baseline(s, d):
 
 
 _Z = {k: f"case when prior_count >= 3 then case when {k}_std < 1e-8 then case when abs({c} - {k}_mean) >= 1e-6 then 3.0 else 0.0 end else abs({c} - {k}_mean) / {k}_std end end" for k, c in _NAMES.items()}
-_SCORED = _PRIOR + ", z as (select *, " + ", ".join(f"{v} {k}_z" for k, v in _Z.items()) + " from prior), sc as (select *, " + ", ".join(f"round(least(1, greatest(0, 1 - 1 / (1 + ({k}_z / 1.5) * ({k}_z / 1.5)))) + ({k}_z * 0), 4) {k}_score" for k in _NAMES) + " from z), "
-_SCORED += "an as (select *, case when prior_count >= 3 then round(least(1, greatest(0, 0.3::double * turbidity_score + 0.3::double * chlorophyll_score + 0.25::double * algal_score + 0.15::double * area_score)), 4) else 0 end anomaly_score from sc), "
+_SCORED = _PRIOR + ", z as (select *, " + ", ".join(f"{v} {k}_z" for k, v in _Z.items()) + " from prior), sc as (select *, " + ", ".join(f"least(1, greatest(0, 1 - 1 / (1 + ({k}_z / 1.5) * ({k}_z / 1.5)))) + ({k}_z * 0) {k}_score" for k in _NAMES) + " from z), "
+_SCORED += "an as (select *, case when prior_count >= 3 then least(1, greatest(0, 0.3::double * turbidity_score + 0.3::double * chlorophyll_score + 0.25::double * algal_score + 0.15::double * area_score)) else 0 end anomaly_score from sc), "
 _SCORED += "lv as (select *, case when anomaly_score < 0.25 then 'NONE' when anomaly_score < 0.5 then 'LOW' when anomaly_score < 0.75 then 'MEDIUM' else 'HIGH' end anomaly_level from an)"
 _CODES = [f"case when {k}_z >= 1.5 then case when {c} > {k}_mean then '{baseline._codes(k)[0]}' else '{baseline._codes(k)[1]}' end end" for k, c in _NAMES.items()]
 _CODES += [f"case when {a}_score > 0.5 and {b}_score > 0.5 and {_NAMES[a]} > {a}_mean and {_NAMES[b]} > {b}_mean then 'COMPOUND_ANOMALY' end" for a, b in (("turbidity", "chlorophyll"), ("chlorophyll", "algal"))]
 
 
-@query(_SCORED + f" select water_body_id, seq, {', '.join(f'{k}_score' for k in _NAMES)}, round(anomaly_score, 4) anomaly_score, anomaly_level, array_to_string(list_filter([{', '.join(_CODES)}], lambda x: x is not null), ',') codes from lv")
+@query(_SCORED + f" select water_body_id, seq, {', '.join(f'round({k}_score, 9) {k}_score' for k in _NAMES)}, round(anomaly_score, 9) anomaly_score, anomaly_level, array_to_string(list_filter([{', '.join(_CODES)}], lambda x: x is not null), ',') codes from lv")
 def anomaly_scores(s, d):
-    df = baseline.anomalies(baseline.prior_baseline(m.history(s, d), 12))
+    df = rounded(baseline.anomalies(baseline.prior_baseline(m.history(s, d), 12), None))
     return df.select("water_body_id", "seq", *[f"{k}_score" for k in _NAMES], "anomaly_score", "anomaly_level", F.array_join("codes", ",").alias("codes"))
 
 
-@query(_SCORED + """ select water_body_id, observation_date, case when turbidity_score >= chlorophyll_score and turbidity_score >= algal_score then 'turbidity' when chlorophyll_score >= algal_score then 'chlorophyll' else 'algal' end indicator, lower(anomaly_level) severity, anomaly_score,
+@query(_SCORED + """ select water_body_id, observation_date, case when turbidity_score >= chlorophyll_score and turbidity_score >= algal_score then 'turbidity' when chlorophyll_score >= algal_score then 'chlorophyll' else 'algal' end indicator, lower(anomaly_level) severity, round(anomaly_score, 9) anomaly_score,
     round(least(1, greatest(0, 1 - cloud_percentage / 100)), 9) quality_score, 'active' status from lv where anomaly_level != 'NONE' and anomaly_score >= 0.25""")
 def raised_alerts(s, d):
-    found = baseline.alerts(baseline.anomalies(baseline.prior_baseline(m.history(s, d), 12)))
+    found = baseline.alerts(baseline.anomalies(baseline.prior_baseline(m.history(s, d), 12), None))
     return rounded(found.drop("affected_area_km2"))
 
 
