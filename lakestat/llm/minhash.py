@@ -5,9 +5,9 @@
 2. A node is posted under (coordinate, value) pairs. Two nodes with at least MATCHES equal coordinates share one of
    the first PREFIX in any common order, so only these are posted; the order is rarest first by a count sketch of
    fixed size. Values that very many documents share are thereby skipped wherever others decide.
-3. Each posting list links its members to its most central one. Pairs with enough equal coordinates are confirmed on
-   their full sets, and confirmed links are contracted to components.
-4. Lists that still hold several components are searched fully across components. A node with too many shingles that
+3. All members of a short posting list are paired; those of a long one are paired with its most central member. Pairs
+   with enough equal coordinates are confirmed on their full sets, and links are contracted to components.
+4. Long lists that still hold several components are searched fully across components. A node with too many shingles that
    no other candidate has can have no link and goes; those that remain are compared in tiles (``tiled_links``).
 5. All confirmed links together give the final components.
 
@@ -32,8 +32,10 @@ SHINGLE = 4
 PERCENT = 80
 COORDS, MATCHES = 64, 36
 PREFIX = COORDS - MATCHES + 1
+#: Posting lists up to this long are paired at once.
+SHORT_LIST = 8
 #: Counters of the sketch that orders coordinates; broadcast, 8 bytes each.
-SKETCH = 1 << 17
+SKETCH = 1 << 20
 #: Candidate ids are broadcast up to this many (8 MB); beyond, the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bounds of a block of nodes that meets another in one task, and columns of the matrices multiplied at once.
@@ -205,8 +207,8 @@ def _both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
     return pairs.select("a", "b", f"{value}_a", f"{value}_b")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with at least MATCHES equal coordinates whose full sets are similar enough."""
+def matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs with at least MATCHES equal coordinates."""
 
     def match(batches):
         for batch in batches:
@@ -214,6 +216,12 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
                 n = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(n >= MATCHES))
 
+    return written(_both(pairs, nodes, "sig").mapInArrow(match, "a long, b long"), "matching")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+
     def exact(batches):
         for batch in batches:
             for part in slices(batch, 2, 32 << 20):
@@ -224,8 +232,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
                     keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    close = _both(pairs, nodes, "sig").mapInArrow(match, "a long, b long")
-    return written(_both(close, sets, "set").mapInArrow(exact, "a long, b long"), "confirmed")
+    return written(_both(pairs, sets, "set").mapInArrow(exact, "a long, b long"), "confirmed")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -259,15 +266,19 @@ def links_between(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
     """(a, b): confirmed links that connect what all links connect."""
     posted = written(postings(nodes, coordinate_counts(nodes)), "postings")
     lists = posted.groupBy("token").agg(F.count("*").alias("n"), F.max(F.struct("central", (-F.col("doc_id")).alias("id"), "n_shingles")).alias("head")).where("n > 1")
-    posted = written(posted.join(lists.select("token", (-F.col("head.id")).alias("head"), F.col("head.n_shingles").alias("head_size")), "token"), "lists")
-    sets = full_sets(docs, posted.select("doc_id").distinct(), id_col, text_col, shingle)
+    posted = written(posted.join(lists.select("token", "n", (-F.col("head.id")).alias("head"), F.col("head.n_shingles").alias("head_size")), "token").drop("central"), "lists")
 
-    pair = [F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")]
-    stars = written(posted.where((F.col("doc_id") != F.col("head")) & _alike_in_size(F.col("n_shingles"), F.col("head_size"))).select(*pair).distinct(), "stars")
-    links = confirmed(stars, nodes, sets)
+    short, long = posted.where(F.col("n") <= SHORT_LIST), posted.where(F.col("n") > SHORT_LIST)
+    x, y = short.alias("x"), short.alias("y")
+    each = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & _alike_in_size(F.col("x.n_shingles"), F.col("y.n_shingles")))
+    stars = long.where((F.col("doc_id") != F.col("head")) & _alike_in_size(F.col("n_shingles"), F.col("head_size")))
+    pairs = each.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).union(stars.select(F.least("doc_id", "head"), F.greatest("doc_id", "head")))
+    close = matching(pairs.distinct(), nodes)
+    sets = full_sets(docs, close.select("a").union(close.select("b")).union(long.select("doc_id")).toDF("doc_id").distinct(), id_col, text_col, shingle)
+    links = confirmed(close, sets)
 
     roots = components(links)
-    placed = posted.select("token", "doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    placed = long.select("token", "doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     placed = written(placed, "placed")
     mixed_lists = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
     placed = written(placed.join(mixed_lists, "token", "left_semi"), "mixed")
