@@ -73,6 +73,27 @@ def contains(ring: Column, lon: Column, lat: Column) -> Column:
     return F.coalesce(F.size(F.filter(at, crosses)) % 2 == 1, F.lit(False))
 
 
+def touches(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether a box shares a point with a polygon: its middle is inside, or an edge passes through it.
+
+    An edge is held against the box's two slabs: the parts of it within each must overlap.
+    """
+    at = F.when(F.size(ring) >= 2, F.sequence(F.lit(0), F.size(ring) - 2))
+
+    def span(a: Column, b: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        d = F.nullif(b - a, F.lit(0.0))
+        enter, leave = F.least((low - a) / d, (high - a) / d), F.greatest((low - a) / d, (high - a) / d)
+        flat_in = a.between(low, high)
+        return F.coalesce(enter, F.when(flat_in, 0.0).otherwise(2.0)), F.coalesce(leave, F.when(flat_in, 1.0).otherwise(-1.0))
+
+    def meets(i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, i + 1)
+        (in_x, out_x), (in_y, out_y) = span(a["lon"], b["lon"], x0, x1), span(a["lat"], b["lat"], y0, y1)
+        return F.greatest(in_x, in_y, F.lit(0.0)) <= F.least(out_x, out_y, F.lit(1.0))
+
+    return contains(ring, (x0 + x1) / 2, (y0 + y1) / 2) | F.coalesce(F.exists(at, meets), F.lit(False))
+
+
 def _radii(lat: Column) -> tuple[Column, Column]:
     """Metres per radian of latitude and of longitude."""
     s = F.sin(F.radians(lat))

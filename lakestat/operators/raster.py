@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalar
+from ..functions import geo, scalar
 
 # Limits of the segmentation and its checks.
 SPECK, EXPANSION, CONTEXT_PIXELS, CLOUD_PIXELS = 15, 60, 15, 5
@@ -281,3 +281,36 @@ def anomaly_regions(scored: DataFrame, pixel_area_km2: float = 1e-4) -> DataFram
     df = scored.join(placed, ["scene_id", "row", "col"]).groupBy("scene_id", "region").agg(F.count("*").alias("pixels"), F.avg("score").alias("score"), F.avg("confidence").alias("confidence"), *means)
     first = F.array_max(F.array(*[F.struct(F.col(f"{k}_score").alias("s"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(names)]))
     return df.withColumn("area_km2", F.round(F.col("pixels") * pixel_area_km2, 6)).withColumn("dominant", first["k"])
+
+
+def footprint(pixels: DataFrame, bodies: DataFrame, left: float, top: float, size: float, all_touched: bool = True) -> DataFrame:
+    """Pixels with ``expected``: whether they belong to the body's ring, in the raster's own metres.
+
+    With ``all_touched`` every pixel that meets the ring counts, else those whose middle is inside. ``bodies``
+    (scene_id, ring) has one row per scene and is joined by it.
+    """
+    x, y = F.lit(left) + F.col("col") * size, F.lit(top) - F.col("row") * size
+    inside = geo.touches(F.col("ring"), x, y - size, x + size, y) if all_touched else geo.contains(F.col("ring"), x + size / 2, y - size / 2)
+    return pixels.join(bodies.select("scene_id", "ring"), "scene_id", "left").withColumn("expected", inside).drop("ring")
+
+
+def outlines(components: DataFrame, left: float, top: float, size: float, zone: int, south: bool = False) -> DataFrame:
+    """(scene_id, component, part, ring): the rings around each component in degrees; ``part`` 0 is the outer one.
+
+    ``components``: scene_id, row, col, component, with pixels that touch at a corner in one component.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = part["row"].min(), part["col"].min()
+        rings = sorted(outline(grid(part.assign(_in=True), "_in", False).astype(bool)), key=lambda r: (-len(r), r))
+        rings = sorted(rings, key=lambda r: -abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:], strict=False))))
+        rows = [(part["scene_id"].iloc[0], part["component"].iloc[0], k, [{"x": left + (c0 + x) * size, "y": top - (r0 + y) * size} for x, y in ring]) for k, ring in enumerate(rings)]
+        return pd.DataFrame(rows, columns=["scene_id", "component", "part", "flat"])
+
+    flat = components.groupBy("scene_id", "component").applyInPandas(run, "scene_id long, component long, part int, flat array<struct<x:double,y:double>>")
+
+    def degrees(p: Column) -> Column:
+        lon, lat = geo.from_utm(p["x"], p["y"], F.lit(zone), F.lit(south))
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    return flat.select("scene_id", "component", "part", F.transform("flat", degrees).alias("ring"))

@@ -329,6 +329,20 @@ def mask_quality(s, d):
     return rounded(raster.mask_report(_segmented(s, d)))
 
 
+@query(m.with_sql("pixels") + """select scene_id, "row", col, 14 < (col + 1) * 10 and 54 > col * 10 and 26 < (8 - "row") * 10 and 66 > (7 - "row") * 10 touched, col * 10 + 5 > 14 and col * 10 + 5 < 54 and 75 - "row" * 10 > 26 and 75 - "row" * 10 < 66 inside from pixels""")
+def footprint_pixels(s, d):
+    p = m.pixels(s, d).select("scene_id", "row", "col")
+    ring = F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((14.0, 26.0), (54.0, 26.0), (54.0, 66.0), (14.0, 66.0), (14.0, 26.0))])
+    bodies = p.select("scene_id").distinct().withColumn("ring", ring)
+    both = raster.footprint(raster.footprint(p, bodies, 0.0, 80.0, 10.0).withColumnRenamed("expected", "touched"), bodies, 0.0, 80.0, 10.0, False)
+    return both.select("scene_id", "row", "col", "touched", F.col("expected").alias("inside"))
+
+
+@query()
+def mask_outlines(s, d):
+    return raster.outlines(raster.with_components(wet_pixels(s, d), corners=True), 500000.0, 2000000.0, 10.0, 43)
+
+
 @query()
 def anomaly_regions(s, d):
     df = spectral.layers(wet_pixels(s, d)).withColumn("confidence", scalar.water_confidence(F.col("b03"), F.col("b08"), F.col("b11"), F.col("scl"), F.col("water")))

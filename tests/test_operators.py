@@ -204,6 +204,17 @@ def test_regions(spark):
     assert [(r.pixels, r.area_km2, round(r.confidence, 6), r.dominant) for r in got] == [(4, 0.0004, 0.8, "chlorophyll")]
 
 
+def test_outlines_and_footprints(spark):
+    df = spark.createDataFrame([(1, r, c, 1) for r, c in ((0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (2, 2), (3, 3))], "scene_id long, row int, col int, component long")
+    got = {r.part: r for r in raster.outlines(df, 500000.0, 2000000.0, 10.0, 43).withColumn("area", geo.area_km2(F.col("ring"))).collect()}
+    assert len(got) == 2 and got[1].area == pytest.approx(1e-4, rel=2e-3) and got[0].area == pytest.approx(10e-4, rel=2e-3)
+    grid = spark.createDataFrame([(1, r, c) for r in range(4) for c in range(4)], "scene_id long, row int, col int")
+    triangle = spark.createDataFrame([(1, [(1.0, 39.0), (31.0, 39.0), (1.0, 9.0), (1.0, 39.0)])], "scene_id long, ring array<struct<lon:double,lat:double>>")
+    touched = raster.footprint(grid, triangle, 0.0, 40.0, 10.0).where("expected").count()
+    inside = raster.footprint(grid, triangle, 0.0, 40.0, 10.0, False).where("expected").count()
+    assert touched == 10 and inside == 6
+
+
 def test_empty_mask(spark):
     df = scene(spark).withColumn("water", F.lit(False))
     r = spectral.indicators(df).first()
