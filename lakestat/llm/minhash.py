@@ -34,6 +34,8 @@ COORDS, MATCHES = 64, 36
 PREFIX = COORDS - MATCHES + 1
 #: Posting lists up to this long are paired at once.
 SHORT_LIST = 8
+#: Parts into which the rows of one set of copies are dealt where they meet their component.
+PARTS = 16
 #: Counters of the sketch that orders coordinates; broadcast, 8 bytes each.
 SKETCH = 1 << 20
 #: Candidate ids are broadcast up to this many (8 MB); beyond, the texts are joined by shuffle.
@@ -347,6 +349,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = written(nodes, "nodes")
     roots = components(links_between(docs, nodes, id_col, text_col, shingle))
     heads = copies.join(roots, "node", "left").withColumn("component_id", F.coalesce("root", "node")).where((F.col("n") > 1) | F.col("root").isNotNull())
-    found = rows.select("doc_id", "n_shingles", "d1", "d2").join(heads.select("d1", "d2", "component_id"), ["d1", "d2"], "left")
+    heads = heads.select("d1", "d2", "component_id", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    found = rows.select("doc_id", "n_shingles", "d1", "d2", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"))
+    found = found.join(heads, ["d1", "d2", "part"], "left")
     found = found.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
