@@ -1,16 +1,17 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of characters, in ``SYMBOLS`` classes and of order 4: words of this kind of corpus are mostly new, and
-junk shows in its characters. Counts of all trusted documents are gathered, sharded by n-gram; discounts,
-continuation counts and interpolation weights are aggregations and joins of the count tables. The model has one
-probability for each of 64 ** 4 n-grams, a fixed size, so it is broadcast and the documents, whose n-grams are many
-times their text, are scored in place instead of being joined n-gram by n-gram. A document is kept if its
-perplexity is at most that of nearly all trusted documents of its language.
+The model is of characters as they are (code points, order 4): words of this kind of corpus are mostly new, and junk
+shows in its characters. Its tables grow with the trusted text: counts are gathered sharded by n-gram; discounts,
+continuation counts and interpolation weights are aggregations and joins of the count tables. Nothing of the model
+is collected. Documents are packed in chunks of some CHUNK_BYTES; a chunk's distinct n-grams, far fewer than its
+characters, are joined to the probabilities, and what comes back meets the chunk again, to be summed by document. A document is kept if its perplexity is at most that of nearly all trusted documents of its language.
 """
 
 from __future__ import annotations
 
+import bz2
 import unicodedata
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,10 @@ ORDER, SYMBOLS, BITS = 4, 64, 6
 QUANTILE = 0.998
 #: Trusted ids are broadcast up to this many (8 MB); beyond, the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Text of the documents that are scored together, in bytes.
+CHUNK_BYTES = 8 << 20
 
+# The dense model of 64 classes of characters: codes, counts, train and score. ``classify`` does not use it.
 _PUNCTUATION = ".,;:!?'\"()-_/=*#$%&|<>@+"
 _ACCENTED = {"a": 52, "e": 53, "i": 54, "o": 55, "u": 56, "n": 57, "c": 58, "s": 59, "y": 60}
 OTHER_LETTER, OTHER, LINE_END = 61, 62, 63
@@ -130,6 +134,145 @@ def score(docs: DataFrame, model: np.ndarray, text_col: str = "text") -> DataFra
     return append_columns(docs, text_col, [T.StructField("perplexity", T.DoubleType())], make)
 
 
+class Grams:
+    """The n-grams that end at each character of some texts, numbered in the order of ``distinct``."""
+
+    def __init__(self, texts: list[str]) -> None:
+        pad = " " * (ORDER - 1)
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        points = np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.alphabet = np.unique(points)
+        bits = len(self.alphabet).bit_length()
+        s = np.searchsorted(self.alphabet, points).astype(np.int64)
+        self.width = max(bits, 1)
+        if self.width * ORDER > 62:  # more symbols than fit: number the pairs
+            pairs, s = np.unique((s << 32)[:-1] | s[1:], return_inverse=True)
+            code = s[: -2] << 32 | s[2:]
+            self.pairs = pairs
+        else:
+            self.pairs = None
+            code = s[ORDER - 1 :].copy()
+            for k in range(1, ORDER):
+                code |= s[ORDER - 1 - k : -k] << (self.width * k)
+        inside = np.ones(len(points), dtype=bool)
+        starts = np.concatenate([[0], np.cumsum(size + ORDER - 1)[:-1]])
+        for k in range(ORDER - 1):
+            inside[starts + k] = False
+        self.code = code[inside[ORDER - 1 :]]
+        self.starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, sorted, and how often each occurs."""
+        return np.unique(self.code, return_counts=True)
+
+    def spelled(self, code: np.ndarray) -> pa.Array:
+        """Codes as strings of ORDER characters."""
+        if self.pairs is None:
+            at = [code >> (self.width * k) & ((1 << self.width) - 1) for k in range(ORDER - 1, -1, -1)]
+        else:
+            first, last = self.pairs[code >> 32], self.pairs[code & 0xFFFFFFFF]
+            at = [first >> 32, first & 0xFFFFFFFF, last >> 32, last & 0xFFFFFFFF]
+        text = np.ascontiguousarray(self.alphabet[np.stack(at, axis=1)]).tobytes().decode("utf-32-le", "surrogatepass")
+        return pa.array([text[k : k + ORDER] for k in range(0, len(text), ORDER)], pa.string())
+
+
+def gram_counts(trusted: DataFrame, text_col: str) -> DataFrame:
+    """(gram, n): the n-grams of all trusted texts, each a string of ORDER characters."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 0):
+                if texts := [t for t in part.column(0).to_pylist() if t]:
+                    grams = Grams(texts)
+                    code, n = grams.distinct()
+                    yield pa.RecordBatch.from_arrays([grams.spelled(code), pa.array(n, pa.int64())], names=["gram", "n"])
+
+    return trusted.select(text_col).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def levels(trusted: DataFrame, text_col: str = "text") -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1: (gram, own) of the seen n-grams, and (context, rest) of the contexts.
+
+    The probability of a gram's last character is own (0 if unseen) + rest (1 if the context is unseen) * that of the
+    gram without its first character. Order 0 is ``uniform``.
+    """
+    tables = [written(gram_counts(trusted, text_col), "ngrams")]
+    for _ in range(ORDER - 1):  # continuation counts: how many characters come before
+        tables.append(written(tables[-1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), "ngrams"))
+    out = []
+    for k, table in enumerate(reversed(tables), start=1):
+        d = _discounts(table)
+        discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        own = table.withColumn("context", F.substring("gram", 1, k - 1)).withColumn("discount", discount)
+        contexts = written(own.groupBy("context").agg(F.sum("n").alias("total"), F.sum("discount").alias("spared")), "contexts")
+        seen = own.join(contexts, "context").select("gram", ((F.col("n") - F.col("discount")) / F.col("total")).alias("own"))
+        out.append((seen, contexts.select("context", (F.col("spared") / F.col("total")).alias("rest"))))
+    return out
+
+
+def probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(gram, logp) of distinct ``grams``: the log-probability of the last character after the others.
+
+    Characters that no trusted text has share one place in the uniform distribution over characters.
+    """
+    uniform = 1 / (model[0][0].count() + 1)
+    needed = [grams]
+    for _ in range(len(model) - 1):
+        needed.append(written(needed[-1].select(F.expr("substring(gram, 2)").alias("gram")).distinct(), "needed"))
+    lower = None
+    for k, (need, (seen, contexts)) in enumerate(zip(reversed(needed), model, strict=True), start=1):
+        df = need.join(seen, "gram", "left").withColumn("context", F.substring("gram", 1, k - 1)).join(contexts, "context", "left")
+        if lower is None:
+            df = df.withColumn("less", F.lit(uniform))
+        else:
+            df = df.withColumn("shorter", F.expr("substring(gram, 2)")).join(lower.select(F.col("gram").alias("shorter"), F.col("p").alias("less")), "shorter")
+        lower = written(df.select("gram", (F.coalesce("own", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("less")).alias("p")), "probabilities")
+    return lower.select("gram", F.log("p").alias("logp"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(chunk, docs, grams) for each CHUNK_BYTES of text: its rows as a compressed Arrow stream, and its distinct n-grams."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, at, CHUNK_BYTES):
+                texts = [t for t in part.column(at).to_pylist() if t]
+                grams = Grams(texts) if texts else None
+                spelled = grams.spelled(grams.distinct()[0]) if grams else pa.array([], pa.string())
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as stream:
+                    stream.write_batch(part)
+                rows = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([bz2.compress(sink.getvalue())], pa.binary()), pa.array([spelled], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(rows, names=["chunk", "docs", "grams"])
+
+    return written(docs.mapInArrow(run, "chunk long, docs binary, grams array<string>"), "packed")
+
+
+def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(doc_id, lang, perplexity) of every row, per character; null for null and empty texts. Whole texts are read."""
+
+    def answer(rows: pa.Table, told: pa.Table) -> pa.Table:
+        part = pa.ipc.open_stream(bz2.decompress(rows.column("docs")[0].as_py())).read_all()
+        texts = part.column("text").to_pylist()
+        out: list[float | None] = [None] * len(texts)
+        if at := [k for k, t in enumerate(texts) if t]:
+            grams = Grams([texts[k] for k in at])
+            code, _ = grams.distinct()
+            logp = dict(zip(told.column("gram").to_pylist(), told.column("logp").to_pylist(), strict=True))
+            own = np.array([logp[g] for g in grams.spelled(code).to_pylist()])
+            sums = np.add.reduceat(own[np.searchsorted(code, grams.code)], grams.starts)
+            for k, s in zip(at, sums, strict=True):
+                out[k] = float(np.exp(-s / len(texts[k])))
+        return pa.table({"doc_id": part.column("doc_id"), "lang": part.column("lang"), "perplexity": pa.array(out, pa.float64())})
+
+    chunks = packed(docs.select("doc_id", "lang", "text"))
+    asked = chunks.select(F.col("chunk").alias("of"), F.explode("grams").alias("gram"))
+    told = asked.join(probabilities(written(asked.select("gram").distinct(), "needed"), model), "gram")
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["lang"], T.StructField("perplexity", T.DoubleType())])
+    return chunks.select("chunk", "docs").groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(answer, schema)
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) of every row.
 
@@ -141,8 +284,8 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     ids = written(trusted_ids.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct(), "trusted")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    model = train(own.join(side, "doc_id", "left_semi"), "text")
-    scored = written(score(own, model).select("doc_id", "lang", "perplexity"), "perplexity")
+    model = levels(own.join(side, "doc_id", "left_semi"), "text")
+    scored = written(perplexities(own, model), "perplexity")
     cells = scored.where("perplexity is not null").join(side, "doc_id", "left_semi").groupBy("lang", F.ceil(F.col("perplexity") * 100).alias("cell")).agg(F.count("*").alias("n"))
     cells = written(cells, "cells")
 
