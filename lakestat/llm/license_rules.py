@@ -1,14 +1,16 @@
 """Signature rules for license texts, notices, names, tags and addresses.
 
 Rules see a text as its lower-cased words with one space between them (``gpl-3.0`` is ``gpl 3 0``). A rule has a
-priority (the larger wins), the label it reports, the words that must all occur in a text before its pattern is
-tried, and the pattern.
+priority (the larger wins), the label it reports, and the pattern. Its gates are derived from the pattern: words that
+every match contains.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _constants as sre
+from re import _parser
 
 TAG, NOTICE, TEXT, ADDRESS, NAME, MENTION = 95, 90, 85, 75, 60, 20
 
@@ -120,240 +122,274 @@ llama-2 | llama 2
 openrail-m | openrail m
 """
 
-#: priority | label | gate words | pattern
+#: priority | label | pattern
 PATTERNS = r"""
-85 | mit | permission granted charge | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
-85 | mit | sublicense substantial portions | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
-60 | mit | mit license | (?:the )?mit license
-60 | mit | mit licence | (?:the )?mit licence
-60 | mit | mit licensed | mit licensed
-60 | mit | expat license | (?:the )?expat license
-60 | mit | mit lizenz | mit lizenz
-90 | mit | mit license released | released under (?:the )?(?:terms of the )?mit license
-90 | mit | mit license distributed | distributed under (?:the )?(?:terms of the )?mit license
-90 | mit | mit license licensed | licensed under (?:the )?(?:terms of the )?mit license
-75 | mit | opensource org mit | opensource org licenses? mit(?: license)?(?: php| html)?
-85 | apache-2 | apache compliance | licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
-85 | apache-2 | warranties conditions apache | distributed on an as is basis without warranties or conditions of any kind
-60 | apache-2 | apache license version | apache license,? v(?:ersion)? ?2(?: 0)?
-60 | apache-2 | apache license 2 | apache license 2(?: 0)?
-60 | apache-2 | apache licence | apache licence (?:version )?2(?: 0)?
-60 | apache-2 | apache asl | asl 2(?: 0)?
-75 | apache-2 | apache org licenses | (?:www )?apache org licenses license 2 0(?: txt| html)?
-75 | apache-2 | opensource apache | opensource org licenses? apache 2 0
-60 | apache-1.1 | apache license 1 | apache (?:software )?license (?:version )?1 1
-60 | apache-1 | apache license 1 | apache (?:software )?license (?:version )?1 0
-40 | apache | apache license | apache (?:software )?license
-40 | apache | apache licensed | apache licensed
-85 | bsd-3-clause | redistribution neither endorse | neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products
-85 | bsd-2-clause | redistribution binary retain | redistributions? (?:and use )?in source and binary forms with or without modification are permitted provided that the following conditions are met
-85 | bsd-4-clause | advertising acknowledgement | all advertising materials mentioning features or use of this software must display the following acknowledgement
-60 | bsd-3-clause | bsd clause 3 | (?:3|three) clause bsd|bsd (?:3|three) clause
-60 | bsd-3-clause | bsd clause three | (?:3|three) clause bsd|bsd (?:3|three) clause
-60 | bsd-2-clause | bsd clause 2 | (?:2|two) clause bsd|bsd (?:2|two) clause
-60 | bsd-2-clause | bsd clause two | (?:2|two) clause bsd|bsd (?:2|two) clause
-60 | bsd-3-clause | bsd new | (?:new|modified|revised) bsd licen[sc]e
-60 | bsd-3-clause | bsd modified | (?:new|modified|revised) bsd licen[sc]e
-60 | bsd-2-clause | bsd simplified | (?:simplified|freebsd) bsd licen[sc]e
-60 | bsd-2-clause | freebsd license | freebsd license
-60 | bsd-4-clause | bsd original | (?:original|old) bsd licen[sc]e
-40 | bsd | bsd license | bsd (?:style )?license
-40 | bsd | bsd licence | bsd (?:style )?licence
-40 | bsd | bsd licensed | bsd licensed
-75 | bsd-3-clause | opensource bsd 3 | opensource org licenses? bsd 3 clause
-75 | bsd-2-clause | opensource bsd 2 | opensource org licenses? bsd 2 clause
-75 | bsd | opensource bsd | opensource org licenses? bsd license(?: php)?
-85 | isc | permission fee purpose | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
-60 | isc | isc license | isc licen[sc]e
-60 | isc | isc licensed | isc licensed
-75 | isc | opensource isc | opensource org licenses? isc
-85 | gpl-3 | gnu redistribute modify 3 | redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3
-85 | gpl-2 | gnu redistribute modify 2 | redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2
-60 | gpl-3 | gnu general public 3 | gnu general public licen[sc]e (?:v|version )?3(?: 0)?
-60 | gpl-2 | gnu general public 2 | gnu general public licen[sc]e (?:v|version )?2(?: 0)?
-60 | gpl-3 | gplv3 | gplv3
-60 | gpl-2 | gplv2 | gplv2
-60 | gpl-3 | gpl 3 | gnu gpl (?:v|version )?3
-60 | gpl-2 | gpl 2 | gnu gpl (?:v|version )?2
-40 | gpl | gnu general public | gnu general public licen[sc]e
-40 | gpl | gnu gpl | gnu gpl
-40 | gpl | gpl license | gpl licen[sc]e
-40 | gpl | gpl licensed | gpl licensed
-75 | gpl | gnu org gpl | gnu org (?:licenses|copyleft) gpl(?: \d \d)?(?: html| txt)?
-75 | gpl-3 | opensource gpl 3 | opensource org licenses? gpl 3 0
-75 | gpl-2 | opensource gpl 2 | opensource org licenses? gpl 2 0
-85 | lgpl-2.1 | gnu lesser redistribute 2 | modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1
-85 | lgpl-3 | gnu lesser redistribute 3 | modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3
-62 | lgpl-2.1 | lesser general 2 | gnu lesser general public licen[sc]e (?:v|version )?2 1
-62 | lgpl-3 | lesser general 3 | gnu lesser general public licen[sc]e (?:v|version )?3(?: 0)?
-62 | lgpl-2 | library general 2 | gnu library general public licen[sc]e (?:v|version )?2(?: 0)?
-60 | lgpl-3 | lgplv3 | lgplv3
-60 | lgpl-2.1 | lgplv2 | lgplv2(?: 1)?
-42 | lgpl | lesser general public | (?:gnu )?lesser general public licen[sc]e
-42 | lgpl | library general public | gnu library general public licen[sc]e
-40 | lgpl | gnu lgpl | gnu lgpl
-40 | lgpl | lgpl license | lgpl licen[sc]e
-75 | lgpl | gnu org lgpl | gnu org (?:licenses|copyleft) lgpl(?: \d \d)?(?: html| txt)?
-85 | agpl-3 | affero redistribute | modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3
-62 | agpl-3 | affero general 3 | gnu affero general public licen[sc]e (?:v|version )?3(?: 0)?
-60 | agpl-3 | agplv3 | agplv3
-42 | agpl | affero general public | (?:gnu )?affero general public licen[sc]e
-40 | agpl | gnu agpl | gnu agpl
-40 | agpl | agpl license | agpl licen[sc]e
-75 | agpl | gnu org agpl | gnu org licenses agpl(?: \d \d)?(?: html| txt)?
-85 | mpl-2 | source form mozilla | this source code form is subject to the terms of the mozilla public license v 2 0
-62 | mpl-2 | mozilla public 2 | mozilla public licen[sc]e (?:v |v|version )?2(?: 0)?
-62 | mpl-1.1 | mozilla public 1 | mozilla public licen[sc]e (?:v |v|version )?1 1
-62 | mpl-1 | mozilla public 1 | mozilla public licen[sc]e (?:v |v|version )?1 0
-40 | mpl | mozilla public license | mozilla public license
-75 | mpl-2 | mozilla org mpl | (?:www )?mozilla org (?:en us )?mpl 2 0
-75 | mpl | mozilla org mpl | (?:www )?mozilla org (?:en us )?mpl
-62 | epl-2 | eclipse public 2 | eclipse public licen[sc]e (?:v |v|version )?2(?: 0)?
-62 | epl-1 | eclipse public 1 | eclipse public licen[sc]e (?:v |v|version )?1(?: 0)?
-40 | epl | eclipse public license | eclipse public license
-75 | epl-1 | eclipse org epl | (?:www )?eclipse org legal epl v10(?: html)?
-75 | epl-2 | eclipse org epl | (?:www )?eclipse org legal epl 2 0
-62 | edl-1 | eclipse distribution license | eclipse distribution license
-62 | eupl-1.2 | european union public | european union public licen[sc]e (?:v |v|version )?1 2
-62 | eupl-1.1 | european union public | european union public licen[sc]e (?:v |v|version )?1 1
-40 | eupl | european union public | european union public licen[sc]e
-62 | cddl-1 | common development distribution | common development and distribution licen[sc]e (?:v|version )?1 0
-62 | cddl-1.1 | common development distribution | common development and distribution licen[sc]e (?:v|version )?1 1
-40 | cddl | common development distribution | common development and distribution licen[sc]e
-62 | cpl-1 | common public license | common public license(?: (?:v|version )?1 0)?
-62 | ipl-1 | ibm public license | ibm public license(?: (?:v|version )?1 0)?
-62 | osl-3 | open software license | open software license (?:v|version )?3(?: 0)?
-40 | osl | open software license | open software license
-62 | afl-3 | academic free license | academic free license (?:v|version )?3(?: 0)?
-62 | afl-2.1 | academic free license | academic free license (?:v|version )?2 1
-40 | afl | academic free license | academic free license
-62 | artistic-2 | artistic license 2 | artistic license (?:v|version )?2(?: 0)?
-62 | artistic-1 | artistic license 1 | artistic license (?:v|version )?1(?: 0)?
-40 | artistic | artistic license | (?:the )?artistic license
-62 | artistic-1-perl | perl same terms | under the same terms as perl(?: itself)?
-85 | zlib | implied held liable damages | this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages
-60 | zlib | zlib license | zlib licen[sc]e
-60 | zlib | zlib libpng license | zlib libpng licen[sc]e
-60 | libpng | libpng license | libpng licen[sc]e
-60 | bsl-1 | boost software license | boost software license(?: (?:v|version )?1 0)?
-75 | bsl-1 | boost org license | (?:www )?boost org license 1 0(?: txt)?
-85 | unlicense | unencumbered public domain | this is free and unencumbered software released into the public domain
-60 | unlicense | unlicense | (?:the )?unlicense
-75 | unlicense | unlicense org | unlicense org
-60 | wtfpl | wtfpl | wtfpl
-62 | wtfpl | fuck public license | do what the fuck you want to public license
-62 | cc0-1 | cc0 | cc0(?: 1 0)?(?: universal)?
-62 | cc0-1 | creative commons zero | creative commons (?:cc )?zero
-75 | cc0-1 | creativecommons zero | creativecommons org publicdomain zero 1 0
-75 | public-domain-mark | creativecommons publicdomain mark | creativecommons org publicdomain mark 1 0
-75 | cc-by-nc-nd | creativecommons org by nc nd | creativecommons org licenses by nc nd \d \d
-75 | cc-by-nc-sa | creativecommons org by nc sa | creativecommons org licenses by nc sa \d \d
-75 | cc-by-nc | creativecommons org by nc | creativecommons org licenses by nc \d \d
-75 | cc-by-nd | creativecommons org by nd | creativecommons org licenses by nd \d \d
-75 | cc-by-sa | creativecommons org by sa | creativecommons org licenses by sa \d \d
-75 | cc-by | creativecommons org by | creativecommons org licenses by \d \d
-66 | cc-by-nc-nd | creative commons noncommercial noderivatives | creative commons attribution non ?commercial no ?deriv(?:atives|s)?(?: works)?
-66 | cc-by-nc-nd | creative commons noncommercial noderivs | creative commons attribution non ?commercial no ?deriv(?:atives|s)?
-66 | cc-by-nc-sa | creative commons noncommercial sharealike | creative commons attribution non ?commercial share ?alike
-66 | cc-by-nc-sa | creative commons share alike commercial | creative commons attribution non ?commercial share ?alike
-64 | cc-by-nc | creative commons noncommercial | creative commons attribution non ?commercial
-64 | cc-by-nc | creative commons commercial | creative commons attribution non ?commercial
-64 | cc-by-sa | creative commons sharealike | creative commons attribution share ?alike
-64 | cc-by-sa | creative commons share alike | creative commons attribution share ?alike
-64 | cc-by-nd | creative commons noderivatives | creative commons attribution no ?deriv(?:ative)?s
-62 | cc-by | creative commons attribution | creative commons attribution
-40 | cc | creative commons license | creative commons licen[sc]e
-40 | cc | creative commons | creative commons
-66 | cc-by-nc-nd | cc by nc nd | cc by nc nd
-66 | cc-by-nc-sa | cc by nc sa | cc by nc sa
-64 | cc-by-nc | cc by nc | cc by nc
-64 | cc-by-nd | cc by nd | cc by nd
-64 | cc-by-sa | cc by sa | cc by sa
-62 | cc-by | cc by license | cc by licen[sc]e
-62 | cc-by | cc by 4 | cc by (?:4|3|2)(?: 0)?
-62 | odbl-1 | open database license | open data(?:base)? (?:commons open database )?license
-62 | odc-by-1 | open data commons attribution | open data commons attribution license
-62 | pddl-1 | public domain dedication | public domain dedication (?:and )?licen[sc]e
-75 | odbl-1 | opendatacommons odbl | opendatacommons org licenses odbl
-62 | gfdl | gnu free documentation | gnu free documentation licen[sc]e(?: version 1 \d)?
-40 | gfdl | gfdl | gfdl
-62 | ofl-1.1 | sil open font | sil open font licen[sc]e(?: version 1 1)?
-75 | ofl-1.1 | scripts sil org ofl | scripts sil org ofl
-62 | ms-pl | microsoft public license | microsoft public license
-62 | ms-rl | microsoft reciprocal license | microsoft reciprocal license
-62 | psf-2 | python software foundation | python software foundation licen[sc]e(?: version 2)?
-62 | php-3.01 | php license | php licen[sc]e(?: (?:v|version )?3 01)?
-62 | ruby | ruby license | ruby licen[sc]e
-62 | ruby | ruby same terms | under the same terms as ruby(?: itself)?
-62 | postgresql | postgresql license | postgresql licen[sc]e
-62 | openssl | openssl license | openssl licen[sc]e
-62 | ncsa | illinois ncsa | university of illinois ncsa open source license
-62 | upl-1 | universal permissive license | universal permissive license
-62 | ecl-2 | educational community license | educational community license(?: (?:v|version )?2 0)?
-62 | sspl-1 | server side public | server side public license
-62 | busl-1.1 | business source license | business source license(?: 1 1)?
-62 | elastic-2 | elastic license | elastic license(?: (?:v|version )?2(?: 0)?)?
-62 | json | good not evil | shall be used for good not evil
-62 | beerware | beer ware license | beer ?ware license
-62 | beerware | beerware license | beer ?ware license
-62 | blueoak-1 | blue oak model | blue oak model license
-62 | vim | vim license | vim licen[sc]e
-62 | x11 | x11 license | x11 licen[sc]e
-62 | curl | curl license | curl licen[sc]e
-62 | ftl | freetype license | free ?type (?:project )?licen[sc]e
-62 | ijg | independent jpeg group | independent jpeg group
-62 | icu | icu license | icu licen[sc]e
-62 | unicode-3 | unicode license | unicode licen[sc]e(?: v3)?
-62 | w3c | w3c software | w3c software (?:notice and )?(?:document )?licen[sc]e
-62 | zpl-2.1 | zope public license | zope public license(?: (?:v|version )?2 1)?
-62 | qpl-1 | q public license | q public license
-62 | nasa-1.3 | nasa open source | nasa open source agreement
-62 | rpl-1.5 | reciprocal public license | reciprocal public license
-62 | cecill-2.1 | cecill | cecill(?: free software license agreement)?
-62 | mulanpsl-2 | mulan psl | mulan psl v?2
-62 | apsl-2 | apple public source | apple public source license
-62 | ogl-uk-3 | open government licence | open government licence(?: v3 0)?
-62 | openrail-m | openrail | (?:creativeml |bigcode )?openrail ?\+{0,2}m?
-62 | etalab-2 | licence ouverte | licence ouverte
-62 | dl-de-by-2 | datenlizenz deutschland | datenlizenz deutschland(?: namensnennung)?
-62 | public-domain | public domain released | released (?:in)?to the public domain
-62 | public-domain | public domain dedicated | dedicated to the public domain
-40 | public-domain | public domain | in the public domain
-55 | proprietary | all rights reserved | all rights reserved
-55 | proprietary | proprietary confidential | proprietary and confidential
-55 | proprietary | unauthorized copying prohibited | unauthorized copying (?:of this file )?(?:via any medium )?is strictly prohibited
-20 | unknown-license | licensed under | licensed under (?:the )?(?:terms of (?:the )?)?\w+(?: \w+){0,3} licen[sc]e
-20 | unknown-license | license released under | released under (?:the )?(?:terms of (?:the )?)?\w+(?: \w+){0,3} licen[sc]e
-20 | unknown-license | license distributed under | distributed under (?:the )?(?:terms of (?:the )?)?\w+(?: \w+){0,3} licen[sc]e
-20 | license-reference | see license file | see (?:the )?(?:accompanying )?license (?:file|txt|md)(?: for details)?
-20 | copyright-notice | copyright c | copyright c (?:19|20)\d\d
-20 | copyright-notice | copyright | copyright (?:19|20)\d\d
+85 | mit | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+85 | mit | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+60 | mit | (?:the )?mit license
+60 | mit | (?:the )?mit licence
+60 | mit | mit licensed
+60 | mit | (?:the )?expat license
+60 | mit | mit lizenz
+90 | mit | released under (?:the )?(?:terms of the )?mit license
+90 | mit | distributed under (?:the )?(?:terms of the )?mit license
+90 | mit | licensed under (?:the )?(?:terms of the )?mit license
+75 | mit | opensource org licenses? mit(?: license)?(?: php| html)?
+85 | apache-2 | licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+85 | apache-2 | distributed on an as is basis without warranties or conditions of any kind
+60 | apache-2 | apache license,? v(?:ersion)? ?2(?: 0)?
+60 | apache-2 | apache license 2(?: 0)?
+60 | apache-2 | apache licence (?:version )?2(?: 0)?
+60 | apache-2 | asl 2(?: 0)?
+75 | apache-2 | (?:www )?apache org licenses license 2 0(?: txt| html)?
+75 | apache-2 | opensource org licenses? apache 2 0
+60 | apache-1.1 | apache (?:software )?license (?:version )?1 1
+60 | apache-1 | apache (?:software )?license (?:version )?1 0
+40 | apache | apache (?:software )?license
+40 | apache | apache licensed
+85 | bsd-3-clause | neither the name of (?:(?!neither the name of ).)+? nor the names of its contributors may be used to endorse or promote products
+85 | bsd-2-clause | redistributions? (?:and use )?in source and binary forms with or without modification are permitted provided that the following conditions are met
+85 | bsd-4-clause | all advertising materials mentioning features or use of this software must display the following acknowledgement
+60 | bsd-3-clause | (?:3|three) clause bsd|bsd (?:3|three) clause
+60 | bsd-2-clause | (?:2|two) clause bsd|bsd (?:2|two) clause
+60 | bsd-3-clause | (?:new|modified|revised) bsd licen[sc]e
+60 | bsd-2-clause | (?:simplified|freebsd) bsd licen[sc]e
+60 | bsd-2-clause | freebsd license
+60 | bsd-4-clause | (?:original|old) bsd licen[sc]e
+40 | bsd | bsd (?:style )?license
+40 | bsd | bsd (?:style )?licence
+40 | bsd | bsd licensed
+75 | bsd-3-clause | opensource org licenses? bsd 3 clause
+75 | bsd-2-clause | opensource org licenses? bsd 2 clause
+75 | bsd | opensource org licenses? bsd license(?: php)?
+85 | isc | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+60 | isc | isc licen[sc]e
+60 | isc | isc licensed
+75 | isc | opensource org licenses? isc
+85 | gpl-3 | redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3
+85 | gpl-2 | redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2
+60 | gpl-3 | gnu general public licen[sc]e (?:v|version )?3(?: 0)?
+60 | gpl-2 | gnu general public licen[sc]e (?:v|version )?2(?: 0)?
+60 | gpl-3 | gplv3
+60 | gpl-2 | gplv2
+60 | gpl-3 | gnu gpl (?:v|version )?3
+60 | gpl-2 | gnu gpl (?:v|version )?2
+40 | gpl | gnu general public licen[sc]e
+40 | gpl | gnu gpl
+40 | gpl | gpl licen[sc]e
+40 | gpl | gpl licensed
+75 | gpl | gnu org (?:licenses|copyleft) gpl(?: \d \d)?(?: html| txt)?
+75 | gpl-3 | opensource org licenses? gpl 3 0
+75 | gpl-2 | opensource org licenses? gpl 2 0
+85 | lgpl-2.1 | modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1
+85 | lgpl-3 | modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3
+62 | lgpl-2.1 | gnu lesser general public licen[sc]e (?:v|version )?2 1
+62 | lgpl-3 | gnu lesser general public licen[sc]e (?:v|version )?3(?: 0)?
+62 | lgpl-2 | gnu library general public licen[sc]e (?:v|version )?2(?: 0)?
+60 | lgpl-3 | lgplv3
+60 | lgpl-2.1 | lgplv2(?: 1)?
+42 | lgpl | (?:gnu )?lesser general public licen[sc]e
+42 | lgpl | gnu library general public licen[sc]e
+40 | lgpl | gnu lgpl
+40 | lgpl | lgpl licen[sc]e
+75 | lgpl | gnu org (?:licenses|copyleft) lgpl(?: \d \d)?(?: html| txt)?
+85 | agpl-3 | modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3
+62 | agpl-3 | gnu affero general public licen[sc]e (?:v|version )?3(?: 0)?
+60 | agpl-3 | agplv3
+42 | agpl | (?:gnu )?affero general public licen[sc]e
+40 | agpl | gnu agpl
+40 | agpl | agpl licen[sc]e
+75 | agpl | gnu org licenses agpl(?: \d \d)?(?: html| txt)?
+85 | mpl-2 | this source code form is subject to the terms of the mozilla public license v 2 0
+62 | mpl-2 | mozilla public licen[sc]e (?:v |v|version )?2(?: 0)?
+62 | mpl-1.1 | mozilla public licen[sc]e (?:v |v|version )?1 1
+62 | mpl-1 | mozilla public licen[sc]e (?:v |v|version )?1 0
+40 | mpl | mozilla public license
+75 | mpl-2 | (?:www )?mozilla org (?:en us )?mpl 2 0
+75 | mpl | (?:www )?mozilla org (?:en us )?mpl
+62 | epl-2 | eclipse public licen[sc]e (?:v |v|version )?2(?: 0)?
+62 | epl-1 | eclipse public licen[sc]e (?:v |v|version )?1(?: 0)?
+40 | epl | eclipse public license
+75 | epl-1 | (?:www )?eclipse org legal epl v10(?: html)?
+75 | epl-2 | (?:www )?eclipse org legal epl 2 0
+62 | edl-1 | eclipse distribution license
+62 | eupl-1.2 | european union public licen[sc]e (?:v |v|version )?1 2
+62 | eupl-1.1 | european union public licen[sc]e (?:v |v|version )?1 1
+40 | eupl | european union public licen[sc]e
+62 | cddl-1 | common development and distribution licen[sc]e (?:v|version )?1 0
+62 | cddl-1.1 | common development and distribution licen[sc]e (?:v|version )?1 1
+40 | cddl | common development and distribution licen[sc]e
+62 | cpl-1 | common public license(?: (?:v|version )?1 0)?
+62 | ipl-1 | ibm public license(?: (?:v|version )?1 0)?
+62 | osl-3 | open software license (?:v|version )?3(?: 0)?
+40 | osl | open software license
+62 | afl-3 | academic free license (?:v|version )?3(?: 0)?
+62 | afl-2.1 | academic free license (?:v|version )?2 1
+40 | afl | academic free license
+62 | artistic-2 | artistic license (?:v|version )?2(?: 0)?
+62 | artistic-1 | artistic license (?:v|version )?1(?: 0)?
+40 | artistic | (?:the )?artistic license
+62 | artistic-1-perl | under the same terms as perl(?: itself)?
+85 | zlib | this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages
+60 | zlib | zlib licen[sc]e
+60 | zlib | zlib libpng licen[sc]e
+60 | libpng | libpng licen[sc]e
+60 | bsl-1 | boost software license(?: (?:v|version )?1 0)?
+75 | bsl-1 | (?:www )?boost org license 1 0(?: txt)?
+85 | unlicense | this is free and unencumbered software released into the public domain
+60 | unlicense | (?:the )?unlicense
+75 | unlicense | unlicense org
+60 | wtfpl | wtfpl
+62 | wtfpl | do what the fuck you want to public license
+62 | cc0-1 | cc0(?: 1 0)?(?: universal)?
+62 | cc0-1 | creative commons (?:cc )?zero
+75 | cc0-1 | creativecommons org publicdomain zero 1 0
+75 | public-domain-mark | creativecommons org publicdomain mark 1 0
+75 | cc-by-nc-nd | creativecommons org licenses by nc nd \d \d
+75 | cc-by-nc-sa | creativecommons org licenses by nc sa \d \d
+75 | cc-by-nc | creativecommons org licenses by nc \d \d
+75 | cc-by-nd | creativecommons org licenses by nd \d \d
+75 | cc-by-sa | creativecommons org licenses by sa \d \d
+75 | cc-by | creativecommons org licenses by \d \d
+66 | cc-by-nc-nd | creative commons attribution non ?commercial no ?deriv(?:atives|s)?(?: works)?
+66 | cc-by-nc-nd | creative commons attribution non ?commercial no ?deriv(?:atives|s)?
+66 | cc-by-nc-sa | creative commons attribution non ?commercial share ?alike
+64 | cc-by-nc | creative commons attribution non ?commercial
+64 | cc-by-sa | creative commons attribution share ?alike
+64 | cc-by-nd | creative commons attribution no ?deriv(?:ative)?s
+62 | cc-by | creative commons attribution
+40 | cc | creative commons licen[sc]e
+40 | cc | creative commons
+66 | cc-by-nc-nd | cc by nc nd
+66 | cc-by-nc-sa | cc by nc sa
+64 | cc-by-nc | cc by nc
+64 | cc-by-nd | cc by nd
+64 | cc-by-sa | cc by sa
+62 | cc-by | cc by licen[sc]e
+62 | cc-by | cc by (?:4|3|2)(?: 0)?
+62 | odbl-1 | open data(?:base)? (?:commons open database )?license
+62 | odc-by-1 | open data commons attribution license
+62 | pddl-1 | public domain dedication (?:and )?licen[sc]e
+75 | odbl-1 | opendatacommons org licenses odbl
+62 | gfdl | gnu free documentation licen[sc]e(?: version 1 \d)?
+40 | gfdl | gfdl
+62 | ofl-1.1 | sil open font licen[sc]e(?: version 1 1)?
+75 | ofl-1.1 | scripts sil org ofl
+62 | ms-pl | microsoft public license
+62 | ms-rl | microsoft reciprocal license
+62 | psf-2 | python software foundation licen[sc]e(?: version 2)?
+62 | php-3.01 | php licen[sc]e(?: (?:v|version )?3 01)?
+62 | ruby | ruby licen[sc]e
+62 | ruby | under the same terms as ruby(?: itself)?
+62 | postgresql | postgresql licen[sc]e
+62 | openssl | openssl licen[sc]e
+62 | ncsa | university of illinois ncsa open source license
+62 | upl-1 | universal permissive license
+62 | ecl-2 | educational community license(?: (?:v|version )?2 0)?
+62 | sspl-1 | server side public license
+62 | busl-1.1 | business source license(?: 1 1)?
+62 | elastic-2 | elastic license(?: (?:v|version )?2(?: 0)?)?
+62 | json | shall be used for good not evil
+62 | beerware | beer ?ware license
+62 | blueoak-1 | blue oak model license
+62 | vim | vim licen[sc]e
+62 | x11 | x11 licen[sc]e
+62 | curl | curl licen[sc]e
+62 | ftl | free ?type (?:project )?licen[sc]e
+62 | ijg | independent jpeg group
+62 | icu | icu licen[sc]e
+62 | unicode-3 | unicode licen[sc]e(?: v3)?
+62 | w3c | w3c software (?:notice and )?(?:document )?licen[sc]e
+62 | zpl-2.1 | zope public license(?: (?:v|version )?2 1)?
+62 | qpl-1 | q public license
+62 | nasa-1.3 | nasa open source agreement
+62 | rpl-1.5 | reciprocal public license
+62 | cecill-2.1 | cecill(?: free software license agreement)?
+62 | mulanpsl-2 | mulan psl v?2
+62 | apsl-2 | apple public source license
+62 | ogl-uk-3 | open government licence(?: v3 0)?
+62 | openrail-m | (?:creativeml |bigcode )?openrail ?\+{0,2}m?
+62 | etalab-2 | licence ouverte
+62 | dl-de-by-2 | datenlizenz deutschland(?: namensnennung)?
+62 | public-domain | released (?:in)?to the public domain
+62 | public-domain | dedicated to the public domain
+40 | public-domain | in the public domain
+55 | proprietary | all rights reserved
+55 | proprietary | proprietary and confidential
+55 | proprietary | unauthorized copying (?:of this file )?(?:via any medium )?is strictly prohibited
+20 | unknown-license | licensed under (?:the )?(?:terms of (?:the )?)?\w+(?: \w+){0,3} licen[sc]e
+20 | unknown-license | released under (?:the )?(?:terms of (?:the )?)?\w+(?: \w+){0,3} licen[sc]e
+20 | unknown-license | distributed under (?:the )?(?:terms of (?:the )?)?\w+(?: \w+){0,3} licen[sc]e
+20 | license-reference | see (?:the )?(?:accompanying )?license (?:file|txt|md)(?: for details)?
+20 | copyright-notice | copyright c (?:19|20)\d\d
+20 | copyright-notice | copyright (?:19|20)\d\d
 """
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One signature: tried only where all ``gates`` occur."""
+    """One signature: tried only where all words of one of its ``gates`` occur."""
 
     priority: int
     label: str
-    gates: frozenset[bytes]
+    gates: tuple[frozenset[bytes], ...]
     pattern: re.Pattern[bytes]
 
 
-def _rule(priority: int, label: str, gates: str, pattern: str) -> Rule:
-    return Rule(priority, label, frozenset(x.encode() for x in gates.split()), re.compile(rf"(?<= )(?:{pattern})(?= )".encode()))
+#: Repeats up to this often are spelled out.
+_SPELLED = 3
+_WILD = "\0"
+
+
+def _spellings(items) -> set[str]:
+    """All texts that a parsed pattern matches, with _WILD for what is not spelled out."""
+    found = {""}
+    for op, arg in items:
+        if op is sre.LITERAL:
+            own = {chr(arg)}
+        elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg):
+            own = {chr(c) for _, c in arg}
+        elif op is sre.SUBPATTERN:
+            own = _spellings(arg[-1])
+        elif op is sre.BRANCH:
+            own = set().union(*map(_spellings, arg[1]))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            low, high, sub = arg
+            own = {""} if low == 0 else set()
+            if high > _SPELLED:
+                own.add(_WILD)
+            else:
+                some, part = {""}, _spellings(sub)
+                for n in range(1, high + 1):
+                    some = {a + b for a in some for b in part}
+                    own |= some if n >= low else set()
+        else:
+            own = {_WILD}
+        found = {a + b for a in found for b in own}
+    return found
+
+
+def gates_of(pattern: str) -> tuple[frozenset[bytes], ...]:
+    """Sets of words; every match has all words of one of them. One set if all spellings share a word."""
+    spelled = [s.split() for s in _spellings(_parser.parse(pattern))]
+    possible = [s for s in spelled if all(c == _WILD or c.isalnum() for w in s for c in w)]  # words are of nothing else
+    sets = {frozenset(w.encode() for w in s if _WILD not in w) for s in possible}
+    common = frozenset.intersection(*sets)
+    return (common,) if common else tuple(sorted(sets, key=sorted))
+
+
+def _rule(priority: int, label: str, pattern: str) -> Rule:
+    return Rule(priority, label, gates_of(pattern), re.compile(rf"(?<= )(?:{pattern})(?= )".encode()))
 
 
 def all_rules() -> list[Rule]:
     """All rules, strongest first; equal ones in the order above."""
     rules = []
     for line in PATTERNS.strip().splitlines():
-        priority, label, gates, pattern = (x.strip() for x in line.split(" | ", 3))
-        rules.append(_rule(int(priority), label, gates, pattern))
+        priority, label, pattern = (x.strip() for x in line.split(" | ", 2))
+        rules.append(_rule(int(priority), label, pattern))
     for line in IDENTIFIERS.strip().splitlines():
         label, words = (x.strip() for x in line.split(" | "))
-        gates = words.split()[0]
-        rules.append(_rule(TAG, label, f"spdx license identifier {gates}", rf"spdx license identifier {words}(?: only| or later)?"))
-        rules.append(_rule(NAME + 5, label, f"license {gates}", rf"license(?:d under)?(?: the)? {words}(?: only| or later)?"))
+        rules.append(_rule(TAG, label, rf"spdx license identifier {words}(?: only| or later)?"))
+        rules.append(_rule(NAME + 5, label, rf"license(?:d under)?(?: the)? {words}(?: only| or later)?"))
     return sorted(rules, key=lambda r: -r.priority)

@@ -1,6 +1,6 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-A text becomes its lower-cased words. The rules whose gate words all occur are tried, strongest first; a detection
+A text becomes its lower-cased words. The rules of which a gate's words all occur are tried, strongest first; a detection
 that lies within a kept one is suppressed. One pass over the documents, no shuffle.
 
 Nulls and empty texts have no words, no labels and score 0. Texts are read whole. Repeated rows give repeated results.
@@ -83,13 +83,14 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         rules = all_rules()
         by_gate = defaultdict(list)
         for k, r in enumerate(rules):
-            by_gate[min(r.gates, key=lambda g: (-len(g), g))].append(k)
-        gates = frozenset(g for r in rules for g in r.gates)
+            for gate in r.gates:
+                by_gate[min(gate, key=lambda g: (-len(g), g))].append((k, gate))
+        gates = frozenset(g for r in rules for gate in r.gates for g in gate)
 
         def one(text):
             words = words_of(text)
             seen = gates.intersection(words)
-            tried = sorted(k for g in seen if g in by_gate for k in by_gate[g] if rules[k].gates <= seen)
+            tried = sorted({k for g in seen if g in by_gate for k, gate in by_gate[g] if gate <= seen})
             if not tried:  # each base phrase has a rule of its own
                 return len(words), 0, None, None, "", "", 0.0, []
             padded = b" " + b" ".join(words) + b" "

@@ -2,10 +2,11 @@
 
 import math
 import random
+from re import _parser
 
 import pytest
 
-from lakestat.llm import quality_classifier
+from lakestat.llm import license_rules, license_scan, quality_classifier
 from tests.llm.test_groups import brute_kneser_ney
 
 
@@ -56,3 +57,24 @@ def test_grams_with_many_symbols():
             g = ("   " + t)[i : i + 4]
             want[g] = want.get(g, 0) + 1
     assert dict(zip(grams.spelled(code).to_pylist(), n.tolist(), strict=True)) == want
+
+
+SPELLED = {
+    "GNU GPL v3": "gpl-3", "GNU General Public License v3.0": "gpl-3", "GNU General Public Licence version 2": "gpl-2", "Mozilla Public License v2": "mpl-2",
+    "GNU Lesser General Public License v2.1": "lgpl-2.1", "GNU Affero General Public License v3": "agpl-3", "Apache License v2.0": "apache-2", "ASL 2.0": "apache-2",
+    "Creative Commons Attribution-Noncommercial-Share Alike": "cc-by-nc-sa", "Creative Commons Attribution Non-Commercial ShareAlike": "cc-by-nc-sa",
+    "Creative Commons Attribution-No Derivs": "cc-by-nd", "Creative Commons Attribution-NoDerivs": "cc-by-nd", "three-clause BSD": "bsd-3-clause", "free type licence": "ftl",
+    "Neither the name of " + "the very long institute " * 9 + "nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
+}
+
+
+def test_license_gates(spark):
+    """scan() against the same rules without gates, on ordinary spellings and on spellings of every rule."""
+    rules = license_scan.all_rules()
+    texts = list(SPELLED) + [s.replace("\0", "7") for line in license_rules.PATTERNS.strip().splitlines() for s in sorted(license_rules._spellings(_parser.parse(line.split(" | ", 2)[2])))[:40]]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        padded = b" " + b" ".join(license_scan.words_of(r.text.encode())) + b" "
+        want = [rule.label for _, _, rule in license_scan.detect(padded, rules)]
+        assert [d.label for d in r.detections] == want, r.text
+        assert r.text not in SPELLED or SPELLED[r.text] in r.labels.split(",")
