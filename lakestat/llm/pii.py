@@ -27,7 +27,8 @@ LABELS = ("O", *KINDS)
 CERTAIN = 0.9
 #: Prior counts of each pair of equal labels on skip edges; repeated words seldom disagree.
 AGREEING = 20.0
-ROUNDS = 10
+#: Messages are passed until none changes by more than this, or oscillating ones for so many rounds.
+SETTLED, MOST_ROUNDS = 1e-4, 1000
 DAMPING = 0.3
 
 _GATE = re.compile(r"[0-9@]")
@@ -38,6 +39,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_DIGIT = re.compile(r"[0-9]")
+_EDGE = "()[]{}<>,;:!?.\"'"
 
 #: Yes-or-no features of a word, each a bit.
 FEATURES = (
@@ -77,11 +80,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def number_keys(words: list[tuple[int, int, str]]) -> dict[int, str]:
+    """Keys of words that are parts of numbers: the last digits of the whole run of words, and how many follow the word.
+
+    So a number has the same keys however it is grouped. A new run starts with a plus, and after punctuation.
+    """
+    runs: list[list[int]] = []
+    for k, (s, _, w) in enumerate(words):
+        if "@" in w or not _DIGIT.search(w) or any(c.isalpha() for c in w):
+            continue
+        if runs and runs[-1][-1] == k - 1 and words[k - 1][1] + 1 == s and words[k - 1][2][-1] not in ",;:!?." and w[0] != "+":
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    keys = {}
+    for run in runs:
+        digits = [_NOT_DIGIT.sub("", words[k][2]) for k in run]
+        whole = "".join(digits)
+        name = whole[-7:] if len(whole) >= 7 else " ".join(words[k][2].strip(_EDGE) for k in run)
+        after = len(whole)
+        for k, d in zip(run, digits, strict=True):
+            after -= len(d)
+            keys[k] = f"{name}/{after}"
+    return keys
+
+
 def nodes_of(text: str) -> list[tuple[int, int, int, str, int]]:
     """Variables of a text: (start, end, feature bits, key for skip edges, number of the word)."""
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
     held = [bool(_GATE.search(w)) for _, _, w in words]
-    nodes = []
+    nodes, numbers = [], number_keys(words)
     for k, (s, e, w) in enumerate(words):
         if not held[k]:
             continue
@@ -94,8 +122,9 @@ def nodes_of(text: str) -> list[tuple[int, int, int, str, int]]:
             13 <= n <= 19 and luhn(digits), any(c.isalpha() for c in w), "-" in w or "(" in w, k > 0 and held[k - 1] and "+" in words[k - 1][2],
             (k > 0 and held[k - 1]) or (k + 1 < len(words) and held[k + 1]),
         )
-        key = w.partition("@")[0].lower() if "@" in w else digits[-7:] if n >= 7 else ""
-        nodes.append((s, e, sum(1 << i for i, f in enumerate(flags) if f), key if len(key) >= 3 else "", k))
+        local = w.partition("@")[0].lower() if "@" in w else ""
+        key = numbers[k] if k in numbers else local if len(local) >= 3 else f"{digits[-7:]}/0" if n >= 7 else w.strip(_EDGE).lower()
+        nodes.append((s, e, sum(1 << i for i, f in enumerate(flags) if f), key, k))
     return nodes
 
 
@@ -113,6 +142,20 @@ def edges_of(nodes: list[tuple[int, int, int, str, int]]) -> list[tuple[int, int
     return edges
 
 
+def graph_of(nodes: list[tuple[int, int, int, str, int]]) -> tuple[list[tuple[int, int, int]], int]:
+    """Edges as of ``edges_of``, but keys that occur more than twice join through a node of their own, after ``nodes``.
+
+    So evidence is two steps away wherever it is in a text. Also how many such nodes there are.
+    """
+    places: dict[str, list[int]] = {}
+    for i, n in enumerate(nodes):
+        if n[3]:
+            places.setdefault(n[3], []).append(i)
+    hubs = {key: len(nodes) + h for h, key in enumerate(k for k, at in places.items() if len(at) > 2)}
+    edges = [x for x in edges_of(nodes) if x[2] == 0 or nodes[x[1]][3] not in hubs]
+    return edges + [(i, hub, 1) for key, hub in hubs.items() for i in places[key]], len(hubs)
+
+
 def pattern_labels(nodes, spans) -> list[int]:
     """The label of each node: that of the first span that it overlaps, else O."""
     labels, ordered = [0] * len(nodes), sorted((s, e, kind) for kind, s, e in spans)
@@ -188,15 +231,22 @@ def marginals(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray) -> n
         m, table = len(edges), potentials[np.r_[edges[:, 2], edges[:, 2]]]
         table[m:] = table[m:].transpose(0, 2, 1)
         back = np.r_[np.arange(m) + m, np.arange(m)]
-        sent = np.zeros((2 * m, unary.shape[1]))
-        for _ in range(ROUNDS):
-            out = (belief[i] - sent[back])[:, :, None] + table
+        sent, belief, now = np.zeros((2 * m, unary.shape[1])), unary.copy(), np.arange(2 * m)
+        for _ in range(MOST_ROUNDS):
+            out = (belief[i[now]] - sent[back[now]])[:, :, None] + table[now]
             top = out.max(axis=1, keepdims=True)
             out = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
             out -= out.max(axis=1, keepdims=True)
-            sent = DAMPING * sent + (1 - DAMPING) * out
-            belief = unary.copy()
-            np.add.at(belief, j, sent)
+            step = (1 - DAMPING) * (out - sent[now])
+            sent[now] += step
+            np.add.at(belief, j[now], step)
+            moving = np.zeros(2 * m, dtype=bool)
+            moving[now] = np.abs(step).max(axis=1) > SETTLED
+            if not moving.any():
+                break
+            moved = np.zeros(len(unary), dtype=bool)
+            moved[j[moving]] = True
+            now = np.flatnonzero(moving | moved[i])
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
@@ -255,15 +305,16 @@ def find(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
         def work(texts):
             base = [base_spans(t) if t else [] for t in texts]
             nodes = [nodes_of(t) if t and _GATE.search(t) else [] for t in texts]
-            start = np.cumsum([0, *map(len, nodes)])
+            graphs = [graph_of(ns) for ns in nodes]
+            start = np.cumsum([0, *(len(ns) + hubs for ns, (_, hubs) in zip(nodes, graphs, strict=True))])
             extra: list[list] = [[] for _ in texts]
             if start[-1]:
-                codes = np.array([n[2] for ns in nodes for n in ns])
-                edges = np.array([(i + a, j + a, sort) for a, ns in zip(start.tolist(), nodes, strict=False) for i, j, sort in edges_of(ns)], dtype=np.int64).reshape(-1, 3)
+                codes = np.array([c for ns, (_, hubs) in zip(nodes, graphs, strict=True) for c in [*(n[2] for n in ns), *[0] * hubs]])
+                edges = np.array([(i + a, j + a, sort) for a, (own, _) in zip(start.tolist(), graphs, strict=False) for i, j, sort in own], dtype=np.int64).reshape(-1, 3)
                 probable = marginals(_bits(codes) @ weights, edges, potentials)
                 for k, ns in enumerate(nodes):
                     if ns:
-                        extra[k] = added_spans(texts[k], ns, probable[start[k] : start[k + 1]], base[k])
+                        extra[k] = added_spans(texts[k], ns, probable[start[k] : start[k] + len(ns)], base[k])
             counts = [[sum(1 for s in b if s[0] == k) for b in base] for k in range(len(KINDS))]
             both = [b + x for b, x in zip(base, extra, strict=True)]
             out = [*counts, [hashlib.sha256(joined(b).encode()).hexdigest() for b in base], [joined(b) for b in both]]

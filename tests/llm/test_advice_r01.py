@@ -4,9 +4,10 @@ import math
 import random
 from re import _parser
 
+import numpy as np
 import pytest
 
-from lakestat.llm import license_rules, license_scan, quality_classifier
+from lakestat.llm import license_rules, license_scan, pii, quality_classifier
 from tests.llm.test_groups import brute_kneser_ney
 
 
@@ -78,3 +79,23 @@ def test_license_gates(spark):
         want = [rule.label for _, _, rule in license_scan.detect(padded, rules)]
         assert [d.label for d in r.detections] == want, r.text
         assert r.text not in SPELLED or SPELLED[r.text] in r.labels.split(",")
+
+
+@pytest.mark.parametrize("text", ["4111 1111 1111 1111 then 4111 1111 1111 1111", "+49 30 123 4567 or 49 30 123 4567", "10.0.0.1 and (10.0.0.1)", "+49301234567 or 30 123 4567"])
+def test_pii_grouped_and_short_numbers_share_edges(text):
+    nodes = pii.nodes_of(text)
+    tied = {(text[nodes[i][0] : nodes[i][1]], text[nodes[j][0] : nodes[j][1]]) for i, j, sort in pii.graph_of(nodes)[0] if sort == 1}
+    assert tied and all(pii._NOT_DIGIT.sub("", a).endswith(pii._NOT_DIGIT.sub("", b)) for a, b in tied)
+
+
+def test_pii_evidence_reaches_far():
+    """The hundredth mention follows the first."""
+    nodes = pii.nodes_of("10.0.0.1 is " * 100)
+    edges, hubs = pii.graph_of(nodes)
+    unary = np.zeros((len(nodes) + hubs, len(pii.LABELS)))
+    unary[0, 2] = 9.0
+    potentials = np.zeros((2, 5, 5))
+    potentials[1] = 9 * np.eye(5)
+    assert (pii.marginals(unary, np.array(edges), potentials)[: len(nodes), 2] > 0.9).all()
+    chain = np.array([(k, k + 1, 1) for k in range(40)])
+    assert pii.marginals(unary[:41], chain, potentials)[40, 2] > 0.9
