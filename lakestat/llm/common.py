@@ -9,12 +9,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Text handed to a batch function at once, in bytes. A single longer text is a batch of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Tables of so many narrow rows (some 24 MB) are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -23,51 +26,80 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most ``limit`` bytes of text, or one row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0)
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if its rows (of a few numbers) are counted and few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def private(df: DataFrame, name: str) -> str:
+    """A column name that starts with ``name`` and that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def pieces(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The array in pieces of at most ``limit`` bytes of text, or one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0)
     ends = np.cumsum(np.asarray(sizes, dtype=np.int64))
     start = 0
-    while start < batch.num_rows:
+    while start < len(texts):
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        yield batch.slice(start, stop - start)
+        yield texts.slice(start, stop - start)
         start = stop
 
 
-def append_columns(
-    df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], raw: bool = False
-) -> DataFrame:
-    """``df`` with new columns computed from its text column, batch by batch and without a shuffle.
+def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``limit`` bytes of text, or one row."""
+    start = 0
+    for piece in pieces(batch.column(text_at), limit):
+        yield batch.slice(start, len(piece))
+        start += len(piece)
+
+
+def found_in(text: Column, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], raw: bool = False) -> Column:
+    """A struct of ``fields`` computed from a text column in Arrow batches: only texts go to Python, only results come back.
 
     ``make`` runs once in each task and returns a function from a list of texts (None for null; UTF-8 bytes if
-    ``raw``) to one list, numpy array or Arrow array per field. A column of ``df`` that has the name of a new one is replaced.
+    ``raw``) to one list, numpy array or Arrow array per field.
     """
-    new = {f.name.lower() for f in fields}
-    kept = df.select(*[df[c] for c in df.columns if c.lower() not in new])
-    out = T.StructType([*kept.schema.fields, *fields])
-    at = kept.columns.index(text_col)
-    arrow = to_arrow_schema(out)
-    types = [arrow.field(f.name).type for f in fields]
+    names, types = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = make()
         for batch in batches:
-            for part in slices(batch, at):
-                texts = part.column(at)
-                found = work((texts.cast(pa.binary()) if raw else texts).to_pylist())
-                arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(found, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=arrow.names)
+            parts = []
+            for part in pieces(batch):
+                found = work(part.to_pylist())
+                parts.append(pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(found, types, strict=True)], names=names))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(zip(names, types, strict=True))))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # Deterministic, but never to be computed twice for a filter and a column.
+    return F.arrow_udf(run, T.StructType(fields)).asNondeterministic()(text.cast("binary") if raw else text)
 
-    return kept.mapInArrow(run, out)
+
+def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], raw: bool = False) -> DataFrame:
+    """``df`` with new columns computed from its text column (see ``found_in``), without a shuffle.
+
+    A column of ``df`` that has the name of a new one, in any case, is replaced.
+    """
+    new = {f.name.lower() for f in fields}
+    kept = [df[c] for c in df.columns if c.lower() not in new]
+    found = private(df, "_found")
+    return df.withColumn(found, found_in(df[text_col], fields, make, raw)).select(*kept, *[F.col(f"{found}.{f.name}").alias(f.name) for f in fields])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set to a temporary folder only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without the setting."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         made = spark.sparkContext.getCheckpointDir()
         if not made:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             made = spark.sparkContext.getCheckpointDir()
         where = made
@@ -79,4 +111,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        if df is not None and (path := vars(df).get("scratch")):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -13,7 +13,9 @@ def _roots(parents: DataFrame) -> DataFrame:
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         jumped = written(parents.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved")), "roots")
-        parents = jumped.select("node", "parent")
+        discard(parents)
+        parents = jumped.drop("moved")
+        parents.scratch = jumped.scratch
         if jumped.where("moved").isEmpty():
             return parents
 
@@ -32,12 +34,14 @@ def components(links: DataFrame) -> DataFrame:
         parents = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent"))
         parents = _roots(written(parents, "parents"))
         if labels is None:
-            labels = parents.select("node", F.col("parent").alias("root"))
+            labels = written(parents.select("node", F.col("parent").alias("root")), "labels")
         else:
             step = parents.select(F.col("node").alias("root"), F.col("parent").alias("to"))
-            labels = written(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+            old, labels = labels, written(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+            discard(old)
         ends = links
         for c in ("a", "b"):
             ends = ends.join(parents.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_end")), c)
-        links = written(ends.where("a_end != b_end").select(F.least("a_end", "b_end").alias("a"), F.greatest("a_end", "b_end").alias("b")).distinct(), "links")
+        old, links = links, written(ends.where("a_end != b_end").select(F.least("a_end", "b_end").alias("a"), F.greatest("a_end", "b_end").alias("b")).distinct(), "links")
+        discard(old, parents)
     return labels
