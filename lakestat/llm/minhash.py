@@ -1,17 +1,18 @@
 """Near-duplicates by MinHash: an inverted join on signature coordinates, confirmed on full shingle sets.
 
 1. Each document's distinct shingles give a signature of ``COORDS`` minima and a digest of the set. Documents with
-   equal sets (copies) are one node, the smallest id.
-2. A node is posted under (coordinate, value) pairs. Two nodes with at least MATCHES equal coordinates share one of
-   the first PREFIX in any common order, so only these are posted; the order is rarest first by a count sketch of
-   fixed size. Values that very many documents share are thereby skipped wherever others decide.
-3. All members of a short posting list are paired; those of a long one are paired with its most central member. Pairs
-   with enough equal coordinates are confirmed on their full sets, and links are contracted to components.
-4. Long lists that still hold several components are searched fully across components. A node with too many shingles that
-   no other candidate has can have no link and goes; those that remain are compared in tiles (``tiled_links``).
+   equal sets (copies) are one node, numbered by one of their rows, so ids may repeat or be missing.
+2. A node is posted under (coordinate, value) pairs. Two nodes with at least MATCHES equal coordinates share at least
+   COLLISIONS of the first PREFIX in any common order, so only these are posted; the order is rarest first by a count
+   sketch. Values that very many documents share are thereby skipped wherever others decide.
+3. All members of a short posting list collide in pairs; pairs that share no long list need COLLISIONS such
+   collisions. Members of a long list are paired with its most central one. The pairs with enough equal
+   coordinates are confirmed on their full sets, and links are contracted to components.
+4. Long lists that still hold several components are searched fully across components: their members are posted under
+   their rarest shingles, of which two similar sets share one, and those that meet are compared in tiles.
 5. All confirmed links together give the final components.
 
-A pair at a similarity of exactly 0.8 has fewer than MATCHES equal coordinates with a probability of about 2e-6.
+A pair at a similarity of exactly 0.8 has fewer than MATCHES equal coordinates with a probability of about 4e-6.
 """
 
 from __future__ import annotations
@@ -21,25 +22,25 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import discard, found_in, private, slices, small, written
 from .components import components
 
 SHINGLE = 4
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
 COORDS, MATCHES = 64, 36
-PREFIX = COORDS - MATCHES + 1
+#: Collisions that two nodes with MATCHES equal coordinates have among their first PREFIX.
+COLLISIONS = 3
+PREFIX = COORDS - MATCHES + COLLISIONS
 #: Posting lists up to this long are paired at once.
 SHORT_LIST = 8
 #: Parts into which the rows of one set of copies are dealt where they meet their component.
 PARTS = 16
-#: Counters of the sketch that orders coordinates; broadcast, 8 bytes each.
-SKETCH = 1 << 20
-#: Candidate ids are broadcast up to this many (8 MB); beyond, the texts are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Bits of the slots of the sketches that order coordinates and shingles: four slots a node, a byte each, broadcast.
+LEAST_BITS, MOST_BITS = 20, 24
 #: Bounds of a block of nodes that meets another in one task, and columns of the matrices multiplied at once.
 TILE_ROWS, TILE_SHINGLES, TILE_COLUMNS = 512, 400_000, 4096
 #: Bytes hashed at once; longer words extend a block.
@@ -129,10 +130,6 @@ def signatures_of(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.minimum.reduceat(flat * a + b, starts) >> np.uint64(32) for a, b in zip(_MULTIPLY, _ADD, strict=True)], axis=1).astype(np.uint32)
 
 
-def _sketch_slot(tokens: np.ndarray) -> np.ndarray:
-    return (mixed(tokens) & np.uint64(SKETCH - 1)).astype(np.int64)
-
-
 def _tokens(signatures: np.ndarray) -> np.ndarray:
     return (np.arange(COORDS, dtype=np.uint64) << np.uint64(32)) | signatures.astype(np.uint64)
 
@@ -141,61 +138,84 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, COORDS)
 
 
+def _set(scalar: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(scalar.as_buffer(), dtype=np.uint64)
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, sig): size, 128-bit digest and signature of each document's set; nulls for empty sets."""
+    """(row, doc_id, t1, t2, n_shingles, d1, d2, sig): number, text hashes, and size, 128-bit digest and signature of each document's set.
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, 1):
-                sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), shingle)
-                full = [s for s in sets if len(s)]
-                digests = iter(np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64) for s in full]).reshape(-1, 2).tolist())
-                sigs = iter([s.tobytes() for s in signatures_of(full)] if full else [])
-                d = [next(digests) if len(s) else (None, None) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([next(sigs) if len(s) else None for s in sets], pa.binary())],
-                    names=["doc_id", "n_shingles", "d1", "d2", "sig"],
-                )
+    digest and signature are null for empty sets.
+    """
+    fields = [T.StructField(n, t) for n, t in (("n_shingles", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("sig", T.BinaryType()))]
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    def make():
+        def work(texts):
+            sets = shingle_sets(texts, shingle)
+            full = [x for x in sets if len(x)]
+            digests = iter([np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), dtype=np.int64).tolist() for x in full])
+            sigs = iter([x.tobytes() for x in signatures_of(full)] if full else [])
+            d = [next(digests) if len(x) else (None, None) for x in sets]
+            return [[len(x) for x in sets], [x[0] for x in d], [x[1] for x in d], [next(sigs) if len(x) else None for x in sets]]
 
+        return work
 
-def coordinate_counts(nodes: DataFrame) -> np.ndarray:
-    """How many nodes' coordinates fall into each slot of the sketch."""
+    keys = [F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), *text_keys(F.col(text_col))]
+    return docs.select(*keys, found_in(F.col(text_col), fields, make, raw=True).alias("f")).select("row", "doc_id", "t1", "t2", "f.*")
 
-    def run(batches):
-        n = np.zeros(SKETCH, dtype=np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                n += np.bincount(_sketch_slot(_tokens(_matrix(batch.column(0)))).ravel(), minlength=SKETCH)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
 
-    got = nodes.select("sig").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SKETCH, dtype=np.int64)
-    counts[np.asarray(got.column("slot"))] = np.asarray(got.column("n"))
-    return counts
+def text_keys(text: Column) -> list[Column]:
+    """Two hashes that tell texts apart."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
-def postings(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, doc_id, n_shingles, central): each node under its PREFIX rarest coordinate values.
+class Sketch:
+    """How many times numbers occur, roughly and never too low: a byte for each slot, in steps of a fifth."""
+
+    def __init__(self, df: DataFrame, n_nodes: int, numbers) -> None:
+        """``numbers`` takes a batch of ``df`` to the numbers to count."""
+        self.bits = bits = min(max(int(4 * n_nodes).bit_length(), LEAST_BITS), MOST_BITS)
+
+        def run(batches):
+            n = np.zeros(1 << bits, dtype=np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    n += np.bincount(self.slot(numbers(batch)), minlength=1 << bits)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], names=["slot", "n"])
+
+        level = F.ceil(F.log(F.sum("n")) / float(np.log(1.2)) + 1).cast("short")
+        got = df.mapInArrow(run, "slot int, n long").groupBy("slot").agg(level.alias("level")).toArrow()
+        self.levels = np.zeros(1 << bits, dtype=np.uint8)
+        self.levels[np.asarray(got.column("slot"))] = np.minimum(np.asarray(got.column("level")), 255)
+
+    def slot(self, numbers: np.ndarray) -> np.ndarray:
+        return (mixed(numbers) & np.uint64((1 << self.bits) - 1)).astype(np.int64).ravel()
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """The level of each number's count: 0 none, 1 once."""
+        return self.levels[self.slot(numbers)].reshape(numbers.shape)
+
+
+def postings(nodes: DataFrame, n_nodes: int) -> DataFrame:
+    """(token, node, n_shingles, central): each node under its PREFIX rarest coordinate values.
 
     central: the sum of its coordinates' counts, larger for nodes that share much with others.
     """
-    shared = nodes.sparkSession.sparkContext.broadcast(counts)
+    sketch = Sketch(nodes.select("sig"), n_nodes, lambda batch: _tokens(_matrix(batch.column(0))))
+    shared = nodes.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
-        counts = shared.value
         for batch in batches:
             for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
                 tokens = _tokens(_matrix(part.column(2)))
-                n = counts[_sketch_slot(tokens)]
+                n = shared.value.of(tokens)
                 first = np.lexsort((tokens, n), axis=1)[:, :PREFIX]
                 ids, sizes = (np.repeat(np.asarray(part.column(c)), PREFIX) for c in (0, 1))
                 chosen = np.take_along_axis(tokens, first, 1).astype(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(chosen), pa.array(ids), pa.array(sizes), pa.array(np.repeat(n.sum(axis=1), PREFIX))], names=["token", "doc_id", "n_shingles", "central"])
+                yield pa.RecordBatch.from_arrays([pa.array(chosen), pa.array(ids), pa.array(sizes), pa.array(np.repeat(n.sum(axis=1, dtype=np.int64), PREFIX))], names=["token", "node", "n_shingles", "central"])
 
-    return nodes.select("doc_id", "n_shingles", "sig").mapInArrow(run, "token long, doc_id long, n_shingles long, central long")
+    return nodes.select("node", "n_shingles", "sig").mapInArrow(run, "token long, node long, n_shingles long, central long")
 
 
 def _alike_in_size(a: Column, b: Column) -> Column:
@@ -205,7 +225,7 @@ def _alike_in_size(a: Column, b: Column) -> Column:
 def _both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
     """``pairs`` (a, b) with the value of each side."""
     for c in ("a", "b"):
-        pairs = pairs.join(of.select(F.col("doc_id").alias(c), F.col(value).alias(f"{value}_{c}")), c)
+        pairs = pairs.join(of.select(F.col("node").alias(c), F.col(value).alias(f"{value}_{c}")), c)
     return pairs.select("a", "b", f"{value}_a", f"{value}_b")
 
 
@@ -226,10 +246,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def exact(batches):
         for batch in batches:
-            for part in slices(batch, 2, 32 << 20):
+            for part in slices(batch, 2, 16 << 20):
                 keep = []
                 for x, y in zip(part.column(2), part.column(3), strict=True):
-                    x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
+                    x, y = _set(x), _set(y)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -237,82 +257,119 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(_both(pairs, sets, "set").mapInArrow(exact, "a long, b long"), "confirmed")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, set): the shingle sets of the wanted documents, as sorted 64-bit numbers."""
+def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, set): the shingle sets of the wanted nodes, as sorted 64-bit numbers, each once.
+
+    Texts are found by the id and text hash of the row that a node is numbered by. Of repeated rows, a task reads one.
+    """
 
     def run(batches):
+        seen = set()
         for batch in batches:
             for part in slices(batch, 1):
+                new = []
+                for k, node in enumerate(part.column(0).to_pylist()):
+                    if node not in seen:
+                        seen.add(node)
+                        new.append(k)
+                part = part.take(pa.array(new, pa.int64()))
                 sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), shingle)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(side, "doc_id", "left_semi")
-    return written(texts.mapInArrow(run, "doc_id long, set binary"), "sets")
-
-
-def lone_shingles(sets: DataFrame) -> DataFrame:
-    """(doc_id, lone): how many shingles of each set are in no other set of the table."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, 1, 8 << 20):
-                sets = [np.frombuffer(s.as_buffer(), dtype=np.int64) for s in part.column(1)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column(0)), [len(s) for s in sets])), pa.array(np.concatenate(sets))], names=["doc_id", "shingle"])
-
-    each = sets.mapInArrow(run, "doc_id long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    return each.where("n = 1").groupBy("doc_id").agg(F.count("*").alias("lone"))
+    keys = nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("of"), F.col("t1").alias("t"))
+    keys = small(written(keys, "wanted"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("t1"))
+    texts = texts.join(keys, (F.col("t1") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    sets = written(texts.select("node", "text").mapInArrow(run, "node long, set binary"), "sets")
+    if sets.groupBy("node").count().where("count > 1").isEmpty():
+        return sets
+    return written(sets.dropDuplicates(["node"]), "sets")
 
 
 def links_between(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(a, b): confirmed links that connect what all links connect."""
-    posted = written(postings(nodes, coordinate_counts(nodes)), "postings")
-    lists = posted.groupBy("token").agg(F.count("*").alias("n"), F.max(F.struct("central", (-F.col("doc_id")).alias("id"), "n_shingles")).alias("head")).where("n > 1")
-    posted = written(posted.join(lists.select("token", "n", (-F.col("head.id")).alias("head"), F.col("head.n_shingles").alias("head_size")), "token").drop("central"), "lists")
+    n_nodes = nodes.count()
+    posted = written(postings(nodes, n_nodes), "postings")
+    lists = posted.groupBy("token").agg(F.count("*").alias("n"), F.max(F.struct("central", (-F.col("node")).alias("id"), "n_shingles")).alias("head")).where("n > 1")
+    listed = written(posted.join(lists.select("token", "n", (-F.col("head.id")).alias("head"), F.col("head.n_shingles").alias("head_size")), "token").drop("central"), "lists")
+    discard(posted)
 
-    short, long = posted.where(F.col("n") <= SHORT_LIST), posted.where(F.col("n") > SHORT_LIST)
+    short, long = listed.where(F.col("n") <= SHORT_LIST), listed.where(F.col("n") > SHORT_LIST)
     x, y = short.alias("x"), short.alias("y")
-    each = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & _alike_in_size(F.col("x.n_shingles"), F.col("y.n_shingles")))
-    stars = long.where((F.col("doc_id") != F.col("head")) & _alike_in_size(F.col("n_shingles"), F.col("head_size")))
-    pairs = each.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).union(stars.select(F.least("doc_id", "head"), F.greatest("doc_id", "head")))
+    each = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _alike_in_size(F.col("x.n_shingles"), F.col("y.n_shingles")))
+    each = each.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= COLLISIONS).select("a", "b")
+    stars = long.where((F.col("node") != F.col("head")) & _alike_in_size(F.col("n_shingles"), F.col("head_size")))
+    pairs = each.union(stars.select(F.least("node", "head"), F.greatest("node", "head")))
     close = matching(pairs.distinct(), nodes)
-    sets = full_sets(docs, close.select("a").union(close.select("b")).union(long.select("doc_id")).toDF("doc_id").distinct(), id_col, text_col, shingle)
+    sets = full_sets(docs, nodes, close.select("a").union(close.select("b")).union(long.select("node")).toDF("node").distinct(), id_col, text_col, shingle)
     links = confirmed(close, sets)
 
     roots = components(links)
-    placed = long.select("token", "doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    placed = long.select("token", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed, "placed")
     mixed_lists = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
-    placed = written(placed.join(mixed_lists, "token", "left_semi"), "mixed")
-    open_sets = sets.join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
-    placed = placed.join(lone_shingles(open_sets), "doc_id", "left").where(100 * (F.col("n_shingles") - F.coalesce("lone", F.lit(0))) >= PERCENT * F.col("n_shingles"))
-    placed = written(placed.select("token", "doc_id", "n_shingles", "root"), "linkable")
-    return links.union(tiled_links(placed, sets))
+    open_nodes = written(placed.join(mixed_lists, "token", "left_semi").select("node", "n_shingles", "root").distinct(), "open")
+    discard(listed, placed)
+    if open_nodes.isEmpty():
+        return links
+    return links.union(links_across(open_nodes, sets))
 
 
-def tiled_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links between different roots among nodes that lists connect, however indirectly.
+def rare_postings(sets: DataFrame, n_nodes: int) -> DataFrame:
+    """(token, node): each set under the rarest of its shingles, one of which every similar set has among its own.
 
-    Such nodes form a cluster, cut into blocks of bounded size in the order of their roots. Two blocks at a time meet
-    in one task, which multiplies their incidence matrices to get all intersections and returns one link for each two
-    roots. Pairs of blocks of one and the same root are left out.
+    Sets of a and b shingles with at least PERCENT in common share a shingle among the first a - ceil(PERCENT% of a) + 1
+    and the same of b, in any common order. Shingles that surely no other set has take places but are not posted.
+    """
+    sketch = Sketch(sets.select("set"), 16 * n_nodes, lambda batch: np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64))
+    shared = sets.sparkSession.sparkContext.broadcast(sketch)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1, 4 << 20):
+                tokens, ids = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+                for node, s in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    s = _set(s)
+                    n = shared.value.of(s)
+                    first = np.lexsort((s, n))[: len(s) - -(-PERCENT * len(s) // 100) + 1]
+                    first = first[n[first] > 1]
+                    tokens.append(s[first].astype(np.int64))
+                    ids.append(np.full(len(first), node, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(ids))], names=["token", "node"])
+
+    return sets.select("node", "set").mapInArrow(run, "token long, node long")
+
+
+def links_across(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between different roots among the open nodes (node, n_shingles, root).
+
+    Nodes that share a posted shingle, however indirectly, form a cluster, cut into blocks of bounded size; a root with
+    many nodes has blocks of its own, others are dealt to blocks by their hash. Two blocks at a time meet in one task,
+    which multiplies their incidence matrices to get all intersections and returns one link for each two roots. Pairs of
+    blocks of one and the same root are left out.
     """
-    heads = placed.groupBy("token").agg(F.min("doc_id").alias("a"))
-    clusters = components(placed.join(heads, "token").select("a", F.col("doc_id").alias("b")))
-    members = placed.select("doc_id", "n_shingles", "root").distinct().join(clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")), "doc_id")
-    order = W.partitionBy("cluster").orderBy("root", "doc_id")
-    spread = F.greatest(F.row_number().over(order) / TILE_ROWS, F.sum("n_shingles").over(order.rowsBetween(W.unboundedPreceding, 0)) / TILE_SHINGLES)
-    members = written(members.withColumn("block", F.floor(spread)).select("cluster", "block", "doc_id", "root"), "members")
-    blocks = members.groupBy("cluster", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    x, y = blocks.alias("x"), blocks.alias("y")
+    posted = written(rare_postings(sets.join(open_nodes.select("node"), "node", "left_semi"), open_nodes.count()).join(open_nodes, "node"), "rare")
+    heads = posted.groupBy("token").agg(F.min("node").alias("a"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token", "a")
+    clusters = components(posted.join(heads, "token").select("a", F.col("node").alias("b")))
+    members = written(open_nodes.join(clusters.withColumnRenamed("root", "cluster"), "node"), "members")
+    discard(posted)
+
+    part = F.greatest(F.count("*") / TILE_ROWS, F.sum("n_shingles") / TILE_SHINGLES)
+    by_root = written(members.groupBy("cluster", "root").agg(part.alias("part")), "by_root")
+    shared = by_root.where("part < 0.5").groupBy("cluster").agg(F.ceil(F.sum("part")).alias("blocks"))
+    by_root = written(by_root.join(shared, "cluster", "left").withColumn("own", F.when(F.col("part") >= 0.5, F.ceil("part"))), "by_root")
+    block = F.when(F.col("own").isNotNull(), F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("own")))).otherwise(F.pmod(F.xxhash64("root"), F.col("blocks")))
+    members = written(members.join(small(by_root), ["cluster", "root"]).select("cluster", block.alias("block"), "node", "root"), "blocks")
+    blocks = written(members.groupBy("cluster", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")), "ends")
+    x, y = blocks.alias("x"), small(blocks).alias("y")
     tiles = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & ((F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high")) | (F.col("x.low") != F.col("y.low"))))
     sides = tiles.select("x.cluster", F.col("x.block").alias("left"), F.col("y.block").alias("right"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
-    rows = sides.join(members, ["cluster", "block"]).join(sets, "doc_id").select("cluster", "left", "right", "block", "doc_id", "root", "set")
+    rows = sides.join(members, ["cluster", "block"]).join(sets, "node").select("cluster", "left", "right", "block", "node", "root", "set")
 
     def compare(table):
         block, left = np.asarray(table.column("block")), table.column("left")[0].as_py()
-        ids, roots = np.asarray(table.column("doc_id")), np.asarray(table.column("root"))
-        found = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in table.column("set")]
+        ids, roots = np.asarray(table.column("node")), np.asarray(table.column("root"))
+        found = [_set(s) for s in table.column("set")]
         size = np.array([len(s) for s in found])
         of, (_, word, n) = np.repeat(np.arange(len(found)), size), np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
         place = np.cumsum(n > 1) - 1
@@ -335,22 +392,60 @@ def tiled_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return written(rows.groupBy("cluster", "left", "right").applyInArrow(compare, "a long, b long"), "tiled")
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``signed``, and for each set of copies that is not alone (d1, d2, component_id, part, first).
+
+    component_id: the smallest id in the component; first: id and text hashes of the row to keep. Both stand once for
+    each of PARTS parts, so that a large set of copies meets them in many tasks.
+    """
+    rows = written(signed(docs, id_col, text_col, shingle), "signed")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    copies = written(rows.where("d1 is not null").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("head"), F.min(first).alias("first"), F.count("*").alias("n")), "copies")
+    nodes = rows.join(copies.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "t1", "n_shingles", "sig")
+    nodes = written(nodes, "nodes")
+    roots = components(links_between(docs, nodes, id_col, text_col, shingle))
+    discard(nodes)
+    tied = written(copies.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "tied")
+    whole = tied.groupBy("root").agg(F.min("head").alias("component_id"), F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
+    heads = tied.select("d1", "d2", "root").join(whole.drop("n"), "root").drop("root")
+    return rows, written(heads.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), "heads")
+
+
+def _with_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    return rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int")).join(heads, ["d1", "d2", "part"], "left")
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
     n_shingles: size of the set of distinct shingles of lower-cased words (the whole sequence where there are fewer
     words). component_id: smallest id that links reach, its own included. kept: whether that is its own. Null and
-    empty texts have no shingles and no links. Rows that repeat an id are one node; a null id is nobody's
-    representative, and such a row is kept unless it copies another.
+    empty texts have no shingles and no links. Rows that repeat an id are each linked by their own text; a null id is
+    nobody's representative, and such a row is kept unless it is linked to one with an id. Other columns play no part.
     """
-    rows = written(signed(docs, id_col, text_col, shingle), "signed")
-    copies = rows.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    nodes = rows.join(copies.select("d1", "d2", F.col("node").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig")
-    nodes = written(nodes, "nodes")
-    roots = components(links_between(docs, nodes, id_col, text_col, shingle))
-    heads = copies.join(roots, "node", "left").withColumn("component_id", F.coalesce("root", "node")).where((F.col("n") > 1) | F.col("root").isNotNull())
-    heads = heads.select("d1", "d2", "component_id", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    found = rows.select("doc_id", "n_shingles", "d1", "d2", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"))
-    found = found.join(heads, ["d1", "d2", "part"], "left")
-    found = found.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    rows, heads = grouped(docs, id_col, text_col, shingle)
+    found = _with_heads(rows.select("row", "doc_id", "n_shingles", "d1", "d2"), heads.drop("first")).withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest id (null last), then text hash.
+
+    Rows without words stay. Of rows with equal id and text that are kept one stays, whichever.
+    """
+    rows, heads = grouped(docs, id_col, text_col, shingle)
+    own = docs.columns
+    key = private(docs, "_key")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).cast("long").alias("doc_id"), *text_keys(F.col(text_col))))
+    placed = _with_heads(rows.select("row", "doc_id", "t1", "t2", "d1", "d2"), heads.select("d1", "d2", "part", "first")).where("first is not null")
+    mine = F.struct("doc_id", "t1", "t2")
+    chosen = F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.t1").alias("t1"), F.col("first.t2").alias("t2"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))
+    gone = written(placed.where(~same).select(mine.alias(key)).distinct(), "gone")
+    twins = written(placed.where(same).groupBy(chosen.alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key), "twins")
+    kept = keyed.join(small(gone), keyed[key].eqNullSafe(gone[key]), "left_anti")
+    if twins.isEmpty():
+        return kept.select(own)
+    same_as = kept[key].eqNullSafe(twins[key])
+    once = kept.join(small(twins), same_as, "left_semi").dropDuplicates([key])
+    return kept.join(small(twins), same_as, "left_anti").unionByName(once).select(own)
