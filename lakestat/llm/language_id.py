@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams per language with Spark; the matrix of log-probabilities (languages x ``BUCKETS``) has a
-bounded size and is broadcast. Scoring is one pass over the documents without a shuffle: each batch of texts becomes
+Training counts n-grams per language with Spark; the matrix of log-probabilities (languages x buckets) has at most
+CELLS entries and is broadcast. Scoring is one pass over the documents without a shuffle: each batch of texts becomes
 one array of code points, and the hashed n-grams' rows of the matrix are gathered and summed per document.
 """
 
@@ -9,20 +9,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, slices
+from .common import append_columns, found_in, slices, small, written
 
-#: Hash buckets for n-grams of all orders together.
+#: Hash buckets for n-grams of all orders together, at most; there are fewer only where the languages would make the
+#: matrix larger than CELLS.
 BUCKETS = 1 << 16
+CELLS = 1 << 22
 ORDERS = (2, 3, 4)
-#: Bound on labelled documents that the model is fitted on (those with the smallest hash of their id).
-TRAIN_ROWS = 12_000
-#: Bound on languages, so that the broadcast matrix has at most MAX_LANGS x BUCKETS entries.
-MAX_LANGS = 200
+#: Bound on labelled documents of each language that the model is fitted on, those with the smallest hash of their id.
+TRAIN_ROWS = 4_000
 UNDETERMINED = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -35,7 +37,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def ngram_hashes(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+def ngram_hashes(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, list[np.ndarray]]:
     """For texts laid out one after another: the interleaved bounds of each, and per order the bucket at each position.
 
     Letters are lower-cased, other ASCII characters become spaces; padding keeps n-grams within their text.
@@ -53,71 +55,86 @@ def ngram_hashes(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         mixed = (mixed ^ (points[k : k + n] * _MIX[k])) * np.uint32(0x01000193)
         if k + 1 in ORDERS:
             h = mixed ^ (mixed >> np.uint32(15)) ^ np.uint32(k * 0x5BD1)
-            found.append((h * np.uint32(0x2C1B3C6D)) >> np.uint32(16))
+            found.append((h * np.uint32(0x2C1B3C6D)) >> np.uint32(33 - buckets.bit_length()))
     return bounds, found
 
 
+def chosen(usable: DataFrame, lang: Column, id_col: str) -> DataFrame:
+    """The rows of each language that it is learned from: all, or TRAIN_ROWS / 2 to TRAIN_ROWS of them.
+
+    Documents fall into levels, each half as likely as the one before, by the leading zeros of their ids' hashes. A
+    language takes the levels from the lowest on that keeps it within its bound. Counts per language and level are all
+    that is shuffled.
+    """
+    level = F.lit(64) - F.length(F.bin(F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 1)))
+    rows = usable.withColumn("_level", level.cast("int"))
+    counts = rows.groupBy(lang.alias("_of"), "_level").agg(F.count("*").alias("_n"))
+    upto = W.partitionBy("_of").orderBy(F.desc("_level")).rowsBetween(W.unboundedPreceding, 0)
+    least = counts.withColumn("_upto", F.sum("_n").over(upto)).groupBy("_of").agg(
+        F.min(F.when(F.col("_upto") <= TRAIN_ROWS, F.col("_level"))).alias("_fits"), F.max("_level").alias("_top")
+    )
+    # Copies of one id alone can exceed the bound; the level that holds them is then taken whole.
+    least = small(written(least.select("_of", F.coalesce("_fits", "_top").alias("_least")), "levels"))
+    return rows.join(least, (lang == F.col("_of")) & (F.col("_level") >= F.col("_least")), "left_semi").drop("_level")
+
+
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, their log-priors, and the (BUCKETS, languages) matrix of smoothed log-probabilities.
+    """Languages, their log-priors, and the (buckets, languages) matrix of smoothed log-probabilities.
 
-    Takes rows with a language and letters that are not held out, at most TRAIN_ROWS of them, chosen by hash of the id.
+    Takes rows with a language and letters that are not held out, at most TRAIN_ROWS of each language, so that every
+    labelled language is learned however rare. Priors are shares of all such rows.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    chosen = usable.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS).distinct()
-    rows = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where("_id is not null and _lang is not null and _text is not null")
+    rows = rows.where(~held_out("_id"))
+    share = rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy("_lang").toArrow()
+    langs, docs_of = share.column("_lang").to_pylist(), np.asarray(share.column("n"), dtype=np.float64)
+    buckets = BUCKETS
+    while buckets > 64 and buckets * len(langs) > CELLS:
+        buckets //= 2
 
     def count(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                langs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for lang in sorted(set(langs)):
-                    own = [t for g, t in zip(langs, texts, strict=True) if g == lang]
-                    bounds, orders = ngram_hashes(own)
+                own = part.column(0).dictionary_encode()
+                code, texts = np.asarray(own.indices), part.column(1).to_pylist()
+                for k, lang in enumerate(own.dictionary.to_pylist()):
+                    bounds, orders = ngram_hashes([texts[i] for i in np.flatnonzero(code == k)], buckets)
                     inside = np.zeros(len(orders[0]) + 1, dtype=np.int8)
                     np.add.at(inside, bounds[0::2], 1)
                     np.add.at(inside, np.minimum(bounds[1::2], len(orders[0])), -1)
                     mask = np.cumsum(inside[:-1]) > 0
-                    n = sum(np.bincount(h[mask], minlength=BUCKETS) for h in orders)
+                    n = sum(np.bincount(h[mask], minlength=buckets) for h in orders)
                     at = np.flatnonzero(n)
-                    docs_at = np.r_[at, -1]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(docs_at)), pa.array(docs_at, pa.int32()), pa.array(np.r_[n[at], len(own)], pa.int64())], names=["lang", "bucket", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    counts = rows.select("_lang", "_text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = chosen(rows, F.col("_lang"), "_id").select("_lang", "_text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; MAX_LANGS is {MAX_LANGS}")
-    matrix, docs_of = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
-    code = np.array([langs.index(x) for x in got.column("lang").to_pylist()], dtype=np.int64)
-    bucket, n = np.asarray(got.column("bucket")), np.asarray(got.column("n"))
-    own = bucket >= 0
-    matrix[bucket[own], code[own]] = n[own]
-    docs_of[code[~own]] = n[~own]
+    matrix = np.zeros((buckets, len(langs)))
+    matrix[np.asarray(got.column("bucket")), np.asarray(pc.index_in(got.column("lang"), pa.array(langs, pa.string())))] = np.asarray(got.column("n"))
     smooth = matrix + 0.5
-    return langs, np.log(np.maximum(docs_of, 1) / max(docs_of.sum(), 1)), np.log(smooth / smooth.sum(axis=0))
+    return langs, np.log(np.maximum(docs_of, 1) / max(docs_of.sum(), 1)), np.log(smooth / smooth.sum(axis=0)) if langs else matrix
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score, the posterior probability of that language.
+FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
-    Null texts and texts without a letter are ``und`` with score 0, and so is everything if the model has no language.
-    Ties go to the language that sorts first. Whole texts are read, of any length.
-    """
+
+def _scorer(model: tuple[list[str], np.ndarray, np.ndarray]):
+    """A function that makes the scorer of each task; the model is broadcast."""
     langs, prior, logp = model
-    shared = docs.sparkSession.sparkContext.broadcast((langs, prior, logp.astype(np.float32)))
+    shared = SparkSession.active().sparkContext.broadcast((langs, prior, logp.astype(np.float32)))
 
     def make():
         langs, prior, logp = shared.value
+        columns = [np.ascontiguousarray(logp[:, g]) for g in range(len(langs))]
 
         def work(texts):
             pred, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             at = [i for i, t in enumerate(texts) if langs and t and _LETTER.search(t)]
             if at:
-                bounds, orders = ngram_hashes([texts[i] for i in at])
+                bounds, orders = ngram_hashes([texts[i] for i in at], len(logp))
                 total = np.tile(prior, (len(at), 1))
                 edges = np.minimum(bounds, len(orders[0]) - 1)
-                for g in range(len(langs)):
-                    column = np.ascontiguousarray(logp[:, g])
+                for g, column in enumerate(columns):
                     for h in orders:
                         total[:, g] += np.add.reduceat(column[h], edges, dtype=np.float64)[0::2]
                 best = total.argmax(axis=1)
@@ -128,4 +145,19 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], t
 
         return work
 
-    return append_columns(docs, text_col, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)
+    return make
+
+
+def identified(text: Column, model: tuple[list[str], np.ndarray, np.ndarray]) -> Column:
+    """A struct of lang_pred and score for a text column."""
+    return found_in(text, FIELDS, _scorer(model))
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score, the posterior probability of that language.
+
+    Null texts and texts without a letter are ``und`` with score 0, and so is everything if the model has no language.
+    Ties go to the language that sorts first. Whole texts are read, of any length. Repeated rows give repeated
+    results; columns of ``docs`` named lang_pred or score are replaced.
+    """
+    return append_columns(docs, text_col, FIELDS, _scorer(model))
