@@ -1,10 +1,15 @@
 """Personal data: fixed patterns and a skip-chain conditional random field.
 
-Words that hold a digit or an at sign are the field's variables; their labels are O and the kinds. Potentials join
-neighbouring words and, as skip edges, consecutive occurrences of repeated or similar words however far apart.
-Loopy message passing then makes the labels of a document consistent. The field is trained piecewise: counts of
-feature sets and of label pairs from all documents, labelled by the patterns, are gathered by Spark; their number has
-a fixed bound and the driver fits the weights. The trained field is broadcast; finding is one pass without a shuffle.
+Words that hold a digit or an at sign are the field's variables; their labels are O, the patterns' kinds, and secret.
+Potentials join neighbouring words and, as skip edges, all occurrences of repeated or similar words however far apart.
+Loopy message passing then makes the labels of a document consistent: what no pattern decides (a number written without
+its plus, a token named again without its key, a number that a pattern missed because another follows it) takes the
+label of its certain twins or neighbours.
+
+The field is trained piecewise on weak labels: those of the patterns, and of the same words with what decided the
+pattern masked, which count for their label and for O alike. Counts of feature sets and of label pairs from all
+documents are gathered by Spark; their number has a fixed bound and the driver fits the weights. The trained field is
+broadcast; finding is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,18 +20,24 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, slices
+from .common import append_columns, found_in, slices
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("O", *KINDS)
+#: What the field finds, in the order of results.
+FOUND = (*KINDS, "secret")
+LABELS = ("O", *FOUND)
 #: A word that no pattern covers is reported if the probability of its label reaches this.
 CERTAIN = 0.9
+#: The least probability of the parts beside it that belong to it.
+LIKELY = 0.6
 #: Prior counts of each pair of equal labels on skip edges; repeated words seldom disagree.
-AGREEING = 20.0
+AGREEING = 50.0
+#: What a pattern's label adds to the log-potential of the words that it covers.
+OBSERVED = 8.0
 #: Messages are passed until none changes by more than this, or oscillating ones for so many rounds.
 SETTLED, MOST_ROUNDS = 1e-4, 1000
 DAMPING = 0.3
@@ -40,13 +51,22 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _DIGIT = re.compile(r"[0-9]")
-_EDGE = "()[]{}<>,;:!?.\"'"
+_EDGE = "()[]{}<>,;:!?.\"'#*$%&|"
+_SECRET = re.compile(r"""(?:token|secret|passw(?:or)?d|pwd|(?:api|access|auth)[_-]?key)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9_+/=.-]{16,})""", re.I)
+_MIXED = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
+_HEX = re.compile(r"[0-9A-Fa-f]{16,}")
 
 #: Yes-or-no features of a word, each a bit.
 FEATURES = (
     "bias", "at", "at_dotted", "quad", "quad_valid", "plus", "digits_1_3", "digits_4_6", "digits_7_8", "digits_9_12", "digits_13_19", "digits_20",
-    "luhn", "letters", "separators", "after_plus", "beside_digits",
+    "luhn", "letters", "separators", "after_plus", "beside_digits", "mixed_16", "hex_16", "named",
 )
+#: The features that decide a kind: words of such a span that lack them, and all with them masked, are weak examples.
+DECIDING = {kind: sum(1 << FEATURES.index(f) for f in names) for kind, names in {"card": ["luhn"], "phone": ["plus", "after_plus"], "secret": ["named"]}.items()}
+
+
+#: Words with one of these are mentions of their own; neighbours without are parts that may belong together.
+WHOLE = sum(1 << FEATURES.index(f) for f in ("at", "quad", "digits_13_19", "digits_20", "mixed_16"))
 
 
 def luhn(digits: str) -> bool:
@@ -80,6 +100,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def secrets(text: str) -> list[tuple[int, int, int]]:
+    """(number of the kind, start, end) of values that are called a token, key or password."""
+    return [(len(KINDS), *m.span(1)) for m in _SECRET.finditer(text) if _DIGIT.search(m.group(1))]
+
+
 def number_keys(words: list[tuple[int, int, str]]) -> dict[int, str]:
     """Keys of words that are parts of numbers: the last digits of the whole run of words, and how many follow the word.
 
@@ -110,20 +135,24 @@ def nodes_of(text: str) -> list[tuple[int, int, int, str, int]]:
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
     held = [bool(_GATE.search(w)) for _, _, w in words]
     nodes, numbers = [], number_keys(words)
+    named, at = secrets(text), 0
     for k, (s, e, w) in enumerate(words):
         if not held[k]:
             continue
-        digits = _NOT_DIGIT.sub("", w)
-        n, parts = len(digits), w.strip("()[]{}<>,;:!?.\"'").split(".")
+        digits, bare = _NOT_DIGIT.sub("", w), w.strip(_EDGE)
+        n, parts = len(digits), bare.split(".")
+        while at < len(named) and named[at][2] <= s:
+            at += 1
         quad = len(parts) == 4 and all(p.isdecimal() and p.isascii() for p in parts)
         flags = (
             True, "@" in w, "@" in w and "." in w.rpartition("@")[2].rstrip("."), quad, quad and all(len(p) < 4 and int(p) < 256 for p in parts), "+" in w,
             1 <= n <= 3, 4 <= n <= 6, 7 <= n <= 8, 9 <= n <= 12, 13 <= n <= 19, n >= 20,
             13 <= n <= 19 and luhn(digits), any(c.isalpha() for c in w), "-" in w or "(" in w, k > 0 and held[k - 1] and "+" in words[k - 1][2],
             (k > 0 and held[k - 1]) or (k + 1 < len(words) and held[k + 1]),
+            bool(_MIXED.fullmatch(bare)) and n < len(bare), bool(_HEX.fullmatch(bare)) and n < len(bare), at < len(named) and named[at][1] < e,
         )
         local = w.partition("@")[0].lower() if "@" in w else ""
-        key = numbers[k] if k in numbers else local if len(local) >= 3 else f"{digits[-7:]}/0" if n >= 7 else w.strip(_EDGE).lower()
+        key = numbers[k] if k in numbers else local if len(local) >= 3 else f"{digits[-7:]}/0" if n >= 7 and n == len(bare) else bare.lower()
         nodes.append((s, e, sum(1 << i for i, f in enumerate(flags) if f), key, k))
     return nodes
 
@@ -132,7 +161,7 @@ def edges_of(nodes: list[tuple[int, int, int, str, int]]) -> list[tuple[int, int
     """(first, second, 0 for neighbours or 1 for skip edges): as many as nodes at most, of each sort."""
     edges, last = [], {}
     for i, (_, _, _, key, k) in enumerate(nodes):
-        beside = i > 0 and nodes[i - 1][4] == k - 1
+        beside = i > 0 and nodes[i - 1][4] == k - 1 and not (nodes[i - 1][2] | nodes[i][2]) & WHOLE
         if beside:
             edges.append((i - 1, i, 0))
         if key:
@@ -180,38 +209,44 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarr
     """Weights (features x labels) and log-potentials (neighbour and skip edges x labels x labels).
 
     Piecewise: a softmax regression of labels on features, and for each sort of edge the smoothed log-ratio of label
-    pairs to independence. Feature sets number at most 2 ** len(FEATURES), whatever the documents.
+    pairs to equal ones. Feature sets number at most 2 ** len(FEATURES), whatever the documents; few of them occur.
     """
 
     def count(batches):
         for batch in batches:
-            for part in slices(batch, 0):
-                seen = Counter()
-                for text in part.column(0).to_pylist():
-                    if text and _GATE.search(text):
-                        nodes = nodes_of(text)
-                        labels = pattern_labels(nodes, base_spans(text))
-                        seen.update((2, n[2], y) for n, y in zip(nodes, labels, strict=True))
-                        seen.update((sort, labels[i], labels[j]) for i, j, sort in edges_of(nodes))
-                if seen:
-                    keys = np.array(list(seen))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, i]) for i in range(3)), pa.array(list(seen.values()), pa.int64())], names=["what", "a", "b", "n"])
+            seen = Counter()
+            for text in (t for part in slices(batch, 0) for t in part.column(0).to_pylist()):
+                if text and _GATE.search(text):
+                    nodes = nodes_of(text)
+                    labels = pattern_labels(nodes, base_spans(text) + secrets(text))
+                    masks = [DECIDING.get(LABELS[y], 0) for y in labels]
+                    seen.update((2, n[2], y) for n, y, mask in zip(nodes, labels, masks, strict=True) if not mask or mask & n[2])
+                    seen.update((3, n[2] & ~mask, y) for n, y, mask in zip(nodes, labels, masks, strict=True) if mask)
+                    seen.update((sort, labels[i], labels[j]) for i, j, sort in edges_of(nodes))
+            if seen:
+                keys = np.array(list(seen))
+                yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, i]) for i in range(3)), pa.array(list(seen.values()), pa.int64())], names=["what", "a", "b", "n"])
 
     rows = docs.select(text_col).mapInArrow(count, "what long, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).orderBy("what", "a", "b").collect()
-    pairs = np.full((2, len(LABELS), len(LABELS)), 0.5)
+    pairs, seen = np.full((2, len(LABELS), len(LABELS)), 0.5), {}
     pairs[1] += AGREEING * np.eye(len(LABELS))
     for r in rows:
         if r.what < 2:
             pairs[r.what, r.a, r.b] += r.n
             pairs[r.what, r.b, r.a] += r.n
-    joint = pairs / pairs.sum(axis=(1, 2), keepdims=True)
-    alone = joint.sum(axis=2)
-    edges = np.log(joint / (alone[:, :, None] * alone[:, None, :]))
+        else:
+            for y in {r.b, 0} if r.what == 3 else {r.b}:
+                seen[r.a, y] = seen.get((r.a, y), 0) + r.n
+    # How much rarer two labels meet than they meet themselves: how frequent labels are is left to the words' own weights.
+    agree = np.sqrt(pairs.diagonal(axis1=1, axis2=2))
+    edges = np.minimum(np.log(pairs / (agree[:, :, None] * agree[:, None, :])), 0.0)
     weights = np.zeros((len(FEATURES), len(LABELS)))
     weights[0, 0] = 5.0
-    if own := [r for r in rows if r.what == 2]:
-        x, y = _bits(np.array([r.a for r in own])), np.zeros((len(own), len(LABELS)))
-        y[np.arange(len(own)), [r.b for r in own]] = [r.n for r in own]
+    if seen:
+        codes = sorted({a for a, _ in seen})
+        x, y = _bits(np.array(codes)), np.array([[seen.get((a, label), 0) for label in range(len(LABELS))] for a in codes], dtype=float)
+        # Frequent feature sets count by the root of their number, so that rare ones are fitted too.
+        y /= np.sqrt(y.sum(axis=1, keepdims=True))
         y /= y.sum()
         step, rate = np.zeros_like(weights), 1.0
         for _ in range(1500):
@@ -252,29 +287,39 @@ def marginals(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray) -> n
 
 
 def added_spans(text: str, nodes, probable: np.ndarray, spans) -> list[tuple[int, int, int]]:
-    """Spans that the field adds: runs of neighbouring words with one certain label that no pattern's span touches."""
+    """Spans that the field adds: runs of neighbouring parts with one probable label, certain for one of them at least.
+
+    No span touches one of a pattern.
+    """
     best, covered = probable.argmax(axis=1), pattern_labels(nodes, spans)
-    runs: list[list[int]] = []
-    for k, (s, e, _, _, word) in enumerate(nodes):
+    runs: list[list] = []
+    for k, (s, e, code, _, word) in enumerate(nodes):
         y = int(best[k])
-        if not y or covered[k] or probable[k, y] < CERTAIN:
+        if not y or covered[k] or probable[k, y] < LIKELY:
             continue
-        if runs and runs[-1][0] == y - 1 and runs[-1][3] == word - 1:
-            runs[-1][2:] = [e, word]
+        sure = bool(probable[k, y] >= CERTAIN)
+        if runs and runs[-1][0] == y - 1 and runs[-1][3] == word - 1 and not (code | runs[-1][4]) & WHOLE:
+            runs[-1][2:] = [e, word, code, sure or runs[-1][5]]
         else:
-            runs.append([y - 1, s, e, word])
-    found = []
+            runs.append([y - 1, s, e, word, code, sure])
+    runs = [r[:4] for r in runs if r[5]]
+    found, named, at = [], secrets(text) if any(r[0] == len(KINDS) for r in runs) else [], 0
     for kind, s, e, _ in runs:
+        while at < len(named) and named[at][2] <= s:
+            at += 1
+        if kind == len(KINDS) and at < len(named) and named[at][1] < e:
+            found.append(named[at])
+            continue
         cut = text[s:e]
-        lead = len(cut) - len(cut.lstrip("([{<,;:!?.\"'"))
-        tail = len(cut) - len(cut.rstrip(")]}>,;:!?.\"'"))
+        lead = len(cut) - len(cut.lstrip(_EDGE))
+        tail = len(cut) - len(cut.rstrip(_EDGE))
         if s + lead < e - tail:
             found.append((kind, s + lead, e - tail))
     return found
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
+    return ",".join(f"{FOUND[k]}:{s}:{e}" for k, s, e in sorted(spans))
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -282,22 +327,14 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     out, at = [], 0
     for k, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
         if s >= at:
-            out += [text[at:s], f"<{KINDS[k].upper()}>"]
+            out += [text[at:s], f"<{FOUND[k].upper()}>"]
         at = max(at, e)
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", redact: bool = False) -> DataFrame:
-    """``docs`` with n_email, n_ip, n_card, n_phone, base_sha256 and spans; with ``redact`` also redacted.
-
-    The counts and base_sha256 are those of the patterns. spans has these and what the field adds, as
-    kind:start:end in code points, end exclusive, by kind and start. Null and empty texts have none (redacted stays
-    null for null). Repeated rows give repeated results; texts are read whole.
-    """
-    fields = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
-    if redact:
-        fields.append(T.StructField("redacted", T.StringType()))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _finder(model: tuple[np.ndarray, np.ndarray]):
+    """A function that makes, in each task, the function from texts to the patterns' spans and those that the field adds."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
 
     def make():
         weights, potentials = shared.value
@@ -311,15 +348,59 @@ def find(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
             if start[-1]:
                 codes = np.array([c for ns, (_, hubs) in zip(nodes, graphs, strict=True) for c in [*(n[2] for n in ns), *[0] * hubs]])
                 edges = np.array([(i + a, j + a, sort) for a, (own, _) in zip(start.tolist(), graphs, strict=False) for i, j, sort in own], dtype=np.int64).reshape(-1, 3)
-                probable = marginals(_bits(codes) @ weights, edges, potentials)
+                own = _bits(codes) @ weights
+                for k, ns in enumerate(nodes):
+                    if ns:
+                        known = np.array(pattern_labels(ns, base[k]))
+                        at = np.flatnonzero(known)
+                        own[start[k] + at, known[at]] += OBSERVED
+                probable = marginals(own, edges, potentials)
                 for k, ns in enumerate(nodes):
                     if ns:
                         extra[k] = added_spans(texts[k], ns, probable[start[k] : start[k] + len(ns)], base[k])
+            return base, extra
+
+        return work
+
+    return make
+
+
+def redaction(text: Column, model: tuple[np.ndarray, np.ndarray]) -> Column:
+    """A struct whose ``redacted`` is the text with each span replaced by its kind; null if there are none."""
+    make = _finder(model)
+
+    def replacing():
+        spans_of = make()
+
+        def work(texts):
+            base, extra = spans_of(texts)
+            return [[redacted(t, b + x) if b or x else None for t, b, x in zip(texts, base, extra, strict=True)]]
+
+        return work
+
+    return found_in(text, [T.StructField("redacted", T.StringType())], replacing)
+
+
+def find(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
+    """``docs`` with n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans.
+
+    The first four and base_sha256 are those of the patterns. spans has these and what the field adds, as
+    kind:start:end in code points, end exclusive, by kind (email, ip, card, phone, secret) and start; n_spans counts
+    them. Null and empty texts have none. Repeated rows give repeated results; texts are read whole. Columns of ``docs``
+    with these names are replaced.
+    """
+    fields = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_spans", T.LongType())]
+    make = _finder(model)
+
+    def listing():
+        spans_of = make()
+
+        def work(texts):
+            base, extra = spans_of(texts)
             counts = [[sum(1 for s in b if s[0] == k) for b in base] for k in range(len(KINDS))]
             both = [b + x for b, x in zip(base, extra, strict=True)]
-            out = [*counts, [hashlib.sha256(joined(b).encode()).hexdigest() for b in base], [joined(b) for b in both]]
-            return [*out, [t and redacted(t, b) for t, b in zip(texts, both, strict=True)]] if redact else out
+            return [*counts, [hashlib.sha256(joined(b).encode()).hexdigest() for b in base], [joined(b) for b in both], [len(b) for b in both]]
 
         return work
 
-    return append_columns(docs, text_col, fields, make)
+    return append_columns(docs, text_col, fields, listing)

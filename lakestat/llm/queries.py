@@ -41,7 +41,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = pii.find(docs, pii.train(docs))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
