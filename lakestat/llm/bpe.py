@@ -1,12 +1,16 @@
 """Byte-pair encoding and decoding as streaming transducers with bounded lookahead.
 
-The vocabulary is given, never trained. Encoding splits a text into pre-tokens and merges each by the ranked list.
-A pre-token longer than a block goes through ``Encoder.stream``, which holds a block and the merge list's sufficient
-lookahead: tokens that end further than that from the end of what was read can no longer change and are emitted.
-Memory stays constant. Decoding is the other way round: token bytes enter an incremental UTF-8 state machine and
-whole characters leave it.
-
-One pass over the documents, no shuffle; the merge list (about 1 MB, of fixed size) is broadcast.
+The vocabulary is given, never trained. A text is read in blocks that end at white space; each block's pre-tokens are
+merged by the ranked list and their ids leave at once, so that beside the text only a block and its ids are held. A
+token is emitted as soon as it is stable, and there are two ways for that: the end of its pre-token has been read, or
+the pre-token goes on for more than the merge list's sufficient lookahead behind it, which is computed from the list.
+Pre-tokens that end within their first WINDOW bytes, which words do, are stable whole; those of a block are merged
+together in one vectorised step, and a table of words seen before stands in front of it. Longer ones go through
+``Encoder.stream``, which holds a window and the lookahead however long the pre-token is.
+
+Decoding is the other way round: token bytes enter an incremental UTF-8 state machine and whole characters leave it.
+Ids and decoded text are digested as they come. One pass over the documents, no shuffle; the merge list (about 1 MB, of
+fixed size) is broadcast.
 """
 
 from __future__ import annotations
@@ -25,12 +29,18 @@ from pyspark.sql import types as T
 
 from .common import append_columns
 
-#: Pre-tokens up to this many bytes are merged at once; longer ones are streamed in blocks of this size.
-BLOCK = 256
-#: Entries of the table of known words in each worker; when full, only those of the batch at hand stay.
+#: Bytes of a pre-token that are read at a time.
+WINDOW = 256
+#: Characters of text that are read at a time; a block goes on to the next white space.
+BLOCK = 1 << 16
+#: Characters of blocks, of one or many texts, that are merged together.
+UNIT = 1 << 20
+#: Longer stretches without white space are cut to pre-tokens one by one.
+LONG = 4096
+#: Entries of the table of known words in each worker; when full, only those of the blocks at hand stay.
 KNOWN = 400_000
-#: Ids that the decoder takes at once.
-DECODE_IDS = 1 << 16
+#: Ids of a long stretch that leave at once.
+IDS_AT_ONCE = 1 << 14
 #: White space of the pre-tokenizer's pattern.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -102,13 +112,21 @@ class Encoder:
         at = np.minimum(np.searchsorted(v.pair_keys, keys), len(v.pair_keys) - 1)
         return np.where(v.pair_keys[at] == keys, v.pair_ranks[at], len(v.made) - 1)
 
+    @staticmethod
+    def _alike(size: np.ndarray) -> Iterator[np.ndarray]:
+        """Numbers of words of about the same size, some 300,000 bytes of padded words at a time."""
+        low = 0
+        for width in (4, 8, 16, 32, 64, 128, WINDOW):
+            at = np.flatnonzero((size > low) & (size <= width))
+            yield from (p for p in np.array_split(at, max(1, len(at) * width // 300_000)) if len(p))
+            low = width
+
     def merged_all(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of many short pre-tokens: the same merges as ``merged``, one step for all of them at a time."""
+        """Packed ids of many pre-tokens of up to WINDOW bytes: the same merges as ``merged``, one step for all at a time."""
         none = len(self.v.made) - 1
         found = [b""] * len(words)
         size = np.array([len(w) for w in words])
-        order = np.argsort(size, kind="stable")
-        for part in np.array_split(order, max(1, len(words) // 20_000)):
+        for part in self._alike(size):
             n, width = size[part], int(size[part].max())
             data = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in part), dtype=np.uint8).reshape(-1, width)
             ids = self.first[data]
@@ -165,11 +183,11 @@ class Encoder:
         held, v = bytearray(), self.v
         for piece in data:
             held += piece
-            while len(held) > 2 * BLOCK + v.lookahead:
-                ready = BLOCK + v.lookahead
+            while len(held) > 2 * WINDOW + v.lookahead:
+                ready = WINDOW + v.lookahead
                 at, sizes = 0, self._sizes
                 for i in self.merged([v.first[b] for b in held[:ready]]):
-                    if (at := at + sizes[i]) > BLOCK:
+                    if (at := at + sizes[i]) > WINDOW:
                         at -= sizes[i]
                         break
                     yield i
@@ -192,16 +210,18 @@ class Encoder:
             return [word[:-1], word[-1]]
         return self.pretoken.findall(word)
 
+    def streamed(self, pretoken: str) -> Iterator[int]:
+        """Ids of one pre-token, read in windows."""
+        return self.stream(pretoken[k : k + WINDOW].encode("utf-8", "surrogatepass") for k in range(0, len(pretoken), WINDOW))
+
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Packed ids of stretches without white space, lower-cased."""
         split = {w: self.split(w) for w in words}
         each = list(set().union(*split.values()))
         data = [p.encode("utf-8", "surrogatepass") for p in each]
-        short = [k for k, d in enumerate(data) if len(d) <= 64]
-        ids = dict(zip([each[k] for k in short], self.merged_all([data[k] for k in short]), strict=True)) if short else {}
-        for p, d in zip(each, data, strict=True):
-            if len(d) > 64:
-                ids[p] = array("I", self.stream(d[k : k + BLOCK] for k in range(0, len(d), BLOCK))).tobytes()
+        ends = [k for k, d in enumerate(data) if len(d) <= WINDOW]
+        ids = dict(zip([each[k] for k in ends], self.merged_all([data[k] for k in ends]), strict=True)) if ends else {}
+        ids |= {p: array("I", self.streamed(p)).tobytes() for p, d in zip(each, data, strict=True) if len(d) > WINDOW}
         return {w: ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps]) for w, ps in split.items()}
 
     def pieces(self, text: str) -> Iterator[str | int]:
@@ -222,22 +242,59 @@ class Encoder:
         low = text.lower()
         return list(filter(None, self.spaces.split(low))) if any(c in low for c in "\x1c\x1d\x1e\x1f") else low.split()
 
-    def encode(self, texts: list[str]) -> Iterator[array]:
-        """Ids of each whole text."""
-        split = [[p if isinstance(p, int) else self.stretches(p) for p in self.pieces(t)] for t in texts]
-        words = set().union(*(p for ps in split for p in ps if not isinstance(p, int)))
-        if len(self.known) + len(words) > KNOWN:
-            self.known = {w: self.known[w] for w in words & self.known.keys()}
-        self.known |= self.learn(words - self.known.keys())
-        get = self.known.__getitem__
-        for ps in split:
-            out = array("I")
-            for p in ps:
-                if isinstance(p, int):
-                    out.append(p)
-                else:
-                    out.frombytes(b"".join(map(get, p)))
-            yield out
+    def blocks(self, text: str) -> Iterator[str | int]:
+        """The text in blocks that end at white space, and the ids of special tokens between them."""
+        for piece in self.pieces(text):
+            if isinstance(piece, int):
+                yield piece
+                continue
+            start = 0
+            while start < len(piece):
+                stop = len(piece) if len(piece) - start <= BLOCK else (m.start() if (m := self.spaces.search(piece, start + BLOCK)) else len(piece))
+                yield piece[start:stop]
+                start = stop
+
+    def units(self, texts: list[str]) -> Iterator[list[tuple[int, list[str] | int]]]:
+        """Number of the text and stretches of the next blocks of all texts, or the id of a special token."""
+        unit, size = [], 0
+        for k, text in enumerate(texts):
+            for block in self.blocks(text):
+                unit.append((k, block if isinstance(block, int) else self.stretches(block)))
+                size += 0 if isinstance(block, int) else len(block)
+                if size >= UNIT:
+                    yield unit
+                    unit, size = [], 0
+        if unit:
+            yield unit
+
+    def ids_of(self, stretches: list[str]) -> Iterator[bytes]:
+        """Packed ids of the stretches of one block, of which those that are not long are known."""
+        known, plain = self.known, []
+        for s in stretches:
+            if len(s) <= LONG:
+                plain.append(known[s])
+                continue
+            yield b"".join(plain)
+            plain, out = [], array("I")
+            for m in self.pretoken.finditer(s):
+                out.extend(self.streamed(m.group()))
+                if len(out) > IDS_AT_ONCE:
+                    yield out.tobytes()
+                    out = array("I")
+            yield out.tobytes()
+        yield b"".join(plain)
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
+        """(number of the text, packed ids), text by text and within each in order, as blocks are read."""
+        for unit in self.units(texts):
+            words = {s for _, part in unit if not isinstance(part, int) for s in part if len(s) <= LONG}
+            if len(self.known) + len(words) > KNOWN:
+                self.known = {w: self.known[w] for w in words & self.known.keys()}
+            self.known |= self.learn(words - self.known.keys())
+            for k, part in unit:
+                for packed in (array("I", [part]).tobytes(),) if isinstance(part, int) else self.ids_of(part):
+                    if packed:
+                        yield k, packed
 
 
 class Decoder:
@@ -296,18 +353,28 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", with_ids: bool =
     def make():
         encoder, decoder = Encoder(shared.value), Decoder(shared.value)
 
-        def one(ids):
-            digest, parts = hashlib.sha256(), []
-            for k in range(0, len(ids), DECODE_IDS):
-                parts.append(decoder.feed(ids[k : k + DECODE_IDS]))
-                digest.update(parts[-1].encode())
-                if not with_ids:
-                    parts.clear()
-            parts.append(decoder.finish())
-            digest.update(parts[-1].encode())
-            row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), digest.hexdigest())
-            return (*row, list(ids), "".join(parts)) if with_ids else row
-
-        return lambda texts: [list(x) for x in zip(*map(one, encoder.encode([t or "" for t in texts])), strict=True)]
+        def work(texts):
+            rows = []
+            coming = encoder.encode([t or "" for t in texts])
+            k, packed = next(coming, (len(texts), b""))
+            for n in range(len(texts)):
+                ids, text, count, held, shown = hashlib.sha256(), hashlib.sha256(), 0, array("I"), []
+                while k == n:
+                    part = array("I", packed)
+                    ids.update(packed)
+                    count += len(part)
+                    out = decoder.feed(part)
+                    text.update(out.encode())
+                    if with_ids:
+                        held.extend(part)
+                        shown.append(out)
+                    k, packed = next(coming, (len(texts), b""))
+                rest = decoder.finish()
+                text.update(rest.encode())
+                row = (count, ids.hexdigest(), text.hexdigest())
+                rows.append((*row, list(held), "".join([*shown, rest])) if with_ids else row)
+            return [list(x) for x in zip(*rows, strict=True)] if rows else [[] for _ in fields]
+
+        return work
 
     return append_columns(docs, text_col, fields, make)
