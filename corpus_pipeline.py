@@ -1,6 +1,7 @@
 """A corpus pipeline over ``documents``: language, near-duplicates, personal data, mixture, tokens.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+Whatever else these are called, operators' own columns stay apart from them.
 """
 
 from __future__ import annotations
@@ -9,51 +10,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakestat.llm import bpe, language_id, minhash, mixing, pii
-from lakestat.llm.common import table, written
+from lakestat.llm.common import private, table, written
 from lakestat.llm.queries import tokenizer_path
 
 #: Documents whose language is less probable than this are rejected.
 LEAST_SCORE = 0.5
-#: Tables of ids are broadcast up to this many rows (some 20 MB); beyond, texts are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Near-duplicates share shingles of so many words.
+SHINGLE = 5
 
 #: SQL can't express the stages; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
-def _small(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; those without letters or with an improbable language go."""
-    found = language_id.identify(docs, language_id.train(docs))
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    found = private(docs, "_found")
+    own = docs.columns
+    docs = docs.withColumn(found, language_id.identified(F.col("text"), language_id.train(docs)))
+    return docs.where((F.col(f"{found}.lang_pred") != language_id.UNDETERMINED) & (F.col(f"{found}.score") >= LEAST_SCORE)).select(own)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id. Rows without id stay."""
-    found = written(minhash.deduplicate(docs), "groups")
-    gone = written(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    kept = docs.join(_small(gone), "doc_id", "left_anti").select(docs.columns)
-    if found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    """One document of each group of near-duplicates: the one with the smallest id, and of repeated rows one."""
+    return minhash.distinct(docs, shingle=SHINGLE)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows the text."""
-    found = pii.find(docs, pii.train(docs), redact=True)
-    changed = F.col("redacted").isNotNull() & (F.col("redacted") != F.col("text"))
-    new = {"text": F.col("redacted"), "n_chars": F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))}
-    return found.select([new[c].alias(c) if c in new else c for c in docs.columns])
+    found = private(docs, "_found")
+    own = docs.columns
+    changed = F.col(f"{found}.redacted")
+    new = {"text": F.coalesce(changed, F.col("text")), "n_chars": F.when(changed.isNotNull(), F.length(changed).cast("long")).otherwise(F.col("n_chars"))}
+    docs = docs.withColumn(found, pii.redaction(F.col("text"), pii.train(docs)))
+    return docs.select([new[c].alias(c) if c in new else F.col(c) for c in own])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes. Rows without id stay as they are."""
-    copies = written(mixing.mix(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
-    taken = docs.join(_small(copies), "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).drop("copy")
+    """As many copies of each document as the mix takes; those without words stay as they are."""
+    keys = ("doc_id", "text", "source")
+    found = mixing.taken_of(docs, mixing.plan(docs, *keys), *keys)
+    taken = found.columns[-1]
+    return found.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(f"{taken}.copies"))).alias(private(found, "_copy"))).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
