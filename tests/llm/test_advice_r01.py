@@ -32,16 +32,14 @@ def test_classify_tells_junk_in_any_script(spark):
     assert all(kept[k] for k in range(30)) and not any(kept[100 + k] for k in range(10))
 
 
-def test_perplexity_of_real_symbols(spark, monkeypatch):
+def test_perplexity_of_real_symbols(spark):
     """Against dictionaries over the characters themselves."""
     texts = [russian(20, k) + " Zü 12, 34 – «東京»" for k in range(6)]
     odd = [(50, "Zq#\nβ é 東 12", None), (51, "", "ru"), (52, None, "ru"), (None, "река 京", "ru")]
     df = spark.createDataFrame([(k, t, "ru") for k, t in enumerate(texts)] + odd, "doc_id long, text string, lang string")
     got = {r.doc_id: r.perplexity for r in quality_classifier.perplexities(df, quality_classifier.levels(df.where("doc_id < 6"))).collect()}
     assert len(got) == 10 and got[51] is None and got[52] is None
-    monkeypatch.setattr(quality_classifier, "_symbol", lambda c: 0 if c == " " else c)
-    monkeypatch.setattr(quality_classifier, "SYMBOLS", len(set("".join(texts))) + 1)
-    p = brute_kneser_ney(texts)
+    p = brute_kneser_ney(texts, len(set("".join(texts))) + 1)
     for k, t in [*enumerate(texts), (50, odd[0][1]), (None, odd[3][1])]:
         s = [0] * 3 + [0 if c == " " else c for c in t]
         assert got[k] == pytest.approx(math.exp(-sum(math.log(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))) / len(t)), rel=1e-6)
@@ -94,8 +92,8 @@ def test_pii_evidence_reaches_far():
     edges, hubs = pii.graph_of(nodes)
     unary = np.zeros((len(nodes) + hubs, len(pii.LABELS)))
     unary[0, 2] = 9.0
-    potentials = np.zeros((2, 5, 5))
-    potentials[1] = 9 * np.eye(5)
+    potentials = np.zeros((2, len(pii.LABELS), len(pii.LABELS)))
+    potentials[1] = 9 * np.eye(len(pii.LABELS))
     assert (pii.marginals(unary, np.array(edges), potentials)[: len(nodes), 2] > 0.9).all()
     chain = np.array([(k, k + 1, 1) for k in range(40)])
     assert pii.marginals(unary[:41], chain, potentials)[40, 2] > 0.9
