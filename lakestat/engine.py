@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo
-from .operators import baseline, dashboard, history, relational, scenes
+from .operators import baseline, dashboard, discovery, history, mutations, relational, scenes
 
 
 @dataclass
@@ -94,3 +94,33 @@ class Engine:
 
     def counts(self) -> DataFrame:
         return dashboard.counts(self.bodies, self.observations, self.analyses, self.alerts)
+
+    def create_bodies(self, rows: DataFrame) -> DataFrame:
+        """The bodies with new ones, valid rings only, active and with their area."""
+        sound = rows.where(geo.valid_ring(F.col("ring"))).withColumn("area_sq_km", geo.area_km2(F.col("ring"))).withColumn("active", F.lit(True))
+        return mutations.insert(self.bodies, sound, ["name"])
+
+    def patch_bodies(self, changes: DataFrame) -> DataFrame:
+        return mutations.patch(self.bodies, changes)
+
+    def delete_bodies(self, ids: DataFrame) -> DataFrame:
+        return mutations.soft_delete(self.bodies, ids)
+
+    def discover(self, features: DataFrame | None, elements: DataFrame | None, source: str, limit: int = 200) -> DataFrame:
+        """The bodies with those discovered in features, or in map elements where there are no features."""
+        found = discovery.from_features(features, limit) if features is not None and not features.isEmpty() else discovery.from_elements(elements, limit)
+        return mutations.upsert_bodies(self.bodies, found, source, self.state)
+
+    def analyze(self, results: DataFrame) -> dict[str, DataFrame]:
+        """Observations, analyses and alerts with the results of a satellite analysis of active bodies.
+
+        Every table builds on the one before: an observation is found by body and scene or made, an analysis is
+        appended to it, and an alert where the anomaly reaches a band.
+        """
+        known = results.join(self.bodies.where("active").select(F.col("id").alias("water_body_id")), "water_body_id", "left_semi")
+        observations = mutations.upsert_observations(self.observations, known)
+        analyses = mutations.appended_analyses(self.analyses, observations, known)
+        return {"observations": observations, "analyses": analyses, "alerts": mutations.appended_alerts(self.alerts, observations, analyses, known)}
+
+    def snapshots(self, body=None, start=None, end=None) -> DataFrame:
+        return history.snapshots(self._of(self.observations, body), self.analyses, start, end)

@@ -116,11 +116,11 @@ def weighted_score(scores: dict[str, Column], digits: int | None = 4) -> Column:
 
 
 def band(score: Column) -> Column:
-    """NONE, LOW, MEDIUM or HIGH."""
+    """NONE, LOW, MEDIUM or HIGH; NULL for NULL."""
     found = None
     for below, name in BANDS:
         found = F.when(score < below, name) if found is None else found.when(score < below, name)
-    return found.otherwise("HIGH")
+    return found.when(score.isNotNull(), "HIGH")
 
 
 def scene_quality(cloud: Column) -> Column:

@@ -16,11 +16,16 @@ INDICATORS = {"turbidity": "turbidity_indicator", "chlorophyll": "chlorophyll_in
 KEYS = ("mean", "std", "median", "min", "max", "p10", "p25", "p75", "p90")
 
 
-def _stats(x: Column, over=None, digits: int = 6) -> Column:
+def _stats(x: Column, over=None, digits: int | None = 6, keys: tuple[str, ...] = KEYS) -> Column:
     on = (lambda c: c.over(over)) if over is not None else (lambda c: c)
-    p = on(F.percentile(x, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))))
-    values = (on(F.avg(x)), on(F.stddev_pop(x)), p[2], on(F.min(x)), on(F.max(x)), p[0], p[1], p[3], p[4])
-    return F.struct(*[F.round(v, digits).alias(k) for k, v in zip(KEYS, values, strict=True)])
+    shares = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+    asked = [k for k in shares if k in keys]
+    values = {"mean": F.avg(x), "std": F.stddev_pop(x), "min": F.min(x), "max": F.max(x)}
+    found = {k: on(v) for k, v in values.items() if k in keys}
+    if asked:
+        p = on(F.percentile(x, F.array(*[F.lit(shares[k]) for k in asked])))
+        found |= {k: p[i] for i, k in enumerate(asked)}
+    return F.struct(*[(found[k] if digits is None else F.round(found[k], digits)).alias(k) for k in keys])
 
 
 def eligible(history: DataFrame) -> DataFrame:
@@ -38,18 +43,23 @@ def whole_baseline(history: DataFrame, digits: int = 6) -> DataFrame:
     return df.select("water_body_id", status.alias("status"), "observation_count", "first_date", "last_date", *[F.when(enough, F.col(k)).alias(k) for k in INDICATORS])
 
 
-def prior_baseline(history: DataFrame, digits: int = 6) -> DataFrame:
+#: The statistics that scores need.
+SCORING = ("mean", "std")
+
+
+def prior_baseline(history: DataFrame, digits: int | None = 6, keys: tuple[str, ...] = SCORING) -> DataFrame:
     """Every record with the statistics of eligible records strictly before it.
 
-    The frame is by time, so records of the same moment do not see each other. Percentiles are exact, which makes the
-    work of a body quadratic in its records; histories are short.
+    The frame is by time, so records of the same moment do not see each other. Means, deviations and extremes run along
+    with the frame, one step per record. Percentiles, if ``keys`` ask for them, are exact and worked out anew for
+    each record, which is quadratic in the records of a body.
     """
     at = F.unix_micros(F.col("observation_date").cast("timestamp"))
     before = W.partitionBy("water_body_id").orderBy("_at").rangeBetween(W.unboundedPreceding, -1)
     ok = F.col("mask_quality_status").isin(*ELIGIBLE)
     df = history.withColumn("_at", at).withColumn("prior_count", F.count(F.when(ok, 1)).over(before))
     for k, c in INDICATORS.items():
-        df = df.withColumn(f"{k}_prior", F.when(F.col("prior_count") >= LEAST_OBSERVATIONS, _stats(F.when(ok, F.col(c)), before, digits)))
+        df = df.withColumn(f"{k}_prior", F.when(F.col("prior_count") >= LEAST_OBSERVATIONS, _stats(F.when(ok, F.col(c)), before, digits, keys)))
     status = F.when(F.col("prior_count") >= LEAST_OBSERVATIONS, "valid").otherwise("insufficient_baseline")
     return df.withColumn("baseline_status", status).drop("_at")
 
@@ -61,17 +71,16 @@ def baseline_status(history: DataFrame) -> DataFrame:
     return df.select("water_body_id", "total", "eligible", (F.col("total") - F.col("eligible")).alias("excluded"), F.greatest(F.lit(0), LEAST_OBSERVATIONS - F.col("eligible")).alias("remaining"))
 
 
-_NOUN = {"turbidity": "Turbidity indicator", "chlorophyll": "Chlorophyll indicator", "algal": "Algal indicator", "area": "Water surface area"}
-# The wording of explanations.
-_MEANING = {
-    "TURBIDITY_ELEVATED": "suggesting increased suspended sediment or particulate matter.",
-    "TURBIDITY_DEPRESSED": "suggesting unusually clear water conditions.",
-    "CHLOROPHYLL_ELEVATED": "suggesting increased phytoplankton activity or nutrient loading.",
-    "CHLOROPHYLL_DEPRESSED": "suggesting reduced biological productivity.",
-    "ALGAL_ELEVATED": "suggesting potential algal bloom or floating vegetation.",
-    "ALGAL_DEPRESSED": "suggesting reduced surface algal presence.",
-    "AREA_INCREASE": "suggesting water level rise or flooding.",
-    "AREA_DECREASE": "suggesting water level decline or drought conditions.",
+# The wording of explanations, with places for the value, the deviations and the mean.
+MESSAGES = {
+    "TURBIDITY_ELEVATED": "TURBIDITY_ELEVATED: Turbidity indicator (%.4f) is %.1f standard deviations above baseline mean (%.4f), suggesting increased suspended sediment or particulate matter.",
+    "TURBIDITY_DEPRESSED": "TURBIDITY_DEPRESSED: Turbidity indicator (%.4f) is %.1f standard deviations below baseline mean (%.4f), suggesting unusually clear water conditions.",
+    "CHLOROPHYLL_ELEVATED": "CHLOROPHYLL_ELEVATED: Chlorophyll indicator (%.4f) is %.1f standard deviations above baseline mean (%.4f), suggesting increased phytoplankton activity or nutrient loading.",
+    "CHLOROPHYLL_DEPRESSED": "CHLOROPHYLL_DEPRESSED: Chlorophyll indicator (%.4f) is %.1f standard deviations below baseline mean (%.4f), suggesting reduced biological productivity.",
+    "ALGAL_ELEVATED": "ALGAL_ELEVATED: Algal indicator (%.4f) is %.1f standard deviations above baseline mean (%.4f), suggesting potential algal bloom or floating vegetation.",
+    "ALGAL_DEPRESSED": "ALGAL_DEPRESSED: Algal indicator (%.4f) is %.1f standard deviations below baseline mean (%.4f), suggesting reduced surface algal presence.",
+    "AREA_INCREASE": "AREA_INCREASE: Water surface area (%.3f km2) is %.1f standard deviations above baseline mean (%.3f km2), suggesting water level rise or flooding.",
+    "AREA_DECREASE": "AREA_DECREASE: Water surface area (%.3f km2) is %.1f standard deviations below baseline mean (%.3f km2), suggesting water level decline or drought conditions.",
 }
 _COMPOUND = {
     ("turbidity", "chlorophyll"): "COMPOUND_ANOMALY: Both turbidity and chlorophyll indicators are simultaneously elevated, suggesting possible runoff event carrying nutrients and sediment.",
@@ -83,12 +92,6 @@ def _codes(name: str) -> tuple[str, str]:
     return ("AREA_INCREASE", "AREA_DECREASE") if name == "area" else (f"{name.upper()}_ELEVATED", f"{name.upper()}_DEPRESSED")
 
 
-def _message(name: str, code: str, where: str, value: Column, z: Column, mean: Column) -> Column:
-    unit = "%.3f km2" if name == "area" else "%.4f"
-    text = f"{code}: {_NOUN[name]} ({unit}) is %.1f standard deviations {where} baseline mean ({unit}), {_MEANING[code]}"
-    return F.format_string(text, value, z, mean)
-
-
 def anomalies(scored: DataFrame, digits: int | None = 4) -> DataFrame:
     """Records of ``prior_baseline`` with scores, level, affected area, codes and explanations.
 
@@ -109,7 +112,7 @@ def anomalies(scored: DataFrame, digits: int | None = 4) -> DataFrame:
         up, down = _codes(k)
         over = F.col(c) > mean
         codes.append(F.when(far & over, up).when(far, down))
-        texts.append(F.when(far & over, _message(k, up, "above", F.col(c), z, mean)).when(far, _message(k, down, "below", F.col(c), z, mean)))
+        texts.append(F.when(far & over, F.format_string(MESSAGES[up], F.col(c), z, mean)).when(far, F.format_string(MESSAGES[down], F.col(c), z, mean)))
     for pair, text in _COMPOUND.items():
         both = reduce(lambda a, b: a & b, [(F.col(f"{k}_score") > 0.5) & (F.col(INDICATORS[k]) > F.col(f"{k}_prior")["mean"]) for k in pair])
         codes.append(F.when(both, "COMPOUND_ANOMALY"))

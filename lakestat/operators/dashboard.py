@@ -86,6 +86,40 @@ def has_import(bodies: DataFrame) -> DataFrame:
     return bodies.agg(F.coalesce(F.bool_or(F.lower("source") != "manual"), F.lit(False)).alias("has_import"))
 
 
+def overriding(*maps: Column) -> Column:
+    """The maps' entries together; of equal keys the last map's counts. Null maps are empty."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+
+    def both(a: Column, b: Column) -> Column:
+        return F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+
+    return reduce(both, [F.coalesce(m, none) for m in maps])
+
+
+def first_of(rows: DataFrame, newest: DataFrame, key: str) -> DataFrame:
+    """What a list shows for each key: the marked newest row, or the first of the list where none is marked.
+
+    ``newest`` (key, id) marks rows of ``rows`` (key, id, place).
+    """
+    df = rows.join(newest.select(key, F.col("id").alias("_marked")), key, "left")
+    best = df.groupBy(key).agg(F.min_by("id", F.struct(F.coalesce(F.col("id") != F.col("_marked"), F.lit(True)), "place")).alias("id"))
+    return rows.join(best, [key, "id"], "left_semi")
+
+
+def feature_collections(features: DataFrame, key: str) -> DataFrame:
+    """(key, collection): the features (feature_id, ring, properties) of each key as one GeoJSON FeatureCollection, by id.
+
+    Features without a ring are left out; a key of which all are has an empty collection.
+    """
+    points = F.transform("ring", lambda p: F.array(p["lon"], p["lat"]))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(points).alias("coordinates"))
+    one = F.struct(F.lit("Feature").alias("type"), F.col("feature_id").alias("id"), geometry.alias("geometry"), F.col("properties"))
+    shown = F.when(F.col("ring").isNotNull(), F.struct(F.col("feature_id"), F.to_json(one).alias("json")))
+    listed = features.groupBy(key).agg(F.array_sort(F.collect_list(shown)).alias("_f"))
+    joined = F.array_join(F.transform("_f", lambda x: x["json"]), ",")
+    return listed.select(key, F.concat(F.lit('{"type":"FeatureCollection","features":['), joined, F.lit("]}")).alias("collection"))
+
+
 def alert_features(alerts: DataFrame, analyses: DataFrame) -> DataFrame:
     """Features of open alerts: an alert's own ring, else the regions of its analysis that have one.
 
@@ -95,9 +129,9 @@ def alert_features(alerts: DataFrame, analyses: DataFrame) -> DataFrame:
     a = alerts.where(F.lower("status") == "active")
     base = F.create_map(F.lit("indicator"), F.col("indicator"), F.lit("severity"), F.col("severity"))
     ids = F.create_map(F.lit("alert_id"), F.col("id").cast("string"), F.lit("water_body_id"), F.col("water_body_id").cast("string"))
-    own = a.where("ring is not null").select(F.col("id").cast("string").alias("feature_id"), F.col("id").alias("alert_id"), "ring", F.map_concat(base, ids).alias("properties"))
+    own = a.where("ring is not null").select(F.col("id").cast("string").alias("feature_id"), F.col("id").alias("alert_id"), "ring", overriding(base, ids).alias("properties"))
     regions = analyses.select(F.col("id").alias("analysis_id"), "features")
     rest = a.where("ring is null").drop("ring").join(regions, "analysis_id").select("*", F.posexplode("features").alias("_n", "_f")).where(F.col("_f")["ring"].isNotNull())
-    merged = F.map_concat(base, F.coalesce(F.col("_f")["properties"], F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), ids)
+    merged = overriding(base, F.col("_f")["properties"], ids)
     from_regions = rest.select(F.concat_ws("-", "id", "_n").alias("feature_id"), F.col("id").alias("alert_id"), F.col("_f")["ring"].alias("ring"), merged.alias("properties"))
     return own.unionByName(from_regions)

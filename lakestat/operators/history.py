@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from .relational import between, latest_per_key
 
 METRICS = ("turbidity", "chlorophyll", "anomaly_score")
@@ -18,12 +19,24 @@ def with_latest_analysis(observations: DataFrame, analyses: DataFrame, how: str
 
 
 def timeline(observations: DataFrame, analyses: DataFrame, start=None, end=None) -> DataFrame:
-    """One row per observation, with its newest analysis or nulls; absent flags are false, absent evidence is empty."""
+    """One row per observation, with its newest analysis or nulls; an absent flag is false."""
     df = with_latest_analysis(between(observations, "observation_date", start, end), analyses)
     detected = F.when(F.col("analysis_id").isNotNull(), F.coalesce("anomaly_detected", F.lit(False)))
     return df.select("water_body_id", "observation_id", "observation_date", "satellite", "analysis_id", *METRICS, detected.alias("anomaly_detected"))
 
 
+def snapshots(observations: DataFrame, analyses: DataFrame, start=None, end=None) -> DataFrame:
+    """One row per observation with its newest analysis as its JSON document tells it, or nulls.
+
+    ``analyses``: id, observation_id, created_at, model_name, model_version, analysis_data (JSON text). Keys that are
+    absent have their defaults, see ``text.evidence``.
+    """
+    df = with_latest_analysis(between(observations, "observation_date", start, end), analyses)
+    there = F.col("analysis_id").isNotNull()
+    fields = {k: F.when(there, c).alias(k) for k, c in text.evidence(F.col("analysis_data")).items()}
+    return df.select("water_body_id", "observation_id", "observation_date", "analysis_id", "model_name", "model_version", *fields.values())
+
+
 def trend(observations: DataFrame, analyses: DataFrame, start=None, end=None) -> DataFrame:
     """Per body: observations, those analysed, anomalies, and the range of each metric."""
     df = timeline(observations, analyses, start, end)

@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, scalar
+from .baseline import INDICATORS, dominant
 from .relational import last_per_key
 
 
-def numbered(rows: DataFrame, start: Column | int, order: list[str]) -> DataFrame:
-    """``rows`` with ids after ``start``, in the given order. Meant for the few rows of one insert."""
-    return rows.withColumn("id", (F.row_number().over(W.orderBy(*order)) + start).cast("long"))
+#: Ranges of new rows that are numbered apart from each other.
+RANGES = 32
+
+
+def numbered(rows: DataFrame, start: int, order: list[str]) -> DataFrame:
+    """``rows`` with ids after ``start``, in the given order.
+
+    Rows are sorted within ranges of the order, and each range is shifted by the rows before it, of which only RANGES
+    counts are collected.
+    """
+    ranged = rows.repartitionByRange(RANGES, *order).withColumn("_range", F.spark_partition_id())
+    at, before = start, []
+    for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():
+        before += [F.lit(r["_range"]), F.lit(at)]
+        at += r.n
+    shift = F.create_map(*before)[F.col("_range")] if before else F.lit(start)
+    return ranged.withColumn("id", (F.row_number().over(W.partitionBy("_range").orderBy(*order)) + shift).cast("long")).drop("_range")
 
 
 def insert(table: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
@@ -21,12 +36,27 @@ def insert(table: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
     return table.unionByName(numbered(rows, top, order), allowMissingColumns=True)
 
 
+def patch_errors(changes: DataFrame) -> DataFrame:
+    """(id, error) of changes that can't be made: none given, or a ring given as null.
+
+    ``changes`` may have ``given``, the names of the fields that were supplied, to tell null from absent.
+    """
+    given = F.col("given") if "given" in changes.columns else F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in changes.columns if c != "id"]))
+    null_ring = F.array_contains(given, "ring") & F.col("ring").isNull() if "ring" in changes.columns else F.lit(False)
+    error = F.when(F.coalesce(F.size(given), F.lit(0)) <= 0, "nothing_to_change").when(null_ring, "ring_is_null")
+    return changes.select("id", error.alias("error")).where("error is not null")
+
+
 def patch(table: DataFrame, changes: DataFrame) -> DataFrame:
-    """Rows with the changes' values where these are given (not null). A new ring gives a new area, its own."""
-    cols = [c for c in changes.columns if c != "id"]
+    """Rows with the changes' values where these are given (not null). A new ring gives a new area, its own.
+
+    Changes with an error (see ``patch_errors``) change nothing.
+    """
+    cols = [c for c in changes.columns if c not in ("id", "given")]
     if not cols:
         raise ValueError("nothing to change")
-    new = changes.select("id", *[F.col(c).alias(f"_{c}") for c in cols], F.lit(True).alias("_given"))
+    sound = changes.join(patch_errors(changes).select("id"), "id", "left_anti")
+    new = sound.select("id", *[F.col(c).alias(f"_{c}") for c in cols])
     df = table.join(new, "id", "left")
     for c in cols:
         df = df.withColumn(c, F.coalesce(F.col(f"_{c}"), F.col(c)))
@@ -80,3 +110,44 @@ def upsert_history(history: DataFrame, new: DataFrame) -> DataFrame:
     """Records with those of the same body and date replaced by the last given one."""
     both = history.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.col("seq") + 1).drop("seq"), allowMissingColumns=True)
     return last_per_key(both, ["water_body_id", "observation_date"], "_seq").drop("_seq")
+
+
+def _top(table: DataFrame) -> int:
+    return table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+
+
+def upsert_observations(table: DataFrame, results: DataFrame) -> DataFrame:
+    """The table with results' observations merged in by (water_body_id, scene_id); a match keeps its id.
+
+    ``results``: water_body_id, scene_id, satellite, observation_date, cloud_percentage, source_url. Of results for the
+    same scene and body the last date counts. The quality of a scene is what its clouds leave.
+    """
+    keys = ["water_body_id", "scene_id"]
+    new = last_per_key(results.select(*keys, "satellite", "observation_date", "cloud_percentage", "source_url"), keys, "observation_date")
+    new = new.withColumn("quality_score", scalar.scene_quality(F.col("cloud_percentage")))
+    values = [c for c in new.columns if c not in keys]
+    df = table.join(new.select(*keys, *[F.col(c).alias(f"_{c}") for c in values], F.lit(True).alias("_hit")), keys, "full_outer")
+    df = df.select("id", *keys, *[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in values])
+    fresh = numbered(df.where("id is null").drop("id"), _top(table), keys)
+    return df.where("id is not null").unionByName(fresh)
+
+
+def appended_analyses(table: DataFrame, observations: DataFrame, results: DataFrame) -> DataFrame:
+    """The table with one analysis of each result, of the observation of its body and scene."""
+    named = results.join(observations.select(F.col("id").alias("observation_id"), "water_body_id", "scene_id"), ["water_body_id", "scene_id"])
+    own = [c for c in table.columns if c != "id"]
+    row = named.withColumn("anomaly_detected", F.col("anomaly_level") != "NONE").select(*[F.col(c) if c in named.columns or c == "anomaly_detected" else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in own])
+    return table.unionByName(numbered(row, _top(table), ["observation_id", "created_at"]))
+
+
+def appended_alerts(table: DataFrame, observations: DataFrame, analyses: DataFrame, results: DataFrame) -> DataFrame:
+    """The table with an alert for each result above the band NONE, of its newest analysis, named by its largest score."""
+    named = results.join(observations.select(F.col("id").alias("observation_id"), "water_body_id", "scene_id"), ["water_body_id", "scene_id"])
+    newest = analyses.groupBy("observation_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("analysis_id"))
+    scores = {k: F.col(f"{k}_score") for k in INDICATORS if k != "area"}
+    found = named.where((F.col("anomaly_level") != "NONE") & (F.col("anomaly_score") >= scalar.ALERT_LEAST)).join(newest, "observation_id")
+    row = found.select(
+        "water_body_id", "analysis_id", F.col("observation_date").alias("date"), dominant(scores).alias("indicator"), F.col("anomaly_level").alias("severity"),
+        "confidence", "affected_area_km2", F.lit("active").alias("status"),
+    )
+    return table.unionByName(numbered(row, _top(table), ["water_body_id", "analysis_id"]), allowMissingColumns=True)

@@ -6,6 +6,8 @@ column expressions around it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,6 +65,18 @@ def dilated(mask: np.ndarray, steps: int) -> np.ndarray:
     return mask
 
 
+def buffered(mask: np.ndarray, radius: float) -> np.ndarray:
+    """Pixels whose middle is within ``radius`` pixels of the square of a mask pixel."""
+    reach = int(radius + 0.5)
+    p, out = np.pad(mask, reach), np.zeros_like(mask)
+    h, w = mask.shape
+    for dy in range(-reach, reach + 1):
+        for dx in range(-reach, reach + 1):
+            if np.hypot(max(abs(dx) - 0.5, 0), max(abs(dy) - 0.5, 0)) <= radius:
+                out |= p[reach + dy : reach + dy + h, reach + dx : reach + dx + w]
+    return out
+
+
 def _window(mask: np.ndarray, k: int, every: bool) -> np.ndarray:
     views = np.lib.stride_tricks.sliding_window_view(np.pad(mask, k // 2), (k, k))
     return views.all(axis=(2, 3)) if every else views.any(axis=(2, 3))
@@ -122,7 +136,7 @@ def less_fragmented(mask: np.ndarray, expected: np.ndarray, context: np.ndarray)
 
 def segmented(raw: np.ndarray, expected: np.ndarray | None) -> np.ndarray:
     """Raw water pixels cleaned: context, specks, closing, holes, footprint, fragmentation, in this order."""
-    context = dilated(expected, CONTEXT_PIXELS) if expected is not None else None
+    context = buffered(expected, CONTEXT_PIXELS) if expected is not None else None
     mask = without_specks(raw if context is None else raw & context)
     mask = filled(closed(mask, 3)) if mask.any() else mask
     return mask if context is None else less_fragmented(anchored(mask, expected, context), expected, context)
@@ -169,15 +183,46 @@ def grid(pixels: pd.DataFrame, column: str, fill) -> np.ndarray:
     return out
 
 
+def by_scene(pixels: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` on each scene's pixels, many scenes to a batch: rows meet by scene, and batches are cut where one ends.
+
+    ``run`` takes and returns a pandas frame of one scene. A scene that is split between batches waits for its rest.
+    """
+
+    def scenes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def done(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            cuts = np.flatnonzero(np.diff(frame["scene_id"].to_numpy())) + 1
+            out = [run(frame.iloc[a:b]) for a, b in zip([0, *cuts], [*cuts, len(frame)], strict=True)]
+            yield pd.concat(out, ignore_index=True)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch["scene_id"].iloc[-1]
+            if held and held[-1]["scene_id"].iloc[-1] == last == batch["scene_id"].iloc[0]:
+                held.append(batch)
+                continue
+            frame = pd.concat([*held, batch], ignore_index=True)
+            ends = frame["scene_id"].to_numpy() != last
+            held = [frame[~ends]]
+            if ends.any():
+                yield from done(frame[ends])
+        if held:
+            yield from done(pd.concat(held, ignore_index=True))
+
+    return pixels.where("scene_id is not null").repartition("scene_id").sortWithinPartitions("scene_id").mapInPandas(scenes, schema)
+
+
 def with_components(pixels: DataFrame, mask: str = "water", corners: bool = False) -> DataFrame:
     """(scene_id, row, col, component): mask pixels with their component's number within the scene."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        labels, _ = label(grid(part, mask, False).astype(bool), corners)
-        part = part.assign(component=labels[part["row"] - part["row"].min(), part["col"] - part["col"].min()])
-        return part.loc[part["component"] > 0, ["scene_id", "row", "col", "component"]]
+        labels, _ = label(grid(part.assign(_in=True), "_in", False).astype(bool), corners)
+        return part.assign(component=labels[part["row"] - part["row"].min(), part["col"] - part["col"].min()])
 
-    return pixels.select("scene_id", "row", "col", mask).groupBy("scene_id").applyInPandas(run, "scene_id long, row int, col int, component long")
+    return by_scene(pixels.where(mask).select("scene_id", "row", "col"), run, "scene_id long, row int, col int, component long")
 
 
 def component_summary(components: DataFrame) -> DataFrame:
@@ -201,7 +246,7 @@ def segment(pixels: DataFrame) -> DataFrame:
         return part[["scene_id", "row", "col"]].assign(water=mask[part["row"] - part["row"].min(), part["col"] - part["col"].min()])
 
     raw = raw_water(pixels).select("scene_id", "row", "col", "raw", "expected")
-    mask = raw.groupBy("scene_id").applyInPandas(run, "scene_id long, row int, col int, water boolean")
+    mask = by_scene(raw, run, "scene_id long, row int, col int, water boolean")
     df = pixels.join(mask, ["scene_id", "row", "col"])
     return df.withColumn("confidence", scalar.water_confidence(F.col("b03"), F.col("b08"), F.col("b11"), F.col("scl"), F.col("water")))
 
@@ -218,7 +263,7 @@ def mask_report(segmented_pixels: DataFrame) -> DataFrame:
         return pd.DataFrame([row], columns=["scene_id", "total_pixels", "water_pixels", "components", "largest_pixels", "fragmentation", "cloud_pixels", "has_prior", "expected_pixels", "overlap_pixels"])
 
     schema = "scene_id long, total_pixels long, water_pixels long, components long, largest_pixels long, fragmentation double, cloud_pixels long, has_prior boolean, expected_pixels long, overlap_pixels long"
-    return mask_status(segmented_pixels.select("scene_id", "row", "col", "water", "scl", "expected").groupBy("scene_id").applyInPandas(run, schema))
+    return mask_status(by_scene(segmented_pixels.select("scene_id", "row", "col", "water", "scl", "expected"), run, schema))
 
 
 def mask_status(report: DataFrame) -> DataFrame:
@@ -262,27 +307,45 @@ def pixel_scores(pixels: DataFrame, baseline: dict[str, tuple[float, float]]) ->
     return df.withColumn("score", F.when(F.col("water"), score).otherwise(0.0))
 
 
-def anomaly_regions(scored: DataFrame, pixel_area_km2: float = 1e-4) -> DataFrame:
-    """Per scene its regions of anomalous water pixels with their statistics.
+def pixel_area_km2(a: float, b: float, d: float, e: float) -> float:
+    """Area of a pixel of an affine transform with x = a col + b row + c and y = d col + e row + f."""
+    return abs(a * e - b * d) / 1e6
 
-    Components connected by sides and smaller than REGION_LEAST go; what remains is grouped by sides and corners.
+
+def anomalous_pixels(scored: DataFrame) -> DataFrame:
+    """(scene_id, row, col, region, score, confidence, scores): anomalous water pixels with the number of their region.
+
+    Components connected by sides and smaller than REGION_LEAST go; what remains is grouped by sides and corners. Only
+    anomalous pixels travel.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        mask = without_specks(grid(part, "hot", False).astype(bool), REGION_LEAST)
+        mask = without_specks(grid(part.assign(_in=True), "_in", False).astype(bool), REGION_LEAST)
         labels, _ = label(mask, True)
         part = part.assign(region=labels[part["row"] - part["row"].min(), part["col"] - part["col"].min()])
-        return part.loc[part["region"] > 0, ["scene_id", "row", "col", "region"]]
+        return part.loc[part["region"] > 0]
+
+    values = ["score", "confidence", *(f"{k}_score" for k in ("turbidity", "chlorophyll", "algal") if f"{k}_score" in scored.columns)]
+    hot = scored.where(F.col("water") & (F.col("score") >= REGION_SCORE)).select("scene_id", "row", "col", *[F.col(c).cast("double").alias(c) for c in values])
+    return by_scene(hot, run, f"scene_id long, row int, col int, {', '.join(f'{c} double' for c in values)}, region long")
+
 
-    hot = F.col("water") & (F.col("score") >= REGION_SCORE)
-    placed = scored.select("scene_id", "row", "col", hot.alias("hot")).groupBy("scene_id").applyInPandas(run, "scene_id long, row int, col int, region long")
+def anomaly_regions(scored: DataFrame, pixel_area_km2: float = 1e-4) -> DataFrame:
+    """Per scene its regions of anomalous water pixels with their statistics."""
     names = [k for k in ("turbidity", "chlorophyll", "algal") if f"{k}_score" in scored.columns]
     means = [F.avg(f"{k}_score").alias(f"{k}_score") for k in names]
-    df = scored.join(placed, ["scene_id", "row", "col"]).groupBy("scene_id", "region").agg(F.count("*").alias("pixels"), F.avg("score").alias("score"), F.avg("confidence").alias("confidence"), *means)
+    df = anomalous_pixels(scored).groupBy("scene_id", "region").agg(F.count("*").alias("pixels"), F.avg("score").alias("score"), F.avg("confidence").alias("confidence"), *means)
     first = F.array_max(F.array(*[F.struct(F.col(f"{k}_score").alias("s"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(names)]))
     return df.withColumn("area_km2", F.round(F.col("pixels") * pixel_area_km2, 6)).withColumn("dominant", first["k"])
 
 
+def anomaly_extent(scored: DataFrame, pixel_area_km2: float = 1e-4) -> DataFrame:
+    """Per scene: anomalous pixels in regions, their area and mean confidence; without any 0 pixels and nulls."""
+    found = anomalous_pixels(scored).groupBy("scene_id").agg(F.count("*").alias("n"), F.avg("confidence").alias("c"))
+    df = scored.select("scene_id").distinct().join(found, "scene_id", "left")
+    return df.select("scene_id", F.coalesce("n", F.lit(0)).alias("anomalous_pixels"), F.round(F.col("n") * pixel_area_km2, 6).alias("affected_area_km2"), F.round("c", 4).alias("confidence"))
+
+
 def footprint(pixels: DataFrame, bodies: DataFrame, left: float, top: float, size: float, all_touched: bool = True) -> DataFrame:
     """Pixels with ``expected``: whether they belong to the body's ring, in the raster's own metres.
 
@@ -314,3 +377,24 @@ def outlines(components: DataFrame, left: float, top: float, size: float, zone:
         return F.struct(lon.alias("lon"), lat.alias("lat"))
 
     return flat.select("scene_id", "component", "part", F.transform("flat", degrees).alias("ring"))
+
+
+#: Outlines of a smaller area, in square metres, are not part of a boundary.
+SLIVER_M2 = 2000.0
+
+
+def boundaries(mask: DataFrame, left: float, top: float, size: float, zone: int, south: bool = False) -> DataFrame:
+    """(scene_id, detected, polygons): the outline of each scene's water mask in degrees, without slivers.
+
+    ``mask``: scene_id, row, col, water. polygons: an array over components (pixels that touch at a corner in one) of an
+    array of rings, the outer first, holes after it. Components share no side, so together they are their union. An
+    outline's area is that of its pixels.
+    """
+    parts = with_components(mask, corners=True)
+    large = parts.groupBy("scene_id", "component").agg((F.count("*") * size * size).alias("m2")).where(F.col("m2") > SLIVER_M2)
+    rings = outlines(parts.join(large.select("scene_id", "component"), ["scene_id", "component"]), left, top, size, zone, south)
+    each = rings.groupBy("scene_id", "component").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "ring"))), lambda r: r["ring"]).alias("rings"))
+    whole = each.groupBy("scene_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "rings"))), lambda p: p["rings"]).alias("polygons"))
+    df = mask.select("scene_id").distinct().join(whole, "scene_id", "left")
+    none = F.array().cast("array<array<array<struct<lon:double,lat:double>>>>")
+    return df.select("scene_id", F.col("polygons").isNotNull().alias("detected"), F.coalesce("polygons", none).alias("polygons"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -17,14 +16,19 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str]) -> DataFrame:
-    """The first row of each key in the given order; keys may be expressions, and null is a key."""
-    at = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_at", at).where("_at = 1").drop("_at")
+    """The first row of each key in the given order, null first; keys may be expressions, and null is a key.
+
+    One aggregation with map-side combining.
+    """
+    keyed = [(k if isinstance(k, Column) else F.col(k)).alias(f"_k{i}") for i, k in enumerate(keys)]
+    best = df.groupBy(*keyed).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_best"))
+    return best.select("_best.*")
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The last row of each key."""
-    return first_per_key(df, keys, [F.col(order).desc()])
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(order)).alias("_best"))
+    return best.select("_best.*")
 
 
 def where_given(df: DataFrame, **equal) -> DataFrame:
@@ -51,6 +55,14 @@ def lookup(df: DataFrame, value, key: str = "id") -> DataFrame:
     return df.where(F.col(key) == value).limit(1)
 
 
+def required(df: DataFrame, value, key: str = "id") -> DataFrame:
+    """The row of a key; an error where there is none."""
+    found = lookup(df, value, key)
+    if found.isEmpty():
+        raise LookupError(f"no {key} {value!r}")
+    return found
+
+
 def without_match(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
     """Rows of ``left`` that nothing in ``right`` refers to."""
     return left.join(right, on, "left_anti")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo, scalar
-from ..operators import baseline, dashboard, discovery, history, ml, mutations, raster, relational, scenes, spectral
+from ..engine import Engine
+from ..functions import geo, scalar, text
+from ..operators import baseline, dashboard, discovery, history, ml, mutations, raster, relational, scenes, spatial, spectral
 from ..sources.readers import table
 from . import model as m
 
@@ -163,17 +164,41 @@ def formatted_values(s, d):
     return table(s, d, "customer").select(F.col("c_custkey").alias("id"), dashboard.fixed(F.col("c_acctbal")).alias("fixed"), dashboard.signed(F.col("c_acctbal"), 2).alias("signed"), F.date_format(date, "dd MMM yyyy HH:mm").alias("shown"))
 
 
-_FEATURES = "case when id % 3 = 0 then [] else [{'ring': lon, 'p': 'a'}, {'ring': null, 'p': 'b'}, {'ring': lat, 'p': 'c'}] end"
-
-
-@query(m.with_sql("alerts", "bodies") + "select a.id || '-' || n feature_id, a.id alert_id, 4 n_properties, a.water_body_id::varchar body from alerts a, (select unnest([0, 2]) n) where lower(status) = 'active' and analysis_id is not null and analysis_id in (select id from bodies where id % 3 != 0)")
+@query(m.with_sql("alerts", "bodies") + """select id::varchar feature_id, id alert_id, 4 n_properties, water_body_id::varchar body, indicator, null::varchar part from alerts where lower(status) = 'active' and id % 7 = 0
+    union all select id || '-' || n, id, 5, water_body_id::varchar, case n when 0 then 'a' else 'c' end, case n when 0 then 'a' else 'c' end from alerts, (select unnest([0, 2]) n) where lower(status) = 'active' and id % 7 != 0 and analysis_id in (select id from bodies where id % 3 != 0)""")
 def alert_features(s, d):
-    b, text = m.bodies(s, d), "map<string,string>"
-    part = lambda r, p: F.struct(r.alias("ring"), F.create_map(F.lit("part"), F.lit(p), F.lit("indicator"), F.lit(p)).cast(text).alias("properties"))
+    b = m.bodies(s, d)
+    part = lambda r, p: F.struct(r.alias("ring"), F.create_map(F.lit("part"), F.lit(p), F.lit("indicator"), F.lit(p)).alias("properties"))
     parts = F.array(part(F.col("ring"), "a"), part(F.when(F.lit(False), F.col("ring")), "b"), part(F.col("ring"), "c"))
     analyses = b.where("id % 3 != 0").select("id", parts.alias("features"))
-    found = dashboard.alert_features(m.alerts(s, d).withColumn("ring", F.lit(None).cast("array<struct<lon:double,lat:double>>")), analyses)
-    return found.select("feature_id", "alert_id", (F.size(F.map_keys("properties")) - 1).alias("n_properties"), F.col("properties")["water_body_id"].alias("body"))
+    square = F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0))])
+    found = dashboard.alert_features(m.alerts(s, d).withColumn("ring", F.when(F.col("id") % 7 == 0, square)), analyses)
+    p = F.col("properties")
+    return found.select("feature_id", "alert_id", F.size(F.map_keys(p)).alias("n_properties"), p["water_body_id"].alias("body"), p["indicator"].alias("indicator"), p["part"].alias("part"))
+
+
+@query(m.with_sql("analyses").rstrip() + """, listed as (select observation_id, id, row_number() over (partition by observation_id order by created_at desc, id desc) - 1 place from analyses)
+    select observation_id, id from listed where place = case when observation_id % 2 = 0 and (observation_id, 1) in (select (observation_id, place) from listed) then 1 else 0 end""")
+def shown_analyses(s, d):
+    from pyspark.sql import Window as W
+
+    at = F.row_number().over(W.partitionBy("observation_id").orderBy(F.desc("created_at"), F.desc("id"))) - 1
+    listed = m.analyses(s, d).select("observation_id", "id", at.alias("place"))
+    marked = listed.where("observation_id % 2 = 0 and place = 1")
+    return dashboard.first_of(listed, marked, "observation_id").select("observation_id", "id")
+
+
+@query(m.with_sql("bodies") + """select id, 'WB_DB_' || id code, replace(replace(name || '/' || type || '\\x', '/', '_'), '\\', '_') file_name, case when id % 3 != 0 then timestamp '2024-01-01 00:00:00' + to_days((id % 28)::int) end first_second,
+    case when id % 3 != 0 then timestamp '2024-01-01 23:59:59' + to_days((id % 28)::int) end last_second, timestamp '2024-05-18 05:26:49' + to_hours(case id % 3 when 1 then -2 else 0 end) instant from bodies""")
+def codes_and_days(s, d):
+    k = F.col("id")
+    day = F.when(k % 3 == 0, " ").otherwise(F.date_format(F.date_add(F.lit("2024-01-01"), (k % 28).cast("int")), "yyyy-MM-dd"))
+    shown = F.when(k % 3 == 0, "2024-05-18T05:26:49Z").when(k % 3 == 1, "2024-05-18T05:26:49+02:00").otherwise("2024-05-18T05:26:49")
+    utc = F.timestamp_micros(F.unix_micros(text.utc(shown)))
+    return m.bodies(s, d).select(
+        "id", text.body_code(k).alias("code"), text.safe_name(F.concat("name", F.lit("/"), "type", F.lit("\\x"))).alias("file_name"), text.day_start(day).alias("first_second"), text.day_end(day).alias("last_second"),
+        F.convert_timezone(F.current_timezone(), F.lit("UTC"), utc.cast("timestamp_ntz")).alias("instant"),
+    )
 
 
 # Baselines and anomalies.
@@ -206,42 +231,86 @@ _PRIOR = (
     + ", prior as (select *, count(case when ok then 1 end)"
     + _PRIOR_OVER
     + " prior_count, "
-    + ", ".join(f"round({v}, 12) {k}_{n}" for k, c in _NAMES.items() for n, v in _stat_sql(f"(case when ok then {c} end)", _PRIOR_OVER).items() if n in ("mean", "std", "median", "p90"))
+    + ", ".join(f"round({v}, 11) {k}_{n}" for k, c in _NAMES.items() for n, v in _stat_sql(f"(case when ok then {c} end)", _PRIOR_OVER).items() if n in ("mean", "std", "median", "p90"))
     + " from history)"
 )
 
 
 @query(_PRIOR + " select water_body_id, seq, prior_count, " + ", ".join(f"case when prior_count >= 3 then {k}_{n} end {k}_{n}" for k in _NAMES for n in ("mean", "std", "median", "p90")) + " from prior")
 def prior_baseline(s, d):
-    df = baseline.prior_baseline(m.history(s, d), 12)
+    df = baseline.prior_baseline(m.history(s, d), 11, ("mean", "std", "median", "p90"))
     return df.select("water_body_id", "seq", "prior_count", *[F.col(f"{k}_prior")[n].alias(f"{k}_{n}") for k in _NAMES for n in ("mean", "std", "median", "p90")])
 
 
+def _scored_sql(digits: int | None, score_digits: int | None) -> str:
+    """The scores in SQL: statistics rounded to ``digits``, scores to ``score_digits``, None for not at all."""
+    r = lambda x, n: x if n is None else f"round({x}, {n})"
+    stats = ", ".join(f"{r(v, digits)} {k}_{n}" for k, c in _NAMES.items() for n, v in _stat_sql(f"(case when ok then {c} end)", _PRIOR_OVER).items() if n in ("mean", "std"))
+    sql = m.with_sql("history").rstrip() + f", prior as (select *, count(case when ok then 1 end){_PRIOR_OVER} prior_count, {stats} from history)"
+    sql += ", z as (select *, " + ", ".join(f"{v} {k}_z" for k, v in _Z.items()) + " from prior), sc as (select *, "
+    sql += ", ".join(r(f"least(1, greatest(0, 1 - 1 / (1 + ({k}_z / 1.5) * ({k}_z / 1.5)))) + ({k}_z * 0)", score_digits) + f" {k}_score" for k in _NAMES) + " from z), "
+    whole = r("least(1, greatest(0, 0.3::double * turbidity_score + 0.3::double * chlorophyll_score + 0.25::double * algal_score + 0.15::double * area_score))", score_digits)
+    sql += f"an as (select *, case when prior_count >= 3 then {whole} else 0 end anomaly_score from sc), "
+    return sql + "lv as (select *, case when anomaly_score < 0.25 then 'NONE' when anomaly_score < 0.5 then 'LOW' when anomaly_score < 0.75 then 'MEDIUM' else 'HIGH' end anomaly_level from an)"
+
+
 _Z = {k: f"case when prior_count >= 3 then case when {k}_std < 1e-8 then case when abs({c} - {k}_mean) >= 1e-6 then 3.0 else 0.0 end else abs({c} - {k}_mean) / {k}_std end end" for k, c in _NAMES.items()}
-_SCORED = _PRIOR + ", z as (select *, " + ", ".join(f"{v} {k}_z" for k, v in _Z.items()) + " from prior), sc as (select *, " + ", ".join(f"least(1, greatest(0, 1 - 1 / (1 + ({k}_z / 1.5) * ({k}_z / 1.5)))) + ({k}_z * 0) {k}_score" for k in _NAMES) + " from z), "
-_SCORED += "an as (select *, case when prior_count >= 3 then least(1, greatest(0, 0.3::double * turbidity_score + 0.3::double * chlorophyll_score + 0.25::double * algal_score + 0.15::double * area_score)) else 0 end anomaly_score from sc), "
-_SCORED += "lv as (select *, case when anomaly_score < 0.25 then 'NONE' when anomaly_score < 0.5 then 'LOW' when anomaly_score < 0.75 then 'MEDIUM' else 'HIGH' end anomaly_level from an)"
+_SCORED = _scored_sql(None, None)
+#: Where the default roundings are checked, values are scaled so that none lies halfway between two roundings, where engines differ.
+_SCALE = 1.4142135623730951
+
+
+def _scaled_sql_of(scores: str) -> str:
+    scaled = ", ".join(f"{c} * {_SCALE}::double as {c}" for c in _NAMES.values())
+    return scores.replace("with history as (", "with plain as (", 1).replace(", prior as (", f", history as (select * replace ({scaled}) from plain), prior as (", 1)
+
+
+_ROUNDED, _EXPLAINED = _scaled_sql_of(_scored_sql(6, 4)), _scaled_sql_of(_SCORED)
+
+
+def _scaled(s: SparkSession, d: str) -> DataFrame:
+    return m.history(s, d).withColumns({c: F.col(c) * _SCALE for c in _NAMES.values()})
+
+
 _CODES = [f"case when {k}_z >= 1.5 then case when {c} > {k}_mean then '{baseline._codes(k)[0]}' else '{baseline._codes(k)[1]}' end end" for k, c in _NAMES.items()]
 _CODES += [f"case when {a}_score > 0.5 and {b}_score > 0.5 and {_NAMES[a]} > {a}_mean and {_NAMES[b]} > {b}_mean then 'COMPOUND_ANOMALY' end" for a, b in (("turbidity", "chlorophyll"), ("chlorophyll", "algal"))]
 
 
 @query(_SCORED + f" select water_body_id, seq, {', '.join(f'round({k}_score, 9) {k}_score' for k in _NAMES)}, round(anomaly_score, 9) anomaly_score, anomaly_level, array_to_string(list_filter([{', '.join(_CODES)}], lambda x: x is not null), ',') codes from lv")
 def anomaly_scores(s, d):
-    df = rounded(baseline.anomalies(baseline.prior_baseline(m.history(s, d), 12), None))
+    df = rounded(baseline.anomalies(baseline.prior_baseline(m.history(s, d), None), None))
     return df.select("water_body_id", "seq", *[f"{k}_score" for k in _NAMES], "anomaly_score", "anomaly_level", F.array_join("codes", ",").alias("codes"))
 
 
 @query(_SCORED + """ select water_body_id, observation_date, case when turbidity_score >= chlorophyll_score and turbidity_score >= algal_score then 'turbidity' when chlorophyll_score >= algal_score then 'chlorophyll' else 'algal' end indicator, lower(anomaly_level) severity, round(anomaly_score, 9) anomaly_score,
     round(least(1, greatest(0, 1 - cloud_percentage / 100)), 9) quality_score, 'active' status from lv where anomaly_level != 'NONE' and anomaly_score >= 0.25""")
 def raised_alerts(s, d):
-    found = baseline.alerts(baseline.anomalies(baseline.prior_baseline(m.history(s, d), 12), None))
+    found = baseline.alerts(baseline.anomalies(baseline.prior_baseline(m.history(s, d), None), None))
     return rounded(found.drop("affected_area_km2"))
 
 
-@query()
+@query(_ROUNDED + f" select water_body_id, seq, {', '.join(f'{k}_score' for k in _NAMES)} from lv")
+def rounded_scores(s, d):
+    """Scores with the default roundings: statistics to 6 places before the z-score, scores to 4.
+
+    Their weighted sum is left out: of scores of 4 places it lies halfway between two roundings as a rule.
+    """
+    df = baseline.anomalies(baseline.prior_baseline(_scaled(s, d)))
+    return df.select("water_body_id", "seq", *[f"{k}_score" for k in _NAMES])
+
+
+def _message_sql(k: str, c: str, code: str) -> str:
+    return f"printf('{baseline.MESSAGES[code]}', {c}, {k}_z, {k}_mean)"
+
+
+_TEXTS = [f"case when {k}_z >= 1.5 then case when {c} > {k}_mean then {_message_sql(k, c, baseline._codes(k)[0])} else {_message_sql(k, c, baseline._codes(k)[1])} end end" for k, c in _NAMES.items()]
+_TEXTS += [f"case when {a}_score > 0.5 and {b}_score > 0.5 and {_NAMES[a]} > {a}_mean and {_NAMES[b]} > {b}_mean then '{t}' end" for (a, b), t in baseline._COMPOUND.items()]
+
+
+@query(_EXPLAINED + f", told as (select *, list_filter([{', '.join(_TEXTS)}], lambda x: x is not null) texts from lv where prior_count >= 3) select water_body_id, seq, array_to_string(texts, ' | ') explanation from told where len(texts) > 0")
 def explanations(s, d):
-    df = baseline.anomalies(baseline.prior_baseline(m.history(s, d)))
-    return df.where(F.size("explanation") > 0).select("water_body_id", "seq", "explanation", "affected_area_km2")
+    df = baseline.anomalies(baseline.prior_baseline(_scaled(s, d), None), None)
+    return df.where(F.size("explanation") > 0).select("water_body_id", "seq", F.array_join("explanation", " | ").alias("explanation"))
 
 
 # Spectral layers and masks.
@@ -263,7 +332,7 @@ def _scaled_sql(k: str) -> str:
     return f"case when {k} is not null then least(1, greatest(0, ({k} - ({low}::double)) / ({high}::double - ({low}::double)))) end"
 
 
-_LAYERS = m.with_sql("pixels", "wet").rstrip() + ", raw as (select scene_id, " + ", ".join(f"{_ratio_sql(x)} {k}" for k, x in _RAW.items()) + " from wet where water), scaled as (select *, " + ", ".join(f"{_scaled_sql(k)} {k}_scaled" for k in _RAW) + " from raw), "
+_LAYERS = m.with_sql("pixels", "wet").rstrip() + ", raw as (select scene_id, \"row\", col, scl, mndwi, b08, " + ", ".join(f"{_ratio_sql(x)} {k}" for k, x in _RAW.items()) + " from wet where water), scaled as (select *, " + ", ".join(f"{_scaled_sql(k)} {k}_scaled" for k in _RAW) + " from raw), "
 _LAYERS += "layers as (select *, " + ", ".join(" + ".join(f"{w}::double * {k}_scaled" for k, w in parts.items()) + f" {name}_composite" for name, parts in scalar.COMPOSITES.items()) + " from scaled)"
 _LAYER_NAMES = spectral.layer_names()
 
@@ -314,18 +383,42 @@ def _segmented(s: SparkSession, d: str) -> DataFrame:
     return raster.segment(m.pixels(s, d).select("*", prior))
 
 
-@query()
+def _reach_sql(name: str, pixels: str, corners: bool = False) -> str:
+    """Components of the pixels of a relation: (scene_id, "row", col, root), by following neighbours from every pixel."""
+    near = "greatest(abs(n.\"row\" - r.r), abs(n.col - r.c)) = 1" if corners else "abs(n.\"row\" - r.r) + abs(n.col - r.c) = 1"
+    return f"""{name}_reach as (select scene_id, "row", col, "row" r, col c from {pixels} union select r.scene_id, r."row", r.col, n."row", n.col from {name}_reach r join {pixels} n on n.scene_id = r.scene_id and {near}),
+    {name} as (select scene_id, "row", col, min(r * 1000 + c) root from {name}_reach group by 1, 2, 3)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+_WATER = _recursive(m.with_sql("pixels", "wet").rstrip() + ", water as (select * from wet where water), ")
+
+
+@query(_WATER + _reach_sql("comp", "water") + """, each as (select scene_id, root, count(*) n from comp group by 1, 2)
+    select scene_id, count(*) components, sum(n)::bigint water_pixels, max(n) largest_pixels, round(max(n) / sum(n)::double, 9) largest_ratio, round(1 - max(n) / sum(n)::double, 9) fragmentation from each group by 1""")
 def components(s, d):
-    return raster.component_summary(raster.with_components(wet_pixels(s, d)))
+    return rounded(raster.component_summary(raster.with_components(wet_pixels(s, d))))
+
+
+@query(_WATER + _reach_sql("comp", "water", True) + """, each as (select scene_id, root, count(*) n from comp group by 1, 2 having count(*) * 100 > 2000), total as (select scene_id, count(*) polygons from each group by 1)
+    select scene_id, polygons is not null detected, coalesce(polygons, 0)::int polygons from (select distinct scene_id from pixels) left join total using (scene_id)""")
+def boundary_polygons(s, d):
+    df = raster.boundaries(wet_pixels(s, d), 500000.0, 2000000.0, 10.0, 43)
+    return df.select("scene_id", "detected", F.size("polygons").alias("polygons"))
 
 
 @query()
 def segmentation(s, d):
+    """Water masks of every scene with their confidence; brute force in the tests."""
     return rounded(_segmented(s, d).select("scene_id", "row", "col", "water", "confidence"))
 
 
 @query()
 def mask_quality(s, d):
+    """The checks of every scene's mask; brute force in the tests."""
     return rounded(raster.mask_report(_segmented(s, d)))
 
 
@@ -340,14 +433,31 @@ def footprint_pixels(s, d):
 
 @query()
 def mask_outlines(s, d):
+    """Rings around the components of every scene's mask; brute force in the tests."""
     return raster.outlines(raster.with_components(wet_pixels(s, d), corners=True), 500000.0, 2000000.0, 10.0, 43)
 
 
-@query()
-def anomaly_regions(s, d):
+_PIXEL_BASELINE = {"turbidity": (0.3, 0.1), "chlorophyll": (0.4, 0.1), "algal": (0.5, 0.1)}
+_PIXEL_Z = ", ".join(f"case when {k}_composite is null then 0 else 1 - 1 / (1 + pow(abs({k}_composite - {mean}::double) / {std}::double / 1.5, 2)) end {k}_score" for k, (mean, std) in _PIXEL_BASELINE.items())
+_HOT = _recursive(_LAYERS) + f", told as (select *, {_PIXEL_Z} from layers), hot as (select * from (select *, 0.3 / 0.85::double * turbidity_score + 0.3 / 0.85::double * chlorophyll_score + 0.25 / 0.85::double * algal_score score,"
+_HOT += " least(1, greatest(0, 0.6::double * least(1, greatest(0, (mndwi + 0.2::double) / 0.8::double)) + 0.4::double * least(1, greatest(0, 1 - b08 / 0.25::double)) + case when scl = 6 then 0.2::double else 0 end)) confidence from told) where score >= 0.5), "
+_HOT += _reach_sql("sides", "hot") + ", large as (select scene_id, root from sides group by 1, 2 having count(*) >= 4), kept as (select h.* from hot h join sides using (scene_id, \"row\", col) join large using (scene_id, root)), " + _reach_sql("around", "kept", True)
+
+
+def _scored_pixels(s: SparkSession, d: str) -> DataFrame:
     df = spectral.layers(wet_pixels(s, d)).withColumn("confidence", scalar.water_confidence(F.col("b03"), F.col("b08"), F.col("b11"), F.col("scl"), F.col("water")))
-    named = df.withColumns({k: F.col(f"{k}_composite") for k in scalar.COMPOSITES})
-    return rounded(raster.anomaly_regions(raster.pixel_scores(named, {"turbidity": (0.3, 0.1), "chlorophyll": (0.4, 0.1), "algal": (0.5, 0.1)})))
+    return raster.pixel_scores(df.withColumns({k: F.col(f"{k}_composite") for k in scalar.COMPOSITES}), _PIXEL_BASELINE)
+
+
+@query(_HOT + """, each as (select scene_id, root, count(*) pixels, round(avg(score), 9) score, round(avg(confidence), 9) confidence, avg(turbidity_score) t, avg(chlorophyll_score) c, avg(algal_score) a from kept join around using (scene_id, "row", col) group by 1, 2)
+    select scene_id, dense_rank() over (partition by scene_id order by root) region, pixels, score, confidence, round(t, 9) turbidity_score, round(c, 9) chlorophyll_score, round(a, 9) algal_score, round(pixels * 1e-4, 6) area_km2, case when t >= c and t >= a then 'turbidity' when c >= a then 'chlorophyll' else 'algal' end dominant from each""")
+def anomaly_regions(s, d):
+    return rounded(raster.anomaly_regions(_scored_pixels(s, d)))
+
+
+@query(_HOT + """, each as (select scene_id, count(*) n, avg(confidence) c from kept group by 1) select scene_id, coalesce(n, 0) anomalous_pixels, round(n * 4e-4, 6) affected_area_km2, round(c, 4) confidence from (select distinct scene_id from pixels) left join each using (scene_id)""")
+def anomaly_extent(s, d):
+    return raster.anomaly_extent(_scored_pixels(s, d), raster.pixel_area_km2(20.0, 0.0, 0.0, -20.0))
 
 
 # Geometry.
@@ -390,17 +500,49 @@ def point_in_polygon(s, d):
     return df.select("id", geo.contains(r, *mid).alias("inside"), geo.contains(r, mid[0] + 1, mid[1]).alias("outside"))
 
 
-@query(m.with_sql("bodies") + "select id, round(lon, 6) lon, round(lat, 6) lat, true projected from bodies")
+# Another series than the library's: easting and northing by powers of the distance from the middle meridian.
+_UTM = """, p as (select id, lon, lat, radians(lat) f, radians(lon - (floor((lon + 180) / 6) * 6 - 177)) dl, floor((lon + 180) / 6)::int + 1 zone, fl * (2 - fl) e2 from bodies, (select 1 / 298.257223563::double fl)),
+    q as (select *, e2 / (1 - e2) ep, 6378137.0 / sqrt(1 - e2 * pow(sin(f), 2)) n, pow(tan(f), 2) t, e2 / (1 - e2) * pow(cos(f), 2) c, dl * cos(f) a,
+        6378137.0 * ((1 - e2 / 4 - 3 * pow(e2, 2) / 64 - 5 * pow(e2, 3) / 256) * f - (3 * e2 / 8 + 3 * pow(e2, 2) / 32 + 45 * pow(e2, 3) / 1024) * sin(2 * f) + (15 * pow(e2, 2) / 256 + 45 * pow(e2, 3) / 1024) * sin(4 * f) - 35 * pow(e2, 3) / 3072 * sin(6 * f)) mm from p)
+    select id, zone, round(500000 + 0.9996 * n * (a + (1 - t + c) * pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * pow(a, 5) / 120), 1) x,
+        round(0.9996 * (mm + n * tan(f) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * pow(a, 6) / 720)), 1) y, round(lon, 6) lon, round(lat, 6) lat from q"""
+
+
+@query(m.with_sql("bodies").rstrip() + _UTM)
 def utm_round_trip(s, d):
     p = F.col("ring")[0]
     zone, south = geo.utm_zone(p["lon"]), p["lat"] < 0
     x, y = geo.to_utm(p["lon"], p["lat"], zone, south)
     df = m.bodies(s, d).select("id", x.alias("x"), y.alias("y"), zone.alias("zone"), south.alias("south"))
     lon, lat = geo.from_utm(F.col("x"), F.col("y"), F.col("zone"), F.col("south"))
-    return df.select("id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"), (F.col("x").between(1e5, 9e5) & (F.col("y") > 1e6)).alias("projected"))
+    return df.select("id", "zone", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
-@query()
+_POINTS = "points as (select c_custkey point_id, 72 + (c_custkey * 29 % 800) / 100::double lon, 15 + (c_custkey * 31 % 700) / 100::double lat from customer)"
+
+
+def _points(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(s, d, "customer").select(k.alias("point_id"), (72 + (k * 29 % 800) / F.lit(100.0)).alias("lon"), (15 + (k * 31 % 700) / F.lit(100.0)).alias("lat"))
+
+
+@query(m.with_sql("bodies").rstrip() + f""", {_POINTS}, near as (select p.point_id, b.id body, p.lon px, p.lat py, greatest(b.lon, least(p.lon, b.lon + w)) x, greatest(b.lat, least(p.lat, b.lat + w)) y, f * (2 - f) e2 from points p, bodies b, (select 1 / 298.257223563::double f)),
+    m as (select *, 6378137.0 * (1 - e2) / pow(1 - e2 * pow(sin(radians((y + py) / 2)), 2), 1.5) * radians(y - py) n, 6378137.0 / sqrt(1 - e2 * pow(sin(radians((y + py) / 2)), 2)) * cos(radians((y + py) / 2)) * radians(x - px) e from near)
+    select point_id, body, round(sqrt(n * n + e * e) / 1000, 3) distance_km from m where sqrt(n * n + e * e) <= 60000""")
+def bodies_near_points(s, d):
+    return spatial.bodies_near(_points(s, d), m.bodies(s, d), 60.0)
+
+
+@query(m.with_sql("bodies").rstrip() + """, items as (select event_id scene_id, 72 + (event_id * 7 % 800) / 100::double x0, 15 + (event_id * 11 % 700) / 100::double y0, case when event_id % 50 = 0 then 6 else 0.07::double end z from events)
+    select scene_id, id body from items join bodies on x0 <= lon + w and x0 + z >= lon and y0 <= lat + w and y0 + z >= lat""")
+def scenes_of_bodies(s, d):
+    k = F.col("event_id")
+    x, y, z = 72 + (k * 7 % 800) / F.lit(100.0), 15 + (k * 11 % 700) / F.lit(100.0), F.when(k % 50 == 0, 6.0).otherwise(0.07)
+    items = table(s, d, "events").select(k.alias("scene_id"), x.alias("xmin"), y.alias("ymin"), (x + z).alias("xmax"), (y + z).alias("ymax"))
+    return spatial.scenes_of_bodies(items, m.bodies(s, d))
+
+
+@query(m.with_sql("bodies") + "select id, 'POLYGON((' || array_to_string(list_transform(ring, lambda p: p.x || ' ' || p.y), ', ') || '))' wkt, '{\"type\":\"Polygon\",\"coordinates\":[[' || array_to_string(list_transform(ring, lambda p: '[' || p.x || ',' || p.y || ']'), ',') || ']]}' geojson from bodies")
 def body_outlines(s, d):
     return m.bodies(s, d).select("id", geo.wkt(F.col("ring")).alias("wkt"), geo.geojson(F.col("ring")).alias("geojson"))
 
@@ -440,10 +582,13 @@ def upserted_bodies(s, d):
     return mutations.upsert_bodies(b, cand, "survey", "Maharashtra").select("id", "name", "type", "district", "active", "change")
 
 
-@query(m.with_sql("history") + "select water_body_id, observation_date, mask_quality_status from (select *, row_number() over (partition by water_body_id, observation_date order by s desc) n from (select water_body_id, date_trunc('day', observation_date) observation_date, mask_quality_status, seq + 1 s from history)) where n = 1")
+@query(m.with_sql("history") + """, day as (select water_body_id, date_trunc('day', observation_date) observation_date, mask_quality_status, seq from history),
+    stored as (select * from day where seq % 3 = 0 qualify row_number() over (partition by water_body_id, observation_date order by seq desc) = 1), both_ as (select *, 0 s from stored union all select *, seq + 1 from day where seq % 3 = 1)
+    select water_body_id, observation_date, mask_quality_status, s > 0 replaced from both_ qualify row_number() over (partition by water_body_id, observation_date order by s desc) = 1""")
 def upserted_history(s, d):
     h = m.history(s, d).select("water_body_id", F.date_trunc("day", F.col("observation_date").cast("timestamp")).cast("timestamp_ntz").alias("observation_date"), "mask_quality_status", "seq")
-    return mutations.upsert_history(h.drop("seq").limit(0), h).select("water_body_id", "observation_date", "mask_quality_status")
+    stored = relational.last_per_key(h.where("seq % 3 = 0"), ["water_body_id", "observation_date"], "seq").drop("seq").withColumn("replaced", F.lit(False))
+    return mutations.upsert_history(stored, h.where("seq % 3 = 1").withColumn("replaced", F.lit(True)))
 
 
 @query(m.with_sql("bodies") + "select id, case when id % 2 = 0 then 'Tarn' else type end type, district, active and id % 5 != 0 active from bodies")
@@ -493,6 +638,64 @@ def training_rows(s, d):
     return ml.training_rows(features, truth, ["ndti_mean"])
 
 
-@query()
+_VECTOR = ", ".join(f"coalesce({k}_{n}, 0) {name}" for name, (k, n) in ml.FEATURES.items())
+
+
+@query(_LAYERS + f" select scene_id, {_VECTOR} from (select distinct scene_id from pixels) left join (select scene_id, {', '.join(_layer_stats_sql(k) for k in dict.fromkeys(k for k, _ in ml.FEATURES.values()))} from layers group by 1) using (scene_id)")
 def feature_vectors(s, d):
-    return ml.feature_vector(spectral.masked_stats(wet_pixels(s, d)))
+    return ml.feature_vector(spectral.masked_stats(wet_pixels(s, d), 9))
+
+
+# Analyses of satellite scenes written to the tables.
+_SCENES = """, found as (select user_id water_body_id, event_id % 40 scene_id, ts observation_date, ts + to_microseconds(event_id) created_at, event_id, value, json_extract(props, '$.k')::int k from events),
+    stored as (select max(event_id) id, water_body_id, scene_id from found where event_id % 2 = 0 group by 2, 3),
+    results as (select *, value / 100 turbidity_score, k / 100::double chlorophyll_score, (value + k) / 200 algal_score, value / 100 anomaly_score from found where event_id % 3 = 0),
+    newest as (select water_body_id, scene_id, max(created_at) created_at, arg_max(k, created_at) k from results group by 1, 2),
+    obs as (select coalesce(id, (select max(id) from stored) + row_number() over (partition by id is null order by water_body_id, scene_id)) id, water_body_id, scene_id, n.created_at, n.k from stored s full join newest n using (water_body_id, scene_id)),
+    ana as (select row_number() over (order by o.id, r.created_at) id, o.id observation_id, r.created_at, r.water_body_id, r.scene_id, anomaly_score >= 0.25 anomaly_detected from results r join obs o using (water_body_id, scene_id)),
+    last_ana as (select observation_id, max_by(id, created_at) analysis_id from ana group by 1)"""
+_EVENTS = "with none as (select 1)"
+
+
+def _analyzed(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    e = table(s, d, "events")
+    k, v = F.get_json_object("props", "$.k").cast("int"), F.col("value")
+    at = F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") / F.lit(1_000_000)).cast("decimal(18,6)"))
+    body, scene = F.col("user_id").alias("water_body_id"), (F.col("event_id") % 40).alias("scene_id")
+    stored = e.where("event_id % 2 = 0").groupBy(body, scene).agg(F.max("event_id").alias("id"))
+    stored = stored.select("id", "water_body_id", "scene_id", F.lit("old").alias("satellite"), F.lit(None).cast("timestamp_ntz").alias("observation_date"), F.lit(None).cast("double").alias("cloud_percentage"), F.lit(None).cast("string").alias("source_url"), F.lit(None).cast("double").alias("quality_score"))
+    scores = {"turbidity_score": v / 100, "chlorophyll_score": k / F.lit(100.0), "algal_score": (v + k) / 200, "area_score": F.lit(1.0)}
+    results = e.where("event_id % 3 = 0").select(
+        body, scene, F.lit("new").alias("satellite"), at.alias("observation_date"), at.alias("created_at"), k.cast("double").alias("cloud_percentage"), F.lit("url").alias("source_url"), *[c.alias(n) for n, c in scores.items()],
+        (v / 100).alias("anomaly_score"), scalar.band(v / 100).alias("anomaly_level"), F.lit(0.5).alias("confidence"), v.alias("affected_area_km2"),
+    )
+    analyses = s.createDataFrame([], "id long, observation_id long, created_at timestamp_ntz, anomaly_detected boolean")
+    alerts = s.createDataFrame([], "id long, water_body_id long, analysis_id long, date timestamp_ntz, indicator string, severity string, confidence double, affected_area_km2 double, status string")
+    bodies = e.select(F.col("user_id").alias("id")).distinct().withColumn("active", F.lit(True))
+    return Engine(s, bodies, stored, analyses, alerts).analyze(results)
+
+
+@query(_EVENTS + _SCENES + " select id, water_body_id, scene_id, case when created_at is null then 'old' else 'new' end satellite, created_at observation_date, k::double cloud_percentage, round(least(1, greatest(0, 1 - k / 100::double)) + k * 0, 9) quality_score from obs")
+def analyzed_observations(s, d):
+    return rounded(_analyzed(s, d)["observations"].drop("source_url"))
+
+
+@query(_EVENTS + _SCENES + " select id, observation_id, created_at, anomaly_detected from ana")
+def analyzed_analyses(s, d):
+    return _analyzed(s, d)["analyses"]
+
+
+@query(_EVENTS + _SCENES + """ select row_number() over (order by r.water_body_id, analysis_id, r.created_at) id, r.water_body_id, analysis_id, r.created_at date, case when turbidity_score >= chlorophyll_score and turbidity_score >= algal_score then 'turbidity' when chlorophyll_score >= algal_score then 'chlorophyll' else 'algal' end indicator,
+    case when anomaly_score < 0.5 then 'LOW' when anomaly_score < 0.75 then 'MEDIUM' else 'HIGH' end severity, 'active' status from results r join obs o using (water_body_id, scene_id) join last_ana l on l.observation_id = o.id where anomaly_score >= 0.25""")
+def analyzed_alerts(s, d):
+    return _analyzed(s, d)["alerts"].drop("confidence", "affected_area_km2")
+
+
+@query(_OA.rstrip() + """ select o.water_body_id, o.id observation_id, a.id analysis_id, case when a.id % 4 = 0 then 0.25::double end turbidity, case when a.id % 4 = 3 then 0.5::double end chlorophyll, case when a.id % 4 = 3 then 0.125::double end confidence,
+    case a.id % 4 when 0 then true when 1 then false when 3 then false end anomaly_detected, case a.id % 4 when 0 then 'a,b' when 1 then '' when 3 then '' end evidence from observations o left join latest a on a.observation_id = o.id""")
+def evidence_snapshots(s, d):
+    docs = ('{"turbidity": 0.25, "anomaly_detected": true, "evidence": ["a", "b"]}', "{}", '{"anomaly_detected": null, "evidence": null}', '{"chlorophyll": 0.5, "confidence": 0.125, "other": {"x": 1}}')
+    k = F.col("id") % 4
+    a = m.analyses(s, d).select("id", "observation_id", "created_at", F.lit("m").alias("model_name"), F.lit("1").alias("model_version"), F.element_at(F.array(*map(F.lit, docs)), (k + 1).cast("int")).alias("analysis_data"))
+    df = history.snapshots(m.observations(s, d), a)
+    return df.select("water_body_id", "observation_id", "analysis_id", "turbidity", "chlorophyll", "confidence", "anomaly_detected", F.array_join("evidence", ",").alias("evidence"))

@@ -17,40 +17,48 @@ OUTPUT = "water_body_id long, observation_date timestamp, prior_count long, base
 STATE = "dates array<long>, ok array<boolean>, " + ", ".join(f"{k} array<double>" for k in INDICATORS)
 
 
-def _score(value: float, prior: np.ndarray) -> float:
-    mean, std = round(float(prior.mean()), 6), round(float(prior.std()), 6)
-    off = abs(value - mean)
-    z = (3.0 if off >= 1e-6 else 0.0) if std < 1e-8 else off / std
-    return round(min(1.0, max(0.0, 1 - 1 / (1 + (z / scalar.Z_SCALE) ** 2))), 4)
+def _scores(values: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    """Scores of values against rounded means and deviations; missing where any of them is."""
+    mean, std = np.round(mean, 6), np.round(std, 6)
+    off = np.abs(values - mean)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = np.where(std < 1e-8, np.where(off >= 1e-6, 3.0, 0.0), off / std)
+        score = np.round(np.clip(1 - 1 / (1 + (z / scalar.Z_SCALE) ** 2), 0, 1), 4)
+    return np.where(np.isnan(values) | np.isnan(mean), np.nan, score)
 
 
-def _level(score: float) -> str:
-    return next((name for below, name in scalar.BANDS if score < below), "HIGH")
+def _level(score: float) -> str | None:
+    return None if np.isnan(score) else next((name for below, name in scalar.BANDS if score < below), "HIGH")
 
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = [list(x) for x in state.get] if state.exists else [[] for _ in range(2 + len(INDICATORS))]
-    place = {d: i for i, d in enumerate(held[0])}
+    """Scores the new records of a body and merges them into its history.
+
+    Records are taken by date, so each meets what is stored and what the batch has of earlier dates: one merge and one
+    running sum for all of them together.
+    """
     new = pd.concat(list(batches)).sort_values(["observation_date", "seq"])
-    out = []
-    for r in new.itertuples():
-        at = r.observation_date.value
-        dates, ok = np.array(held[0], dtype=np.int64), np.array(held[1], dtype=bool)
-        before = ok & (dates < at)
-        n, score = int(before.sum()), 0.0
-        if n >= LEAST_OBSERVATIONS:
-            score = round(sum(scalar.SCORE_WEIGHTS[k] * _score(getattr(r, c), np.array(held[2 + i])[before]) for i, (k, c) in enumerate(INDICATORS.items())), 4)
-        out.append((key[0], r.observation_date, n, "valid" if n >= LEAST_OBSERVATIONS else "insufficient_baseline", score, _level(score)))
-        row = [at, r.mask_quality_status in ELIGIBLE, *(float(getattr(r, c)) for c in INDICATORS.values())]
-        if at in place:
-            for column, value in zip(held, row, strict=True):
-                column[place[at]] = value
-        else:
-            place[at] = len(held[0])
-            for column, value in zip(held, row, strict=True):
-                column.append(value)
-    state.update(tuple(held))
-    yield pd.DataFrame(out, columns=["water_body_id", "observation_date", "prior_count", "baseline_status", "anomaly_score", "anomaly_level"])
+    columns = list(INDICATORS.values())
+    fresh = pd.DataFrame({"at": new["observation_date"].to_numpy().astype("datetime64[us]").astype(np.int64), "ok": new["mask_quality_status"].isin(ELIGIBLE).to_numpy(), **{c: new[c].to_numpy(dtype=float) for c in columns}})
+    stored = [list(x) for x in state.get] if state.exists else [[] for _ in range(2 + len(columns))]
+    old = pd.DataFrame(dict(zip(["at", "ok", *columns], stored, strict=True))).astype({"at": np.int64, "ok": bool} | dict.fromkeys(columns, float))
+    held = pd.concat([old, fresh]).drop_duplicates("at", keep="last").sort_values("at", ignore_index=True)
+
+    before = np.searchsorted(held["at"].to_numpy(), fresh["at"].to_numpy())
+    prior = np.concatenate([[0], np.cumsum(held["ok"])])[before]
+    valid, total = prior >= LEAST_OBSERVATIONS, np.zeros(len(fresh))
+    for k, c in INDICATORS.items():
+        x = np.where(held["ok"], held[c], np.nan)
+        there = ~np.isnan(x)
+        base = x[there].mean() if there.any() else 0.0  # sums of squares around it lose no digits
+        n, one, two = (np.concatenate([[0.0], np.cumsum(np.where(there, v, 0.0))])[before] for v in (there, x - base, (x - base) ** 2))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = one / n
+            total += scalar.SCORE_WEIGHTS[k] * _scores(fresh[c].to_numpy(), mean + base, np.sqrt(np.maximum(two / n - mean**2, 0)))
+    score = np.where(valid, np.round(total, 4), 0.0)
+    state.update(tuple(held[c].tolist() for c in ["at", "ok", *columns]))
+    status = np.where(valid, "valid", "insufficient_baseline")
+    yield pd.DataFrame({"water_body_id": key[0], "observation_date": new["observation_date"].to_numpy(), "prior_count": prior, "baseline_status": status, "anomaly_score": score, "anomaly_level": [_level(x) for x in score]})
 
 
 def scored_stream(records: DataFrame) -> DataFrame:
