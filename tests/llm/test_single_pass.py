@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lakestat.llm import bpe, language_id, license_scan, pii, quality_rules, url_filter
 from lakestat.llm.queries import tokenizer_path
+from tests.llm.conftest import words
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -184,8 +185,11 @@ def test_pii_skip_edges_agree():
 def test_quality_rules(docs, spark, empty):
     more = spark.createDataFrame([(900, "a b c a b c a b c d e f\n x \nx\n x \n\n"), (901, "p|q #$%\r\nzz\r\nzz"), (902, "same words here " * 40)], "doc_id long, text string")
     df = docs.select("doc_id", "text").unionByName(more)
-    ratios = quality_rules.log_ratios(df, df.where("doc_id < 60").select("doc_id"))
-    for _, r in by_id(quality_rules.judge(df, ratios)):
+    clash = {c: F.lit("clash") for c in ("_lines", "_features", "_words", "_q", "_q_uni", "_t1", "t1", "bucket", "ratio", "llr")}
+    model = quality_rules.train(df, df.where("doc_id < 60").select("doc_id"))
+    judged = quality_rules.judge(df.withColumns(clash), model)
+    assert set(clash) <= set(judged.columns) and judged.where("_q_uni = 'clash' and ratio = 'clash'").count() == df.count()
+    for _, r in by_id(judged):
         t = r.text or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -196,12 +200,41 @@ def test_quality_rules(docs, spark, empty):
             len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(inside), failed,
         )
         assert not (failed and r.kept)
-    assert quality_rules.judge(empty, quality_rules.log_ratios(empty, empty.select("doc_id"))).count() == 0
+        assert r.kept == (not failed and r.llr >= model[1])
+    assert quality_rules.judge(empty, quality_rules.train(empty, empty.select("doc_id"))).count() == 0
+    plan = judged._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_quality_rules_is_native(docs):
-    plan = quality_rules.judge(docs, [0.0] * quality_rules.BUCKETS)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_log_ratios_against_counts(spark):
+    """Ratios, scores and threshold against dictionaries over the same buckets."""
+    import math
+
+    good = [(k, words(40, k, "lake river stone bridge under water".split())) for k in range(60)]
+    junk = [(100 + k, words(40, k, "zz## $$x %%q @@w".split())) for k in range(40)] + [(200, good[0][1]), (None, "lake zz##"), (201, ""), (202, None), (203, "one")]
+    df = spark.createDataFrame(good + junk, "doc_id long, text string")
+    ids = spark.createDataFrame([(k,) for k in range(50)], "doc_id long")
+    ratios, threshold = quality_rules.train(df, ids)
+    shown = df.select("doc_id", "text", quality_rules.hashed(quality_rules.words(F.col("text"))).alias("u")).withColumn("g", F.transform(F.concat("u", quality_rules.pairs(F.col("u"))), quality_rules.bucket))
+    half = {r.doc_id: r.h for r in ids.select("doc_id", F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(2)).alias("h")).collect()}
+    rows = [(r.doc_id, r.text, r.g) for r in shown.collect()]
+    assert all(len(g) == max(2 * len((t or "").split()) - 1, 0) for _, t, g in rows)
+    n, own = Counter(b for _, _, g in rows for b in g), Counter(b for k, _, g in rows for b in g if half.get(k) == 0)
+    total, size = sum(n.values()) + quality_rules.BUCKETS / 2, sum(own.values())
+
+    def ratio(b):
+        share = (n[b] + 0.5) / total
+        return math.log((own[b] + size * share) / (2 * size * share))
+
+    got = {r.bucket: r.ratio for r in ratios.where(F.col("bucket").isin(list(n)[:300])).collect()}
+    assert all(got[b] == pytest.approx(ratio(b)) for b in got) and ratios.count() == quality_rules.BUCKETS
+    mean = {k: sum(map(ratio, g)) / len(g) if g else 0.0 for k, _, g in rows}
+    held = sorted(mean[k] for k in half if half[k] == 1)
+    at = quality_rules.QUANTILE * (len(held) - 1)
+    assert threshold == pytest.approx(held[int(at)] + (at - int(at)) * (held[int(at) + 1] - held[int(at)]), abs=1e-8)
+    for r in quality_rules.judge(df, (ratios, threshold)).collect():
+        assert r.llr == pytest.approx(mean[r.doc_id], abs=1e-8)
+        assert r.kept == (not r.base_failed and r.llr >= threshold)
 
 
 URLS = ["https://www.x.net/a?b#c", "http://Example.NET/en/x", "https://a.example.net/en", "https://example.com/de/1", "ftp://b.example.com", "https://x.org/fr/", "https://org/fr/x", "nothing", "", None, "https://h.net", "https://h.net?x=/en/", "https://notnet/x", "a://b://c/d", "https://www.spam-farm.example.org/x", "https://u.example.org/wiki/Lake", "x" * 5000 + "://y.org/fr/"]
