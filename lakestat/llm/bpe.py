@@ -38,7 +38,7 @@ UNIT = 1 << 20
 #: Longer stretches without white space are cut to pre-tokens one by one.
 LONG = 4096
 #: Entries of the table of known words in each worker; when full, only those of the blocks at hand stay.
-KNOWN = 400_000
+KNOWN = 200_000
 #: Ids of a long stretch that leave at once.
 IDS_AT_ONCE = 1 << 14
 #: White space of the pre-tokenizer's pattern.

@@ -16,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Text handed to a batch function at once, in bytes. A single longer text is a batch of its own.
 SLICE_BYTES = 1 << 20
+#: Rows of texts that go to Python together, at most; Spark's default of 10,000 may be any number of bytes.
+BATCH_ROWS = 1_000
 #: Tables of so many narrow rows (some 24 MB) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -26,6 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in an Arrow batch to BATCH_ROWS where they are more: texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df``, marked for broadcast if its rows (of a few numbers) are counted and few."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -65,6 +74,7 @@ def found_in(text: Column, fields: list[T.StructField], make: Callable[[], Calla
     ``make`` runs once in each task and returns a function from a list of texts (None for null; UTF-8 bytes if
     ``raw``) to one list, numpy array or Arrow array per field.
     """
+    modest_batches(SparkSession.active())
     names, types = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
