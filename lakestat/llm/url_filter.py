@@ -23,16 +23,25 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Labelled hosts and paths; each host of a label is paired with each path of it.
 LABELLED = {
     "block": (
-        "spam-farm.example adult-videos.example my-adult-chat.example casino-royal.example lucky-slots.example cheap-pills.example pharma-discount.example hot-dates.example adult-cams.example "
-        "free-crack.example warez-world.example torrent-hub.example ad-tracker.example click-bait.example payday-loans.example seo-links.example "
-        "fake-watches.example win-prizes.example bet-now.example poker-bonus.example keygen-files.example spamlinks.example buy-followers.example",
-        "/ /win/big-bonus /cheap/pills-online /download/free-crack.exe /click?id=1 /xxx/cams",
+        "casino-royal.com bestcasino777.net online-poker-room.com luckyslots24.info betting-tips.biz sportsbet-live.com roulette-bonus.net jackpot-winner.xyz freespins.casino bingo-cash.org "
+        "cheap-pills.com pharma-discount.net viagra-online.info buy-cialis.biz canadian-drugs.top weightloss-miracle.com herbal-enhance.net no-prescription.shop "
+        "adult-cams.com xxx-videos.net hot-dates.info sexychat.live nude-girls.xyz porn-tube.org escort-guide.biz webcam-babes.com milf-dating.net erotic-stories.info "
+        "free-crack.net warez-world.org torrent-hub.info keygen-files.com serials-download.biz nulled-scripts.xyz cracked-apk.top movies-leaked.net "
+        "payday-loans.com quick-cash-now.net credit-repair-fast.info forex-signals.biz binary-options.top crypto-doubler.xyz get-rich-quick.org make-money-fast.com "
+        "replica-watches.com fake-handbags.net cheap-jerseys.shop designer-outlet-sale.top "
+        "seo-backlinks.net buy-followers.com cheap-traffic.info link-farm.biz clickbait-news.xyz spam-mailer.org bulk-email-leads.com ad-tracker.net popup-ads.info win-prizes.top free-gift-card.xyz survey-rewards.net",
+        "/ /win/big-bonus /cheap/pills-online /download/free-crack.exe /click?id=1 /xxx/cams /buy-now/50-off /go/aff?sub=12 /bonus-code/free-spins /hot/girls/online",
     ),
     "allow": (
-        "wiki.example docs.example news.example blog.example en.encyclopedia.example library.example university.example museum.example weather.example "
-        "health-ministry.example cityhall.example openscience.example m.journal.example www.school.example forum.gardening.example recipes.example "
-        "cooking.example history.example maps.example travel-notes.example code.example www.parliament.example blog.water.example m.theater.example theatre.example northern-paths.example m.thinking.example www.others.example",
-        "/ /en/1234 /fr/5678/ /de/article.html /es/2024/05/story /wiki/Water",
+        "en.wikipedia.org www.britannica.com docs.python.org www.nature.com news.bbc.co.uk www.lemonde.fr www.elpais.com www.spiegel.de blog.example.org library.university.edu archive.museum.org "
+        "www.weather.gov health.ministry.gov cityhall.town.us open-science.org journal.physics.org www.school.edu forum.gardening.net recipes.kitchen.com cooking-at-home.org local-history.info "
+        "maps.geography.org travel-notes.com code.project.io parliament.gov.uk water-research.org national-theatre.org mountain-trails.com music-theory.net "
+        "thought-and-language.org www.birdwatching.net river-ecology.info philosophy.stanford.edu chess-club.org community-choir.net trains-and-stations.com the-daily-herald.com "
+        "northern-lights.is handcraft.ie thethirdpage.com shorelines.org weather-station.net m.heritage.org static.archive.net earthquake.usgs.gov statistics.office.eu "
+        "astronomy-today.com gardens-of-england.co.uk linguistics.uni.de bibliothek.stadt.de zeitung-online.de schule-am-see.de rezepte-und-mehr.de musee-des-arts.fr "
+        "bibliotheque-nationale.fr recettes-simples.fr histoire-de-france.fr ayuntamiento.es noticias-locales.es recetas-caseras.es cultura-y-arte.es open-data.city.org "
+        "mathematics.stack.net oceanography.edu childrens-books.org engineering-notes.io photography-basics.com old-maps.org",
+        "/ /en/1234 /fr/5678/ /de/article.html /es/2024/05/story /wiki/Water /news/2023/10/12/election-results /articles/how-rivers-form /docs/install.html /about /blog/a-walk-in-the-hills /section/science",
     ),
 }
 
@@ -74,11 +83,11 @@ def labelled(spark: SparkSession) -> DataFrame:
     return reduce(DataFrame.unionByName, tables).coalesce(1)
 
 
-def features(df: DataFrame, url_col: str) -> DataFrame:
-    """``df`` with host, path and hashed n-grams."""
+def features(df: DataFrame, url_col: str, prefix: str = "_") -> DataFrame:
+    """``df`` with host, path and hashed n-grams, the latter two columns named by the prefix."""
     host, path = host_and_path(F.col(url_col))
-    df = df.withColumn("host", host).withColumn("path", path).withColumn("_grams", ngrams(F.col("host"), F.col("path")))
-    return HashingTF(numFeatures=BUCKETS, binary=True, inputCol="_grams", outputCol="_features").transform(df)
+    df = df.withColumn(f"{prefix}host", host).withColumn(f"{prefix}path", path).withColumn(f"{prefix}grams", ngrams(F.col(f"{prefix}host"), F.col(f"{prefix}path")))
+    return HashingTF(numFeatures=BUCKETS, binary=True, inputCol=f"{prefix}grams", outputCol=f"{prefix}features").transform(df)
 
 
 def train(spark: SparkSession) -> LogisticRegressionModel:
@@ -92,12 +101,19 @@ def judge(pages: DataFrame, model: LogisticRegressionModel, url_col: str = "url"
     """``pages`` with host, path, rule, verdict and p_block.
 
     The longest fitting rule decides; where none fits, p_block >= 0.5 blocks. An address without host (null, empty or
-    without ``://``) has nothing to go by and is allowed, with p_block 0. Columns of these names are replaced.
+    without ``://``) has nothing to go by and is allowed, with p_block 0. Repeated rows give repeated results. Columns of
+    these names are replaced; no other name clashes.
     """
     made = ("host", "path", "rule", "verdict", "p_block")
-    own = [c for c in pages.columns if c.lower() not in made]
-    df = model.transform(features(pages.select(own), url_col))
-    rule, verdict = matched_rule(F.col("host"), F.col("path"))
-    p = F.when(F.col("host") == "", F.lit(0.0)).otherwise(F.round(vector_to_array("_probability")[1], 9))
-    df = df.withColumn("p_block", p)
-    return df.select(*own, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")).alias("verdict"), "p_block")
+    own = [F.col(c) for c in pages.columns if c.lower() not in made]
+    p = "_u"
+    while any(c.lower().startswith(p) for c in pages.columns):
+        p += "_"
+    names = {"featuresCol": f"{p}features", "predictionCol": f"{p}prediction", "rawPredictionCol": f"{p}raw", "probabilityCol": f"{p}probability"}
+    model = model.copy({model.getParam(k): v for k, v in names.items()})
+    df = model.transform(features(pages, url_col, p))
+    host, path = F.col(f"{p}host"), F.col(f"{p}path")
+    rule, verdict = matched_rule(host, path)
+    share = F.when(host == "", F.lit(0.0)).otherwise(F.round(vector_to_array(f"{p}probability")[1], 9))
+    df = df.withColumn(f"{p}share", share)
+    return df.select(*own, host.alias("host"), path.alias("path"), rule.alias("rule"), F.coalesce(verdict, F.when(F.col(f"{p}share") >= 0.5, "block").otherwise("allow")).alias("verdict"), F.col(f"{p}share").alias("p_block"))
