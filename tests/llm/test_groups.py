@@ -124,6 +124,22 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.link(df.limit(0)).count() == 0
 
 
+def test_embeddings_repeated_ids(spark):
+    """An id with two vectors has two rows, each with its own links."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [1.0, 0.02]), (None, [0.01, 1.0]), (4, [0.0, -1.0]), (4, [0.0, -1.0])]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == sorted([(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 2, 1, False), (0, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)])
+
+
+def test_embedding_blocks_have_room():
+    """Blocks of the most cells stay apart and within 64 bits."""
+    g = np.random.default_rng(3)
+    x = embedding_dedup.unit(g.normal(size=(4000, 16)))
+    cells = embedding_dedup.Cells(x, 10.0**6)
+    place = cells.place(x @ cells.turn[:, : embedding_dedup.AXES])
+    assert len(set(place.tolist())) == 1 << embedding_dedup.DEPTH and max(place) << 32 < 1 << 62
+
+
 def brute_targets(sizes, weights=(5, 2, 1), most=3):
     """Words wanted of each (source, size): shares by weight, capped, the excess reshared."""
     order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
