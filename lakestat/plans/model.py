@@ -13,7 +13,7 @@ TYPES = ("Lake", "Reservoir", "Pond", "Wetland")
 def bodies(spark: SparkSession, d: str) -> DataFrame:
     """Water bodies: suppliers with their nation as district and region as state, on rectangles."""
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
-    df = table(spark, d, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    df = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     k = F.col("s_suppkey")
     lon, lat, w = 72 + (k * 37 % 800) / F.lit(100.0), 15 + (k * 53 % 700) / F.lit(100.0), 0.02 + (k % 10) / F.lit(100.0)
     corners = [(lon, lat), (lon + w, lat), (lon + w, lat + w), (lon, lat + w), (lon, lat)]
@@ -70,7 +70,7 @@ def alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Pixels: each vector is a scene of 8 by 8, its bands the values at shifted places."""
+    """Pixels: each vector of 64 values is a scene of 8 by 8, its bands the values at shifted places; others are no scenes."""
     e = table(spark, d, "embeddings").where("size(embedding) = 64").select(F.col("vec_id").alias("scene_id"), "label", "embedding", F.posexplode("embedding").alias("pos", "_v"))
     at = {b: F.abs(F.get("embedding", (F.col("pos") + k) % 64).cast("double")) for k, b in enumerate(("b02", "b03", "b04", "b08", "b11"))}
     return e.select("scene_id", F.floor(F.col("pos") / 8).cast("int").alias("row"), (F.col("pos") % 8).cast("int").alias("col"), *[c.alias(b) for b, c in at.items()], ((F.col("label") + F.col("pos")) % 12).alias("scl"))
