@@ -4,134 +4,32 @@ The model is of characters as they are (code points, order 4): words of this kin
 shows in its characters. Its tables grow with the trusted text: counts are gathered sharded by n-gram; discounts,
 continuation counts and interpolation weights are aggregations and joins of the count tables. Nothing of the model
 is collected. Documents are packed in chunks of some CHUNK_BYTES; a chunk's distinct n-grams, far fewer than its
-characters, are joined to the probabilities, and what comes back meets the chunk again, to be summed by document. A document is kept if its perplexity is at most that of nearly all trusted documents of its language.
+characters, are joined to the probabilities, and what comes back (by their places in the chunk's list) meets the chunk
+again, to be summed by document. A document is kept if its perplexity is at most that of nearly all trusted documents of
+its language.
 """
 
 from __future__ import annotations
 
 import bz2
-import unicodedata
-import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, slices, written
+from .common import discard, modest_batches, slices, small, tidy, written
 
-ORDER, SYMBOLS, BITS = 4, 64, 6
+ORDER = 4
 #: Share of a language's trusted documents whose perplexity sets its threshold.
 QUANTILE = 0.998
-#: Trusted ids are broadcast up to this many (8 MB); beyond, the texts are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Steps of a log-probability where it travels back to its documents.
+SCALE = 1 << 24
 #: Text of the documents that are scored together, in bytes.
-CHUNK_BYTES = 8 << 20
-
-# The dense model of 64 classes of characters: codes, counts, train and score. ``classify`` does not use it.
-_PUNCTUATION = ".,;:!?'\"()-_/=*#$%&|<>@+"
-_ACCENTED = {"a": 52, "e": 53, "i": 54, "o": 55, "u": 56, "n": 57, "c": 58, "s": 59, "y": 60}
-OTHER_LETTER, OTHER, LINE_END = 61, 62, 63
-
-
-def _symbol(c: str) -> int:
-    if c == "\n":
-        return LINE_END
-    if c.isspace():
-        return 0
-    if c.isalpha():
-        if c.isascii():
-            return ord(c.lower()) - 96
-        base = "s" if c == "ß" else unicodedata.normalize("NFD", c.lower())[0]
-        return _ACCENTED.get(base, OTHER_LETTER)
-    if c.isdigit():
-        return 27
-    return 28 + _PUNCTUATION.index(c) if c in _PUNCTUATION else OTHER
-
-
-_TABLE = np.array([_symbol(chr(i)) for i in range(0x250)], dtype=np.uint8)
-
-
-def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character of the texts, one after another, and where each text starts."""
-    size = np.array([len(t) for t in texts], dtype=np.int64)
-    points = np.frombuffer("".join("   " + t for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    s = np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], OTHER_LETTER).astype(np.int32)
-    code = s.copy()
-    for k in range(1, ORDER):
-        code[k:] |= s[:-k] << (BITS * k)
-    inside = np.ones(len(points), dtype=bool)
-    starts = np.concatenate([[0], np.cumsum(size + ORDER - 1)[:-1]])
-    for k in range(ORDER - 1):
-        inside[starts + k] = False
-    return code[inside], np.concatenate([[0], np.cumsum(size)[:-1]])
-
-
-def counts(trusted: DataFrame, text_col: str) -> DataFrame:
-    """(code, n): the n-grams of all trusted texts."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, 0):
-                texts = [t for t in part.column(0).to_pylist() if t]
-                if texts:
-                    code, n = np.unique(codes(texts)[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(n)], names=["code", "n"])
-
-    return trusted.select(text_col).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _discounts(table: DataFrame) -> list[float]:
-    n = [getattr(table.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first(), f"n{k}") for k in (1, 2, 3, 4)]
-    if not all(n):
-        return [0.5, 1.0, 1.5]
-    y = n[0] / (n[0] + 2 * n[1])
-    return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k) for k in (1, 2, 3)]
-
-
-def train(trusted: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Log-probability of the last symbol of each n-gram, by code, as 16-bit floats."""
-    tables = [written(counts(trusted, text_col), "ngrams")]
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: how many symbols come before
-        tables.append(written(tables[-1].groupBy(F.col("code").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("code")).agg(F.count("*").alias("n")), "ngrams"))
-    p = np.full(1, 1 / SYMBOLS)
-    for k, table in enumerate(reversed(tables), start=1):
-        d = _discounts(table)
-        discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        own = table.withColumn("context", F.shiftright("code", BITS)).withColumn("discount", discount)
-        contexts = own.groupBy("context").agg(F.sum("n").alias("total"), F.sum("discount").alias("spared"))
-        seen = own.join(contexts, "context").select("code", ((F.col("n") - F.col("discount")) / F.col("total")).alias("p")).toArrow()
-        rest = contexts.select("context", (F.col("spared") / F.col("total")).alias("p")).toArrow()
-        weight = np.ones(SYMBOLS ** (k - 1), dtype=np.float32)
-        weight[np.asarray(rest.column("context"))] = np.asarray(rest.column("p"))
-        lower = np.full(SYMBOLS, p[0], dtype=np.float32) if k == 1 else np.tile(p, SYMBOLS)
-        p = (np.repeat(weight, SYMBOLS) * lower).astype(np.float32)
-        p[np.asarray(seen.column("code"))] += np.asarray(seen.column("p"), dtype=np.float32)
-    return np.log(p).astype(np.float16)
-
-
-def score(docs: DataFrame, model: np.ndarray, text_col: str = "text") -> DataFrame:
-    """``docs`` with perplexity, per character; null for null and empty texts. Whole texts are read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def make():
-        model = shared.value
-
-        def work(texts):
-            out: list[float | None] = [None] * len(texts)
-            at = [k for k, t in enumerate(texts) if t]
-            if at:
-                code, starts = codes([texts[k] for k in at])
-                sums = np.add.reduceat(model[code].astype(np.float64), starts)
-                for k, s in zip(at, sums, strict=True):
-                    out[k] = float(np.exp(-s / len(texts[k])))
-            return [out]
-
-        return work
-
-    return append_columns(docs, text_col, [T.StructField("perplexity", T.DoubleType())], make)
+CHUNK_BYTES = 10 << 20
 
 
 class Grams:
@@ -141,20 +39,24 @@ class Grams:
         pad = " " * (ORDER - 1)
         size = np.array([len(t) for t in texts], dtype=np.int64)
         points = np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        self.alphabet = np.unique(points)
-        bits = len(self.alphabet).bit_length()
-        s = np.searchsorted(self.alphabet, points).astype(np.int64)
-        self.width = max(bits, 1)
+        seen = np.zeros(0x110000, dtype=bool)
+        seen[points] = True
+        self.alphabet = np.flatnonzero(seen).astype(np.uint32)
+        s = (np.cumsum(seen, dtype=np.int32) - 1)[points]
+        del points
+        self.width = max(len(self.alphabet).bit_length(), 1)
+        self.pairs = None
         if self.width * ORDER > 62:  # more symbols than fit: number the pairs
-            pairs, s = np.unique((s << 32)[:-1] | s[1:], return_inverse=True)
-            code = s[: -2] << 32 | s[2:]
-            self.pairs = pairs
+            self.pairs, s = np.unique(s[:-1].astype(np.int64) << 32 | s[1:], return_inverse=True)
+            code = s[:-2] << 32 | s[2:]
         else:
-            self.pairs = None
+            if self.width * ORDER > 31:
+                s = s.astype(np.int64)
             code = s[ORDER - 1 :].copy()
             for k in range(1, ORDER):
                 code |= s[ORDER - 1 - k : -k] << (self.width * k)
-        inside = np.ones(len(points), dtype=bool)
+        del s
+        inside = np.ones(len(code) + ORDER - 1, dtype=bool)
         starts = np.concatenate([[0], np.cumsum(size + ORDER - 1)[:-1]])
         for k in range(ORDER - 1):
             inside[starts + k] = False
@@ -179,17 +81,34 @@ class Grams:
 def gram_counts(trusted: DataFrame, text_col: str) -> DataFrame:
     """(gram, n): the n-grams of all trusted texts, each a string of ORDER characters."""
 
+    def counted(texts: list[str]) -> pa.RecordBatch:
+        grams = Grams(texts)
+        code, n = grams.distinct()
+        return pa.RecordBatch.from_arrays([grams.spelled(code), pa.array(n, pa.int64())], names=["gram", "n"])
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch, 0):
-                if texts := [t for t in part.column(0).to_pylist() if t]:
-                    grams = Grams(texts)
-                    code, n = grams.distinct()
-                    yield pa.RecordBatch.from_arrays([grams.spelled(code), pa.array(n, pa.int64())], names=["gram", "n"])
+                held += [t for t in part.column(0).to_pylist() if t]
+                size += part.nbytes
+                if size >= CHUNK_BYTES and held:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     return trusted.select(text_col).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def _discounts(table: DataFrame) -> list[float]:
+    n = [getattr(table.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first(), f"n{k}") for k in (1, 2, 3, 4)]
+    if not all(n):
+        return [0.5, 1.0, 1.5]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k) for k in (1, 2, 3)]
+
+
 def levels(trusted: DataFrame, text_col: str = "text") -> list[tuple[DataFrame, DataFrame]]:
     """For each order from 1: (gram, own) of the seen n-grams, and (context, rest) of the contexts.
 
@@ -221,30 +140,49 @@ def probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) ->
         needed.append(written(needed[-1].select(F.expr("substring(gram, 2)").alias("gram")).distinct(), "needed"))
     lower = None
     for k, (need, (seen, contexts)) in enumerate(zip(reversed(needed), model, strict=True), start=1):
+        shorter = lower
         df = need.join(seen, "gram", "left").withColumn("context", F.substring("gram", 1, k - 1)).join(contexts, "context", "left")
         if lower is None:
             df = df.withColumn("less", F.lit(uniform))
         else:
             df = df.withColumn("shorter", F.expr("substring(gram, 2)")).join(lower.select(F.col("gram").alias("shorter"), F.col("p").alias("less")), "shorter")
         lower = written(df.select("gram", (F.coalesce("own", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("less")).alias("p")), "probabilities")
+        discard(shorter, need)
     return lower.select("gram", F.log("p").alias("logp"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(chunk, docs, grams) for each CHUNK_BYTES of text: its rows as a compressed Arrow stream, and its distinct n-grams."""
+    """(chunk, docs, grams) for each CHUNK_BYTES of text: its rows as a compressed Arrow stream, and its distinct n-grams.
+
+    Chunks are numbered by task and place.
+    """
     at = docs.columns.index("text")
 
+    def chunk_of(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(parts).combine_chunks()
+        texts = [t for t in part.column(at).to_pylist() if t]
+        grams = Grams(texts) if texts else None
+        del texts
+        spelled = grams.spelled(grams.distinct()[0]) if grams else pa.array([], pa.string())
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema) as stream:
+            stream.write_table(part)
+        rows = [pa.array([number], pa.int64()), pa.array([bz2.compress(sink.getvalue())], pa.binary()), pa.array([spelled], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(rows, names=["chunk", "docs", "grams"])
+
     def run(batches):
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
         for batch in batches:
-            for part in slices(batch, at, CHUNK_BYTES):
-                texts = [t for t in part.column(at).to_pylist() if t]
-                grams = Grams(texts) if texts else None
-                spelled = grams.spelled(grams.distinct()[0]) if grams else pa.array([], pa.string())
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema) as stream:
-                    stream.write_batch(part)
-                rows = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([bz2.compress(sink.getvalue())], pa.binary()), pa.array([spelled], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(rows, names=["chunk", "docs", "grams"])
+            for part in slices(batch, at):
+                held.append(part)
+                size += part.column(at).nbytes
+                if size >= CHUNK_BYTES:
+                    number += 1
+                    yield chunk_of(number, held)
+                    held, size = [], 0
+        if held:
+            yield chunk_of(number + 1, held)
+        tidy()
 
     return written(docs.mapInArrow(run, "chunk long, docs binary, grams array<string>"), "packed")
 
@@ -259,16 +197,20 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> D
         if at := [k for k, t in enumerate(texts) if t]:
             grams = Grams([texts[k] for k in at])
             code, _ = grams.distinct()
-            logp = dict(zip(told.column("gram").to_pylist(), told.column("logp").to_pylist(), strict=True))
-            own = np.array([logp[g] for g in grams.spelled(code).to_pylist()])
+            own = np.empty(len(code))
+            known = np.asarray(told.column("known"))
+            own[known >> 32] = (known & 0xFFFFFFFF) / -SCALE
             sums = np.add.reduceat(own[np.searchsorted(code, grams.code)], grams.starts)
             for k, s in zip(at, sums, strict=True):
                 out[k] = float(np.exp(-s / len(texts[k])))
         return pa.table({"doc_id": part.column("doc_id"), "lang": part.column("lang"), "perplexity": pa.array(out, pa.float64())})
 
     chunks = packed(docs.select("doc_id", "lang", "text"))
-    asked = chunks.select(F.col("chunk").alias("of"), F.explode("grams").alias("gram"))
-    told = asked.join(probabilities(written(asked.select("gram").distinct(), "needed"), model), "gram")
+    asked = chunks.select(F.col("chunk").alias("of"), F.posexplode("grams").alias("place", "gram"))
+    known = probabilities(written(asked.select("gram").distinct(), "needed"), model)
+    # A place and a log-probability in one number.
+    packed_up = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.round(F.col("logp") * -SCALE).cast("long"))
+    told = asked.join(known, "gram").select("of", packed_up.alias("known"))
     schema = T.StructType([docs.schema["doc_id"], docs.schema["lang"], T.StructField("perplexity", T.DoubleType())])
     return chunks.select("chunk", "docs").groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(answer, schema)
 
@@ -281,8 +223,9 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     together, and without any trusted document the threshold is null and all that have text are kept. Rows without
     text have no perplexity and are not kept. A null language is one of its own.
     """
+    modest_batches(docs.sparkSession)
     ids = written(trusted_ids.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct(), "trusted")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    side = small(ids)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = levels(own.join(side, "doc_id", "left_semi"), "text")
     scored = written(perplexities(own, model), "perplexity")
