@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, found_in, private, slices, small, written
+from .common import discard, found_in, private, slices, small, tidy, written
 from .components import components
 
 SHINGLE = 4
@@ -42,7 +42,7 @@ PARTS = 16
 #: Bits of the slots of the sketches that order coordinates and shingles: four slots a node, a byte each, broadcast.
 LEAST_BITS, MOST_BITS = 20, 24
 #: Bounds of a block of nodes that meets another in one task, and columns of the matrices multiplied at once.
-TILE_ROWS, TILE_SHINGLES, TILE_COLUMNS = 512, 400_000, 4096
+TILE_ROWS, TILE_SHINGLES, TILE_COLUMNS = 128, 200_000, 4096
 #: Bytes hashed at once; longer words extend a block.
 BLOCK = 1 << 20
 
@@ -214,6 +214,7 @@ def postings(nodes: DataFrame, n_nodes: int) -> DataFrame:
                 ids, sizes = (np.repeat(np.asarray(part.column(c)), PREFIX) for c in (0, 1))
                 chosen = np.take_along_axis(tokens, first, 1).astype(np.int64).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(chosen), pa.array(ids), pa.array(sizes), pa.array(np.repeat(n.sum(axis=1, dtype=np.int64), PREFIX))], names=["token", "node", "n_shingles", "central"])
+        tidy()
 
     return nodes.select("node", "n_shingles", "sig").mapInArrow(run, "token long, node long, n_shingles long, central long")
 
@@ -253,6 +254,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     return written(_both(pairs, sets, "set").mapInArrow(exact, "a long, b long"), "confirmed")
 
@@ -275,6 +277,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str,
                 part = part.take(pa.array(new, pa.int64()))
                 sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), shingle)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
+        tidy()
 
     keys = nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("of"), F.col("t1").alias("t"))
     keys = small(written(keys, "wanted"))
