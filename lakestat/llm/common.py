@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,6 +69,14 @@ def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES) -> Ite
         start += len(piece)
 
 
+def tidy() -> None:
+    """Gives what a task has used back to the system: its worker lives on, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def found_in(text: Column, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], raw: bool = False) -> Column:
     """A struct of ``fields`` computed from a text column in Arrow batches: only texts go to Python, only results come back.
 
@@ -85,6 +94,8 @@ def found_in(text: Column, fields: list[T.StructField], make: Callable[[], Calla
                 found = work(part.to_pylist())
                 parts.append(pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(found, types, strict=True)], names=names))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(zip(names, types, strict=True))))
+        del work
+        tidy()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     # Deterministic, but never to be computed twice for a filter and a column.

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, found_in, slices, small, written
+from .common import append_columns, found_in, slices, small, tidy, written
 
 #: Hash buckets for n-grams of all orders together, at most; there are fewer only where the languages would make the
 #: matrix larger than CELLS.
@@ -106,6 +106,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
                     n = sum(np.bincount(h[mask], minlength=buckets) for h in orders)
                     at = np.flatnonzero(n)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
+        tidy()
 
     counts = chosen(rows, F.col("_lang"), "_id").select("_lang", "_text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toArrow()

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, found_in, slices
+from .common import append_columns, found_in, slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the field finds, in the order of results.
@@ -226,6 +226,7 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarr
             if seen:
                 keys = np.array(list(seen))
                 yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, i]) for i in range(3)), pa.array(list(seen.values()), pa.int64())], names=["what", "a", "b", "n"])
+        tidy()
 
     rows = docs.select(text_col).mapInArrow(count, "what long, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).orderBy("what", "a", "b").collect()
     pairs, seen = np.full((2, len(LABELS), len(LABELS)), 0.5), {}
