@@ -326,7 +326,9 @@ def anomalous_pixels(scored: DataFrame) -> DataFrame:
         return part.loc[part["region"] > 0]
 
     values = ["score", "confidence", *(f"{k}_score" for k in ("turbidity", "chlorophyll", "algal") if f"{k}_score" in scored.columns)]
-    hot = scored.where(F.col("water") & (F.col("score") >= REGION_SCORE)).select("scene_id", "row", "col", *[F.col(c).cast("double").alias(c) for c in values])
+    # Through inline, scores are worked out once: as a plain filter their whole expression would be repeated.
+    once = F.inline(F.array(F.struct((F.col("water") & (F.col("score") >= REGION_SCORE)).alias("hot"), *[F.col(c).cast("double").alias(c) for c in values])))
+    hot = scored.select("scene_id", "row", "col", once).where("hot").drop("hot")
     return by_scene(hot, run, f"scene_id long, row int, col int, {', '.join(f'{c} double' for c in values)}, region long")
 
 

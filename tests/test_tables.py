@@ -274,3 +274,11 @@ def test_scores_need_no_percentiles(spark):
     df = spark.createDataFrame([], "water_body_id long, observation_date timestamp_ntz, mask_quality_status string, cloud_percentage double, turbidity_indicator double, chlorophyll_indicator double, algal_indicator double, water_area_km2 double")
     assert "percentile" not in baseline.anomalies(baseline.prior_baseline(df))._jdf.queryExecution().optimizedPlan().toString()
     assert history.snapshots is not None
+
+
+def test_tables_of_a_database(spark):
+    """A table read in ranges of its key, from the database that Spark brings along."""
+    url, driver = "jdbc:derby:memory:lakes;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    spark.range(100).select("id", (F.col("id") * 2).alias("x")).write.jdbc(url, "lakes", properties={"driver": driver})
+    df = readers.jdbc(spark, url, "lakes", "id", 0, 100, 4, driver=driver).toDF("id", "x")
+    assert df.rdd.getNumPartitions() == 4 and df.where("id >= 90").count() == 10 and df.where("x != 2 * id").isEmpty()
