@@ -26,6 +26,8 @@ from .common import discard, modest_batches, slices, small, tidy, written
 ORDER = 4
 #: Share of a language's trusted documents whose perplexity sets its threshold.
 QUANTILE = 0.998
+#: A text of n characters may be more perplexing by this over the root of n: the mean over few characters varies more.
+ALLOWANCE = 4.0
 #: Steps of a log-probability where it travels back to its documents.
 SCALE = 1 << 24
 #: Text of the documents that are scored together, in bytes.
@@ -188,7 +190,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(doc_id, lang, perplexity) of every row, per character; null for null and empty texts. Whole texts are read."""
+    """(doc_id, lang, chars, perplexity) of every row, per character; null for null and empty texts. Whole texts are read."""
 
     def answer(rows: pa.Table, told: pa.Table) -> pa.Table:
         part = pa.ipc.open_stream(bz2.decompress(rows.column("docs")[0].as_py())).read_all()
@@ -203,7 +205,7 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> D
             sums = np.add.reduceat(own[np.searchsorted(code, grams.code)], grams.starts)
             for k, s in zip(at, sums, strict=True):
                 out[k] = float(np.exp(-s / len(texts[k])))
-        return pa.table({"doc_id": part.column("doc_id"), "lang": part.column("lang"), "perplexity": pa.array(out, pa.float64())})
+        return pa.table({"doc_id": part.column("doc_id"), "lang": part.column("lang"), "chars": pa.array([len(t or "") for t in texts], pa.int64()), "perplexity": pa.array(out, pa.float64())})
 
     chunks = packed(docs.select("doc_id", "lang", "text"))
     asked = chunks.select(F.col("chunk").alias("of"), F.posexplode("grams").alias("place", "gram"))
@@ -211,17 +213,18 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> D
     # A place and a log-probability in one number.
     packed_up = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.round(F.col("logp") * -SCALE).cast("long"))
     told = asked.join(known, "gram").select("of", packed_up.alias("known"))
-    schema = T.StructType([docs.schema["doc_id"], docs.schema["lang"], T.StructField("perplexity", T.DoubleType())])
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["lang"], T.StructField("chars", T.LongType()), T.StructField("perplexity", T.DoubleType())])
     return chunks.select("chunk", "docs").groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(answer, schema)
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) of every row.
 
-    ``trusted_ids``: ids of good documents. The threshold of a language is the QUANTILE of its trusted documents'
-    perplexities in hundredths, exact, from their counts; languages without trusted documents take that of all
-    together, and without any trusted document the threshold is null and all that have text are kept. Rows without
-    text have no perplexity and are not kept. A null language is one of its own.
+    ``trusted_ids``: ids of good documents. Of their perplexities, less the allowance for their lengths and in
+    hundredths, the QUANTILE of each language, exact, from their counts, sets its threshold; a document's own has its
+    allowance again. Languages without trusted documents take the quantile of all together, and without any trusted
+    document the threshold is null and all that have text are kept. Rows without text have no perplexity and are not
+    kept. A null language is one of its own. Repeated rows give repeated results; other columns play no part.
     """
     modest_batches(docs.sparkSession)
     ids = written(trusted_ids.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct(), "trusted")
@@ -229,7 +232,8 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = levels(own.join(side, "doc_id", "left_semi"), "text")
     scored = written(perplexities(own, model), "perplexity")
-    cells = scored.where("perplexity is not null").join(side, "doc_id", "left_semi").groupBy("lang", F.ceil(F.col("perplexity") * 100).alias("cell")).agg(F.count("*").alias("n"))
+    allowed = 1 + ALLOWANCE / F.sqrt(F.greatest(F.col("chars"), F.lit(1)))
+    cells = scored.where("perplexity is not null").join(side, "doc_id", "left_semi").groupBy("lang", F.ceil(F.col("perplexity") / allowed * 100).alias("cell")).agg(F.count("*").alias("n"))
     cells = written(cells, "cells")
 
     def quantile(part: DataFrame, *by: str) -> DataFrame:
@@ -240,6 +244,6 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     pooled = quantile(cells.groupBy("cell").agg(F.sum("n").alias("n"))).first()
     by_lang = quantile(cells, "lang").withColumnRenamed("lang", "l")
     found = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left")
-    found = found.withColumn("threshold", F.coalesce("threshold", F.lit(pooled.threshold if pooled else None).cast("double")))
+    found = found.withColumn("threshold", F.coalesce("threshold", F.lit(pooled.threshold if pooled else None).cast("double")) * allowed)
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.col("perplexity").isNotNull() & F.col("threshold").isNull())
     return found.select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"))
