@@ -381,7 +381,7 @@ def outlines(components: DataFrame, left: float, top: float, size: float, zone:
     return flat.select("scene_id", "component", "part", F.transform("flat", degrees).alias("ring"))
 
 
-#: Outlines of a smaller area, in square metres, are not part of a boundary.
+# Fixed value: outlines of at most this area, in square metres, are not part of a boundary.
 SLIVER_M2 = 2000.0
 
 
