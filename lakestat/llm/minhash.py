@@ -311,6 +311,7 @@ def links_between(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
     placed = long.select("token", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed, "placed")
     mixed_lists = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
+    mixed_lists = small(written(mixed_lists, "mixed"))  # a list of very many nodes is one key
     open_nodes = written(placed.join(mixed_lists, "token", "left_semi").select("node", "n_shingles", "root").distinct(), "open")
     discard(listed, placed)
     if open_nodes.isEmpty():
