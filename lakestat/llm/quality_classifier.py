@@ -166,6 +166,7 @@ def packed(docs: DataFrame) -> DataFrame:
         grams = Grams(texts) if texts else None
         del texts
         spelled = grams.spelled(grams.distinct()[0]) if grams else pa.array([], pa.string())
+        del grams
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, part.schema) as stream:
             stream.write_table(part)
