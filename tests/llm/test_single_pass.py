@@ -268,7 +268,7 @@ def test_log_ratios_against_counts(spark):
 
     def ratio(b):
         share = (n[b] + 0.5) / total
-        return math.log((own[b] + size * share) / (2 * size * share))
+        return round(math.log((own[b] + size * share) / (2 * size * share)), quality_rules.RATIO_DIGITS)
 
     got = {r.bucket: r.ratio for r in ratios.where(F.col("bucket").isin(list(n)[:300])).collect()}
     assert all(got[b] == pytest.approx(ratio(b)) for b in got) and ratios.count() == quality_rules.BUCKETS
