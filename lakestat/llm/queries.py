@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, language_id, license_scan, minhash, mixing, pii, quality_classifier, quality_rules, url_filter
+from . import bpe, collocations, embedding_dedup, language_id, license_scan, minhash, mixing, periodic_runs, pii, quality_classifier, quality_rules, topk_search, url_filter
 from .common import table
 
 
@@ -81,6 +81,24 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), trusted)
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors with the largest inner product for every vector whose id is divisible by 20."""
+    return topk_search.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return collocations.mine(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document; a tenth of them, by the hash of the id, with a repeated tail."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    found = periodic_runs.find(docs, seed=F.when(h % 10 == 0, F.floor(h / 10)))
+    return found.select("doc_id", *periodic_runs.digests(found))
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op1 counts by its contract alone: words, base places and base labels."""
     return op1_license_scan(spark, sf_dir).drop("labels", "score")
@@ -120,6 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_pii": op10_pii,
+    "op11_topk_search": op11_topk_search,
+    "op12_collocations": op12_collocations,
+    "op13_periodic_runs": op13_periodic_runs,
     "license_base": license_base,
     "quality_base": quality_base,
     "mix_targets": mix_targets,
@@ -147,6 +168,20 @@ ORACLE_SQL: dict[str, str] = {
         links as (select x.id a, y.id b from sound x join sound y on x.id < y.id and len(x.e) = len(y.e) where list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.95), {_REACH},
         degree as (select id, count(*) n from (select a id from links union all select b from links) group by 1)
         select v.id vec_id, coalesce(n, 0) n_links, component_id, v.id = component_id kept from vectors v join low on low.id = v.id left join degree d on d.id = v.id""",
+    "op11_topk_search": """with sound as (select vec_id id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) w from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (select q.id query_id, c.id vec_id, list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * c.w[i]))::bigint score from sound q join sound c on q.id % 20 = 0 and q.id != c.id)
+        select query_id, row_number() over (partition by query_id order by score desc, vec_id) rank, vec_id, score from scored qualify rank <= 20""",
+    "op12_collocations": f"""with pieces as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) p from documents),
+        split as (select row_number() over () id, lang, regexp_extract_all(p, '[^\\x20\\x09]+') w from pieces), total as (select lang, sum(len(w))::bigint n from split group by 1),
+        places as (select lang, w, unnest(range(1, len(w) + 1)) i from split), each as (select lang, w[i:i + 3] w from places),
+        f as (select lang, array_to_string(w[1:k], ' ') p, k, count(*) a from each, (values (1), (2), (3), (4)) v(k) where k <= len(w) group by all having count(*) >= 30),
+        long as (select lang, p, a, k, string_split(p, ' ') w, unnest(range(1, k)) j from f where k > 1), parts as (select lang, p, a, j, array_to_string(w[1:j], ' ') head, array_to_string(w[j + 1:], ' ') rest from long),
+        cuts as (select c.*, h.a l, t.a r, (2000000::hugeint * c.a) // (h.a + t.a) score from parts c join f h on h.lang = c.lang and h.p = c.head join f t on t.lang = c.lang and t.p = c.rest),
+        best as (select distinct on (lang, p) * from cuts order by lang, p, score, j),
+        within as (select distinct lang, a, array_to_string(w[i:i + m - 1], ' ') p from (select lang, a, k, w, unnest(range(1, k)) i from long), (values (2), (3)) v(m) where m < k and i + m - 1 <= k),
+        most as (select lang, p, max(a) a from within group by 1, 2), kept as (select b.* from best b left join most m using (lang, p) where m.a is null or 100 * m.a < 80 * b.a)
+        select lang, row_number() over (partition by lang order by score desc, a desc, p) rank, p phrase, a, l, r, n, score::bigint score from kept join total using (lang) qualify rank <= 2000""",
     "license_base": f"""select doc_id, len(w) n_words, len(p0) + len(p1) + len(p2) n_base, list_min(p0 || p1 || p2) - 1 first_word, list_max(p0 || p1 || p2) - 1 last_word,
         array_to_string(list_filter([case when len(p1) > 0 then 'apache-2' end, case when len(p2) > 0 then 'cc-by-nc' end, case when len(p0) > 0 then 'mit' end], lambda x: x is not null), ',') base_labels
         from (select doc_id, w, {_LICENSE} from (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents))""",
