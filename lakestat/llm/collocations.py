@@ -27,7 +27,7 @@ from .common import discard, modest_batches, tidy, written
 #: The longest phrase, how often one is found at least, the share (percent) of a phrase that makes a longer one replace it, and phrases of a language in the report.
 DEPTH, LEAST, SUBSUMED, FIRST = 4, 30, 80, 2000
 #: Text of a shard, in bytes; a single longer text is a shard of its own.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 # Capitals are lowered, tabs divide words as blanks do, these signs and line ends divide pieces.
 _FROM = bytes(range(ord("A"), ord("Z") + 1)) + b"\t" + b".,;:!?\n\x0b\x0c\r"
 _TO = bytes(range(ord("a"), ord("z") + 1)) + b" " + b"\n" * 10
@@ -49,24 +49,30 @@ class Automaton:
         if joined is not None:
             goes_on &= joined
         # Nodes of depth d: the distinct phrases of d words; a node's parent is the phrase without its first word.
-        at = np.flatnonzero(codes >= 0)
+        at = np.flatnonzero(codes >= 0).astype(np.int32)
         n_words = int(codes.max(initial=0)) + 1
         count = np.bincount(codes[at], minlength=n_words)
-        end = np.zeros(n_words, dtype=np.int64)
+        end = np.zeros(n_words, dtype=np.int32)
         end[codes[at]] = at
-        node = codes[at].astype(np.int64)
-        levels = [(count, end, np.full(n_words, -1, dtype=np.int64))]
+        node = codes[at]
+        levels = [(count.astype(np.int32), end, np.full(n_words, -1, dtype=np.int32))]
         base = 0
         for d in range(2, depth + 1):
             further = at[at >= d - 1]
             node = node[len(at) - len(further) :]
             longer = goes_on[further - d + 2]
             at, node = further[longer], node[longer]
-            key, first, inverse, count = np.unique(node * n_words + codes[at - d + 1], return_index=True, return_inverse=True, return_counts=True)
-            levels.append((count, at[first], base + key // n_words))
+            key = node.astype(np.int64) * n_words + codes[at - d + 1]
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            key = key[order]
+            new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+            first = np.flatnonzero(new)
+            count = np.diff(np.r_[first, len(key)]).astype(np.int32)
+            levels.append((count, at[order[first]], (base + key[first] // n_words).astype(np.int32)))
             base += len(levels[-2][0])
-            node = inverse.reshape(-1)
-        sizes = np.repeat(np.arange(1, depth + 1), [len(c) for c, _, _ in levels])
+            node[order] = np.cumsum(new, dtype=np.int32) - 1
+            del key, order, new
+        sizes = np.repeat(np.arange(1, depth + 1, dtype=np.int32), [len(c) for c, _, _ in levels])
         count, end, parent = (np.concatenate(x) for x in zip(*levels, strict=True))
         # A phrase with as many places as its suffix ends at the same ones: one state, named by the longer.
         longest = count > 0
@@ -113,6 +119,7 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, codes = shard_of(waiting.pop(lang))
         del sizes[lang]
         made += 1
+        tidy()
         lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary()))
         values = [[(part << 32) + made], [lang], [int((codes >= 0).sum())], lists, [codes.tobytes()]]
         types = [pa.int64(), pa.string(), pa.int64(), None, pa.binary()]
@@ -161,7 +168,7 @@ def words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for shard, lang, words, codes in _shards(batch):
             yield from _rows(shard, lang, words, codes, Automaton(codes, 2).phrases())
-    tidy()
+            tidy()
 
 
 def long_phrases(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
@@ -177,7 +184,7 @@ def long_phrases(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.R
             if inside.any():
                 kept = codes[inside]
                 yield from _rows(shard, lang, words, kept, Automaton(kept, depth, chained[inside]).phrases(3))
-    tidy()
+            tidy()
 
 
 def _summed(rows: DataFrame, least: int) -> DataFrame:
