@@ -32,7 +32,7 @@ SHARD_BYTES = 8 << 20
 _FROM = bytes(range(ord("A"), ord("Z") + 1)) + b"\t" + b".,;:!?\n\x0b\x0c\r"
 _TO = bytes(range(ord("a"), ord("z") + 1)) + b" " + b"\n" * 10
 _TABLE = bytes.maketrans(_FROM, _TO)
-SHARD = "shard long, lang string, n long, words array<binary>, codes binary"
+SHARD = "shard long, lang string, n long, body binary"
 COUNTED = "shard long, lang string, size int, pos int, phrase string, n long"
 
 
@@ -108,6 +108,16 @@ def shard_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     return words, codes
 
 
+def packed(words: pa.Array, codes: np.ndarray) -> bytes:
+    """A shard's words and codes as one compressed record."""
+    out = pa.BufferOutputStream()
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (words.cast(pa.binary()), pa.array(codes, pa.int32()))]
+    record = pa.RecordBatch.from_arrays(lists, names=["words", "codes"])
+    with pa.ipc.new_stream(out, record.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(record)
+    return out.getvalue().to_pybytes()
+
+
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts (lang, text) as shards of one language each."""
     part, made = TaskContext.get().partitionId(), 0
@@ -120,10 +130,9 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         del sizes[lang]
         made += 1
         tidy()
-        lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary()))
-        values = [[(part << 32) + made], [lang], [int((codes >= 0).sum())], lists, [codes.tobytes()]]
-        types = [pa.int64(), pa.string(), pa.int64(), None, pa.binary()]
-        return pa.RecordBatch.from_arrays([v if t is None else pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["shard", "lang", "n", "words", "codes"])
+        values = [(part << 32) + made], [lang], [int((codes >= 0).sum())], [packed(words, codes)]
+        types = pa.int64(), pa.string(), pa.int64(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["shard", "lang", "n", "body"])
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -158,9 +167,9 @@ def _rows(shard: int, lang: str, words: pa.Array, codes: np.ndarray, found: tupl
 
 
 def _shards(batch: pa.RecordBatch) -> Iterator[tuple[int, str, pa.Array, np.ndarray]]:
-    for i in range(len(batch)):
-        shard, lang, words, codes = (batch.column(c)[i] for c in ("shard", "lang", "words", "codes"))
-        yield shard.as_py(), lang.as_py(), words.values, np.frombuffer(codes.as_buffer(), dtype=np.int32)
+    for shard, lang, body in zip(*(batch.column(c) for c in ("shard", "lang", "body")), strict=True):
+        record = pa.ipc.open_stream(body.as_buffer()).read_next_batch()
+        yield shard.as_py(), lang.as_py(), record.column("words").values, np.asarray(record.column("codes").values)
 
 
 def words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
