@@ -5,13 +5,15 @@ states are the sets of places where phrases end, ordered by suffix links, and ho
 phrases, from one word more than its link's up to its longest, share the count, so enumerating the states gives every
 distinct phrase of the shard once. Counts are then summed over all shards.
 
-A phrase is frequent only if the phrases in it are. So words and pairs are counted first; shards learn which of their
-pairs are frequent (a join by phrase, gathered by shard), and only what lies in chains of frequent pairs is enumerated
-to the full depth. This loses nothing and keeps the phrases that travel few.
+A phrase is frequent only if the phrases in it are. So words and pairs are counted first, and only what lies in chains
+of pairs that may be frequent is enumerated to the full depth. Shards know these by a bitmap of hashed frequent pairs,
+whose size is fixed: a pair that shares its bit with a frequent one only adds rows, which the sums drop again, so
+results are exact however full the bitmap is (a full one prunes nothing, and every phrase travels once per shard).
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,9 @@ _FROM = bytes(range(ord("A"), ord("Z") + 1)) + b"\t" + b".,;:!?\n\x0b\x0c\r"
 _TO = bytes(range(ord("a"), ord("z") + 1)) + b" " + b"\n" * 10
 _TABLE = bytes.maketrans(_FROM, _TO)
 SHARD = "shard long, lang string, n long, body binary"
-COUNTED = "shard long, lang string, size int, pos int, phrase string, n long"
+COUNTED = "lang string, phrase string, n long"
+#: Bits of the map of frequent pairs (16 MB).
+BITS = 1 << 27
 
 
 class Automaton:
@@ -118,7 +122,7 @@ def packed(words: pa.Array, codes: np.ndarray) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
     """Texts (lang, text) as shards of one language each."""
     part, made = TaskContext.get().partitionId(), 0
     waiting: dict[str, list[bytes]] = {}
@@ -137,18 +141,18 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             size = len(text.as_buffer())
-            if sizes.get(lang, 0) + size > SHARD_BYTES and lang in sizes:
+            if sizes.get(lang, 0) + size > shard_bytes and lang in sizes:
                 yield shard(lang)
             waiting.setdefault(lang, []).append(text.as_py())
             sizes[lang] = sizes.get(lang, 0) + size + 1
-            if sum(sizes.values()) > 2 * SHARD_BYTES:
+            if sum(sizes.values()) > 2 * shard_bytes:
                 yield shard(max(sizes, key=sizes.get))
     while sizes:
         yield shard(next(iter(sizes)))
     tidy()
 
 
-def _rows(shard: int, lang: str, words: pa.Array, codes: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+def _rows(lang: str, words: pa.Array, codes: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
     """An automaton's phrases spelled out, in batches."""
     ends, sizes, counts = found
     for s in range(0, len(ends), rows):
@@ -161,41 +165,61 @@ def _rows(shard: int, lang: str, words: pa.Array, codes: np.ndarray, found: tupl
             phrase = pc.if_else(pa.array(size == back + 1), word, pc.if_else(pa.array(inside), longer, phrase))
         k = len(end)
         yield pa.RecordBatch.from_arrays(
-            [pa.repeat(pa.scalar(shard, pa.int64()), k), pa.repeat(pa.scalar(lang), k), pa.array(size, pa.int32()), pa.array(np.arange(s, s + k), pa.int32()), phrase.cast(pa.string()), pa.array(counts[s : s + rows], pa.int64())],
-            names=["shard", "lang", "size", "pos", "phrase", "n"],
-        )
+            [pa.repeat(pa.scalar(lang), k), phrase.cast(pa.string()), pa.array(counts[s : s + rows], pa.int64())], names=["lang", "phrase", "n"]
+        )
 
 
-def _shards(batch: pa.RecordBatch) -> Iterator[tuple[int, str, pa.Array, np.ndarray]]:
-    for shard, lang, body in zip(*(batch.column(c) for c in ("shard", "lang", "body")), strict=True):
+def _shards(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    for lang, body in zip(batch.column("lang"), batch.column("body"), strict=True):
         record = pa.ipc.open_stream(body.as_buffer()).read_next_batch()
-        yield shard.as_py(), lang.as_py(), record.column("words").values, np.asarray(record.column("codes").values)
+        yield lang.as_py(), record.column("words").values, np.asarray(record.column("codes").values)
 
 
 def words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every distinct word and pair of each shard with its count; the same order whenever it is run."""
+    """Every distinct word and pair of each shard with its count."""
     for batch in batches:
-        for shard, lang, words, codes in _shards(batch):
-            yield from _rows(shard, lang, words, codes, Automaton(codes, 2).phrases())
+        for lang, words, codes in _shards(batch):
+            yield from _rows(lang, words, codes, Automaton(codes, 2).phrases())
             tidy()
 
 
-def long_phrases(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Phrases of three words and more of each shard that lie in chains of its frequent pairs (``frequent``: their positions)."""
+def may_be_frequent(lang: str, words: pa.Array, codes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Whether each word stands in one piece with the word before it and the bit of that pair is set."""
+    within = np.flatnonzero((codes[1:] >= 0) & (codes[:-1] >= 0)) + 1
+    pairs, of = np.unique(codes[within - 1].astype(np.int64) * len(words) + codes[within], return_inverse=True)
+    spelled = words.to_pylist()
+    begun = [zlib.crc32(w + b" ", zlib.crc32(lang.encode() + b"\n")) for w in spelled]
+    first, second = ((pairs // max(1, len(words))).tolist(), (pairs % max(1, len(words))).tolist())
+    bit = np.fromiter((zlib.crc32(spelled[b], begun[a]) for a, b in zip(first, second)), dtype=np.int64, count=len(pairs)) % (64 * len(bitmap))
+    out = np.zeros(len(codes), dtype=bool)
+    out[within] = ((bitmap[bit // 64] >> (bit % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)[of.reshape(-1)]
+    return out
+
+
+def long_phrases(batches: Iterator[pa.RecordBatch], depth: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Phrases of three words and more of each shard that lie in chains of pairs that may be frequent."""
     for batch in batches:
-        for i, (shard, lang, words, codes) in enumerate(_shards(batch)):
-            ends = Automaton(codes, 2).phrases()[0][np.asarray(batch.column("frequent")[i].values, dtype=np.int64)]
-            pair = np.r_[-1, np.where((codes[1:] >= 0) & (codes[:-1] >= 0), codes[:-1].astype(np.int64) * len(words) + codes[1:], -1)]
-            joined = np.isin(pair, pair[ends])
+        for lang, words, codes in _shards(batch):
+            joined = may_be_frequent(lang, words, codes, bitmap)
             # Chains of two pairs and more are laid end to end.
             chained = joined & (np.r_[False, joined[:-1]] | np.r_[joined[1:], False])
             inside = chained | np.r_[chained[1:], False]
             if inside.any():
                 kept = codes[inside]
-                yield from _rows(shard, lang, words, kept, Automaton(kept, depth, chained[inside]).phrases(3))
+                yield from _rows(lang, words, kept, Automaton(kept, depth, chained[inside]).phrases(3))
             tidy()
 
 
+def pair_bitmap(counts: DataFrame) -> np.ndarray:
+    """The bits of the frequent pairs, as BITS / 64 whole numbers: a table of that many rows at most is collected."""
+    bit = F.crc32(F.concat_ws("\n", "lang", "phrase").cast("binary")) % BITS
+    pairs = counts.where("instr(phrase, ' ') > 0").select(bit.alias("bit"))
+    packed_bits = pairs.groupBy(F.expr("cast(bit div 64 as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(BITS // 64, dtype=np.uint64)
+    bitmap[np.asarray(packed_bits.column("at"))] = np.asarray(packed_bits.column("bits")).view(np.uint64)
+    return bitmap
+
+
 def _summed(rows: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
 
@@ -208,12 +232,11 @@ def _few(phrases: DataFrame) -> DataFrame:
 
 def phrase_counts(shards: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """(lang, phrase, a) of every phrase of up to ``depth`` words with ``a`` places, at least ``least``, over all shards."""
-    short = shards.mapInArrow(words_and_pairs, COUNTED)
-    counts = written(_summed(short, least), "short")
+    counts = written(_summed(shards.mapInArrow(words_and_pairs, COUNTED), least), "short")
     if depth < 3:
         return counts
-    frequent = short.where("size = 2").join(_few(counts), ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list("pos").alias("frequent"))
-    long = shards.join(frequent, "shard").mapInArrow(lambda batches: long_phrases(batches, depth), COUNTED)
+    bitmap = shards.sparkSession.sparkContext.broadcast(pair_bitmap(counts))
+    long = shards.mapInArrow(lambda batches: long_phrases(batches, depth, bitmap.value), COUNTED)
     longer = written(_summed(long, least), "longer")
     both = written(counts.union(longer), "phrases")
     discard(counts, longer)
@@ -262,7 +285,8 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", depth:
     """
     texts = docs.select(F.coalesce(docs[lang_col], F.lit("und")).alias("lang"), docs[text_col].cast("binary").alias("text"))
     modest_batches(docs.sparkSession)
-    shards = written(texts.where("octet_length(text) > 0").mapInArrow(pack, SHARD), "shards")
+    size = SHARD_BYTES
+    shards = written(texts.where("octet_length(text) > 0").mapInArrow(lambda batches: pack(batches, size), SHARD), "shards")
     counts = phrase_counts(shards, depth, least)
     totals = shards.groupBy("lang").agg(F.sum("n").alias("n"))
     kept = scored(counts).join(subsumed(counts), ["lang", "phrase"], "left_anti")

@@ -96,7 +96,7 @@ def _batch(tiles: list[Tile]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["query_row", "query_id", "vec_id", "score"])
 
 
-def in_cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def in_cells(batches: Iterator[pa.RecordBatch], k: int, tile: int) -> Iterator[pa.RecordBatch]:
     """The best of each query in each cell; rows come by cell, queries before candidates."""
     cell, tiles, waiting = None, [], []
 
@@ -105,7 +105,7 @@ def in_cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             lists = pa.concat_arrays([w.column("weights") for w in waiting])
             rows, ids = (np.concatenate([np.asarray(w.column(c)) for w in waiting]) for c in ("row", "id"))
             dim = int(np.asarray(lists.value_lengths()).max(initial=0))
-            tiles.extend(Tile(rows[s : s + TILE], ids[s : s + TILE], matrix(lists[s : s + TILE], dim), k) for s in range(0, len(rows), TILE))
+            tiles.extend(Tile(rows[s : s + tile], ids[s : s + tile], matrix(lists[s : s + tile], dim), k) for s in range(0, len(rows), tile))
             waiting.clear()
         return tiles
 
@@ -124,8 +124,8 @@ def in_cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             lists = part.column("weights")
             own = matrix(lists, int(np.asarray(lists.value_lengths()).max(initial=0)))
             ids = part.column("id")
-            for tile in ready():
-                tile.add(np.asarray(part.column("row")), np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), own)
+            for own_tile in ready():
+                own_tile.add(np.asarray(part.column("row")), np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), own)
     if ready():
         yield _batch(tiles)
 
@@ -156,6 +156,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     queries = dealt(asked, 0, F.pmod(place, F.lit(blocks)), F.col("group"))
     candidates = dealt(rows.withColumn("block", all_blocks), 1, F.col("block"), F.pmod(place, F.lit(groups)))
     cells = queries.union(candidates).repartition(min(blocks * groups, 10_000), "cell").sortWithinPartitions("cell", "side")
-    found = cells.mapInArrow(lambda batches: in_cells(batches, k), FOUND)
+    tile = TILE
+    found = cells.mapInArrow(lambda batches: in_cells(batches, k, tile), FOUND)
     best = W.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -89,9 +89,11 @@ def prose(seed, n=400, kinds=9):
     return "".join(r.choice(w) + (" New York  City\t" if r.random() < 0.1 else "") + r.choice([" "] * 7 + ["\t", ", ", ".\n", "  ", "!? ", "\r\n", "\x0c"]) for _ in range(n))
 
 
-@pytest.mark.parametrize("shard_bytes", [400, 12 << 20])
-def test_collocations(spark, monkeypatch, shard_bytes):
+@pytest.mark.parametrize(("shard_bytes", "bits"), [(400, 64), (8 << 20, 1 << 27)])
+def test_collocations(spark, monkeypatch, shard_bytes, bits):
+    """Small and large shards, with a full bitmap of pairs and with a nearly empty one."""
     monkeypatch.setattr(collocations, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(collocations, "BITS", bits)
     rows = [(prose(k), ("en", "de", None)[k % 3]) for k in range(9)] + [(None, "en"), ("", "fr"), (" \t\n", "fr"), ("one two three", "fr"), ("b " * 300, "und"), (prose(1), "en"), (prose(1), "en"), ("z" * 50_000, "en")]
     df = spark.createDataFrame(rows, "text string, lang string").withColumn("phrase", F.lit("clash")).withColumn("n", F.lit(3)).repartition(3)
     for least, first in ((30, 2000), (4, 25)):
