@@ -119,8 +119,8 @@ class Engine:
         """
         known = results.join(self.bodies.where("active").select(F.col("id").alias("water_body_id")), "water_body_id", "left_semi")
         observations = mutations.upsert_observations(self.observations, known)
-        analyses = mutations.appended_analyses(self.analyses, observations, known)
-        return {"observations": observations, "analyses": analyses, "alerts": mutations.appended_alerts(self.alerts, observations, analyses, known)}
+        placed = mutations.placed_results(self.analyses, observations, known)
+        return {"observations": observations, "analyses": mutations.appended_analyses(self.analyses, placed), "alerts": mutations.appended_alerts(self.alerts, placed)}
 
     def snapshots(self, body=None, start=None, end=None) -> DataFrame:
         return history.snapshots(self._of(self.observations, body), self.analyses, start, end)

@@ -673,8 +673,7 @@ _SCENES = """, found as (select user_id water_body_id, event_id % 40 scene_id, t
     results as (select *, value / 100 turbidity_score, k / 100::double chlorophyll_score, (value + k) / 200 algal_score, value / 100 anomaly_score from found where event_id % 3 = 0),
     newest as (select water_body_id, scene_id, max(created_at) created_at, arg_max(k, created_at) k from results group by 1, 2),
     obs as (select coalesce(id, (select max(id) from stored) + row_number() over (partition by id is null order by water_body_id, scene_id)) id, water_body_id, scene_id, n.created_at, n.k from stored s full join newest n using (water_body_id, scene_id)),
-    ana as (select row_number() over (order by o.id, r.created_at) id, o.id observation_id, r.created_at, r.water_body_id, r.scene_id, anomaly_score >= 0.25 anomaly_detected from results r join obs o using (water_body_id, scene_id)),
-    last_ana as (select observation_id, max_by(id, created_at) analysis_id from ana group by 1)"""
+    ana as (select row_number() over (order by o.id, r.created_at) id, o.id observation_id, r.created_at, r.*, anomaly_score >= 0.25 anomaly_detected from results r join obs o using (water_body_id, scene_id))"""
 _EVENTS = "with none as (select 1)"
 
 
@@ -688,28 +687,38 @@ def _analyzed(s: SparkSession, d: str) -> dict[str, DataFrame]:
     scores = {"turbidity_score": v / 100, "chlorophyll_score": k / F.lit(100.0), "algal_score": (v + k) / 200, "area_score": F.lit(1.0)}
     results = e.where("event_id % 3 = 0").select(
         body, scene, F.lit("new").alias("satellite"), at.alias("observation_date"), at.alias("created_at"), k.cast("double").alias("cloud_percentage"), F.lit("url").alias("source_url"), *[c.alias(n) for n, c in scores.items()],
-        (v / 100).alias("anomaly_score"), scalar.band(v / 100).alias("anomaly_level"), F.lit(0.5).alias("confidence"), v.alias("affected_area_km2"),
+        (v / 100).alias("anomaly_score"), scalar.band(v / 100).alias("anomaly_level"), F.lit(0.5).alias("confidence"), v.alias("affected_area_km2"), F.array(F.concat(F.lit("event "), "event_id")).alias("explanation"),
     )
-    analyses = s.createDataFrame([], "id long, observation_id long, created_at timestamp_ntz, anomaly_detected boolean")
-    alerts = s.createDataFrame([], "id long, water_body_id long, analysis_id long, date timestamp_ntz, indicator string, severity string, confidence double, affected_area_km2 double, status string")
+    analyses = s.createDataFrame([], "id long, observation_id long, created_at timestamp_ntz, anomaly_detected boolean, model_name string, model_version string, analysis_data string")
+    alerts = s.createDataFrame([], "id long, water_body_id long, analysis_id long, date timestamp_ntz, indicator string, severity string, confidence double, affected_area_km2 double, explanation string, status string")
     bodies = e.select(F.col("user_id").alias("id")).distinct().withColumn("active", F.lit(True))
     return Engine(s, bodies, stored, analyses, alerts).analyze(results)
 
 
+@query(m.with_sql("observations") + "select id, water_body_id, observation_date, satellite from observations union all select (select max(id) from observations) + row_number() over (order by observation_date, water_body_id, satellite), water_body_id, observation_date, satellite from observations")
+def inserted_observations(s, d):
+    o = m.observations(s, d)
+    return mutations.insert(o, o.drop("id"), ["observation_date", "water_body_id", "satellite"])
+
+
 @query(_EVENTS + _SCENES + " select id, water_body_id, scene_id, case when created_at is null then 'old' else 'new' end satellite, created_at observation_date, k::double cloud_percentage, round(least(1, greatest(0, 1 - k / 100::double)) + k * 0, 9) quality_score from obs")
 def analyzed_observations(s, d):
     return rounded(_analyzed(s, d)["observations"].drop("source_url"))
 
 
-@query(_EVENTS + _SCENES + " select id, observation_id, created_at, anomaly_detected from ana")
+@query(_EVENTS + _SCENES + " select id, observation_id, created_at, anomaly_detected, 'sentinel-2-spectral-monitoring' model_name, 'prototype-indicator-only' model_version, anomaly_score::double told_score, turbidity_score::double told_turbidity, 'event ' || event_id told_evidence, true unknown_mode from ana")
 def analyzed_analyses(s, d):
-    return _analyzed(s, d)["analyses"]
+    told = F.from_json("analysis_data", "anomaly_score double, individual_scores map<string, double>, evidence array<string>, mode string")
+    df = _analyzed(s, d)["analyses"].withColumn("told", told).drop("analysis_data")
+    return df.select("*", F.col("told.anomaly_score").alias("told_score"), F.col("told.individual_scores")["turbidity"].alias("told_turbidity"), F.col("told.evidence")[0].alias("told_evidence"), F.col("told.mode").isNull().alias("unknown_mode")).drop("told")
 
 
-@query(_EVENTS + _SCENES + """ select row_number() over (order by r.water_body_id, analysis_id, r.created_at) id, r.water_body_id, analysis_id, r.created_at date, case when turbidity_score >= chlorophyll_score and turbidity_score >= algal_score then 'turbidity' when chlorophyll_score >= algal_score then 'chlorophyll' else 'algal' end indicator,
-    case when anomaly_score < 0.5 then 'LOW' when anomaly_score < 0.75 then 'MEDIUM' else 'HIGH' end severity, 'active' status from results r join obs o using (water_body_id, scene_id) join last_ana l on l.observation_id = o.id where anomaly_score >= 0.25""")
+@query(_EVENTS + _SCENES + """ select row_number() over (order by water_body_id, id) id, water_body_id, id analysis_id, created_at date, case when turbidity_score >= chlorophyll_score and turbidity_score >= algal_score then 'turbidity' when chlorophyll_score >= algal_score then 'chlorophyll' else 'algal' end indicator,
+    case when anomaly_score < 0.5 then 'LOW' when anomaly_score < 0.75 then 'MEDIUM' else 'HIGH' end severity, 'active' status, 'event ' || event_id message, algal_score::double told_algal from ana where anomaly_score >= 0.25""")
 def analyzed_alerts(s, d):
-    return _analyzed(s, d)["alerts"].drop("confidence", "affected_area_km2")
+    told = F.from_json("explanation", "messages array<string>, indicator_scores map<string, double>")
+    df = _analyzed(s, d)["alerts"].withColumn("told", told).drop("confidence", "affected_area_km2", "explanation")
+    return df.select("*", F.col("told.messages")[0].alias("message"), F.col("told.indicator_scores")["algal"].alias("told_algal")).drop("told")
 
 
 @query(_OA.rstrip() + """ select o.water_body_id, o.id observation_id, a.id analysis_id, case when a.id % 4 = 0 then 0.25::double end turbidity, case when a.id % 4 = 3 then 0.5::double end chlorophyll, case when a.id % 4 = 3 then 0.125::double end confidence,

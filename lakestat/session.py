@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,3 +22,18 @@ def build_session(master: str | None = None, app: str = "lakestat", **extra: str
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in extra.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder that driver and executors share (spark.checkpoint.dir).
+
+    Only a local session may do without that setting.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

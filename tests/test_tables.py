@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import SQLTransformer
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakestat.engine import Engine
@@ -282,3 +283,45 @@ def test_tables_of_a_database(spark):
     spark.range(100).select("id", (F.col("id") * 2).alias("x")).write.jdbc(url, "lakes", properties={"driver": driver})
     df = readers.jdbc(spark, url, "lakes", "id", 0, 100, 4, driver=driver).toDF("id", "x")
     assert df.rdd.getNumPartitions() == 4 and df.where("id >= 90").count() == 10 and df.where("x != 2 * id").isEmpty()
+
+
+def test_numbers_of_more_rows_than_a_range_sample(spark):
+    """Ids are distinct, consecutive and the same in every run over the result, ties and repeated rows included."""
+    rows = spark.range(300_000).select((F.col("id") * 7919 % 100_003).alias("k"), (F.col("id") % 3).alias("v")).repartition(9)
+    df = mutations.numbered(rows, 1000, ["k"])
+    for _ in range(2):
+        low, high, n, distinct = df.agg(F.min("id"), F.max("id"), F.count("*"), F.count_distinct("id")).first()
+        assert (low, high, n, distinct) == (1001, 301_000, 300_000, 300_000)
+    places = df.select("k", F.row_number().over(Window.orderBy("k", "id")).alias("n"), "id")
+    assert places.where("id != n + 1000").count() == 0
+    again = mutations.numbered(rows, 1000, ["k"])
+    assert df.exceptAll(again).count() == 0
+    repeated = mutations.numbered(spark.range(50).select(F.lit("x").alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m")), 0, ["k"])
+    assert sorted(r.id for r in repeated.collect()) == list(range(1, 51))
+
+
+def test_inserts_of_many_rows(spark):
+    table = spark.range(1, 1001).select("id", F.col("id").cast("string").alias("name"))
+    new = spark.range(200_000).select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("name"))
+    df = mutations.insert(table, new, ["name"])
+    assert df.where("id > 1000 and name != concat('n', lpad(id - 1001, 6, '0'))").count() == 0
+    assert df.agg(F.count("*"), F.count_distinct("id"), F.max("id")).first()[:] == (201_000, 201_000, 201_000)
+
+
+def test_alerts_of_their_own_analysis(spark):
+    """Two results of one scene, and a stored analysis of a later time: each alert points to what raised it."""
+    observations = spark.createDataFrame([(5, 1, "S", None)], "id long, water_body_id long, scene_id string, satellite string")
+    stored = spark.createDataFrame([(90, 5, datetime(2030, 1, 1))], "id long, observation_id long, created_at timestamp").withColumns({"analysis_data": F.lit(None).cast("string"), "model_name": F.lit("m"), "model_version": F.lit("1")})
+    alerts = spark.createDataFrame([], "id long, water_body_id long, analysis_id long, date timestamp, indicator string, severity string, explanation string, confidence double, status string")
+    schema = "water_body_id long, scene_id string, observation_date timestamp, created_at timestamp, anomaly_score double, anomaly_level string, turbidity_score double, chlorophyll_score double, algal_score double, explanation array<string>, turbidity_indicator double"
+    day = datetime(2024, 1, 1)
+    results = [(1, "S", day, datetime(2024, 1, k), s, level, t, 0.2, 0.1, [f"said {k}"], t / 2) for k, s, level, t in ((2, 0.6, "MEDIUM", 0.9), (3, 0.1, "NONE", 0.0), (4, 0.3, "LOW", 0.15))]
+    placed = mutations.placed_results(stored, observations, spark.createDataFrame(results, schema))
+    analyses = {r.id: r for r in mutations.appended_analyses(stored, placed).collect()}
+    assert sorted(analyses) == [90, 91, 92, 93] and [analyses[k].created_at.day for k in (91, 92, 93)] == [2, 3, 4]
+    document = json.loads(analyses[93].analysis_data)
+    assert document["evidence"] == ["said 4"] and document["individual_scores"] == {"turbidity": 0.15, "chlorophyll": 0.2, "algal": 0.1}
+    assert document["turbidity"] == 0.075 and document["confidence"] is None and document["anomaly_detected"] is True and len(document) == 19
+    got = mutations.appended_alerts(alerts, placed).orderBy("id").collect()
+    assert [(r.id, r.analysis_id, r.indicator, r.severity, json.loads(r.explanation)["messages"]) for r in got] == [(1, 91, "turbidity", "MEDIUM", ["said 2"]), (2, 93, "chlorophyll", "LOW", ["said 4"])]
+    assert set(json.loads(got[0].explanation)) == {"messages", "indicator_scores", "spatial_note"}
