@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo
-from .operators import baseline, dashboard, discovery, history, mutations, relational, scenes
+from .operators import baseline, dashboard, discovery, history, mutations, relational, scenes, spatial
 
 
 @dataclass
@@ -44,11 +43,7 @@ class Engine:
 
     def nearby(self, lon: float, lat: float, km: float) -> DataFrame:
         """Active bodies within so many kilometres, nearest first: boxes first, then distances on the spheroid."""
-        box, up = geo.bounds(F.col("ring")), km / 100
-        across = up / max(0.05, math.cos(math.radians(lat)))
-        close = (box["xmin"] <= lon + across) & (box["xmax"] >= lon - across) & (box["ymin"] <= lat + up) & (box["ymax"] >= lat - up)
-        df = self.bodies.where("active").where(close).withColumn("_m", geo.distance_m(F.col("ring"), F.lit(lon), F.lit(lat)))
-        return df.where(F.col("_m") <= km * 1000).withColumn("distance_km", F.round(F.col("_m") / 1000, 3)).drop("_m").orderBy("distance_km", "id")
+        return spatial.near(self.bodies.where("active"), lon, lat, km).orderBy("distance_km", "id")
 
     def timeline(self, body=None, start=None, end=None) -> DataFrame:
         return history.timeline(self._of(self.observations, body), self.analyses, start, end)

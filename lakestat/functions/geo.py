@@ -108,19 +108,43 @@ def point_distance_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) ->
 
 
 def distance_m(ring: Column, lon: Column, lat: Column) -> Column:
-    """Metres from a point to a polygon, 0 inside: the nearest point of each edge in the local plane, measured again."""
-    north, east = _radii(lat)
+    """Metres from a point to a polygon, 0 inside: the nearest point of each edge in the local plane, measured again.
+
+    In steps over arrays of structs, so that nothing is worked out twice: an expression that is used several times
+    within a lambda is evaluated as often.
+    """
     at = F.when(F.size(ring) >= 2, F.sequence(F.lit(0), F.size(ring) - 2))
 
-    def edge(i: Column) -> Column:
-        a, b = F.get(ring, i), F.get(ring, i + 1)
-        ax, ay = F.radians(a["lon"] - lon) * east, F.radians(a["lat"] - lat) * north
-        dx, dy = F.radians(b["lon"] - a["lon"]) * east, F.radians(b["lat"] - a["lat"]) * north
-        along = F.coalesce(-(ax * dx + ay * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
-        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), along))
-        return point_distance_m(lon, lat, a["lon"] + t * (b["lon"] - a["lon"]), a["lat"] + t * (b["lat"] - a["lat"]))
+    def edges(p: Column) -> Column:
+        def in_plane(i: Column) -> Column:
+            a, b = F.get(ring, i), F.get(ring, i + 1)
+            flat = {"ax": F.radians(a["lon"] - p["lon"]) * p["east"], "ay": F.radians(a["lat"] - p["lat"]) * p["north"], "dx": F.radians(b["lon"] - a["lon"]) * p["east"], "dy": F.radians(b["lat"] - a["lat"]) * p["north"]}
+            return F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), a.alias("a"), b.alias("b"), *[c.alias(k) for k, c in flat.items()])
+
+        return F.transform(at, in_plane)
 
-    return F.when(contains(ring, lon, lat), 0.0).otherwise(F.array_min(F.transform(at, edge)))
+    def along(e: Column) -> Column:
+        t = F.coalesce(-(e["ax"] * e["dx"] + e["ay"] * e["dy"]) / F.nullif(e["dx"] * e["dx"] + e["dy"] * e["dy"], F.lit(0.0)), F.lit(0.0))
+        return F.struct(e["lon"].alias("lon"), e["lat"].alias("lat"), e["a"].alias("a"), e["b"].alias("b"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), t)).alias("t"))
+
+    def foot(e: Column) -> Column:
+        on = {c: e["a"][c] + e["t"] * (e["b"][c] - e["a"][c]) for c in ("lon", "lat")}
+        return F.struct(e["lon"].alias("lon"), e["lat"].alias("lat"), on["lon"].alias("x"), on["lat"].alias("y"))
+
+    def curved(q: Column) -> Column:
+        middle = (q["lat"] + q["y"]) / 2
+        return F.struct(F.radians(q["y"] - q["lat"]).alias("up"), F.radians(q["x"] - q["lon"]).alias("across"), F.sin(F.radians(middle)).alias("s"), F.cos(F.radians(middle)).alias("c"))
+
+    def metres(q: Column) -> Column:
+        w = 1 - E2 * q["s"] * q["s"]
+        return F.hypot(q["up"] * (A * (1 - E2) / F.pow(w, F.lit(1.5))), q["across"] * (A / F.sqrt(w) * q["c"]))
+
+    north, east = _radii(lat)
+    point = F.array(F.struct(lon.alias("lon"), lat.alias("lat"), north.alias("north"), east.alias("east")))
+    found = F.flatten(F.transform(point, edges))
+    for step in (along, foot, curved, metres):
+        found = F.transform(found, step)
+    return F.when(contains(ring, lon, lat), 0.0).otherwise(F.array_min(found))
 
 
 def wkt(ring: Column) -> Column:

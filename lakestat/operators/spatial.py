@@ -1,4 +1,11 @@
-"""Joins of points, boxes and polygons: equi-joins on the cells of a grid, then the exact test."""
+"""Joins of points, boxes and polygons: equi-joins on the cells of a grid, then the exact test.
+
+A box is as coarse as its longer side: cells of its level are at least as long, so it covers at most four of them. Two
+boxes meet at the coarser of their levels. So the join has two halves: left boxes on their own level against right
+boxes on that level and finer, and right boxes on their own level against finer left ones. Each half puts the coarser
+side into the cells of its own level only, and the finer side into those of the coarser levels that the other side
+has. A pair is tested only where both boxes lie in one cell that is not much longer than one of them.
+"""
 
 from __future__ import annotations
 
@@ -7,55 +14,70 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 
-#: Degrees of a cell. A box that would cover more than MOST_CELLS goes by its coarser cells.
-CELL, MOST_CELLS = 0.5, 64
-_LEVELS = (0, 3, 6, 9)
+#: Degrees of the finest cells, and the coarsest level (cells double from level to level).
+CELL, TOP = 2.0**-7, 17
+#: Boxes of one side in a cell beyond which the cell is divided into parts.
+DENSE = 4096
+BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
 def _level(box: dict[str, Column]) -> Column:
-    """The finest of _LEVELS (cells of CELL * 2^level degrees) at which the box covers few cells."""
-    def covered(level: int) -> Column:
-        size = CELL * 2**level
-        return (F.floor(box["xmax"] / size) - F.floor(box["xmin"] / size) + 1) * (F.floor(box["ymax"] / size) - F.floor(box["ymin"] / size) + 1)
+    """The finest level whose cells are as long as the box."""
+    side = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
+    return F.least(F.lit(TOP), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side / CELL, F.lit(1.0))) - 1e-9))).cast("int")
+
+
+def _in_cells(boxes: DataFrame, level: Column) -> DataFrame:
+    """A row for each cell (at, x, y) of the level that a box covers."""
+    df = boxes.withColumn("at", level)
+    size = F.pow(F.lit(2.0), F.col("at")) * CELL
+    for c, low, high in (("x", "xmin", "xmax"), ("y", "ymin", "ymax")):
+        df = df.withColumn(c, F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))))
+    return df
 
-    return F.coalesce(*[F.when(covered(n) <= MOST_CELLS, F.lit(n)) for n in _LEVELS[:-1]], F.lit(_LEVELS[-1]))
 
+def _levels(boxes: DataFrame) -> list[int]:
+    return sorted(r.level for r in boxes.select("level").distinct().collect())  # TOP + 1 at most
 
-def _cells(box: dict[str, Column], level: Column | int) -> Column:
-    size = F.pow(F.lit(2.0), level if isinstance(level, Column) else F.lit(level)) * CELL
-    xs = F.sequence(F.floor(box["xmin"] / size), F.floor(box["xmax"] / size))
-    ys = F.sequence(F.floor(box["ymin"] / size), F.floor(box["ymax"] / size))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
+def _half(coarse: DataFrame, fine: DataFrame, levels: list[int], same: bool) -> DataFrame:
+    """(coarse, fine) keys of boxes that meet where ``coarse`` is the coarser, or as coarse if ``same`` allows it.
 
-def _overlap(a: str, b: str) -> Column:
-    return (F.col(f"{a}.xmin") <= F.col(f"{b}.xmax")) & (F.col(f"{a}.xmax") >= F.col(f"{b}.xmin")) & (F.col(f"{a}.ymin") <= F.col(f"{b}.ymax")) & (F.col(f"{a}.ymax") >= F.col(f"{b}.ymin"))
+    ``levels``: those of the coarse side. A dense cell's coarse boxes are dealt to parts, and its fine ones go to each.
+    """
+    above = F.filter(F.array(*map(F.lit, levels)), lambda n: n >= F.col("level") if same else n > F.col("level"))
+    a = _in_cells(coarse, F.col("level"))
+    b = _in_cells(fine.withColumn("up", F.explode(above)), F.col("up")).drop("up")
+    cell = ["at", "x", "y"]
+    # Few by their bound: each stands for DENSE rows. Not broadcast by force, for the rows may be very many.
+    dense = a.groupBy(*cell).agg(F.ceil(F.count("*") / DENSE).cast("int").alias("parts")).where("parts > 1")
+    a = a.join(dense, cell, "left").withColumn("part", F.pmod(F.xxhash64("key", *BOX), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts", "level").alias("a")
+    b = b.join(dense, cell, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts", "level").alias("b")
+    pairs = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*cell, "part")])
+    meet = [F.col(f"{p}.{c}min") <= F.col(f"{q}.{c}max") for c in "xy" for p, q in ("ab", "ba")]
+    size = F.pow(F.lit(2.0), F.col("a.at")) * CELL
+    # Each pair once: in the cell where the boxes' common part begins.
+    begins = [F.floor(F.greatest(f"a.{c}min", f"b.{c}min") / size) == F.col(f"a.{c}") for c in "xy"]
+    for test in (*meet, *begins):
+        pairs = pairs.where(test)
+    return pairs.select(F.col("a.key").alias("coarse"), F.col("b.key").alias("fine"))
 
 
 def boxes_meeting(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """(left_key, right_key) of every two rows whose boxes (xmin, ymin, xmax, ymax) share a point, each pair once.
 
-    A box is placed in the cells that it covers, at a level where these are few; for each level of the other side it is
-    looked up in that level's cells, so that the join is on equal cells. A pair is reported in the cell of the corner
-    where its overlap begins, which needs no distinct.
+    Boxes with a null or not finite bound, or with ends the wrong way round, meet nothing. Rows that repeat a key are
+    boxes of their own.
     """
     def boxed(df: DataFrame, key: str) -> DataFrame:
-        box = {c: F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")}
-        return df.select(F.col(key).alias("key"), *box, _level(box).alias("level"))
+        box = {c: F.col(c).cast("double") for c in BOX}
+        sound = (F.col("xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("ymax")) & (F.abs("xmin") < 1e9) & (F.abs("ymin") < 1e9) & (F.abs("xmax") < 1e9) & (F.abs("ymax") < 1e9)
+        return df.select(F.col(key).alias("key"), *[c.alias(k) for k, c in box.items()]).where(sound).withColumn("level", _level({c: F.col(c) for c in BOX}))
 
     a, b = boxed(left, left_key), boxed(right, right_key)
-    box = {c: F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")}
-    # The coarser level of the two decides: each side goes into the cells of its own level and of all coarser ones.
-    def placed(df: DataFrame) -> DataFrame:
-        levels = df.withColumn("at", F.explode(F.filter(F.array(*map(F.lit, _LEVELS)), lambda n: n >= F.col("level"))))
-        return levels.withColumn("cell", F.explode(_cells(box, F.col("at"))))
-
-    x, y = placed(a).alias("a"), placed(b).alias("b")
-    at_coarser = F.col("a.at") == F.greatest("a.level", "b.level")
-    pairs = x.join(y, (F.col("a.at") == F.col("b.at")) & (F.col("a.cell") == F.col("b.cell"))).where(at_coarser & _overlap("a", "b"))
-    size = F.pow(F.lit(2.0), F.col("a.at")) * CELL
-    first = (F.floor(F.greatest("a.xmin", "b.xmin") / size) == F.col("a.cell.x")) & (F.floor(F.greatest("a.ymin", "b.ymin") / size) == F.col("a.cell.y"))
-    return pairs.where(first).select(F.col("a.key").alias(left_key), F.col("b.key").alias(right_key))
+    a_coarser = _half(a, b, _levels(a), True).select(F.col("coarse").alias(left_key), F.col("fine").alias(right_key))
+    b_coarser = _half(b, a, _levels(b), False).select(F.col("fine").alias(left_key), F.col("coarse").alias(right_key))
+    return a_coarser.union(b_coarser)
 
 
 def scenes_of_bodies(items: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -64,16 +86,51 @@ def scenes_of_bodies(items: DataFrame, bodies: DataFrame) -> DataFrame:
     return boxes_meeting(items, b, "scene_id", "body")
 
 
+def reach(lat: Column, km: float) -> tuple[Column, Column]:
+    """Degrees of longitude and latitude that hold every point within so many kilometres."""
+    up = km / 110.0
+    return F.least(F.lit(180.0), F.lit(up) / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.abs(lat) + up))))), F.lit(up)
+
+
+def turned(lon: Column, ring: Column) -> Column:
+    """The longitude, by whole turns, that lies nearest to the middle of a polygon's box: -179.9 is 180.1 beside 179.8."""
+    box = geo.bounds(ring)
+    return lon + 360 * F.round(((box["xmin"] + box["xmax"]) / 2 - lon) / 360)
+
+
+def measured(df: DataFrame, lon: Column, lat: Column, km: float) -> DataFrame:
+    """Rows (with a ``ring``) within so many kilometres of a point, with ``distance_km``.
+
+    Through inline, the longitude and the distance are worked out once: as plain columns their whole expressions
+    would be repeated wherever they are used, within the loop over edges too.
+    """
+    for name, value in (("_lon", turned(lon, F.col("ring"))), ("_m", geo.distance_m(F.col("ring"), F.col("_lon"), lat))):
+        df = df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+    return df.where(F.col("_m") <= km * 1000).withColumn("distance_km", F.round(F.col("_m") / 1000, 3)).drop("_lon", "_m")
+
+
+def near(bodies: DataFrame, lon: float, lat: float, km: float) -> DataFrame:
+    """Bodies within so many kilometres of one point, with ``distance_km``: boxes first, then distances on the spheroid."""
+    across, up = reach(F.lit(lat), km)
+    box, at = geo.bounds(F.col("ring")), turned(F.lit(lon), F.col("ring"))
+    close = (box["xmin"] <= at + across) & (box["xmax"] >= at - across) & (box["ymin"] <= lat + up) & (box["ymax"] >= lat - up)
+    return measured(bodies.where(close), F.lit(lon), F.lit(lat), km)
+
+
 def bodies_near(points: DataFrame, bodies: DataFrame, km: float) -> DataFrame:
     """(point_id, body, distance_km) of every point (point_id, lon, lat) and body within so many kilometres.
 
-    Points' boxes of that reach meet the bodies' boxes on grid cells; what remains is measured on the spheroid.
+    Points' boxes of that reach meet the bodies' boxes on grid cells; what remains is measured on the spheroid. A box
+    that passes 180 degrees is looked up a whole turn further as well, and a pair counts on the turn where the two
+    are nearest.
     """
-    up = km / 110.0
-    across = F.least(F.lit(180.0), F.lit(up) / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + up)))))
-    p = points.select("point_id", (F.col("lon") - across).alias("xmin"), (F.col("lat") - up).alias("ymin"), (F.col("lon") + across).alias("xmax"), (F.col("lat") + up).alias("ymax"))
-    b = bodies.select(F.col("id").alias("body"), "ring", *[c.alias(k) for k, c in geo.bounds(F.col("ring")).items()])
-    pairs = boxes_meeting(p, b, "point_id", "body")
-    found = pairs.join(points.select("point_id", "lon", "lat"), "point_id").join(bodies.select(F.col("id").alias("body"), "ring"), "body")
-    found = found.withColumn("m", geo.distance_m(F.col("ring"), F.col("lon"), F.col("lat"))).where(F.col("m") <= km * 1000)
-    return found.select("point_id", "body", F.round(F.col("m") / 1000, 3).alias("distance_km"))
+    across, up = reach(F.col("lat"), km)
+    turns = F.array_compact(F.array(F.lit(0.0), F.when(F.col("lon") - across < -180, 360.0), F.when(F.col("lon") + across > 180, -360.0)))
+    p = points.select("point_id", "lon", "lat", F.explode(turns).alias("turn"), across.alias("across"))
+    at = F.col("lon") + F.col("turn")
+    p = p.select(F.struct("point_id", "lon", "lat", "turn").alias("point"), (at - F.col("across")).alias("xmin"), (F.col("lat") - up).alias("ymin"), (at + F.col("across")).alias("xmax"), (F.col("lat") + up).alias("ymax"))
+    b = bodies.select(F.col("id").alias("body"), *[c.alias(k) for k, c in geo.bounds(F.col("ring")).items()])
+    pairs = boxes_meeting(p, b, "point", "body").join(bodies.select(F.col("id").alias("body"), "ring"), "body")
+    lon = F.col("point.lon")
+    here = pairs.where(F.abs(turned(lon, F.col("ring")) - lon - F.col("point.turn")) < 1)
+    return measured(here, lon, F.col("point.lat"), km).select("point.point_id", "body", "distance_km")

@@ -507,11 +507,8 @@ _RADII = "6378137.0 * (1 - e2) / pow(1 - e2 * pow(sin(radians((y + {y}) / 2)), 2
 
 @query(m.with_sql("bodies") + f"select id, name, distance_km from (select id, name, round(sqrt(pow(n, 2) + pow(e, 2)) / 1000, 3) distance_km, sqrt(pow(n, 2) + pow(e, 2)) m from (select id, name, 6378137.0 * (1 - e2) / pow(1 - e2 * pow(sin(radians((y + {NEAR_LAT}) / 2)), 2), 1.5) * radians(y - {NEAR_LAT}) n, 6378137.0 / sqrt(1 - e2 * pow(sin(radians((y + {NEAR_LAT}) / 2)), 2)) * cos(radians((y + {NEAR_LAT}) / 2)) * radians(x - {NEAR_LON}) e from (select id, name, active, greatest(lon, least({NEAR_LON}, lon + w)) x, greatest(lat, least({NEAR_LAT}, lat + w)) y, f * (2 - f) e2 from bodies, (select 1 / 298.257223563::double f)) where active)) where m <= {NEAR_KM} * 1000")
 def nearby_bodies(s, d):
-    df = m.bodies(s, d).where("active")
-    box, reach = geo.bounds(F.col("ring")), NEAR_KM / 100
-    close = (box["xmin"] <= NEAR_LON + reach) & (box["xmax"] >= NEAR_LON - reach) & (box["ymin"] <= NEAR_LAT + reach) & (box["ymax"] >= NEAR_LAT - reach)
-    df = df.where(close).withColumn("m", geo.distance_m(F.col("ring"), F.lit(NEAR_LON), F.lit(NEAR_LAT))).where(F.col("m") <= NEAR_KM * 1000)
-    return df.select("id", "name", F.round(F.col("m") / 1000, 3).alias("distance_km")).orderBy("distance_km", "id")
+    df = spatial.near(m.bodies(s, d).where("active"), NEAR_LON, NEAR_LAT, NEAR_KM)
+    return df.select("id", "name", "distance_km").orderBy("distance_km", "id")
 
 
 @query(m.with_sql("bodies") + "select id, true inside, (72 + (id * 37 % 800) / 100::double + w / 2 > 180) outside from bodies")

@@ -325,3 +325,38 @@ def test_alerts_of_their_own_analysis(spark):
     got = mutations.appended_alerts(alerts, placed).orderBy("id").collect()
     assert [(r.id, r.analysis_id, r.indicator, r.severity, json.loads(r.explanation)["messages"]) for r in got] == [(1, 91, "turbidity", "MEDIUM", ["said 2"]), (2, 93, "chlorophyll", "LOW", ["said 4"])]
     assert set(json.loads(got[0].explanation)) == {"messages", "indicator_scores", "spatial_note"}
+
+
+def test_boxes_of_every_size_and_dense_cells(spark, monkeypatch):
+    """Tiny to world-wide boxes, bounds that make no box, many boxes on one spot: as brute force, in every half."""
+    monkeypatch.setattr(spatial, "DENSE", 8)
+    r = random.Random(4)
+    box = lambda k: (k, x := r.uniform(-170, 170) if k % 3 else 5.0, y := r.uniform(-80, 80) if k % 3 else 5.0, x + r.choice([0, 1e-5, 0.004, 0.7, 9, 200]), y + r.choice([0, 1e-4, 0.02, 2, 60]))
+    left, right = [box(k) for k in range(250)], [box(k) for k in range(200)]
+    left += [(900, None, 0.0, 1.0, 1.0), (901, 0.0, 0.0, float("nan"), 1.0), (902, 6.0, 6.0, 5.0, 7.0)]
+    schema = "{} int, xmin double, ymin double, xmax double, ymax double"
+    got = [tuple(x) for x in spatial.boxes_meeting(spark.createDataFrame(left, schema.format("a")), spark.createDataFrame(right, schema.format("b")), "a", "b").collect()]
+    want = {(p[0], q[0]) for p in left[:250] for q in right if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2]}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert spatial.boxes_meeting(spark.createDataFrame([], schema.format("a")), spark.createDataFrame(right, schema.format("b")), "a", "b").count() == 0
+
+
+def test_boxes_are_compared_where_they_may_meet(spark):
+    """No key holds all rows, and pairs that are tested are within a small factor of those that meet."""
+    boxes = lambda n, key, side: spark.range(n).select(F.col("id").alias(key), (F.rand(n) * 40).alias("xmin"), (F.rand(n + 1) * 40).alias("ymin")).withColumns({"xmax": F.col("xmin") + side, "ymax": F.col("ymin") + side})
+    a, b = boxes(4000, "a", 0.8).cache(), boxes(3000, "b", 0.05).cache()
+    met = spatial.boxes_meeting(a, b, "a", "b").count()
+    sized = [df.select(F.col(k).alias("key"), *spatial.BOX).withColumn("level", spatial._level({c: F.col(c) for c in spatial.BOX})) for df, k in ((a, "a"), (b, "b"))]
+    coarse = spatial._in_cells(sized[0], F.col("level")).groupBy("at", "x", "y").agg(F.count("*").alias("n"))
+    fine = spatial._in_cells(sized[1], F.lit(spatial._levels(sized[0])[0])).groupBy("at", "x", "y").agg(F.count("*").alias("k"))
+    tested, most = coarse.join(fine, ["at", "x", "y"]).agg(F.sum(F.col("n") * F.col("k")), F.max("n")).first()
+    assert met > 3000 and tested < 10 * met and most < 100
+
+
+def test_bodies_near_beyond_the_antimeridian(spark):
+    bodies = spark.createDataFrame([(1, square(-179.95, 10.0)), (2, square(179.0, 10.0)), (3, square(0.0, 89.5))], f"id int, ring {RING}").withColumn("active", F.lit(True))
+    points = spark.createDataFrame([(1, 179.98, 10.5), (2, -179.99, 10.5), (3, 150.0, 89.9)], "point_id int, lon double, lat double")
+    got = {(r.point_id, r.body): r.distance_km for r in spatial.bodies_near(points, bodies, 60.0).collect()}
+    assert {k for k in got if k[0] < 3} == {(1, 1), (1, 2), (2, 1), (2, 2)} and got[1, 2] == 0.0 and 7 < got[1, 1] < 8 and 4 < got[2, 1] < 5
+    engine = Engine(spark, bodies, bodies, bodies, bodies)
+    assert [(r.id, r.distance_km) for r in engine.nearby(179.98, 10.5, 60.0).collect()] == [(2, 0.0), (1, got[1, 1])]
