@@ -155,7 +155,8 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     asked = rows.where("asks").withColumn("group", all_groups)
     queries = dealt(asked, 0, F.pmod(place, F.lit(blocks)), F.col("group"))
     candidates = dealt(rows.withColumn("block", all_blocks), 1, F.col("block"), F.pmod(place, F.lit(groups)))
-    cells = queries.union(candidates).repartition(min(blocks * groups, 10_000), "cell").sortWithinPartitions("cell", "side")
+    parts = min(blocks * groups, 10_000)
+    cells = queries.union(candidates).repartitionById(parts, (F.col("cell") % parts).cast("int")).sortWithinPartitions("cell", "side")
     tile = TILE
     found = cells.mapInArrow(lambda batches: in_cells(batches, k, tile), FOUND)
     best = W.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
