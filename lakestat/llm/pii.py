@@ -69,6 +69,10 @@ DECIDING = {kind: sum(1 << FEATURES.index(f) for f in names) for kind, names in
 WHOLE = sum(1 << FEATURES.index(f) for f in ("at", "quad", "digits_13_19", "digits_20", "mixed_16"))
 
 
+#: What the word of a card has that the patterns would find alone.
+_SOUND = sum(1 << FEATURES.index(f) for f in ("digits_13_19", "luhn"))
+
+
 def luhn(digits: str) -> bool:
     """Whether the check digit is right."""
     total = sum(map(int, digits[-1::-2])) + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
@@ -201,6 +205,12 @@ def pattern_labels(nodes, spans) -> list[int]:
     return labels
 
 
+def cut_out(text: str, nodes, spans) -> list[tuple[int, int, int]]:
+    """Words inside runs of digits that fail as a whole, which by themselves the patterns call a card: weak examples."""
+    free = [n for n, label in zip(nodes, pattern_labels(nodes, spans), strict=True) if not label and n[2] & _SOUND == _SOUND]
+    return [(2, s, e) for s, e, *_ in free if (m := _CARD.fullmatch(text[s:e].strip(_EDGE))) and luhn(_NOT_DIGIT.sub("", m.group()))]
+
+
 def _bits(codes: np.ndarray) -> np.ndarray:
     return (codes[:, None] >> np.arange(len(FEATURES)) & 1).astype(float)
 
@@ -209,7 +219,8 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarr
     """Weights (features x labels) and log-potentials (neighbour and skip edges x labels x labels).
 
     Piecewise: a softmax regression of labels on features, and for each sort of edge the smoothed log-ratio of label
-    pairs to equal ones. Feature sets number at most 2 ** len(FEATURES), whatever the documents; few of them occur.
+    pairs to equal ones. Examples are what the patterns find, and the cards that they would find but for the digits
+    beside them (``cut_out``). Feature sets number at most 2 ** len(FEATURES), whatever the documents; few of them occur.
     """
 
     def count(batches):
@@ -218,7 +229,8 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarr
             for text in (t for part in slices(batch, 0) for t in part.column(0).to_pylist()):
                 if text and _GATE.search(text):
                     nodes = nodes_of(text)
-                    labels = pattern_labels(nodes, base_spans(text) + secrets(text))
+                    spans = base_spans(text) + secrets(text)
+                    labels = pattern_labels(nodes, spans + cut_out(text, nodes, spans))
                     masks = [DECIDING.get(LABELS[y], 0) for y in labels]
                     seen.update((2, n[2], y) for n, y, mask in zip(nodes, labels, masks, strict=True) if not mask or mask & n[2])
                     seen.update((3, n[2] & ~mask, y) for n, y, mask in zip(nodes, labels, masks, strict=True) if mask)
