@@ -6,7 +6,7 @@ continuation counts and interpolation weights are aggregations and joins of the
 is collected. Documents are packed in chunks of some CHUNK_BYTES; a chunk's distinct n-grams, far fewer than its
 characters, are joined to the probabilities, and what comes back (by their places in the chunk's list) meets the chunk
 again, to be summed by document. A document is kept if its perplexity is at most that of nearly all trusted documents of
-its language.
+its language that the model has not seen: a part of them is held back from training for the thresholds.
 """
 
 from __future__ import annotations
@@ -24,8 +24,12 @@ from pyspark.sql import types as T
 from .common import discard, modest_batches, slices, small, tidy, written
 
 ORDER = 4
-#: Share of a language's trusted documents whose perplexity sets its threshold.
+#: One trusted document of so many, by the hash of its id, sets thresholds and is not trained on.
+HELD = 4
+#: Share of a language's held documents whose perplexity sets its threshold.
 QUANTILE = 0.998
+#: Deviations above the mean at which a normal distribution has that quantile.
+TAIL = 2.88
 #: A text of n characters may be more perplexing by this over the root of n: the mean over few characters varies more.
 ALLOWANCE = 4.0
 #: Steps of a log-probability where it travels back to its documents.
@@ -221,26 +225,32 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> D
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) of every row.
 
-    ``trusted_ids``: ids of good documents. Of their perplexities, less the allowance for their lengths and in
-    hundredths, the QUANTILE of each language, exact, from their counts, sets its threshold; a document's own has its
-    allowance again. Languages without trusted documents take the quantile of all together, and without any trusted
+    ``trusted_ids``: ids of good documents. One in HELD is held back and the rest are trained on (where either part has
+    none, all do both). Of the held ones' perplexities, less the allowance for their lengths and in
+    hundredths, the QUANTILE of each language, exact, from their counts, sets its threshold, or TAIL deviations above
+    their mean if that is more (of few documents the largest is no such quantile yet); a document's own has its
+    allowance again. Languages without held documents take the quantile of all together, and without any trusted
     document the threshold is null and all that have text are kept. Rows without text have no perplexity and are not
     kept. A null language is one of its own. Repeated rows give repeated results; other columns play no part.
     """
     modest_batches(docs.sparkSession)
     ids = written(trusted_ids.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct(), "trusted")
-    side = small(ids)
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
+    apart = 0 < ids.where(held).count() < ids.count()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    model = levels(own.join(side, "doc_id", "left_semi"), "text")
+    model = levels(own.join(small(ids.where(~held) if apart else ids), "doc_id", "left_semi"), "text")
     scored = written(perplexities(own, model), "perplexity")
     allowed = 1 + ALLOWANCE / F.sqrt(F.greatest(F.col("chars"), F.lit(1)))
-    cells = scored.where("perplexity is not null").join(side, "doc_id", "left_semi").groupBy("lang", F.ceil(F.col("perplexity") / allowed * 100).alias("cell")).agg(F.count("*").alias("n"))
+    cells = scored.where("perplexity is not null").join(small(ids.where(held) if apart else ids), "doc_id", "left_semi").groupBy("lang", F.ceil(F.col("perplexity") / allowed * 100).alias("cell")).agg(F.count("*").alias("n"))
     cells = written(cells, "cells")
 
     def quantile(part: DataFrame, *by: str) -> DataFrame:
         whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
         upto = part.withColumn("upto", F.sum("n").over(whole.orderBy("cell"))).withColumn("of", F.sum("n").over(whole))
-        return upto.where(F.col("upto") >= QUANTILE * F.col("of")).groupBy(*by).agg((F.min("cell") / 100).alias("threshold"))
+        mean = F.sum(F.col("cell") * F.col("n")) / F.sum("n")
+        spread = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("cell") * F.col("cell") * F.col("n")) / F.sum("n") - mean * mean) * (1 + 1 / F.sum("n")))
+        reached = F.min(F.when(F.col("upto") >= QUANTILE * F.col("of"), F.col("cell")))
+        return upto.groupBy(*by).agg((F.greatest(reached, mean + TAIL * spread) / 100).alias("threshold"))
 
     pooled = quantile(cells.groupBy("cell").agg(F.sum("n").alias("n"))).first()
     by_lang = quantile(cells, "lang").withColumnRenamed("lang", "l")
