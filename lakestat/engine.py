@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import geo
 from .operators import baseline, dashboard, discovery, history, mutations, relational, scenes, spatial
+from .session import settled
+
+Source = DataFrame | Callable[[], DataFrame] | None
 
 
 @dataclass
@@ -101,9 +105,25 @@ class Engine:
     def delete_bodies(self, ids: DataFrame) -> DataFrame:
         return mutations.soft_delete(self.bodies, ids)
 
-    def discover(self, features: DataFrame | None, elements: DataFrame | None, source: str, limit: int = 200) -> DataFrame:
-        """The bodies with those discovered in features, or in map elements where there are no features."""
-        found = discovery.from_features(features, limit) if features is not None and not features.isEmpty() else discovery.from_elements(elements, limit)
+    def discover(self, features: Source, elements: Source, source: str, limit: int = 200) -> DataFrame:
+        """The bodies with those discovered in features, or in map elements where features fail in any way or have none.
+
+        Each is a table, a function that reads one, or None. The candidates (at most ``limit``) are kept before it is
+        decided, so that a source that fails late counts as failed; what both fail with last is raised.
+        """
+        found, failure = None, ValueError("no source is given")
+        for given, candidates in ((features, discovery.from_features), (elements, discovery.from_elements)):
+            if given is None:
+                continue
+            try:
+                found = settled(candidates(given() if callable(given) else given, limit))
+            except Exception as e:  # noqa: BLE001  a source may fail in any way
+                failure = e
+                continue
+            if not found.isEmpty():
+                break
+        if found is None:
+            raise failure
         return mutations.upsert_bodies(self.bodies, found, source, self.state)
 
     def analyze(self, results: DataFrame) -> dict[str, DataFrame]:

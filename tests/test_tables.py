@@ -421,3 +421,22 @@ def test_scene_choice_against_brute_force(spark):
     assert sorted(x.target_id for x in scenes.unmatched(t, chosen).collect()) == sorted(k for k, *_ in targets if k not in want)
     plan = chosen._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_discovery_falls_back_on_a_failing_source(spark):
+    """The second source is used where the first fails at once, fails while it is read, or is empty."""
+    bodies = spark.createDataFrame([(1, "A", "Lake", None, "s", square(0.0, 0.0), 1.0, "osm", True)], f"id long, name string, type string, district string, state string, ring {RING}, area_sq_km double, source string, active boolean")
+    engine = Engine(spark, bodies, bodies, bodies, bodies)
+    elements = spark.createDataFrame([(0, "way", {"name": "B", "natural": "water"}, square(3.0, 3.0))], f"pos long, type string, tags map<string,string>, ring {RING}")
+    features = spark.createDataFrame([(0, square(5.0, 5.0), "C", "Lake", "d")], f"pos long, ring {RING}, `WB Name` string, Category string, DIST_NAME string")
+
+    def missing():
+        raise OSError("no such file")
+
+    late = features.withColumn("Category", F.when(F.raise_error(F.lit("broken row")).isNull(), "Lake"))
+    for first in (missing, late, features.limit(0), None, lambda: spark.read.parquet("/nowhere/at/all")):
+        assert sorted(r.name for r in engine.discover(first, elements, "osm").collect()) == ["A", "B"]
+    assert sorted(r.name for r in engine.discover(lambda: features, missing, "survey").collect()) == ["A", "C"]
+    assert engine.discover(features.limit(0), elements.limit(0), "osm").count() == 1
+    with pytest.raises(OSError):
+        engine.discover(None, missing, "osm")
