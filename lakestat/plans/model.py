@@ -76,6 +76,18 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
     return e.select("scene_id", F.floor(F.col("pos") / 8).cast("int").alias("row"), (F.col("pos") % 8).cast("int").alias("col"), *[c.alias(b) for b, c in at.items()], ((F.col("label") + F.col("pos")) % 12).alias("scl"))
 
 
+def mosaic(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of mosaics: a vector of 64 values is a block of 8 by 8, wet by its first value, with single pixels turned.
+
+    4,096 vectors in a row of ids make a scene of 64 by 64 blocks, whose middle part is the footprint.
+    """
+    e = table(spark, d, "embeddings").where("size(embedding) = 64 and vec_id is not null").select("vec_id", (F.col("embedding")[0] > 0).alias("wet"), F.posexplode("embedding").alias("pos", "v"))
+    place = F.pmod("vec_id", F.lit(4096))
+    row, col = F.floor(place / 64) * 8 + F.floor(F.col("pos") / 8), place % 64 * 8 + F.col("pos") % 8
+    df = e.select(F.floor(F.col("vec_id") / 4096).alias("scene_id"), row.cast("int").alias("row"), col.cast("int").alias("col"), (F.col("wet") != (F.abs("v") > 0.3)).alias("raw"))
+    return df.withColumn("expected", F.col("row").between(40, 471) & F.col("col").between(40, 471))
+
+
 SQL = {
     "bodies": """bodies as (select id, name, type, district, state, active, source, lon, lat, w,
         [{'x': lon, 'y': lat}, {'x': lon + w, 'y': lat}, {'x': lon + w, 'y': lat + w}, {'x': lon, 'y': lat + w}, {'x': lon, 'y': lat}] ring from (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..functions import geo, scalar, text
-from ..operators import baseline, dashboard, discovery, history, ml, mutations, raster, relational, scenes, spatial, spectral
+from ..operators import baseline, dashboard, discovery, history, ml, mutations, raster, relational, scenes, spatial, spectral, tiles
 from ..sources.readers import table
 from . import model as m
 
@@ -397,12 +397,21 @@ def _recursive(sql: str) -> str:
 _WATER = _recursive(m.with_sql("pixels", "wet").rstrip() + ", water as (select * from wet where water), ")
 
 
-@query(_WATER + _reach_sql("comp", "water") + """, each as (select scene_id, root, count(*) n from comp group by 1, 2)
-    select scene_id, count(*) components, sum(n)::bigint water_pixels, max(n) largest_pixels, round(max(n) / sum(n)::double, 9) largest_ratio, round(1 - max(n) / sum(n)::double, 9) fragmentation from each group by 1""")
+_COMPONENTS = _WATER + _reach_sql("comp", "water") + """, each as (select scene_id, root, count(*) n from comp group by 1, 2)
+    select scene_id, count(*) components, sum(n)::bigint water_pixels, max(n) largest_pixels, round(max(n) / sum(n)::double, 9) largest_ratio, round(1 - max(n) / sum(n)::double, 9) fragmentation from each group by 1"""
+
+
+@query(_COMPONENTS)
 def components(s, d):
     return rounded(raster.component_summary(raster.with_components(wet_pixels(s, d))))
 
 
+@query(_COMPONENTS)
+def tiled_components(s, d):
+    """Components tied over the borders of tiles of 4 by 4, four to a scene."""
+    return rounded(raster.component_summary(tiles.with_components(wet_pixels(s, d), tile=4)))
+
+
 @query(_WATER + _reach_sql("comp", "water", True) + """, each as (select scene_id, root, count(*) n from comp group by 1, 2 having count(*) * 100 > 2000), total as (select scene_id, count(*) polygons from each group by 1)
     select scene_id, polygons is not null detected, coalesce(polygons, 0)::int polygons from (select distinct scene_id from pixels) left join total using (scene_id)""")
 def boundary_polygons(s, d):
@@ -427,6 +436,21 @@ def segmentation(s, d):
     return rounded(_segmented(s, d).select("scene_id", "row", "col", "water", "confidence"))
 
 
+@query(_CLEAN + ' select scene_id, "row", col from mask')
+def tiled_segmentation(s, d):
+    """Water masks of every scene from tiles of 4 by 4, less than the margins that they need."""
+    prior = (F.col("row").between(1, 6) & F.col("col").between(1, 6)).alias("expected")
+    masks, _ = tiles.segment(raster.raw_water(m.pixels(s, d)).select("*", prior), 4)
+    return tiles.pixels_of(masks, "mask", 4)
+
+
+@query()
+def mosaic_masks(s, d):
+    """Figures of the masks of mosaics of up to 512 by 512 pixels, 64 by 64 vectors each; whole arrays in the tests."""
+    masks, figures = tiles.segment(m.mosaic(s, d))
+    return rounded(figures)
+
+
 @query(_CLEAN + ", " + _reach_sql("comp", "mask") + """, sizes as (select scene_id, root, count(*) n from comp group by 1, 2), broken as (select scene_id, count(*) components, sum(n)::bigint water_pixels, max(n) largest_pixels from sizes group by 1),
     cloudy as (select scene_id, count(*) n from wet w where scl in (3, 8, 9, 10) and exists (select 1 from mask m where m.scene_id = w.scene_id and abs(m."row" - w."row") + abs(m.col - w.col) <= 5) group by 1),
     told as (select scene_id, 64 total_pixels, coalesce(water_pixels, 0) water_pixels, coalesce(components, 0) components, coalesce(largest_pixels, 0) largest_pixels, coalesce(1 - largest_pixels / water_pixels::double, 1) fragmentation, coalesce(c.n, 0) cloud_pixels, true has_prior, 36 expected_pixels,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,16 +25,32 @@ def build_session(master: str | None = None, app: str = "lakestat", **extra: str
     return builder.getOrCreate()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder that driver and executors share (spark.checkpoint.dir).
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share (spark.checkpoint.dir).
 
     Only a local session may do without that setting.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to a table in the shared folder and read again.
+
+    Beside ``settled``, for many steps in a row: the plan that follows knows nothing of the steps before, whose inferred
+    constraints would otherwise pile up, and the rows are computed once.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
