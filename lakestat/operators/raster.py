@@ -359,6 +359,12 @@ def footprint(pixels: DataFrame, bodies: DataFrame, left: float, top: float, siz
     return pixels.join(bodies.select("scene_id", "ring"), "scene_id", "left").withColumn("expected", inside).drop("ring")
 
 
+def degrees(x: Column, y: Column, zone: int, south: bool) -> Column:
+    """A point of a zone, in metres, as (lon, lat)."""
+    lon, lat = geo.from_utm(x, y, F.lit(zone), F.lit(south))
+    return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+
 def outlines(components: DataFrame, left: float, top: float, size: float, zone: int, south: bool = False) -> DataFrame:
     """(scene_id, component, part, ring): the rings around each component in degrees; ``part`` 0 is the outer one.
 
@@ -374,11 +380,7 @@ def outlines(components: DataFrame, left: float, top: float, size: float, zone:
 
     flat = components.groupBy("scene_id", "component").applyInPandas(run, "scene_id long, component long, part int, flat array<struct<x:double,y:double>>")
 
-    def degrees(p: Column) -> Column:
-        lon, lat = geo.from_utm(p["x"], p["y"], F.lit(zone), F.lit(south))
-        return F.struct(lon.alias("lon"), lat.alias("lat"))
-
-    return flat.select("scene_id", "component", "part", F.transform("flat", degrees).alias("ring"))
+    return flat.select("scene_id", "component", "part", F.transform("flat", lambda p: degrees(p["x"], p["y"], zone, south)).alias("ring"))
 
 
 # Fixed value: outlines of at most this area, in square metres, are not part of a boundary.

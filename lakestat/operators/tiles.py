@@ -106,8 +106,8 @@ def _shared(d: int, tile: int, reach: int) -> slice:
     return slice(max(0, d * tile - reach), min(tile, (d + 1) * tile + reach))
 
 
-def with_margin(tiles: DataFrame, mask: str, out: str, reach: int, run: Callable[[np.ndarray, np.ndarray, int], np.ndarray], tile: int = TILE) -> DataFrame:
-    """Tiles with ``out``: ``run(mask with a margin, what of it is in the scene, kernel)`` without the margin.
+def _margins(tiles: DataFrame, mask: str, reach: int, tile: int) -> DataFrame:
+    """Tiles with the strips of a mask that lie on them or within ``reach`` of them.
 
     A tile sends its neighbours the strips that they need, empty ones not at all. ``reach`` may exceed a tile.
     """
@@ -123,19 +123,29 @@ def with_margin(tiles: DataFrame, mask: str, out: str, reach: int, run: Callable
                     found.append((t.scene_id, t.kernel, ti, tj, t.r0, t.r1, t.c0, t.c1, struct.pack("<ii", di, dj) + bits(strip)))
         yield from found
 
+    sent = _mapped(tiles.select(*AT, *EXTENT, mask), send, f"{_AT}, {', '.join(f'{e} int' for e in EXTENT)}, strip binary")
+    return sent.groupBy(*AT, *EXTENT).agg(F.collect_list("strip").alias("strips"))
+
+
+def _met(t, reach: int, tile: int) -> np.ndarray:
+    """The mask of a tile with its margin, of its strips."""
+    whole = np.zeros((tile + 2 * reach,) * 2, bool)
+    for strip in t.strips:
+        (di, dj), rest = struct.unpack("<ii", strip[:8]), strip[8:]
+        r, c = _shared(di, tile, reach), _shared(dj, tile, reach)
+        to = [slice(s.start - d * tile + reach, s.stop - d * tile + reach) for s, d in ((r, di), (c, dj))]
+        whole[to[0], to[1]] = mask_of(rest, (r.stop - r.start, c.stop - c.start))
+    return whole
+
+
+def with_margin(tiles: DataFrame, mask: str, out: str, reach: int, run: Callable[[np.ndarray, np.ndarray, int], np.ndarray], tile: int = TILE) -> DataFrame:
+    """Tiles with ``out``: ``run(mask with a margin, what of it is in the scene, kernel)`` without the margin."""
+
     def meet(t) -> Iterator[tuple]:
-        whole = np.zeros((tile + 2 * reach,) * 2, bool)
-        for strip in t.strips:
-            (di, dj), rest = struct.unpack("<ii", strip[:8]), strip[8:]
-            r, c = _shared(di, tile, reach), _shared(dj, tile, reach)
-            to = [slice(s.start - d * tile + reach, s.stop - d * tile + reach) for s, d in ((r, di), (c, dj))]
-            whole[to[0], to[1]] = mask_of(rest, (r.stop - r.start, c.stop - c.start))
-        done = run(whole, _inside(t, tile, reach), t.kernel)
+        done = run(_met(t, reach, tile), _inside(t, tile, reach), t.kernel)
         yield (t.scene_id, t.kernel, t.ti, t.tj, bits(done[reach:-reach, reach:-reach]))
 
-    sent = _mapped(tiles.select(*AT, *EXTENT, mask), send, f"{_AT}, {', '.join(f'{e} int' for e in EXTENT)}, strip binary")
-    met = _mapped(sent.groupBy(*AT, *EXTENT).agg(F.collect_list("strip").alias("strips")), meet, f"{_AT}, {out} binary")
-    return stored(tiles.drop(out).join(met, AT))
+    return stored(tiles.drop(out).join(_mapped(_margins(tiles, mask, reach, tile), meet, f"{_AT}, {out} binary"), AT))
 
 
 def buffered(tiles: DataFrame, mask: str, out: str, radius: float, tile: int = TILE) -> DataFrame:
@@ -324,20 +334,24 @@ def pixels_of(tiles: DataFrame, mask: str, tile: int = TILE) -> DataFrame:
     return _mapped(tiles.select("scene_id", "ti", "tj", mask), run, "scene_id long, row int, col int")
 
 
-def with_components(pixels: DataFrame, mask: str = "water", corners: bool = False, tile: int = TILE) -> DataFrame:
-    """(scene_id, row, col, component): as ``raster.with_components``, numbers in the order of first pixels, over tiles.
+def _numbers(tiles: DataFrame, whole: DataFrame) -> DataFrame:
+    """(scene_id, root, component): components numbered in the order of their first pixels.
 
     A component's number is its place in its row of pixels after the components that begin in rows before.
     """
-    tiles = tiled(pixels.select("scene_id", "row", "col", F.col(mask).alias("mask")), ["mask"], tile)
-    parts, whole = components(tiles, "mask", corners=corners, tile=tile)
     wide = tiles.select("scene_id", (F.col("c1") - F.col("c0") + 1).alias("wide")).distinct()
     begun = stored(whole.join(wide, "scene_id").select("scene_id", "root", F.expr("root div wide").alias("line")))
     lines = begun.groupBy("scene_id", "line").agg(F.count("*").alias("n"))
     before = lines.select("scene_id", "line", (F.sum("n").over(Window.partitionBy("scene_id").orderBy("line")) - F.col("n")).alias("before"))
     place = F.row_number().over(Window.partitionBy("scene_id", "line").orderBy("root"))
-    numbers = begun.withColumn("place", place).join(before, ["scene_id", "line"]).select("scene_id", "root", (F.col("before") + F.col("place")).alias("component"))
-    known = parts.join(numbers, ["scene_id", "root"]).groupBy(*AT).agg(F.map_from_entries(F.collect_list(F.struct("local", "component"))).alias("numbers"))
+    return begun.withColumn("place", place).join(before, ["scene_id", "line"]).select("scene_id", "root", (F.col("before") + F.col("place")).alias("component"))
+
+
+def with_components(pixels: DataFrame, mask: str = "water", corners: bool = False, tile: int = TILE) -> DataFrame:
+    """(scene_id, row, col, component): as ``raster.with_components``, numbers in the order of first pixels, over tiles."""
+    tiles = tiled(pixels.select("scene_id", "row", "col", F.col(mask).alias("mask")), ["mask"], tile)
+    parts, whole = components(tiles, "mask", corners=corners, tile=tile)
+    known = parts.join(_numbers(tiles, whole), ["scene_id", "root"]).groupBy(*AT).agg(F.map_from_entries(F.collect_list(F.struct("local", "component"))).alias("numbers"))
     known = known.select(*AT, F.transform(F.array_sort(F.map_keys("numbers")), lambda k: F.element_at("numbers", k)).alias("numbers"))
 
     def run(t) -> Iterator[pd.DataFrame]:
@@ -346,3 +360,102 @@ def with_components(pixels: DataFrame, mask: str = "water", corners: bool = Fals
         yield pd.DataFrame({"scene_id": t.scene_id, "row": r + t.ti * tile, "col": c + t.tj * tile, "component": np.asarray(t.numbers, dtype=np.int64)[labels[r, c] - 1]})
 
     return _mapped(tiles.join(known, AT).select(*AT, *EXTENT, "mask", "numbers"), run, "scene_id long, row int, col int, component long")
+
+
+# Headings along a pixel's sides with the pixel on the right, as (row, column): top, right, bottom, left. What is left of
+# a heading is the heading before it.
+_HEADINGS = np.array([(0, 1), (1, 0), (0, -1), (-1, 0)])
+_CHAIN = f"{_AT}, local int, id long, next long, twice long, xs array<int>, ys array<int>"
+
+
+def _chains(t, tile: int) -> Iterator[tuple]:
+    """The walks along the sides of a tile's pixels, each until it leaves the tile or closes.
+
+    A walk has the id of its first side and that of the side after its last, its turns as corners (xs, ys), and twice the
+    area that it bounds, which adds up over the walks of a ring. It follows ``raster.outline``: left where the pixel
+    ahead on the left is in the mask, else on where the one ahead is, else around its own pixel.
+    """
+    m = _met(t, 1, tile)
+    own = m[1:-1, 1:-1]
+    sides = np.stack([own & ~m[1 + r : 1 + r + tile, 1 + c : 1 + c + tile] for r, c in np.roll(_HEADINGS, 1, axis=0)])
+    side, r, c = np.nonzero(sides)
+    if not len(side):
+        return
+    number = np.full(sides.shape, -1)
+    number[sides] = np.arange(len(side))
+    ahead = np.stack([r, c], axis=1) + _HEADINGS[side]
+    beside = ahead + _HEADINGS[side - 1]
+    left, on = (m[at[:, 0] + 1, at[:, 1] + 1] for at in (beside, ahead))
+    to = np.where(left[:, None], beside, np.where(on[:, None], ahead, np.stack([r, c], axis=1)))
+    turned = np.where(left, side - 1, np.where(on, side, side + 1)) % 4
+    here = ((to >= 0) & (to < tile)).all(axis=1)
+    follows = np.full(len(side), -1)
+    follows[here] = number[turned[here], to[here, 0], to[here, 1]]
+
+    row, col = np.int64(t.ti) * tile, np.int64(t.tj) * tile
+    wide = t.c1 - t.c0 + 1
+    place = lambda y, x, s: ((y + row - t.r0) * wide + (x + col - t.c0)) * 4 + s
+    ids, nexts = place(r, c, side), place(to[:, 0], to[:, 1], turned)
+    x0, y0 = c + col + np.isin(side, (1, 2)), r + row + np.isin(side, (2, 3))
+    x1, y1 = x0 + _HEADINGS[side, 1], y0 + _HEADINGS[side, 0]
+    twice, bends = x0 * y1 - x1 * y0, side != turned
+    labels, _ = raster.label(own, True)
+
+    led = np.zeros(len(side), bool)
+    led[follows[here]] = True
+    step, done = follows.tolist(), [False] * len(side)
+    for first in [*np.flatnonzero(~led).tolist(), *np.flatnonzero(led).tolist()]:
+        walk, k = [], first
+        while k >= 0 and not done[k]:
+            done[k] = True
+            walk.append(k)
+            k = step[k]
+        if walk:
+            w = np.array(walk)
+            at = w[bends[w]]
+            yield (t.scene_id, t.kernel, t.ti, t.tj, int(labels[r[first], c[first]]), int(ids[first]), int(nexts[w[-1]]), int(twice[w].sum()), x1[at], y1[at])
+
+
+def outlines(pixels: DataFrame, mask: str = "water", tile: int = TILE) -> DataFrame:
+    """(scene_id, component, hole, pixels, ring): the rings of ``raster.outline`` around each component, over tiles.
+
+    Pixels that touch at a corner are in one component; its number is that of ``with_components``. A component has one
+    outer ring; its holes are its other ones, so rings are nested by it. ``pixels`` is the extent of the ring itself. A ring
+    is an array of corners (x to the right, y down, the pixel (row, col) having x from col to col + 1), from the smallest
+    and back to it. Walks are made in tiles, joined where they cross a border and put in order by doubling; a ring is a
+    row, and nothing else is held whole. A scene without such pixels has no row; for odd pixels see ``tiled``.
+    """
+    tiles = tiled(pixels.select("scene_id", "row", "col", F.col(mask).alias("mask")), ["mask"], tile)
+    parts, whole = components(tiles, "mask", corners=True, tile=tile)
+    chains = stored(_mapped(_margins(tiles, "mask", 1, tile), lambda t: _chains(t, tile), _CHAIN))
+    open_ = chains.where("id != next").select(*KEY, "id", "next")
+    rings = roots(open_.select(*KEY, F.col("id").alias("a"), F.col("next").alias("b")), KEY).select(*KEY, F.col("node").alias("id"), F.col("root").alias("ring"))
+    # How many walks of the ring begin with this one, up to the ring's first walk.
+    order = open_.join(rings, [*KEY, "id"]).select(*KEY, "id", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("to"), F.lit(1).alias("more"))
+    order = stored(order)
+    while not order.where("to is not null").isEmpty():
+        then = order.select(*KEY, F.col("id").alias("to"), F.col("to").alias("_to"), F.col("more").alias("_more"))
+        order = stored(order.join(then, [*KEY, "to"], "left").select(*KEY, "id", "ring", F.col("_to").alias("to"), (F.col("more") + F.coalesce("_more", F.lit(0))).alias("more")))
+    placed = chains.join(order.select(*KEY, "id", "ring", "more"), [*KEY, "id"], "left").join(parts, [*AT, "local"])
+    walks = F.array_sort(F.collect_list(F.struct((-F.coalesce("more", F.lit(0))).alias("place"), "xs", "ys")))
+    each = placed.groupBy("scene_id", F.coalesce("ring", "id").alias("ring")).agg(F.min("root").alias("root"), F.sum("twice").alias("twice"), walks.alias("walks"))
+    flat = [F.flatten(F.col("walks")[k]) for k in ("xs", "ys")]
+    each = each.select("scene_id", "root", "twice", F.zip_with(*flat, lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("points"))
+    first = F.array_min("points")
+    at = F.array_position("points", first).cast("int")
+    ring = F.concat(F.slice("points", at, F.size("points")), F.slice("points", F.lit(1), at - 1), F.array(first))
+    numbered = each.join(_numbers(tiles, whole), ["scene_id", "root"])
+    return numbered.select("scene_id", "component", (F.col("twice") < 0).alias("hole"), F.abs(F.expr("twice div 2")).alias("pixels"), ring.alias("ring"))
+
+
+def boundaries(pixels: DataFrame, left: float, top: float, size: float, zone: int, south: bool = False, mask: str = "water", tile: int = TILE) -> DataFrame:
+    """(scene_id, component, m2, rings): the polygons of ``raster.boundaries`` over tiles, a row each, without slivers.
+
+    ``rings`` are in degrees, the outer first, then the holes, larger ones first. Components share no side, so a scene's
+    polygons together are their union. A component's area, ``m2``, is that of its pixels. A scene without polygons has no row.
+    """
+    rings = outlines(pixels, mask, tile).select("scene_id", "component", F.struct((-F.col("pixels")).alias("pixels"), (-F.size("ring")).alias("corners"), "ring", "hole").alias("r"))
+    inner = F.when(F.col("r.hole"), F.col("r.pixels")).otherwise(-F.col("r.pixels"))
+    whole = rings.groupBy("scene_id", "component").agg((F.sum(inner) * size * size).alias("m2"), F.array_sort(F.collect_list("r")).alias("all"))
+    on_earth = F.transform("all", lambda r: F.transform(r["ring"], lambda p: raster.degrees(left + p["x"] * size, top - p["y"] * size, zone, south)))
+    return whole.where(F.col("m2") > raster.SLIVER_M2).select("scene_id", "component", "m2", on_earth.alias("rings"))

@@ -476,10 +476,54 @@ def footprint_pixels(s, d):
     return both.select("scene_id", "row", "col", "touched", F.col("expected").alias("inside"))
 
 
-@query()
+# Rings in SQL: every side of a mask pixel is followed until it comes back; of these walks that from the smallest corner
+# is kept, with the corners where it turns.
+_RINGS = _WATER + _reach_sql("comp", "water", True) + """, numbered as (select scene_id, "row" r, col c, dense_rank() over (partition by scene_id order by root) component from comp),
+    ways as (select * from (values (0, 0, 1, -1, 0, 0, 0), (1, 1, 0, 0, 1, 1, 0), (2, 0, -1, 1, 0, 1, 1), (3, -1, 0, 0, -1, 0, 1)) v(s, hr, hc, lr, lc, dx, dy)),
+    side as (select p.*, w.*, p.c + dx x, p.r + dy y from numbered p, ways w where not exists (select 1 from numbered o where o.scene_id = p.scene_id and o.r = p.r + lr and o.c = p.c + lc)),
+    linked as (select e.scene_id, e.component, e.r, e.c, e.s, x, y, x + hc x1, y + hr y1, case when a.r is not null then a.r when b.r is not null then b.r else e.r end nr, case when a.r is not null then a.c when b.r is not null then b.c else e.c end nc,
+        case when a.r is not null then (s + 3) % 4 when b.r is not null then s else (s + 1) % 4 end ns from side e left join numbered a on a.scene_id = e.scene_id and a.r = e.r + hr + lr and a.c = e.c + hc + lc left join numbered b on b.scene_id = e.scene_id and b.r = e.r + hr and b.c = e.c + hc),
+    walk as (select scene_id, component, r fr, c fc, s fs, 0 k, x, y, x1, y1, s, s - 1 came, nr, nc, ns from linked
+        union all select w.scene_id, w.component, fr, fc, fs, k + 1, l.x, l.y, l.x1, l.y1, l.s, w.s, l.nr, l.nc, l.ns from walk w join linked l on l.scene_id = w.scene_id and l.r = w.nr and l.c = w.nc and l.s = w.ns where (w.nr, w.nc, w.ns) != (fr, fc, fs)),
+    ring as (select scene_id, component, sum(x * y1 - x1 * y) // 2 area, list([x, y] order by k) filter (where s != came) || [list([x, y] order by k)[1]] ring from walk group by scene_id, component, fr, fc, fs having min([x, y]) = min([x, y]) filter (where k = 0)),
+    parted as (select *, row_number() over (partition by scene_id, component order by abs(area) desc, len(ring) desc, ring) - 1 part, sum(area) over (partition by scene_id, component) n from ring)"""
+_TILED_RINGS = _RINGS + " select scene_id, component, area < 0 hole, abs(area)::bigint pixels, list_aggregate([p[1] || ' ' || p[2] for p in ring], 'string_agg', ',') ring from parted"
+# Degrees by another series than the library's, around the latitude at the foot of a point.
+_RING_DEGREES = """, spot as (select scene_id, component, part, place - 1 place, (ring[place][1] * 10) / 0.9996::double dx, (2000000 - ring[place][2] * 10) / 0.9996::double m, fl * (2 - fl) e2 from (select *, unnest(range(1, len(ring) + 1)) place from parted where {keep}), (select 1 / 298.257223563::double fl)),
+    foot as (select *, mu + (3 * e1 / 2 - 27 * pow(e1, 3) / 32) * sin(2 * mu) + (21 * e1 * e1 / 16 - 55 * pow(e1, 4) / 32) * sin(4 * mu) + 151 * pow(e1, 3) / 96 * sin(6 * mu) + 1097 * pow(e1, 4) / 512 * sin(8 * mu) f from (
+        select *, m / (6378137.0 * (1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * pow(e2, 3) / 256)) mu, (1 - sqrt(1 - e2)) / (1 + sqrt(1 - e2)) e1 from spot)),
+    round_ as (select *, 6378137.0 / sqrt(1 - e2 * pow(sin(f), 2)) n, 6378137.0 * (1 - e2) / pow(1 - e2 * pow(sin(f), 2), 1.5) rho, pow(tan(f), 2) t, e2 / (1 - e2) ep, e2 / (1 - e2) * pow(cos(f), 2) c from foot)
+    select scene_id, component, part, place, round(75 + degrees((d - (1 + 2 * t + c) * pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t) * pow(d, 5) / 120) / cos(f)), 6) lon,
+        round(degrees(f - n * tan(f) / rho * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * pow(d, 4) / 24)), 6) lat from (select *, dx / n d from round_)"""
+
+
+@query(_RINGS + _RING_DEGREES.format(keep="true"))
 def mask_outlines(s, d):
-    """Rings around the components of every scene's mask; brute force in the tests."""
-    return raster.outlines(raster.with_components(wet_pixels(s, d), corners=True), 500000.0, 2000000.0, 10.0, 43)
+    """Points of the rings around the components of every scene's mask, in degrees."""
+    df = raster.outlines(raster.with_components(wet_pixels(s, d), corners=True), 500000.0, 2000000.0, 10.0, 43)
+    df = df.select("scene_id", "component", F.col("part").cast("long").alias("part"), F.posexplode("ring").alias("place", "p"))
+    return df.select("scene_id", "component", "part", F.col("place").cast("long").alias("place"), F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
+
+
+@query(_TILED_RINGS)
+def tiled_outlines(s, d):
+    """Rings around the components of every scene's mask, joined over the borders of tiles of 4 by 4; corners as text."""
+    df = tiles.outlines(wet_pixels(s, d), tile=4)
+    return df.select("scene_id", "component", "hole", "pixels", F.array_join(F.transform("ring", lambda p: F.concat_ws(" ", p["x"], p["y"])), ",").alias("ring"))
+
+
+@query(_RINGS + _RING_DEGREES.format(keep="n * 100 > 2000"))
+def boundary_rings(s, d):
+    """Points of the polygons of every scene's mask without slivers, from tiles of 4 by 4, in degrees; part 0 is the outer ring."""
+    df = tiles.boundaries(wet_pixels(s, d), 500000.0, 2000000.0, 10.0, 43, tile=4).select("scene_id", "component", F.posexplode("rings").alias("part", "ring"))
+    df = df.select("scene_id", "component", F.col("part").cast("long").alias("part"), F.posexplode("ring").alias("place", "p"))
+    return df.select("scene_id", "component", "part", F.col("place").cast("long").alias("place"), F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
+
+
+@query()
+def mosaic_outlines(s, d):
+    """Rings of the raw masks of mosaics of up to 512 by 512 pixels; whole arrays in the tests."""
+    return tiles.outlines(m.mosaic(s, d), "raw")
 
 
 _PIXEL_BASELINE = {"turbidity": (0.3, 0.1), "chlorophyll": (0.4, 0.1), "algal": (0.5, 0.1)}

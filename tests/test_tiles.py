@@ -102,3 +102,64 @@ def test_mosaics_against_whole_arrays(spark):
         m, e = (raster.grid(part, c, False).astype(bool) for c in ("raw", "expected"))
         want = raster.segmented(m, e)
         assert (got[k].pixels, got[k].overlap_pixels) == (want.sum(), (want & e).sum()) and (got[k].components, got[k].largest_pixels) == raster.fragmentation(want)[:2]
+
+
+def whole_rings(mask, corners=(0, 0)):
+    """{(component, hole, pixels, ring)} of a mask by the walks over a whole array."""
+    labels, n = raster.label(mask, True)
+    found = set()
+    for k in range(1, n + 1):
+        for ring in raster.outline(labels == k):
+            area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) // 2
+            found.add((k, area < 0, abs(area), tuple((x + corners[1], y + corners[0]) for x, y in ring)))
+    return found
+
+
+def test_rings_cross_tiles(spark):
+    g = np.random.default_rng(11)
+    board = np.indices((11, 9)).sum(axis=0) % 2 == 0
+    nested = np.zeros((23, 23), bool)
+    for k in range(0, 11, 2):
+        nested[k : 23 - k, k : 23 - k] = True
+        nested[k + 1 : 22 - k, k + 1 : 22 - k] = False
+    comb = np.zeros((9, 40), bool)
+    comb[0], comb[:, ::2] = True, True
+    scenes = {1: (g.random((19, 23)) < 0.55, None), 2: (board, None), 3: (np.zeros((3, 3), bool), None), 4: (np.ones((9, 12), bool), None), 5: (nested, None), 6: (comb, None), 7: (g.random((8, 30)) < 0.35, None)}
+    for side in (4, 16):
+        got = {}
+        for r in tiles.outlines(pixels(spark, scenes, (-5, 3)), "raw", side).collect():
+            got.setdefault(r.scene_id, []).append((r.component, r.hole, r.pixels, tuple((p.x, p.y) for p in r.ring)))
+        for k, (m, _) in scenes.items():
+            rows = got.get(k, [])
+            assert len(rows) == len(set(rows)) and set(rows) == whole_rings(m, (-5, 3)), (side, k)
+
+
+def test_polygons_nest_their_holes(spark):
+    m = blocks(12, 41, 33)
+    m[5:30, 5:30] = True
+    m[10:20, 10:20], m[12:15, 12:15] = False, True
+    df = pixels(spark, {1: (m, None), 2: (np.zeros((4, 4), bool), None)}).withColumnRenamed("raw", "water")
+    want = {r.scene_id: r for r in raster.boundaries(df, 500000.0, 2000000.0, 10.0, 43).collect()}
+    got = tiles.boundaries(df, 500000.0, 2000000.0, 10.0, 43, tile=8).orderBy("component").collect()
+    as_text = lambda polygons: [[[(p.lon, p.lat) for p in ring] for ring in rings] for rings in polygons]
+    assert as_text([r.rings for r in got]) == as_text(want[1].polygons) and {r.scene_id for r in got} == {1} and not want[2].detected
+    assert max(len(r.rings) for r in got) > 2 and all(r.m2 > raster.SLIVER_M2 for r in got)
+
+
+def test_rings_of_odd_pixels(spark):
+    df = spark.createDataFrame([(1, 0, 0, None, 1), (1, 40, 40, True, 2), (1, 40, 40, False, 3), (None, 1, 1, True, 4), (2, None, 1, True, 5)], "scene_id long, row int, col int, raw boolean, ring int")
+    got = tiles.outlines(df, "raw", 16).collect()
+    assert [(r.scene_id, r.component, r.hole, r.pixels, [(p.x, p.y) for p in r.ring]) for r in got] == [(1, 1, False, 1, [(40, 40), (41, 40), (41, 41), (40, 41), (40, 40)])]
+    assert tiles.outlines(df.limit(0), "raw").count() == 0
+
+
+def test_mosaic_rings_against_whole_arrays(spark):
+    from lakestat.plans import model, registry
+
+    d = "/root/testdata/sf0.001"
+    df = model.mosaic(spark, d).toPandas()
+    got = {}
+    for r in registry.QUERIES["mosaic_outlines"](spark, d).collect():
+        got.setdefault(r.scene_id, set()).add((r.component, r.hole, r.pixels, tuple((p.x, p.y) for p in r.ring)))
+    for k, part in df.groupby("scene_id"):
+        assert got[k] == whole_rings(raster.grid(part, "raw", False).astype(bool), (part["row"].min(), part["col"].min()))
