@@ -579,11 +579,12 @@ def nearby_bodies(s, d):
     return df.select("id", "name", "distance_km").orderBy("distance_km", "id")
 
 
-@query(m.with_sql("bodies") + "select id, true inside, (72 + (id * 37 % 800) / 100::double + w / 2 > 180) outside from bodies")
+@query(m.with_sql("bodies") + "select id, (id % 7 * 2 - 1) / 10::double between 0 and 1 and (id % 5 * 3 - 1) / 10::double between 0 and 1 inside, false beyond from bodies")
 def point_in_polygon(s, d):
+    """Points on a lattice over each body's box and around it, some beside it in one direction only."""
     df, r = m.bodies(s, d), F.col("ring")
-    mid = [(r[0][c] + r[2][c]) / 2 for c in ("lon", "lat")]
-    return df.select("id", geo.contains(r, *mid).alias("inside"), geo.contains(r, mid[0] + 1, mid[1]).alias("outside"))
+    at = [r[0][c] + (r[2][c] - r[0][c]) * (F.col("id") % n * k - 1) / 10 for c, n, k in (("lon", 7, 2), ("lat", 5, 3))]
+    return df.select("id", geo.contains(r, *at).alias("inside"), geo.contains(r, r[2]["lon"] + 0.001, at[1]).alias("beyond"))
 
 
 # Another series than the library's: easting and northing by powers of the distance from the middle meridian.
