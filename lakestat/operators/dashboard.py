@@ -66,19 +66,25 @@ def severity_class(severity: Column) -> Column:
     return F.when(has("critical", "high"), "high").when(has("medium", "moderate"), "medium").when(has("low"), "low").otherwise("none")
 
 
+def _digits(x: Column, digits: int) -> Column:
+    """A number with so many digits. Negative ones that round to zero, and a negative zero, keep their sign."""
+    size = F.format_string(f"%.{digits}f", F.round(F.abs(x), digits))
+    return F.when(x.cast("string").startswith("-"), F.concat(F.lit("-"), size)).otherwise(size)
+
+
 def fixed(x: Column, digits: int = 2) -> Column:
     """A number with so many digits, a dash for none."""
-    return F.coalesce(F.when(x.isNotNull() & ~F.isnan(x), F.format_string(f"%.{digits}f", F.round(x, digits))), F.lit("—"))
+    return F.coalesce(F.when(x.isNotNull() & ~F.isnan(x), _digits(x, digits)), F.lit("—"))
 
 
 def percent(x: Column, digits: int = 1) -> Column:
     """A share as percent."""
-    return F.coalesce(F.when(x.isNotNull() & ~F.isnan(x), F.concat(F.format_string(f"%.{digits}f", F.round(x * 100, digits)), F.lit("%"))), F.lit("—"))
+    return F.coalesce(F.when(x.isNotNull() & ~F.isnan(x), F.concat(_digits(x * 100, digits), F.lit("%"))), F.lit("—"))
 
 
 def signed(x: Column, digits: int = 3) -> Column:
     """A change with its sign."""
-    return F.coalesce(F.when(x.isNotNull() & ~F.isnan(x), F.concat(F.when(x > 0, "+").otherwise(""), F.format_string(f"%.{digits}f", F.round(x, digits)))), F.lit("—"))
+    return F.coalesce(F.when(x.isNotNull() & ~F.isnan(x), F.concat(F.when(x > 0, "+").otherwise(""), _digits(x, digits))), F.lit("—"))
 
 
 def has_import(bodies: DataFrame) -> DataFrame:

@@ -261,6 +261,12 @@ def test_formats(spark):
     assert [tuple(r) for r in got] == [("1.23", "123.4%", "+1.234"), ("-0.50", "-50.0%", "-0.500"), ("—", "—", "—"), ("—", "—", "—")]
 
 
+def test_formats_keep_the_sign_of_what_rounds_to_zero(spark):
+    df = spark.createDataFrame([(-0.0,), (-0.0004,), (0.0004,), (0.0,), (-1.005e7,)], "x double")
+    got = df.select(dashboard.fixed(F.col("x")).alias("f"), dashboard.percent(F.col("x")).alias("p"), dashboard.signed(F.col("x")).alias("s")).collect()
+    assert [tuple(r) for r in got] == [("-0.00", "-0.0%", "-0.000"), ("-0.00", "-0.0%", "-0.000"), ("0.00", "0.0%", "+0.000"), ("0.00", "0.0%", "0.000"), ("-10050000.00", "-1005000000.0%", "-10050000.000")]
+
+
 def test_dominant_takes_the_first_of_equal(spark):
     df = spark.createDataFrame([(0.5, 0.5, 0.1), (0.1, 0.4, 0.4), (None, None, None)], "a double, b double, c double")
     assert [r.d for r in df.select(baseline.dominant({k: F.col(k) for k in "abc"}).alias("d")).collect()] == ["a", "b", "multiple"]
