@@ -117,6 +117,33 @@ def test_boxes_against_brute_force(spark, seed):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_equal_places_and_rings_are_measured_once(spark, monkeypatch):
+    rows, plain = [], spatial.measured
+    monkeypatch.setattr(spatial, "measured", lambda df, *more: rows.append(df.count()) or plain(df, *more))
+    points = spark.createDataFrame([(k, 75.0 + k % 2 * 10, 18.0) for k in range(40)] + [(40, None, 18.0)], "point_id long, lon double, lat double")
+    bodies = spark.createDataFrame([(k, square(75.0 + k % 3 / 100, 18.01)) for k in range(30)] + [(30, None)], "id long, ring array<struct<lon:double,lat:double>>")
+    got = [(r.point_id, r.body) for r in spatial.bodies_near(points, bodies, 30.0).collect()]
+    assert sorted(got) == [(p, b) for p in range(0, 40, 2) for b in range(30)] and rows == [3]
+
+
+def test_results_of_equal_boxes_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PAIRS", 2000, raising=False)
+    boxes = lambda n, key, w: spark.range(n).select(F.col("id").alias(key), *[F.lit(v).alias(c) for c, v in zip(("xmin", "ymin", "xmax", "ymax"), (1.0, 1.0, 1.0 + w, 1.0 + w), strict=True)])
+    for n, m in ((300, 200), (50, 1200)):
+        df = spatial.boxes_meeting(boxes(n, "a", 3.0), boxes(m, "b", 0.01), "a", "b")
+        each = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(each) == df.distinct().count() == n * m and max(each) <= 15_000
+
+
+def test_dense_cells_are_parts_of_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "DENSE", 5)
+    left = [(k, k * 0.001, 0.0, k * 0.001 + 0.003, 1.0) for k in range(60)]
+    right = [(k, k * 0.002, 0.5, k * 0.002 + 0.0005, 0.6) for k in range(40)]
+    sides = [spark.createDataFrame(rows, f"{key} long, xmin double, ymin double, xmax double, ymax double") for key, rows in (("a", left), ("b", right))]
+    got = [(r.a, r.b) for r in spatial.boxes_meeting(*sides, "a", "b").collect()]
+    assert sorted(got) == [(a[0], b[0]) for a in left for b in right if a[1] <= b[3] and b[1] <= a[3]]
+
+
 def test_bodies_near(spark):
     bodies = spark.createDataFrame([(1, square(73.0, 18.0)), (2, square(80.0, 18.0))], f"id int, ring {RING}")
     points = spark.createDataFrame([(1, 73.5, 18.5), (2, 74.1, 18.5), (3, 77.0, 18.5), (4, 79.9, 60.0)], "point_id int, lon double, lat double")
