@@ -47,7 +47,7 @@ def whole_baseline(history: DataFrame, digits: int = 6) -> DataFrame:
 
 
 class OrderStatistics:
-    """The k-th smallest of the first m of some values, for many (m, k) at once.
+    """The k-th smallest of a stretch of some values, for many stretches and k at once.
 
     Values are replaced by their ranks, and a stable partition of these by each bit, from the highest on, keeps how
     many have a zero there. A question goes down the bits once: n log n to build, log n to answer.
@@ -63,9 +63,9 @@ class OrderStatistics:
             self.zeros.append(np.r_[0, np.cumsum(~one)])
             ranks = np.r_[ranks[~one], ranks[one]]
 
-    def smallest(self, first: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """The value of place k (from 0) among the ``first`` values; 0 <= k < first."""
-        low, high, rank = np.zeros_like(first), first.copy(), np.zeros_like(first)
+    def smallest(self, end: np.ndarray, k: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        """The value of place k (from 0) among the values from ``start`` (the first) to before ``end``; 0 <= k < end - start."""
+        low, high, rank = np.zeros_like(end) if start is None else start.copy(), end.copy(), np.zeros_like(end)
         for zeros in self.zeros:
             left = zeros[high] - zeros[low]
             right = k >= left
@@ -75,39 +75,51 @@ class OrderStatistics:
         return self.sorted[rank]
 
 
-def prior_percentiles(at: np.ndarray, values: np.ndarray, used: np.ndarray, shares: list[float]) -> list[np.ndarray]:
-    """For each record the percentiles (interpolated) of the used values of strictly earlier moments; NaN if there are none."""
-    order = np.argsort(at, kind="stable")
+def prior_percentiles(at: np.ndarray, values: np.ndarray, used: np.ndarray, shares: list[float], body: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each record the percentiles (interpolated) of its body's used values of strictly earlier moments; NaN if there are none."""
+    body = np.zeros(len(at), dtype=np.int64) if body is None else body
+    order = np.lexsort((at, body))
     used_before = np.r_[0, np.cumsum(used[order])]
-    n = used_before[np.searchsorted(at[order], at, side="left")]
-    some = np.flatnonzero(n > 0)
+    other = np.r_[True, np.diff(body[order]) != 0][: len(at)]
+    later = other | np.r_[True, np.diff(at[order]) != 0][: len(at)]
+    start, end = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+    for bound, begins in ((start, other), (end, later)):
+        bound[order] = used_before[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]
+    some = np.flatnonzero(end > start)
+    start, end = start[some], end[some]
     statistics = OrderStatistics(values[order][used[order]])
     out = []
     for share in shares:
-        place = share * (n[some] - 1)
+        place = share * (end - start - 1)
         low, high = np.floor(place).astype(np.int64), np.ceil(place).astype(np.int64)
-        a, b = (statistics.smallest(n[some], k) for k in (low, high))
+        a, b = (statistics.smallest(end, k, start) for k in (low, high))
         of = np.full(len(at), np.nan)
         of[some] = np.where(low == high, a, (high - place) * a + (place - low) * b)
         out.append(of)
     return out
 
 
-def _with_percentiles(df: DataFrame, asked: list[str]) -> DataFrame:
-    """Records with columns _{indicator}_{share} of what was before each; a body's records are one group."""
+#: Records that are handed to Python as one group, on average; a body's are never divided.
+GROUP = 50_000
+
+
+def _with_percentiles(df: DataFrame, asked: list[str], records: int) -> DataFrame:
+    """Records (of so many) with columns _{indicator}_{share} of what was before each; bodies are dealt to groups whole."""
     schema = T.StructType([*df.schema.fields, *[T.StructField(f"_{k}_{x}", T.DoubleType()) for k in INDICATORS for x in asked]])
 
     def run(table: pa.Table) -> pa.Table:
+        body = np.asarray(table.column("water_body_id").combine_chunks().dictionary_encode("encode").indices)
         at = np.asarray(table.column("_at"))
         ok = np.asarray(table.column("_ok").combine_chunks().fill_null(False))
         for k, c in INDICATORS.items():
             x = table.column(c).combine_chunks().cast(pa.float64())
             there = ok & np.asarray(x.is_valid())
-            for name, got in zip(asked, prior_percentiles(at, np.asarray(x.fill_null(0.0)), there, [SHARES[s] for s in asked]), strict=True):
+            for name, got in zip(asked, prior_percentiles(at, np.asarray(x.fill_null(0.0)), there, [SHARES[s] for s in asked], body), strict=True):
                 table = table.append_column(f"_{k}_{name}", pa.array(got, mask=np.isnan(got)))
         return table
 
-    dated = df.where("_at is not null").groupBy("water_body_id").applyInArrow(run, schema)
+    groups = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-records // GROUP))
+    dated = df.where("_at is not null").groupBy(F.pmod(F.xxhash64("water_body_id"), F.lit(groups))).applyInArrow(run, schema)
     return dated.unionByName(df.where("_at is null"), allowMissingColumns=True)
 
 
@@ -129,7 +141,7 @@ def prior_baseline(history: DataFrame, digits: int | None = 6, keys: tuple[str,
     for k, c in INDICATORS.items():
         df = df.withColumn(f"{k}_prior", _stats(F.when(ok, F.col(c)), before, digits, running))
     if asked := [k for k in keys if k in SHARES]:
-        df = _with_percentiles(df.withColumn("_ok", ok), asked).drop("_ok")
+        df = _with_percentiles(df.withColumn("_ok", ok), asked, history.count()).drop("_ok")
         rounded = lambda c: c if digits is None else F.round(c, digits)
         for k in INDICATORS:
             df = df.withColumn(f"{k}_prior", F.struct(*[(rounded(F.col(f"_{k}_{x}")) if x in SHARES else F.col(f"{k}_prior")[x]).alias(x) for x in keys]))

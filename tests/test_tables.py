@@ -117,6 +117,16 @@ def test_boxes_against_brute_force(spark, seed):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_percentiles_of_many_bodies_at_once():
+    r = np.random.default_rng(5)
+    body, at, v, used = r.integers(0, 7, 300), r.integers(0, 20, 300), r.integers(0, 9, 300) / 4, r.random(300) < 0.7
+    got = baseline.prior_percentiles(at, v, used, [0.5, 0.9], body)
+    for i in range(300):
+        before = v[(body == body[i]) & (at < at[i]) & used]
+        for share, found in zip((50, 90), got, strict=True):
+            assert np.isnan(found[i]) if not len(before) else found[i] == pytest.approx(np.percentile(before, share), abs=1e-12)
+
+
 def test_equal_places_and_rings_are_measured_once(spark, monkeypatch):
     rows, plain = [], spatial.measured
     monkeypatch.setattr(spatial, "measured", lambda df, *more: rows.append(df.count()) or plain(df, *more))
