@@ -3,7 +3,8 @@
 A scene is a table of square tiles, a row each, whose masks are bitmaps (TILE x TILE bits). What looks at neighbours gets
 a margin from the tiles around; components are numbered within tiles, tied where they meet over a border, and contracted
 by joins. No row is larger than a tile with its margin, and keys are tiles or components, never a whole scene. Each step is
-kept in ``spark.checkpoint.dir`` (see ``stored``), so a lost executor costs the tiles it held.
+kept in ``spark.checkpoint.dir`` (see ``stored``), so a lost executor costs the tiles it held. Joins are merges by hint:
+a broadcast at every step would send the driver more the more scenes there are.
 
 Tables of tiles have scene_id, kernel (0; a width of closing where several are tried), ti, tj, the scene's first and last
 rows and columns r0, r1, c0, c1, and binary columns, one per mask.
@@ -61,7 +62,8 @@ def _mapped(df: DataFrame, run: Callable[..., Iterator], schema: str) -> DataFra
         if held:
             yield frame(held)
 
-    return df.mapInPandas(batches, schema)
+    # Tiles are few bytes and much work: left to their bytes, they would all be one task's.
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism).mapInPandas(batches, schema)
 
 
 def tiled(pixels: DataFrame, masks: list[str], tile: int = TILE) -> DataFrame:
@@ -80,7 +82,7 @@ def tiled(pixels: DataFrame, masks: list[str], tile: int = TILE) -> DataFrame:
     whole = cells.groupBy("scene_id").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), *[F.bool_or(g).alias(g) for g in given])
     for t, a, b in (("ti", "r0", "r1"), ("tj", "c0", "c1")):
         whole = whole.withColumn(t, F.explode(F.sequence(F.floor(F.col(a) / tile).cast("int"), F.floor(F.col(b) / tile).cast("int"))))
-    df = whole.withColumn("kernel", F.lit(0)).join(cells.select("scene_id", "ti", "tj", *masks), ["scene_id", "ti", "tj"], "left")
+    df = whole.withColumn("kernel", F.lit(0)).hint("merge").join(cells.select("scene_id", "ti", "tj", *masks), ["scene_id", "ti", "tj"], "left")
     schema = f"{_AT}, {', '.join(f'{e} int' for e in EXTENT)}, {', '.join(f'{g} boolean' for g in given)}, {', '.join(f'{m} binary' for m in masks)}"
 
     def pack(t) -> Iterator[tuple]:
@@ -145,7 +147,7 @@ def with_margin(tiles: DataFrame, mask: str, out: str, reach: int, run: Callable
         done = run(_met(t, reach, tile), _inside(t, tile, reach), t.kernel)
         yield (t.scene_id, t.kernel, t.ti, t.tj, bits(done[reach:-reach, reach:-reach]))
 
-    return stored(tiles.drop(out).join(_mapped(_margins(tiles, mask, reach, tile), meet, f"{_AT}, {out} binary"), AT))
+    return stored(tiles.drop(out).hint("merge").join(_mapped(_margins(tiles, mask, reach, tile), meet, f"{_AT}, {out} binary"), AT))
 
 
 def buffered(tiles: DataFrame, mask: str, out: str, radius: float, tile: int = TILE) -> DataFrame:
@@ -184,14 +186,14 @@ def roots(links: DataFrame, key: list[str]) -> DataFrame:
         ends = stored(both.groupBy(*key, F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("root")))
         while True:
             up = ends.select(*key, F.col("node").alias("root"), F.col("root").alias("top"))
-            moved = stored(ends.join(up, [*key, "root"], "left").select(*key, "node", F.coalesce("top", "root").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
+            moved = stored(ends.hint("merge").join(up, [*key, "root"], "left").select(*key, "node", F.coalesce("top", "root").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
             ends = moved.drop("moved")
             if moved.where("moved").isEmpty():
                 break
         step = ends.select(*key, F.col("node").alias("root"), F.col("root").alias("top"))
-        known = ends if known is None else stored(known.join(step, [*key, "root"], "left").select(*key, "node", F.coalesce("top", "root").alias("root")))
+        known = ends if known is None else stored(known.hint("merge").join(step, [*key, "root"], "left").select(*key, "node", F.coalesce("top", "root").alias("root")))
         for c in ("a", "b"):
-            links = links.join(ends.select(*key, F.col("node").alias(c), F.col("root").alias(f"_{c}")), [*key, c])
+            links = links.hint("merge").join(ends.select(*key, F.col("node").alias(c), F.col("root").alias(f"_{c}")), [*key, c])
         links = stored(links.select(*key, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a != b").distinct())
         if links.isEmpty():
             return known
@@ -239,15 +241,15 @@ def components(tiles: DataFrame, mask: str, dry: bool = False, corners: bool = F
 
     found = stored(_mapped(tiles.select(*AT, *EXTENT, *{mask, *beside}), run, _PARTS))
     sides = [found.where(F.col("role") == role).select(*KEY, "row", "col", F.col("id").alias(name)) for role, name in (("wait", "a"), ("ask", "b"))]
-    tied = roots(sides[0].join(sides[1], [*KEY, "row", "col"]).select(*KEY, "a", "b"), KEY)
-    parts = found.where("role = 'part'").join(tied.withColumnRenamed("node", "id"), [*KEY, "id"], "left").withColumn("root", F.coalesce("root", "id"))
+    tied = roots(sides[0].hint("merge").join(sides[1], [*KEY, "row", "col"]).select(*KEY, "a", "b"), KEY)
+    parts = found.where("role = 'part'").hint("merge").join(tied.withColumnRenamed("node", "id"), [*KEY, "id"], "left").withColumn("root", F.coalesce("root", "id"))
     whole = parts.groupBy(*KEY, "root").agg(F.sum("n").alias("n"), F.bool_or("edge").alias("edge"), F.sum("meets").alias("meets"), F.sum("near").alias("near"))
     return parts.select(*AT, "local", "root"), whole
 
 
 def _picked(tiles: DataFrame, mask: str, parts: DataFrame, kept: DataFrame, tile: int, dry: bool = False) -> DataFrame:
     """Tiles whose mask is its ``kept`` components (KEY, root) alone, or with them added if they are ``dry`` ones."""
-    chosen = parts.join(kept.select(*KEY, "root"), [*KEY, "root"]).groupBy(*AT).agg(F.collect_list("local").alias("_locals"))
+    chosen = parts.hint("merge").join(kept.select(*KEY, "root"), [*KEY, "root"]).groupBy(*AT).agg(F.collect_list("local").alias("_locals"))
 
     def run(t) -> Iterator[pd.DataFrame]:
         m = mask_of(getattr(t, mask), (tile, tile))
@@ -259,8 +261,8 @@ def _picked(tiles: DataFrame, mask: str, parts: DataFrame, kept: DataFrame, tile
             take = keep[labels]
         yield (t.scene_id, t.kernel, t.ti, t.tj, bits(m | take if dry else take))
 
-    new = _mapped(tiles.join(chosen, AT, "left").select(*AT, *EXTENT, mask, F.col("_locals").alias("wanted")), run, f"{_AT}, {mask} binary")
-    return stored(tiles.drop(mask).join(new, AT))
+    new = _mapped(tiles.hint("merge").join(chosen, AT, "left").select(*AT, *EXTENT, mask, F.col("_locals").alias("wanted")), run, f"{_AT}, {mask} binary")
+    return stored(tiles.drop(mask).hint("merge").join(new, AT))
 
 
 def without_specks(tiles: DataFrame, mask: str, least: int = raster.SPECK, tile: int = TILE) -> DataFrame:
@@ -282,16 +284,16 @@ def both(tiles: DataFrame, mask: str, other: str) -> DataFrame:
         a, b = (np.frombuffer(getattr(t, m), np.uint8) for m in (mask, other))
         yield (t.scene_id, t.kernel, t.ti, t.tj, (a & b).tobytes())
 
-    return stored(tiles.drop(mask).join(_mapped(tiles.select(*AT, mask, other), run, f"{_AT}, {mask} binary"), AT))
+    return stored(tiles.drop(mask).hint("merge").join(_mapped(tiles.select(*AT, mask, other), run, f"{_AT}, {mask} binary"), AT))
 
 
 def _anchored(tiles: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
     """Tiles whose mask keeps what meets the footprint or is large and near it, and the figures of each KEY's mask."""
     parts, whole = components(tiles, "mask", tile=tile)
     free = tiles.select(*KEY, "expected_given").distinct()
-    kept = stored(whole.join(free, KEY).where((~F.col("expected_given")) | (F.col("meets") > 0) | ((F.col("near") > 0) & (F.col("n") >= raster.EXPANSION))))
+    kept = stored(whole.hint("merge").join(free, KEY).where((~F.col("expected_given")) | (F.col("meets") > 0) | ((F.col("near") > 0) & (F.col("n") >= raster.EXPANSION))))
     figures = kept.groupBy(*KEY).agg(F.sum("n").alias("pixels"), F.count("*").alias("components"), F.max("n").alias("largest_pixels"), F.sum("meets").alias("overlap_pixels"))
-    figures = free.join(figures, KEY, "left").fillna(0, ["pixels", "components", "largest_pixels", "overlap_pixels"])
+    figures = free.hint("merge").join(figures, KEY, "left").fillna(0, ["pixels", "components", "largest_pixels", "overlap_pixels"])
     broken = F.when(F.col("pixels") > 0, 1 - F.col("largest_pixels") / F.col("pixels")).otherwise(1.0)
     return _picked(tiles, "mask", parts, kept, tile), stored(figures.withColumn("fragmentation", broken))
 
@@ -310,16 +312,16 @@ def segment(pixels: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     base = filled(closed(base, "mask", "mask", 3, tile), "mask", tile)
     base, figures = _anchored(base, tile)
     open_ = figures.where(F.col("expected_given") & (F.col("pixels") > raster.REFINE_OVER) & (F.col("fragmentation") > raster.FRAGMENTED))
-    tried = base.join(open_.select("scene_id"), "scene_id", "left_semi").withColumn("kernel", F.explode(F.array(*map(F.lit, raster.KERNELS))))
+    tried = base.hint("merge").join(open_.select("scene_id"), "scene_id", "left_semi").withColumn("kernel", F.explode(F.array(*map(F.lit, raster.KERNELS))))
     tried = filled(closed(stored(tried), "mask", "mask", max(raster.KERNELS), tile), "mask", tile)
     tried, options = _anchored(both(tried, "mask", "context"), tile)
     old = open_.select("scene_id", F.col("pixels").alias("_pixels"), F.col("fragmentation").alias("_broken"))
     inside = 100.0 * F.col("overlap_pixels") / F.greatest("pixels", F.lit(1))
     fits: Column = (F.col("pixels") > F.col("_pixels")) & (inside >= raster.INSIDE_LEAST) & (F.col("pixels") <= raster.GROWTH_MOST * F.col("_pixels")) & (F.col("fragmentation") < F.col("_broken") - raster.GAIN)
-    best = options.join(old, "scene_id").where(fits).groupBy("scene_id").agg(F.min(F.struct("fragmentation", "pixels", "kernel"))["kernel"].alias("_best"))
+    best = options.hint("merge").join(old, "scene_id").where(fits).groupBy("scene_id").agg(F.min(F.struct("fragmentation", "pixels", "kernel"))["kernel"].alias("_best"))
 
     def chosen(df: DataFrame) -> DataFrame:
-        return df.join(best, "scene_id", "left").where(F.col("kernel") == F.coalesce("_best", F.lit(0))).drop("_best")
+        return df.hint("merge").join(best, "scene_id", "left").where(F.col("kernel") == F.coalesce("_best", F.lit(0))).drop("_best")
 
     return stored(chosen(base.unionByName(tried))), stored(chosen(figures.unionByName(options)).drop("expected_given"))
 
@@ -340,18 +342,18 @@ def _numbers(tiles: DataFrame, whole: DataFrame) -> DataFrame:
     A component's number is its place in its row of pixels after the components that begin in rows before.
     """
     wide = tiles.select("scene_id", (F.col("c1") - F.col("c0") + 1).alias("wide")).distinct()
-    begun = stored(whole.join(wide, "scene_id").select("scene_id", "root", F.expr("root div wide").alias("line")))
+    begun = stored(whole.hint("merge").join(wide, "scene_id").select("scene_id", "root", F.expr("root div wide").alias("line")))
     lines = begun.groupBy("scene_id", "line").agg(F.count("*").alias("n"))
     before = lines.select("scene_id", "line", (F.sum("n").over(Window.partitionBy("scene_id").orderBy("line")) - F.col("n")).alias("before"))
     place = F.row_number().over(Window.partitionBy("scene_id", "line").orderBy("root"))
-    return begun.withColumn("place", place).join(before, ["scene_id", "line"]).select("scene_id", "root", (F.col("before") + F.col("place")).alias("component"))
+    return begun.withColumn("place", place).hint("merge").join(before, ["scene_id", "line"]).select("scene_id", "root", (F.col("before") + F.col("place")).alias("component"))
 
 
 def with_components(pixels: DataFrame, mask: str = "water", corners: bool = False, tile: int = TILE) -> DataFrame:
     """(scene_id, row, col, component): as ``raster.with_components``, numbers in the order of first pixels, over tiles."""
     tiles = tiled(pixels.select("scene_id", "row", "col", F.col(mask).alias("mask")), ["mask"], tile)
     parts, whole = components(tiles, "mask", corners=corners, tile=tile)
-    known = parts.join(_numbers(tiles, whole), ["scene_id", "root"]).groupBy(*AT).agg(F.map_from_entries(F.collect_list(F.struct("local", "component"))).alias("numbers"))
+    known = parts.hint("merge").join(_numbers(tiles, whole), ["scene_id", "root"]).groupBy(*AT).agg(F.map_from_entries(F.collect_list(F.struct("local", "component"))).alias("numbers"))
     known = known.select(*AT, F.transform(F.array_sort(F.map_keys("numbers")), lambda k: F.element_at("numbers", k)).alias("numbers"))
 
     def run(t) -> Iterator[pd.DataFrame]:
@@ -359,7 +361,7 @@ def with_components(pixels: DataFrame, mask: str = "water", corners: bool = Fals
         r, c = np.nonzero(labels)
         yield pd.DataFrame({"scene_id": t.scene_id, "row": r + t.ti * tile, "col": c + t.tj * tile, "component": np.asarray(t.numbers, dtype=np.int64)[labels[r, c] - 1]})
 
-    return _mapped(tiles.join(known, AT).select(*AT, *EXTENT, "mask", "numbers"), run, "scene_id long, row int, col int, component long")
+    return _mapped(tiles.hint("merge").join(known, AT).select(*AT, *EXTENT, "mask", "numbers"), run, "scene_id long, row int, col int, component long")
 
 
 # Headings along a pixel's sides with the pixel on the right, as (row, column): top, right, bottom, left. What is left of
@@ -431,12 +433,12 @@ def outlines(pixels: DataFrame, mask: str = "water", tile: int = TILE) -> DataFr
     open_ = chains.where("id != next").select(*KEY, "id", "next")
     rings = roots(open_.select(*KEY, F.col("id").alias("a"), F.col("next").alias("b")), KEY).select(*KEY, F.col("node").alias("id"), F.col("root").alias("ring"))
     # How many walks of the ring begin with this one, up to the ring's first walk.
-    order = open_.join(rings, [*KEY, "id"]).select(*KEY, "id", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("to"), F.lit(1).alias("more"))
+    order = open_.hint("merge").join(rings, [*KEY, "id"]).select(*KEY, "id", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("to"), F.lit(1).alias("more"))
     order = stored(order)
     while not order.where("to is not null").isEmpty():
         then = order.select(*KEY, F.col("id").alias("to"), F.col("to").alias("_to"), F.col("more").alias("_more"))
-        order = stored(order.join(then, [*KEY, "to"], "left").select(*KEY, "id", "ring", F.col("_to").alias("to"), (F.col("more") + F.coalesce("_more", F.lit(0))).alias("more")))
-    placed = chains.join(order.select(*KEY, "id", "ring", "more"), [*KEY, "id"], "left").join(parts, [*AT, "local"])
+        order = stored(order.hint("merge").join(then, [*KEY, "to"], "left").select(*KEY, "id", "ring", F.col("_to").alias("to"), (F.col("more") + F.coalesce("_more", F.lit(0))).alias("more")))
+    placed = chains.hint("merge").join(order.select(*KEY, "id", "ring", "more"), [*KEY, "id"], "left").hint("merge").join(parts, [*AT, "local"])
     walks = F.array_sort(F.collect_list(F.struct((-F.coalesce("more", F.lit(0))).alias("place"), "xs", "ys")))
     each = placed.groupBy("scene_id", F.coalesce("ring", "id").alias("ring")).agg(F.min("root").alias("root"), F.sum("twice").alias("twice"), walks.alias("walks"))
     flat = [F.flatten(F.col("walks")[k]) for k in ("xs", "ys")]
@@ -444,7 +446,7 @@ def outlines(pixels: DataFrame, mask: str = "water", tile: int = TILE) -> DataFr
     first = F.array_min("points")
     at = F.array_position("points", first).cast("int")
     ring = F.concat(F.slice("points", at, F.size("points")), F.slice("points", F.lit(1), at - 1), F.array(first))
-    numbered = each.join(_numbers(tiles, whole), ["scene_id", "root"])
+    numbered = each.hint("merge").join(_numbers(tiles, whole), ["scene_id", "root"])
     return numbered.select("scene_id", "component", (F.col("twice") < 0).alias("hole"), F.abs(F.expr("twice div 2")).alias("pixels"), ring.alias("ring"))
 
 
