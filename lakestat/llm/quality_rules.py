@@ -12,14 +12,15 @@ fixed bound) become a literal array, so that scoring is one pass without a shuff
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import private, written
+from .common import private, small, written
 
 BUCKETS = 1 << 16
-#: Bound on trusted documents that the target and the threshold are fitted on (those with the smallest hash of their id).
-TRUSTED_ROWS = 10_000
 #: Share of trusted documents, of the half that the target has not seen, that score below the threshold.
 QUANTILE = 0.01
 #: Weight of the corpus distribution in the smoothed target, against that of the trusted n-grams.
@@ -59,22 +60,34 @@ def grams(rows: DataFrame, text_col: str, *kept: str) -> DataFrame:
     return uni.select(*kept, F.explode(F.concat("uni", pairs(F.col("uni")))).alias("gram")).select(*kept, bucket(F.col("gram")).alias("bucket"))
 
 
-def mean_ratios(rows: DataFrame, text_col: str, ratios: DataFrame) -> DataFrame:
-    """(t1, t2, llr): the mean log-ratio of the n-grams of each distinct text, by its two hashes."""
-    keyed = rows.select(F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2"), F.col(text_col).alias("text"))
-    joined = grams(keyed, "text", "t1", "t2").join(F.broadcast(ratios), "bucket")
-    return joined.groupBy("t1", "t2").agg(F.round(F.avg("ratio"), DIGITS).alias("llr"))
+def scorer(ratios: DataFrame) -> Callable[[Column, Column], Column]:
+    """The mean log-ratio from the hashes of a text's words and of its pairs, null without any; BUCKETS numbers as a literal."""
+    table = dict(ratios.collect())
+    weights = F.split(F.lit(",".join(f"{table[k]:.{RATIO_DIGITS}f}" for k in range(BUCKETS))), ",").cast("array<double>")
+    total = lambda hashes: F.aggregate(hashes, F.lit(0.0), lambda a, h: a + F.get(weights, bucket(h)))
+    return lambda uni, pair: F.when(F.size(uni) + F.size(pair) > 0, F.round((total(uni) + total(pair)) / (F.size(uni) + F.size(pair)), DIGITS))
+
+
+def smallest(values: DataFrame, k: int) -> int:
+    """The value of place k (from 0) of whole numbers ``v``: counted in cells, then within the one that holds it."""
+    for step in (10**6, 10**3, 1):
+        cell = F.floor(F.col("v") / step)
+        for found, n in sorted(values.groupBy(cell.alias("cell")).count().collect()):  # noqa: B007
+            if k < n:
+                break
+            k -= n
+        values = values.where(cell == found)
+    return found
 
 
 def train(docs: DataFrame, trusted: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, float]:
     """(bucket, ratio) for all BUCKETS, and the threshold.
 
-    ``trusted``: ids of documents to be liked; at most TRUSTED_ROWS of them are used. The corpus counts cover all rows.
-    Without trusted n-grams all ratios are 0 and the threshold is 0.
+    ``trusted``: ids of documents to be liked, all of which are used. The corpus counts cover all rows. Without trusted n-grams all ratios are 0 and the threshold is 0.
     """
-    chosen = trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(TRUSTED_ROWS)
+    chosen = trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct()
     # 1 for the half that the target is fitted on, 2 for the other.
-    chosen = F.broadcast(chosen.withColumn("half", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(2)).cast("int") + 1))
+    chosen = small(chosen.withColumn("half", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(2)).cast("int") + 1))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id", "left")
     counts = grams(rows, "text", "half").groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("half") == 1).alias("good"))
     spark = docs.sparkSession
@@ -86,10 +99,17 @@ def train(docs: DataFrame, trusted: DataFrame, text_col: str = "text", id_col: s
     share = F.col("n") / total
     weight = SMOOTHING * good
     ratios = written(counts.select("bucket", F.round(F.log((F.col("good") + weight * share) / ((good + weight) * share)), RATIO_DIGITS).alias("ratio")), "ratios")
-    held = rows.where("half = 2").select("id", "text")
-    scored = mean_ratios(held, "text", ratios)
-    low = scored.agg(F.percentile("llr", QUANTILE)).first()[0]
-    return ratios, round(low, DIGITS) if low is not None else 0.0
+    # A text counts once, however many documents have it.
+    held = rows.where("half = 2").select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), hashed(words(F.col("text"))).alias("uni"))
+    scored = held.select("t1", "t2", F.round(scorer(ratios)(F.col("uni"), pairs(F.col("uni"))) * 10**DIGITS).cast("long").alias("v"))
+    # Texts without words go after the table is written: before, the filter would repeat the whole expression.
+    scored = written(scored.distinct(), "held").where("v is not null")
+    n = scored.count()
+    if not n:
+        return ratios, 0.0
+    place = QUANTILE * (n - 1)
+    low, high = (smallest(scored, k) for k in (floor(place), ceil(place)))
+    return ratios, round((low + (place - floor(place)) * (high - low)) / 10**DIGITS, DIGITS)
 
 
 def repeated_words(windows: Column) -> Column:
@@ -114,11 +134,7 @@ def base_rules(docs: DataFrame, text_col: str = "text", ratios: DataFrame | None
     df = docs.select(*own, F.coalesce(F.col(text_col), F.lit("")).alias(text)).withColumn(w, words(F.col(text))).withColumn(uni, hashed(F.col(w))).withColumn(pair, pairs(F.col(uni)))
     llr = F.lit(None).cast("double")
     if ratios is not None:
-        table = dict(ratios.collect())
-        weights = F.split(F.lit(",".join(f"{table[k]:.{RATIO_DIGITS}f}" for k in range(BUCKETS))), ",").cast("array<double>")
-        total = lambda hashes: F.aggregate(hashes, F.lit(0.0), lambda a, h: a + F.get(weights, bucket(h)))
-        n = F.size(uni) + F.size(pair)
-        llr = F.when(n > 0, F.round((total(F.col(uni)) + total(F.col(pair))) / n, DIGITS)).otherwise(0.0)
+        llr = F.coalesce(scorer(ratios)(F.col(uni), F.col(pair)), F.lit(0.0))
     df = df.select(
         *own,
         F.size(w).cast("long").alias("n_words"),
