@@ -1,17 +1,21 @@
 """Neighbourhood operators on masks: components, morphology, outlines, and the segmentation of a scene.
 
-Scenes are small grids; each is one group of pixels, handled by numpy in one Arrow batch. Everything per pixel stays in
-column expressions around it.
+Scenes are small grids. Whole scenes meet in Arrow batches, and those of one extent are handled together by numpy, as an
+array over scene, row and column: functions of masks work along the last two axes. Everything per pixel stays in column
+expressions around it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo, scalar
 
@@ -27,27 +31,20 @@ def label(mask: np.ndarray, corners: bool = False) -> tuple[np.ndarray, int]:
 
     Roots are hooked to smaller ones and pointers doubled, so rounds grow with the logarithm of a component's extent.
     """
-    h, w = mask.shape
-    at = np.arange(h * w).reshape(h, w)
-    pairs = [(at[:, :-1], at[:, 1:]), (at[:-1], at[1:])] + ([(at[:-1, :-1], at[1:, 1:]), (at[:-1, 1:], at[1:, :-1])] if corners else [])
+    at = np.arange(mask.size).reshape(mask.shape)
+    pairs = [(at[..., :-1], at[..., 1:]), (at[..., :-1, :], at[..., 1:, :])] + ([(at[..., :-1, :-1], at[..., 1:, 1:]), (at[..., :-1, 1:], at[..., 1:, :-1])] if corners else [])
     flat = mask.ravel()
     i, j = (np.concatenate([p[k].ravel() for p in pairs]) for k in (0, 1))
     both = flat[i] & flat[j]
-    i, j, root = i[both], j[both], np.arange(h * w)
+    i, j, root = i[both], j[both], np.arange(mask.size)
     while len(i):
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        while not np.array_equal(new, new[new]):
-            new = new[new]
-        if np.array_equal(new, root):
-            break
-        root = new
-    found = np.zeros(h * w, dtype=np.int64)
-    heads, found[flat] = np.unique(root[flat], return_inverse=True)
-    found[flat] += 1
-    return found.reshape(h, w), len(heads)
+        np.minimum.at(root, np.maximum(root[i], root[j]), np.minimum(root[i], root[j]))
+        while not np.array_equal(root, further := root[root]):
+            root = further
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+    number = np.cumsum(flat & (root == at.ravel()))
+    return np.where(flat, number[root], 0).reshape(mask.shape), int(number[-1]) if mask.size else 0
 
 
 def sizes(labels: np.ndarray, n: int) -> np.ndarray:
@@ -60,26 +57,39 @@ def sizes(labels: np.ndarray, n: int) -> np.ndarray:
 def dilated(mask: np.ndarray, steps: int) -> np.ndarray:
     """Pixels within ``steps`` moves along rows and columns."""
     for _ in range(steps):
-        p = np.pad(mask, 1)
-        mask = p[1:-1, 1:-1] | p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:]
+        out = mask.copy()
+        out[..., 1:, :] |= mask[..., :-1, :]
+        out[..., :-1, :] |= mask[..., 1:, :]
+        out[..., 1:] |= mask[..., :-1]
+        out[..., :-1] |= mask[..., 1:]
+        mask = out
     return mask
 
 
 def buffered(mask: np.ndarray, radius: float) -> np.ndarray:
-    """Pixels whose middle is within ``radius`` pixels of the square of a mask pixel."""
-    reach = int(radius + 0.5)
-    p, out = np.pad(mask, reach), np.zeros_like(mask)
-    h, w = mask.shape
-    for dy in range(-reach, reach + 1):
-        for dx in range(-reach, reach + 1):
-            if np.hypot(max(abs(dx) - 0.5, 0), max(abs(dy) - 0.5, 0)) <= radius:
-                out |= p[reach + dy : reach + dy + h, reach + dx : reach + dx + w]
+    """Pixels whose middle is within ``radius`` pixels of the square of a mask pixel.
+
+    So many rows away, these are the columns within a width of one: counts along the row differ at its ends.
+    """
+    reach, (h, w) = int(radius + 0.5), mask.shape[-2:]
+    counts = np.zeros((*mask.shape[:-1], w + 1), dtype=np.int32)
+    np.cumsum(mask, axis=-1, dtype=np.int32, out=counts[..., 1:])
+    out, c = np.zeros_like(mask), np.arange(w)
+    for dy in range(min(reach, h - 1) + 1):
+        wide = max(dx for dx in range(reach + 1) if np.hypot(max(dx - 0.5, 0), max(dy - 0.5, 0)) <= radius)
+        near = counts.take(np.minimum(c + wide + 1, w), axis=-1) > counts.take(np.maximum(c - wide, 0), axis=-1)
+        out[..., dy:, :] |= near[..., : h - dy, :]
+        out[..., : h - dy, :] |= near[..., dy:, :]
     return out
 
 
 def _window(mask: np.ndarray, k: int, every: bool) -> np.ndarray:
-    views = np.lib.stride_tricks.sliding_window_view(np.pad(mask, k // 2), (k, k))
-    return views.all(axis=(2, 3)) if every else views.any(axis=(2, 3))
+    for axis in (-2, -1):
+        n, along = mask.shape[axis], np.moveaxis(mask, axis, -1)
+        p = np.pad(along, [(0, 0)] * (mask.ndim - 1) + [(k // 2, k // 2)])
+        views = [p[..., d : d + n] for d in range(k)]
+        mask = np.moveaxis((np.logical_and if every else np.logical_or).reduce(views), -1, axis)
+    return mask
 
 
 def closed(mask: np.ndarray, k: int) -> np.ndarray:
@@ -90,9 +100,9 @@ def closed(mask: np.ndarray, k: int) -> np.ndarray:
 def filled(mask: np.ndarray) -> np.ndarray:
     """With background that the edge does not reach filled."""
     labels, n = label(~mask)
-    edge = np.unique(np.concatenate([labels[0], labels[-1], labels[:, 0], labels[:, -1]]))
     outside = np.zeros(n + 1, dtype=bool)
-    outside[edge] = True
+    for edge in (labels[..., 0, :], labels[..., -1, :], labels[..., 0], labels[..., -1]):
+        outside[edge] = True
     return mask | ~outside[labels]
 
 
@@ -102,11 +112,27 @@ def without_specks(mask: np.ndarray, least: int = SPECK) -> np.ndarray:
     return (sizes(labels, n) >= least)[labels] & mask
 
 
+def in_scene(labels: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Components of each scene of a stack, and the labels numbered from 1 in each."""
+    scene = np.zeros(n + 1, dtype=np.int64)
+    scene[labels] = np.arange(len(labels))[:, None, None]
+    count = np.bincount(scene[1:], minlength=len(labels))
+    return count, np.where(labels > 0, labels - (np.cumsum(count) - count)[:, None, None], 0)
+
+
+def fragmentations(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``fragmentation`` of each scene of a stack."""
+    labels, n = label(masks)
+    count, _ = in_scene(labels, n)
+    largest, pixels = np.zeros(len(masks), dtype=np.int64), masks.sum(axis=(-2, -1))
+    np.maximum.at(largest, np.repeat(np.arange(len(masks)), count), sizes(labels, n)[1:])
+    return count, largest, 1.0 - np.where(pixels > 0, largest / np.maximum(pixels, 1), 0.0)
+
+
 def fragmentation(mask: np.ndarray) -> tuple[int, int, float]:
     """Number of components, pixels of the largest, and 1 less its share (1 for an empty mask)."""
-    labels, n = label(mask)
-    largest = int(sizes(labels, n).max(initial=0))
-    return n, largest, 1.0 - largest / mask.sum() if mask.any() else 1.0
+    n, largest, broken = fragmentations(mask[None])
+    return int(n[0]), int(largest[0]), float(broken[0])
 
 
 def anchored(mask: np.ndarray, expected: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -136,10 +162,15 @@ def less_fragmented(mask: np.ndarray, expected: np.ndarray, context: np.ndarray)
 
 def segmented(raw: np.ndarray, expected: np.ndarray | None) -> np.ndarray:
     """Raw water pixels cleaned: context, specks, closing, holes, footprint, fragmentation, in this order."""
-    context = buffered(expected, CONTEXT_PIXELS) if expected is not None else None
-    mask = without_specks(raw if context is None else raw & context)
-    mask = filled(closed(mask, 3)) if mask.any() else mask
-    return mask if context is None else less_fragmented(anchored(mask, expected, context), expected, context)
+    if expected is None:
+        return filled(closed(without_specks(raw), 3))
+    context = buffered(expected, CONTEXT_PIXELS)
+    mask = anchored(filled(closed(without_specks(raw & context), 3)), expected, context)
+    if mask.ndim == 2:
+        return less_fragmented(mask, expected, context)
+    for k in np.flatnonzero(mask.sum(axis=(-2, -1)) > REFINE_OVER):
+        mask[k] = less_fragmented(mask[k], expected[k], context[k])
+    return mask
 
 
 def outline(mask: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -183,46 +214,91 @@ def grid(pixels: pd.DataFrame, column: str, fill) -> np.ndarray:
     return out
 
 
-def by_scene(pixels: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` on each scene's pixels, many scenes to a batch: rows meet by scene, and batches are cut where one ends.
+# Pixels gathered before scenes are run, and the most pixels of a stack of more than one scene.
+AT_ONCE, STACKED = 1 << 16, 1 << 18
 
-    ``run`` takes and returns a pandas frame of one scene. A scene that is split between batches waits for its rest.
-    """
 
-    def scenes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+@dataclass
+class Stack:
+    """Scenes of one extent: their first rows, all their rows in the batch, and where these are in (scene, row, column)."""
 
-        def done(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            cuts = np.flatnonzero(np.diff(frame["scene_id"].to_numpy())) + 1
-            out = [run(frame.iloc[a:b]) for a, b in zip([0, *cuts], [*cuts, len(frame)], strict=True)]
-            yield pd.concat(out, ignore_index=True)
+    firsts: np.ndarray
+    rows: np.ndarray
+    at: tuple[np.ndarray, np.ndarray, np.ndarray]
+    shape: tuple[int, int, int]
+
+    def grid(self, values: np.ndarray, fill=False) -> np.ndarray:
+        """A column of the batch as an array over scenes, their rows and columns."""
+        out = np.full(self.shape, fill)
+        out[self.at] = values[self.rows]
+        return out
+
+
+def column(batch: pa.Table, name: str) -> np.ndarray:
+    return batch[name].to_numpy()
+
+
+def stacks(batch: pa.Table, given: str | None = None) -> Iterator[Stack]:
+    """The scenes of a batch by extent, and apart where any pixel has ``given``."""
+    scene, row, col = (column(batch, c) for c in ("scene_id", "row", "col"))
+    first = np.flatnonzero(np.concatenate([[True], scene[1:] != scene[:-1]]))
+    n = np.diff(first, append=len(scene))
+    r0, c0 = np.minimum.reduceat(row, first), np.minimum.reduceat(col, first)
+    h, w = (np.maximum.reduceat(v, first).astype(np.int64) - v0 + 1 for v, v0 in ((row, r0), (col, c0)))
+    apart = np.logical_or.reduceat(column(batch, given), first) if given else np.zeros(len(first), dtype=bool)
+    kinds, kind, count = np.unique(np.stack([h, w, apart], axis=1), axis=0, return_inverse=True, return_counts=True)
+    ordered, end = np.argsort(kind.ravel(), kind="stable"), np.cumsum(count)
+    for (height, width, _), a, b in zip(kinds, end - count, end, strict=True):
+        most = max(STACKED // int(height * width), 1)
+        for k in range(a, b, most):
+            chosen = ordered[k : min(k + most, b)]
+            place = np.repeat(np.arange(len(chosen)), n[chosen])
+            rows = np.arange(len(place)) + (first[chosen] - (np.cumsum(n[chosen]) - n[chosen]))[place]
+            yield Stack(first[chosen], rows, (place, row[rows] - r0[chosen][place], col[rows] - c0[chosen][place]), (len(chosen), int(height), int(width)))
+
+
+def by_scene(pixels: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` on the pixels of many scenes at once: rows meet by scene, and batches are cut where one ends.
+
+    ``run`` takes and returns an Arrow table of whole scenes. A scene that is split between batches waits for its rest.
+    """
 
+    def scenes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            last = batch["scene_id"].iloc[-1]
-            if held and held[-1]["scene_id"].iloc[-1] == last == batch["scene_id"].iloc[0]:
-                held.append(batch)
+            held.append(batch)
+            rows += batch.num_rows
+            last = batch["scene_id"][-1].as_py()
+            if rows < AT_ONCE or held[0]["scene_id"][0].as_py() == last:
                 continue
-            frame = pd.concat([*held, batch], ignore_index=True)
-            ends = frame["scene_id"].to_numpy() != last
-            held = [frame[~ends]]
-            if ends.any():
-                yield from done(frame[ends])
+            table = pa.Table.from_batches(held).combine_chunks()
+            end = int(np.searchsorted(column(table, "scene_id"), last))
+            yield from run(table.slice(0, end)).to_batches()
+            held, rows = table.slice(end).to_batches(), len(table) - end
         if held:
-            yield from done(pd.concat(held, ignore_index=True))
+            yield from run(pa.Table.from_batches(held).combine_chunks()).to_batches()
 
-    return pixels.where("scene_id is not null").repartition("scene_id").sortWithinPartitions("scene_id").mapInPandas(scenes, schema)
+    return pixels.where("scene_id is not null").repartition("scene_id").sortWithinPartitions("scene_id").mapInArrow(scenes, schema)
+
+
+def places() -> list[Column]:
+    return [F.col("scene_id").cast("long"), F.col("row").cast("int"), F.col("col").cast("int")]
 
 
 def with_components(pixels: DataFrame, mask: str = "water", corners: bool = False) -> DataFrame:
     """(scene_id, row, col, component): mask pixels with their component's number within the scene."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        labels, _ = label(grid(part.assign(_in=True), "_in", False).astype(bool), corners)
-        return part.assign(component=labels[part["row"] - part["row"].min(), part["col"] - part["col"].min()])
+    def run(batch: pa.Table) -> pa.Table:
+        component = np.empty(len(batch), dtype=np.int64)
+        for stack in stacks(batch):
+            labels, n = label(stack.grid(np.ones(len(batch), dtype=bool)), corners)
+            component[stack.rows] = in_scene(labels, n)[1][stack.at]
+        return batch.append_column("component", pa.array(component))
 
-    return by_scene(pixels.where(mask).select("scene_id", "row", "col"), run, "scene_id long, row int, col int, component long")
+    return by_scene(pixels.where(mask).select(*places()), run, "scene_id long, row int, col int, component long")
 
 
 def component_summary(components: DataFrame) -> DataFrame:
@@ -232,38 +308,79 @@ def component_summary(components: DataFrame) -> DataFrame:
     return each.groupBy("scene_id").agg(F.count("*").alias("components"), F.sum("n").alias("water_pixels"), F.max("n").alias("largest_pixels"), share.alias("largest_ratio"), (1 - share).alias("fragmentation"))
 
 
+def water_rule() -> Column:
+    return scalar.is_water(F.col("b03"), F.col("b04"), F.col("b08"), F.col("b11"), F.col("scl"))
+
+
 def raw_water(pixels: DataFrame) -> DataFrame:
     """Pixels with the water rule's verdict ``raw``."""
-    return pixels.withColumn("raw", scalar.is_water(F.col("b03"), F.col("b04"), F.col("b08"), F.col("b11"), F.col("scl")))
+    return pixels.withColumn("raw", water_rule())
+
+
+def _flags() -> dict[str, Column]:
+    """What masks and their checks take of a pixel, without nulls: the footprint, whether that is given, and clouds."""
+    cloud = F.coalesce(F.col("scl").isin(*scalar.CLOUD_CLASSES), F.lit(False))
+    return {"_expected": F.coalesce("expected", F.lit(False)), "_given": F.col("expected").isNotNull(), "_cloud": cloud}
+
+
+def _cleaned(batch: pa.Table) -> Iterator[tuple[Stack, np.ndarray, np.ndarray, bool]]:
+    """The scenes of a batch with their cleaned masks, footprints, and whether these are given."""
+    raw, expected, given = (column(batch, c) for c in ("_raw", "_expected", "_given"))
+    for stack in stacks(batch, "_given"):
+        within, known = stack.grid(expected), bool(given[stack.rows].any())
+        yield stack, segmented(stack.grid(raw), within if known else None), within, known
 
 
 def segment(pixels: DataFrame) -> DataFrame:
     """Pixels (scene_id, row, col, bands, scl, expected) with water and confidence; expected may be null throughout."""
+    key = ["scene_id", "row", "col"]
+    given = pixels.select(*key, *[c for c in pixels.columns if c not in key])
+    names = given.columns
+
+    def run(batch: pa.Table) -> pa.Table:
+        water = np.zeros(len(batch), dtype=bool)
+        for stack, mask, _, _ in _cleaned(batch):
+            water[stack.rows] = mask[stack.at]
+        return batch.select(names).append_column("water", pa.array(water))
+
+    flags = _flags()
+    df = given.withColumns({"_raw": water_rule(), "_expected": flags["_expected"], "_given": flags["_given"]})
+    df = by_scene(df, run, T.StructType([*given.schema.fields, T.StructField("water", T.BooleanType())]))
+    return df.withColumn("confidence", scalar.water_confidence(F.col("b03"), F.col("b08"), F.col("b11"), F.col("scl"), F.col("water")))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        expected = grid(part, "expected", False).astype(bool) if part["expected"].notna().any() else None
-        mask = segmented(grid(part, "raw", False).astype(bool), expected)
-        return part[["scene_id", "row", "col"]].assign(water=mask[part["row"] - part["row"].min(), part["col"] - part["col"].min()])
 
-    raw = raw_water(pixels).select("scene_id", "row", "col", "raw", "expected")
-    mask = by_scene(raw, run, "scene_id long, row int, col int, water boolean")
-    df = pixels.join(mask, ["scene_id", "row", "col"])
-    return df.withColumn("confidence", scalar.water_confidence(F.col("b03"), F.col("b08"), F.col("b11"), F.col("scl"), F.col("water")))
+_REPORT = "scene_id long, total_pixels long, water_pixels long, components long, largest_pixels long, fragmentation double, cloud_pixels long, has_prior boolean, expected_pixels long, overlap_pixels long"
+
+
+def _reported(batch: pa.Table, found: Iterator[tuple[Stack, np.ndarray, np.ndarray, bool]]) -> pa.Table:
+    """A row of counts for each scene of stacks with masks, footprints, and whether these are given."""
+    scene, cloud, names, parts = column(batch, "scene_id"), column(batch, "_cloud"), [c.split()[0] for c in _REPORT.split(", ")], []
+    for stack, mask, expected, known in found:
+        n, largest, broken = fragmentations(mask)
+        size = mask[0].size
+        total = lambda m: m.sum(axis=(-2, -1), dtype=np.int64)
+        cloudy = total(stack.grid(cloud) & dilated(mask, CLOUD_PIXELS))
+        rows = [scene[stack.firsts], np.full(len(n), size), total(mask), n, largest, broken, cloudy, np.full(len(n), known), total(expected), total(mask & expected)]
+        parts.append(pa.table(dict(zip(names, rows, strict=True))))
+    return pa.concat_tables(parts).combine_chunks()
 
 
 def mask_report(segmented_pixels: DataFrame) -> DataFrame:
     """Per scene the checks of its mask, with status, warnings and failures as codes."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        mask, scl = grid(part, "water", False).astype(bool), grid(part, "scl", 0)
-        n, largest, broken = fragmentation(mask)
-        cloudy = int((np.isin(scl, scalar.CLOUD_CLASSES) & dilated(mask, CLOUD_PIXELS)).sum())
-        expected = grid(part, "expected", False).astype(bool)
-        row = [part["scene_id"].iloc[0], mask.size, int(mask.sum()), n, largest, broken, cloudy, bool(part["expected"].notna().any()), int(expected.sum()), int((mask & expected).sum())]
-        return pd.DataFrame([row], columns=["scene_id", "total_pixels", "water_pixels", "components", "largest_pixels", "fragmentation", "cloud_pixels", "has_prior", "expected_pixels", "overlap_pixels"])
+    def run(batch: pa.Table) -> pa.Table:
+        water, expected, given = (column(batch, c) for c in ("_water", "_expected", "_given"))
+        return _reported(batch, ((k, k.grid(water), k.grid(expected), bool(given[k.rows].any())) for k in stacks(batch, "_given")))
+
+    flags = _flags() | {"_water": F.coalesce("water", F.lit(False))}
+    return mask_status(by_scene(segmented_pixels.select(*places(), *[c.alias(k) for k, c in flags.items()]), run, _REPORT))
 
-    schema = "scene_id long, total_pixels long, water_pixels long, components long, largest_pixels long, fragmentation double, cloud_pixels long, has_prior boolean, expected_pixels long, overlap_pixels long"
-    return mask_status(by_scene(segmented_pixels.select("scene_id", "row", "col", "water", "scl", "expected"), run, schema))
+
+def segment_report(pixels: DataFrame) -> DataFrame:
+    """``mask_report`` of ``segment``; scenes meet once, and only what is asked of a pixel travels."""
+    flags = _flags() | {"_raw": water_rule()}
+    df = pixels.select(*places(), *[c.alias(k) for k, c in flags.items()])
+    return mask_status(by_scene(df, lambda batch: _reported(batch, _cleaned(batch)), _REPORT))
 
 
 def mask_status(report: DataFrame) -> DataFrame:
@@ -319,16 +436,17 @@ def anomalous_pixels(scored: DataFrame) -> DataFrame:
     anomalous pixels travel.
     """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        mask = without_specks(grid(part.assign(_in=True), "_in", False).astype(bool), REGION_LEAST)
-        labels, _ = label(mask, True)
-        part = part.assign(region=labels[part["row"] - part["row"].min(), part["col"] - part["col"].min()])
-        return part.loc[part["region"] > 0]
+    def run(batch: pa.Table) -> pa.Table:
+        region = np.empty(len(batch), dtype=np.int64)
+        for stack in stacks(batch):
+            labels, n = label(without_specks(stack.grid(np.ones(len(batch), dtype=bool)), REGION_LEAST), True)
+            region[stack.rows] = in_scene(labels, n)[1][stack.at]
+        return batch.append_column("region", pa.array(region)).filter(pa.array(region > 0))
 
     values = ["score", "confidence", *(f"{k}_score" for k in ("turbidity", "chlorophyll", "algal") if f"{k}_score" in scored.columns)]
     # Through inline, scores are worked out once: as a plain filter their whole expression would be repeated.
     once = F.inline(F.array(F.struct((F.col("water") & (F.col("score") >= REGION_SCORE)).alias("hot"), *[F.col(c).cast("double").alias(c) for c in values])))
-    hot = scored.select("scene_id", "row", "col", once).where("hot").drop("hot")
+    hot = scored.select(*places(), once).where("hot").drop("hot")
     return by_scene(hot, run, f"scene_id long, row int, col int, {', '.join(f'{c} double' for c in values)}, region long")
 
 

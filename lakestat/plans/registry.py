@@ -378,9 +378,9 @@ def calibrated(s, d):
     return df.select("id", scalar.reflectance(F.col("dn"), F.col("has_offset")).alias("reflectance"), "has_offset")
 
 
-def _segmented(s: SparkSession, d: str) -> DataFrame:
+def _with_prior(s: SparkSession, d: str) -> DataFrame:
     prior = (F.col("row").between(1, 6) & F.col("col").between(1, 6)).alias("expected")
-    return raster.segment(m.pixels(s, d).select("*", prior))
+    return m.pixels(s, d).select("*", prior)
 
 
 def _reach_sql(name: str, pixels: str, corners: bool = False) -> str:
@@ -433,7 +433,7 @@ _CONFIDENCE = "least(1, greatest(0, 0.6::double * least(1, greatest(0, (mndwi +
 @query(_CLEAN + f""" select scene_id, "row", col, m.scene_id is not null water, round(case when m.scene_id is not null then {_CONFIDENCE} else 0 end, 9) confidence from wet w left join mask m using (scene_id, "row", col)""".replace("m.scene_id", "m.there").replace("join mask m", 'join (select *, true there from mask) m'))
 def segmentation(s, d):
     """Water masks of every scene with their confidence."""
-    return rounded(_segmented(s, d).select("scene_id", "row", "col", "water", "confidence"))
+    return rounded(raster.segment(_with_prior(s, d)).select("scene_id", "row", "col", "water", "confidence"))
 
 
 @query(_CLEAN + ' select scene_id, "row", col from mask')
@@ -463,7 +463,7 @@ def mosaic_masks(s, d):
         case when list_contains(f, 'cloud') then 'excessive_cloud_overlap' when len(f) > 0 then 'degraded' when len(w) > 0 then 'ok_with_warning' else 'ok' end status, len(f) = 0 is_valid from coded""")
 def mask_quality(s, d):
     """The checks of every scene's mask."""
-    df = rounded(raster.mask_report(_segmented(s, d)))
+    df = rounded(raster.segment_report(_with_prior(s, d)))
     return df.withColumns({c: F.array_join(c, ",") for c in ("failures", "warnings")})
 
 
